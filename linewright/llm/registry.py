@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from linewright.llm import lengths, packing, quality
+from linewright.llm import lengths, packing, quality, substrings
 
 QUERIES = {
     "op2_token_counts": lengths.op2_token_counts,
     "op6_quality_rules": quality.op6_quality_rules,
+    "op8_substring_dedup": substrings.op8_substring_dedup,
     "op10_best_fit_packing": packing.op10_best_fit_packing,
 }
 
 SQL = {
     "op6_quality_rules": quality.SQL,
+    "op8_substring_dedup": substrings.SQL,
 }
