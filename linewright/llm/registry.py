@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from linewright.llm import lengths, packing, quality, substrings
+from linewright.llm import lengths, packing, quality, similarity, substrings
 
 QUERIES = {
     "op2_token_counts": lengths.op2_token_counts,
+    "op3_ngram_jaccard_join": similarity.op3_ngram_jaccard_join,
     "op6_quality_rules": quality.op6_quality_rules,
     "op8_substring_dedup": substrings.op8_substring_dedup,
     "op10_best_fit_packing": packing.op10_best_fit_packing,
