@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from linewright.llm import lengths, packing, quality, similarity, substrings
+from linewright.llm import lengths, packing, quality, secrets, similarity, substrings
 
 QUERIES = {
     "op2_token_counts": lengths.op2_token_counts,
     "op3_ngram_jaccard_join": similarity.op3_ngram_jaccard_join,
+    "op5_secret_scans": secrets.op5_secret_scans,
     "op6_quality_rules": quality.op6_quality_rules,
     "op8_substring_dedup": substrings.op8_substring_dedup,
     "op10_best_fit_packing": packing.op10_best_fit_packing,
 }
 
 SQL = {
+    "op5_secret_scans": secrets.SQL,
     "op6_quality_rules": quality.SQL,
     "op8_substring_dedup": substrings.SQL,
 }
