@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from linewright.llm import lengths, packing, quality, secrets, similarity, substrings
+from linewright.llm import lengths, licenses, packing, quality, secrets, similarity, substrings
 
 QUERIES = {
     "op2_token_counts": lengths.op2_token_counts,
     "op3_ngram_jaccard_join": similarity.op3_ngram_jaccard_join,
+    "op4_license_scans": licenses.op4_license_scans,
     "op5_secret_scans": secrets.op5_secret_scans,
     "op6_quality_rules": quality.op6_quality_rules,
     "op8_substring_dedup": substrings.op8_substring_dedup,
