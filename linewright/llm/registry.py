@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from linewright.llm import lengths, licenses, packing, quality, secrets, similarity, substrings
+from linewright.llm import decontam, lengths, licenses, packing, quality, secrets, similarity, substrings
 
 QUERIES = {
+    "op1_benchmark_decontamination": decontam.op1_benchmark_decontamination,
     "op2_token_counts": lengths.op2_token_counts,
     "op3_ngram_jaccard_join": similarity.op3_ngram_jaccard_join,
     "op4_license_scans": licenses.op4_license_scans,
