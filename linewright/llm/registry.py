@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from linewright.llm import decontam, langid, lengths, licenses, packing, quality, secrets, similarity, substrings
+from linewright.llm import decontam, langid, lengths, licenses, mainpage, packing, quality, secrets, similarity, substrings
 
 QUERIES = {
     "op1_benchmark_decontamination": decontam.op1_benchmark_decontamination,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_quality_rules": quality.op6_quality_rules,
     "op7_language_id": langid.op7_language_id,
     "op8_substring_dedup": substrings.op8_substring_dedup,
+    "op9_html_extraction": mainpage.op9_html_extraction,
     "op10_best_fit_packing": packing.op10_best_fit_packing,
 }
 
