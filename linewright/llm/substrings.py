@@ -5,18 +5,19 @@ smaller doc_id. Every such window holds, in the document it repeats, one whole b
 ``BLOCK`` words at a multiple of ``BLOCK`` (2 * BLOCK - 1 = WINDOW). So:
 
 1. Each document is a reference by its non-overlapping blocks and a probe by all its
-   rolling windows of BLOCK words. Hashes meet in buckets of the hash space; where a
-   block meets a probe of another document, both places are anchors.
-2. Anchors go back to their documents and are extended: every WINDOW-word window around
-   an anchor is hashed, and the smallest doc_id of each such hash is found, again in
-   buckets. A run of such windows is a maximal exact repeat.
+   rolling windows of BLOCK words. Hashes meet in buckets of the hash space; a block that
+   some other window equals is an anchor of its document.
+2. Anchors are extended: every WINDOW-word window around an anchor is hashed, and the
+   smallest doc_id of each such hash is found, again in buckets. A run of such windows is
+   a maximal exact repeat.
 3. The windows that a smaller document has go back to their documents, and the words
    that they cover go.
 
-Hashes travel packed, one row for a chunk of documents and a bucket. Each chunk
-aggregates first: of a passage that many of its documents share, it sends one block,
-and one window of its smallest document; what the others need is already known. So a
-passage that a third of all rows share adds one entry for each chunk to its bucket.
+Hashes travel packed, one row for a chunk of documents and a bucket, and so do answers.
+Each chunk aggregates first: it sends every distinct block hash once and, of a longer
+window that many of its documents share, what its smallest document has; what the others
+need is already known. So a passage that a third of all rows share adds one entry for
+each chunk to its bucket.
 
 Hashes are of 64 bits in step 2; two windows with equal hashes count as equal.
 
@@ -42,68 +43,84 @@ WINDOW = 13
 BLOCK = 7
 CHUNK_BYTES = 4 << 20
 
-PROBE, ANCHOR, KNOWN = 0, 1, 2
+PROBE, BLOCKED, KNOWN, ASKED = 0, 1, 2, 3
 _PACKED = "bucket int, kind int, keys binary, ids binary, counts binary, hashes binary, at binary"
 _NAMES = ["bucket", "kind", "keys", "ids", "counts", "hashes", "at"]
 
 
+def _runs(values: np.ndarray) -> np.ndarray:
+    """Where each run of equal values starts."""
+    return np.flatnonzero(np.concatenate(([True], values[1:] != values[:-1]))) if len(values) else np.empty(0, np.int64)
+
+
 class Packed:
     """Collects packed rows: for one bucket the documents, their entries' hashes and places."""
 
     def __init__(self, buckets: int, hash_kind: type):
-        self.buckets, self.hash_kind = buckets, hash_kind
+        self.buckets, self.hash_kind = np.uint64(buckets), hash_kind
         self.columns: list[list] = [[] for _ in _NAMES]
 
-    def add(self, kind: int, docs: np.ndarray, at: np.ndarray, hashes: np.ndarray | None, keys: np.ndarray, ids: np.ndarray) -> None:
-        """Entries in order of document: docs are indexes into keys and ids, at the word numbers."""
+    def _sliced(self, bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        order = np.argsort(bucket.astype(np.uint32), kind="stable")
+        ranked = bucket[order]
+        edges = _runs(ranked)
+        for s, e in zip(edges.tolist(), [*edges[1:].tolist(), len(ranked)]):
+            yield int(ranked[s]), order[s:e]
+
+    def _row(self, *values) -> None:
+        for column, value in zip(self.columns, values):
+            column.append(value)
+
+    def probes(self, hashes: np.ndarray) -> None:
+        """Hashes that occur, whoever has them."""
+        if len(hashes):
+            for bucket, mine in self._sliced((hashes >> np.uint64(33)) % self.buckets):
+                self._row(bucket, PROBE, b"", b"", b"", hashes[mine].astype(self.hash_kind).tobytes(), b"")
+
+    def add(self, kind: int, docs: np.ndarray, at: np.ndarray, hashes: np.ndarray | None, keys: np.ndarray, ids: np.ndarray | None) -> None:
+        """Entries in order of document: docs are indexes into keys and ids, at the word numbers.
+
+        Entries with hashes go to the bucket of the hash, others to that of the document.
+        """
         if not len(docs):
             return
-        bucket = (hashes >> np.uint64(33)) % np.uint64(self.buckets) if hashes is not None else textkit.mix(keys.astype(np.uint64))[docs] % np.uint64(self.buckets)
-        order = np.argsort(bucket.astype(np.uint32), kind="stable")
-        bucket = bucket[order]
-        edges = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
-        for s, e in zip(edges.tolist(), [*edges[1:].tolist(), len(bucket)]):
-            mine = order[s:e]
-            own = docs[mine]
-            first = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
+        by = hashes >> np.uint64(33) if hashes is not None else textkit.mix(keys.view(np.uint64))[docs]
+        for bucket, mine in self._sliced(by % self.buckets):
+            own, places = docs[mine], at[mine]
+            first = _runs(own)
             counts = np.diff(np.append(first, len(own)))
-            places = at[mine]
-            row = (
-                int(bucket[s]),
+            self._row(
+                bucket,
                 kind,
                 keys[own[first]].tobytes(),
-                ids[own[first]].tobytes(),
-                counts.astype("<u4").tobytes(),
+                b"" if ids is None else ids[own[first]].tobytes(),
+                counts.astype("u1" if int(counts.max()) < 256 else "<u4").tobytes(),
                 b"" if hashes is None else hashes[mine].astype(self.hash_kind).tobytes(),
                 places.astype("<u2" if int(places.max()) < 65536 else "<u4").tobytes(),
             )
-            for column, value in zip(self.columns, row):
-                column.append(value)
 
     def batch(self) -> pa.RecordBatch:
         kinds = [pa.int32(), pa.int32()] + [pa.binary()] * 5
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(self.columns, kinds)], _NAMES)
 
 
+def _narrow(raw: bytes, n: int) -> np.ndarray:
+    """n numbers from as few bytes as they were packed in."""
+    return np.frombuffer(raw, {1: "u1", 2: "<u2", 4: "<u4"}[len(raw) // n if n else 4]).astype(np.uint32)
+
+
 def _unpack(rows: list[tuple], hash_kind: type) -> tuple[np.ndarray, ...]:
     """The entries of packed rows: document number, keys and ids by document, places, hashes, kinds."""
-    keys = np.concatenate([np.frombuffer(r[2], np.int64) for r in rows])
-    ids = np.concatenate([np.frombuffer(r[3], np.int64) for r in rows]) if rows[0][3] or any(r[3] for r in rows) else keys
-    counts = np.concatenate([np.frombuffer(r[4], "<u4") for r in rows])
-    docs = np.repeat(np.arange(len(counts)), counts)
-    sizes = [int(np.frombuffer(r[4], "<u4").sum()) for r in rows]
-    at = np.concatenate([np.frombuffer(r[6], "<u2" if len(r[6]) == 2 * n else "<u4").astype(np.uint32) for r, n in zip(rows, sizes)])
-    hashes = np.concatenate([np.frombuffer(r[5], hash_kind) if r[5] else np.zeros(n, hash_kind) for r, n in zip(rows, sizes)])
+    keys = [np.frombuffer(r[2], np.int64) for r in rows]
+    counts = [_narrow(r[4], len(k)) for r, k in zip(rows, keys)]
+    sizes = [int(c.sum()) if r[1] != PROBE else len(r[5]) // np.dtype(hash_kind).itemsize for r, c in zip(rows, counts)]
+    begin = np.cumsum([0, *map(len, keys)])
+    docs = [np.repeat(np.arange(b, b + len(c)), c) if r[1] != PROBE else np.full(n, -1) for r, c, b, n in zip(rows, counts, begin, sizes)]
+    at = [_narrow(r[6], n) if r[1] != PROBE else np.zeros(n, np.uint32) for r, n in zip(rows, sizes)]
+    hashes = [np.frombuffer(r[5], hash_kind) if r[5] else np.zeros(n, hash_kind) for r, n in zip(rows, sizes)]
+    ids = [np.frombuffer(r[3], np.int64) if r[3] else k for r, k in zip(rows, keys)]
     kinds = np.repeat(np.array([r[1] for r in rows], np.int8), sizes)
-    return docs, keys, ids, at, hashes, kinds
-
-
-def _by_document(docs: np.ndarray, keys: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
-    """One row (key, places) for each document among the entries; docs ascend."""
-    first = np.flatnonzero(np.concatenate(([True], docs[1:] != docs[:-1]))) if len(docs) else np.empty(0, np.int64)
-    offsets = np.append(first, len(docs)).astype(np.int32) * 4
-    places = pa.BinaryArray.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(at.astype("<u4").tobytes())])
-    return pa.RecordBatch.from_arrays([pa.array(keys[docs[first]] if len(first) else keys[:0]), places], ["key", "at"])
+    return tuple(np.concatenate(x) for x in (docs, keys, ids, at, hashes)) + (kinds,)
 
 
 def _groups(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -114,22 +131,19 @@ def _groups(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return order, np.flatnonzero(new), np.cumsum(new) - 1
 
 
-def _shared(docs: np.ndarray, aligned: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    """True for entries whose hash some block has and another document has too."""
-    order, starts, run = _groups(hashes)
-    ranked = docs[order]
-    hit = np.logical_or.reduceat(aligned[order], starts) & (np.minimum.reduceat(ranked, starts) != np.maximum.reduceat(ranked, starts))
-    shared = np.empty(len(hashes), bool)
-    shared[order] = hit[run]
-    return shared
-
-
 def _keyed(docs: DataFrame) -> DataFrame:
     """doc_id, text and a key that tells rows apart by both."""
     return docs.select(F.xxhash64(F.col("doc_id").cast("long"), "text").alias("key"), F.col("doc_id").cast("long").alias("doc_id"), "text")
 
 
 def _send_blocks(buckets: int):
+    """Blocks and rolling windows of each chunk, every distinct hash once.
+
+    A block that another entry of the chunk equals is an anchor already; its hash goes on
+    as a probe for others. (An equal window of the same document makes an anchor too; it
+    costs a look in step 2 and decides nothing.)
+    """
+
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             batch = batch.filter(batch.column("doc_id").is_valid())
@@ -146,50 +160,87 @@ def _send_blocks(buckets: int):
                 docs = np.searchsorted(first, places, "right") - 1
                 at = places - first[docs]
                 aligned = at % BLOCK == 0
-                shared = _shared(docs, aligned, hashes)
+                order, begins, run = _groups(hashes)
+                sizes = np.diff(np.append(begins, len(hashes)))
+                n_blocks = np.add.reduceat(aligned[order].astype(np.int64), begins)
                 out = Packed(buckets, np.uint32)
-                own = keys[i:j]
-                blank = np.zeros((j - i, 0), np.int64)
-                known = np.flatnonzero(shared)
-                out.add(KNOWN, docs[known], at[known], None, own, blank)
-                blocks = known[aligned[known]]
-                _, once = np.unique(hashes[blocks], return_index=True)
-                once = np.sort(blocks[once])
-                out.add(ANCHOR, docs[once], at[once], hashes[once], own, blank)
-                rest = np.flatnonzero(~shared)
-                out.add(PROBE, docs[rest], at[rest], hashes[rest], own, blank)
+                alone = np.zeros(len(hashes), bool)
+                alone[order] = (sizes == 1)[run]
+                known = np.flatnonzero(aligned & ~alone)
+                single = np.flatnonzero(aligned & alone)
+                out.add(KNOWN, docs[known], at[known], None, keys[i:j], None)
+                out.add(BLOCKED, docs[single], at[single], hashes[single], keys[i:j], None)
+                out.probes(hashes[order[begins[(sizes > 1) | (n_blocks == 0)]]])
                 yield out.batch()
 
     return send
 
 
-def _buckets(hash_kind: type, answer):
-    """Run ``answer`` on the entries of each bucket; rows come sorted by bucket."""
+def _buckets(hash_kind: type, targets: int, answer):
+    """Run ``answer`` on the entries of each bucket; rows come sorted by bucket.
+
+    The answer chooses entries; they go on packed by the bucket of their document.
+    """
+
+    def answered(held: list[tuple]) -> pa.RecordBatch:
+        docs, keys, ids, at, hashes, kinds = _unpack(held, hash_kind)
+        chosen = np.flatnonzero(answer(docs, ids, hashes, kinds))
+        out = Packed(targets, hash_kind)
+        out.add(KNOWN, docs[chosen], at[chosen], None, keys, None)
+        return out.batch()
+
+    return _each_bucket(answered)
+
 
+def _each_bucket(answer):
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns)):
                 if held and held[0][0] != row[0]:
-                    yield answer(*_unpack(held, hash_kind))
+                    yield answer(held)
                     held = []
                 held.append(row)
         if held:
-            yield answer(*_unpack(held, hash_kind))
+            yield answer(held)
 
     return each
 
 
-def _anchors(docs, keys, ids, at, hashes, kinds) -> pa.RecordBatch:
+def _anchors(docs, ids, hashes, kinds) -> np.ndarray:
+    """Blocks known to be anchors, and those that another chunk's entry equals."""
     hit = kinds == KNOWN
     met = np.flatnonzero(~hit)
     if len(met):
-        hit[met] = _shared(docs[met], (at[met] % BLOCK == 0), hashes[met]) & (kinds[met] == PROBE)
-    chosen = np.flatnonzero(hit)
-    return _by_document(docs[chosen], keys, at[chosen])
+        order, begins, run = _groups(hashes[met])
+        many = (np.diff(np.append(begins, len(met))) > 1)[run]
+        hit[met[order]] = many & (kinds[met[order]] == BLOCKED)
+    return hit
+
+
+def _repeats(docs, ids, hashes, kinds) -> np.ndarray:
+    """Windows known to repeat, and those that a smaller document of another chunk has."""
+    gone = kinds == KNOWN
+    met = np.flatnonzero(~gone)
+    if len(met):
+        gone[met] = _later(ids[docs[met]], hashes[met])
+    return gone
+
+
+def _by_document(held: list[tuple]) -> pa.RecordBatch:
+    """One row (key, places) for each document among the packed entries of a bucket."""
+    docs, keys, _, at, _, _ = _unpack(held, np.uint32)
+    key = keys[docs]
+    order = np.argsort(key, kind="stable")
+    first = _runs(key[order])
+    offsets = np.append(first, len(key)).astype(np.int32) * 4
+    places = pa.BinaryArray.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(at[order].astype("<u4").tobytes())])
+    return pa.RecordBatch.from_arrays([pa.array(key[order][first]), places], ["key", "at"])
 
 
 def _send_windows(buckets: int):
+    """The windows around anchors, hashed; of each hash only what the smallest document of the chunk has goes on."""
+
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = textkit.text_bytes(batch.column("text"))
@@ -201,7 +252,8 @@ def _send_windows(buckets: int):
                 hashes = textkit.window_hashes(textkit.word_hashes(part, starts, ends), WINDOW)
                 if not len(hashes):
                     continue
-                found = [first[d] + np.frombuffer(b"".join(anchors[i + d]), "<u4").astype(np.int64) for d in range(j - i)]
+                found = [first[d] + np.frombuffer(anchors[i + d], "<u4").astype(np.int64) for d in range(j - i)]
+                # A window that repeats holds one whole block of its own document, and that block is an anchor.
                 near = textkit.runs_to_mask(np.maximum(np.concatenate(found) - (WINDOW - BLOCK), 0), WINDOW - BLOCK + 1, len(hashes))
                 places = np.flatnonzero(near & textkit.window_rows(first, WINDOW, len(hashes)))
                 if not len(places):
@@ -213,7 +265,7 @@ def _send_windows(buckets: int):
                 out = Packed(buckets, np.uint64)
                 known, rest = np.flatnonzero(later), np.flatnonzero(~later)
                 out.add(KNOWN, docs[known], at[known], None, keys[i:j], ids[i:j])
-                out.add(PROBE, docs[rest], at[rest], hashes[rest], keys[i:j], ids[i:j])
+                out.add(ASKED, docs[rest], at[rest], hashes[rest], keys[i:j], ids[i:j])
                 yield out.batch()
 
     return send
@@ -228,15 +280,6 @@ def _later(ids: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return later
 
 
-def _repeats(docs, keys, ids, at, hashes, kinds) -> pa.RecordBatch:
-    gone = kinds == KNOWN
-    met = np.flatnonzero(~gone)
-    if len(met):
-        gone[met] = _later(ids[docs[met]], hashes[met])
-    chosen = np.flatnonzero(gone)
-    return _by_document(docs[chosen], keys, at[chosen])
-
-
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows: tuple[list, ...] = ([], [], [], [])
@@ -245,7 +288,7 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             removed = 0
             kept = words
             if gone:
-                lost = textkit.runs_to_mask(np.frombuffer(b"".join(gone), "<u4").astype(np.int64), WINDOW, len(words))
+                lost = textkit.runs_to_mask(np.frombuffer(gone, "<u4").astype(np.int64), WINDOW, len(words))
                 removed = int(lost.sum())
                 kept = list(compress(words, (~lost).tolist()))
             for column, value in zip(rows, (doc_id, len(words), removed, b" ".join(kept).decode())):
@@ -263,10 +306,14 @@ def _located(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """Every row with ``gone``: packed starts of its windows that a smaller document has."""
     n = tables.partitions(spark)
     keyed = _keyed(docs)
-    sent = keyed.mapInArrow(_send_blocks(n), _PACKED).repartition(n, "bucket").sortWithinPartitions("bucket")
-    anchors = sent.mapInArrow(_buckets(np.uint32, _anchors), "key long, at binary").groupBy("key").agg(F.collect_list("at").alias("anchors"))
-    windows = keyed.join(anchors, "key").mapInArrow(_send_windows(n), _PACKED).repartition(n, "bucket").sortWithinPartitions("bucket")
-    gone = windows.mapInArrow(_buckets(np.uint64, _repeats), "key long, at binary").groupBy("key").agg(F.collect_list("at").alias("gone"))
+
+    def asked(sent: DataFrame, hash_kind: type, answer, name: str) -> DataFrame:
+        met = sent.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_buckets(hash_kind, n, answer), _PACKED)
+        told = met.repartition(n, "bucket").sortWithinPartitions("bucket")
+        return told.mapInArrow(_each_bucket(_by_document), "key long, at binary").withColumnRenamed("at", name)
+
+    anchors = asked(keyed.mapInArrow(_send_blocks(n), _PACKED), np.uint32, _anchors, "anchors")
+    gone = asked(keyed.join(anchors, "key").mapInArrow(_send_windows(n), _PACKED), np.uint64, _repeats, "gone")
     return keyed.join(gone, "key", "left").select("doc_id", "text", "gone")
 
 
