@@ -5,6 +5,359 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from linewright.functions import scalar
+from linewright.operators import extract, glossary, history, lines, pages, search, translate
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
+
+LATIN = extract.Config(base="([A-Za-z]{3,})", invalid="^(?:the|and|der|die|les|des|los|las)$", symbol="[#*$%&|<>!?.,]", filters=("^th",), brackets=False)
+TERMS = {"the": "le", "that": "as", "der": "ein", "und": "y"}
+
+
+def query(sql: str | None = None):
+    """Register a query under its function's name, with the SQL it equals."""
+
+    def put(function: Query) -> Query:
+        QUERIES[function.__name__] = function
+        if sql:
+            SQL[function.__name__] = sql
+        return function
+
+    return put
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+_LINES = """l AS (
+  SELECT doc_id, i::INT AS line_no, s[i] AS line
+  FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents), unnest(range(1, len(s) + 1)) AS r(i))"""
+
+
+@query(f"WITH {_LINES} SELECT * FROM l")
+def q_lines(spark, sf_dir):
+    return lines.to_lines(table(spark, sf_dir, "documents"))
+
+
+@query("SELECT doc_id, text FROM documents")
+def q_lines_joined(spark, sf_dir):
+    return lines.from_lines(lines.to_lines(table(spark, sf_dir, "documents")))
+
+
+def _hits_sql(pattern: str) -> str:
+    return f"""
+WITH {_LINES},
+k AS (SELECT doc_id, line_no - 1 AS line_idx, line, regexp_extract_all(line, '{pattern}') AS h, string_split_regex(line, '{pattern}') AS g FROM l),
+m AS (SELECT doc_id, line_idx, line, i, h[i] AS hit, length(g[i]) AS n FROM k, unnest(range(1, len(h) + 1)) AS r(i)),
+p AS (SELECT *, sum(n + length(hit)) OVER (PARTITION BY doc_id, line_idx ORDER BY i)::INT AS e FROM m),
+q AS (SELECT *, e - length(hit) AS s FROM p),
+hits AS (SELECT doc_id, line_idx::INT AS line_idx, s::INT AS match_start, e AS match_end, hit AS matched_text,
+  CASE WHEN s > 10 THEN '…' ELSE '' END || substring(line, (greatest(s - 10, 0) + 1)::INT, least(s, 10)::INT) AS ctx_before,
+  substring(line, e + 1, 10) || CASE WHEN length(line) > e + 10 THEN '…' ELSE '' END AS ctx_after
+  FROM q)"""
+
+
+@query(_hits_sql("and") + " SELECT * FROM hits ORDER BY doc_id, line_idx, match_start LIMIT 500")
+def q_search_literal(spark, sf_dir):
+    """The report of a literal search: its first 500 hits."""
+    return search.first_hits(search.hits(table(spark, sf_dir, "documents"), "and"))
+
+
+@query(_hits_sql("[A-Z][a-z]*th[a-z]+") + " SELECT * FROM hits")
+def q_search_regex(spark, sf_dir):
+    return search.hits(table(spark, sf_dir, "documents"), "[A-Z][a-z]*th[a-z]+", regex=True)
+
+
+@query(_hits_sql("the") + " SELECT doc_id, count(*) AS n_hits, count(DISTINCT line_idx) AS n_lines FROM hits GROUP BY doc_id")
+def q_search_count_by_doc(spark, sf_dir):
+    return search.counts(search.hits(table(spark, sf_dir, "documents"), "the"))
+
+
+@query(
+    "SELECT doc_id, replace(text, 'the', '$1') AS text, text AS before, ((length(text) - length(replace(text, 'the', ''))) / 3)::BIGINT AS n_replaced FROM documents"
+)
+def q_replace_all(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return search.replace_hits(docs, search.hits(docs, "the"), "$1")
+
+
+@query("SELECT doc_id, text, text AS before, 0::BIGINT AS n_replaced FROM documents")
+def q_replace_undo(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return search.undo(search.replace_hits(docs, search.hits(docs, "the"), "$1"))
+
+
+@query(
+    f"""WITH {_LINES} SELECT doc_id, line_no, (length(line) - length(regexp_replace(line, '[#*$%&|<>!?.,]', '', 'g')))::INT AS n_symbols,
+  (length(line) - length(regexp_replace(line, '[#*$%&|<>!?.,]', '', 'g'))) > length(line) * 0.5 AS is_dense FROM l"""
+)
+def q_symbol_density(spark, sf_dir):
+    n = F.regexp_count("line", F.lit(LATIN.symbol))
+    return lines.to_lines(table(spark, sf_dir, "documents")).select("doc_id", "line_no", n.alias("n_symbols"), (n > F.length("line") * 0.5).alias("is_dense"))
+
+
+_TRACE = f"""WITH {_LINES},
+c AS (SELECT doc_id, line_no, line, (i - 1)::INT AS chunk_no, s[i] AS chunk,
+    CASE WHEN regexp_matches(line, 'ID:[A-Za-z0-9+/.]{{6,}}') THEN 'poster line' END AS r
+  FROM (SELECT *, CASE WHEN regexp_matches(line, 'ID:[A-Za-z0-9+/.]{{6,}}') THEN [line] ELSE string_split_regex(line, '[ 　]{{2,}}') END AS s FROM l),
+    unnest(range(1, len(s) + 1)) AS u(i)),
+d AS (SELECT *, coalesce(r, CASE WHEN length(chunk) - length(regexp_replace(chunk, '[#*$%&|<>!?.,]', '', 'g')) > length(chunk) * 0.5 THEN 'symbols' END) AS reason0
+  FROM c WHERE r IS NOT NULL OR regexp_replace(chunk, '[\\s　\\x{{a0}}]+', '', 'g') <> ''),
+e AS (SELECT doc_id, line_no, chunk_no, (j - 1)::INT AS match_no, a[j] AS raw, reason0
+  FROM (SELECT *, CASE WHEN reason0 IS NULL THEN regexp_extract_all(chunk, '[A-Za-z]{{3,}}') ELSE [chunk] END AS a FROM d), unnest(range(1, len(a) + 1)) AS v(j)),
+t AS (SELECT doc_id, line_no, chunk_no, match_no, raw AS text,
+  CASE WHEN reason0 IS NOT NULL THEN reason0
+    WHEN regexp_matches(raw, '^(?:the|and|der|die|les|des|los|las)$') THEN 'invalid'
+    WHEN regexp_matches(raw, '^th') THEN 'filter' END AS reason FROM e),
+f AS (SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY line_no, chunk_no, match_no) - 1)::BIGINT AS seq, line_no, text FROM t WHERE reason IS NULL),
+g AS (SELECT doc_id, seq, line_no, text, row_number() OVER (PARTITION BY doc_id, line_no ORDER BY seq)::INT AS sub FROM f),
+x AS (SELECT *, lpad(line_no::VARCHAR, greatest(3, length(line_no::VARCHAR))::INT, '0') || '-' || sub AS frag_id FROM g)"""
+
+
+@query(_TRACE + " SELECT * FROM t")
+def q_extract_reasons(spark, sf_dir):
+    return extract.trace(table(spark, sf_dir, "documents"), LATIN)
+
+
+@query(_TRACE + " SELECT * FROM f")
+def q_extract_fragments(spark, sf_dir):
+    return extract.fragments(table(spark, sf_dir, "documents"), LATIN)
+
+
+@query(_TRACE + " SELECT doc_id, seq, line_no, text, sub, frag_id FROM x")
+def q_fragment_ids(spark, sf_dir):
+    return extract.with_ids(extract.fragments(table(spark, sf_dir, "documents"), LATIN))
+
+
+@query(_TRACE + " SELECT doc_id, string_agg(frag_id || '|' || text, chr(10) ORDER BY seq) AS text FROM x GROUP BY doc_id")
+def q_fragment_text(spark, sf_dir):
+    return extract.written(extract.fragments(table(spark, sf_dir, "documents"), LATIN))
+
+
+@query(_TRACE + " SELECT doc_id, arg_min(frag_id, seq) AS frag_id FROM x WHERE line_no >= 3 GROUP BY doc_id")
+def q_asof_fragment(spark, sf_dir):
+    return extract.next_fragment(extract.fragments(table(spark, sf_dir, "documents"), LATIN), 3)
+
+
+@query(_TRACE + " SELECT doc_id, seq, line_no, text, ntile(2) OVER (PARTITION BY doc_id ORDER BY seq)::INT AS half FROM f")
+def q_halves(spark, sf_dir):
+    return lines.halves(extract.fragments(table(spark, sf_dir, "documents"), LATIN), ["seq"], ["doc_id"])
+
+
+@query(f"WITH {_LINES} SELECT d.doc_id, coalesce(min(line_no), 0)::BIGINT AS first_line, count(line_no)::INT AS n_lines FROM documents AS d LEFT JOIN l ON d.doc_id = l.doc_id AND regexp_matches(line, '[^\\s　\\x{{a0}}]') GROUP BY d.doc_id")
+def q_first_nonblank(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return docs.select("doc_id", lines.first_line_with_text(F.col("text")).alias("first_line"), lines.count_lines_with_text(F.col("text")).alias("n_lines"))
+
+
+@query(
+    """SELECT d.doc_id, array_to_string(list_concat(string_split(d.text, chr(10))[1:t], string_split(o.text, chr(10))[t + 1:]), chr(10)) AS text
+FROM (SELECT a.doc_id, a.text, least(2, len(string_split(a.text, chr(10))), len(string_split(b.text, chr(10)))) AS t FROM documents AS a JOIN documents AS b ON a.doc_id + 1 = b.doc_id) AS d
+JOIN documents AS o ON d.doc_id + 1 = o.doc_id"""
+)
+def q_restore_range(spark, sf_dir):
+    """The first two lines of a document above the rest of the next one."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return lines.restore_from(docs, docs.withColumn("doc_id", F.col("doc_id") - 1), 2)
+
+
+def _part_lines(spark, sf_dir):
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("pos"), F.concat_ws(" = ", "p_type", "p_name").alias("line"))
+
+
+@query("SELECT p_type AS key, string_agg(p_partkey, ',' ORDER BY p_partkey) AS positions, count(*) AS n FROM part GROUP BY p_type HAVING count(*) >= 2")
+def q_glossary_dups(spark, sf_dir):
+    return glossary.duplicates(_part_lines(spark, sf_dir)).withColumn("positions", F.array_join(F.col("positions").cast("array<string>"), ","))
+
+
+@query("SELECT min(p_partkey) AS pos, 0 AS sub, trim(p_type) AS key, arg_max(trim(p_name), p_partkey) AS value FROM part GROUP BY trim(p_type)")
+def q_glossary_last_wins(spark, sf_dir):
+    return glossary.parse(_part_lines(spark, sf_dir))
+
+
+@query("SELECT value, key FROM (SELECT p_type AS value, p_name AS key, row_number() OVER (PARTITION BY p_type ORDER BY length(p_name) DESC, p_partkey) AS n FROM part) WHERE n = 1")
+def q_glossary_reverse_map(spark, sf_dir):
+    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("pos"), F.col("p_name").alias("key"), F.col("p_type").alias("value"))
+    return glossary.reverse_map(rows)
+
+
+@query(
+    """WITH o AS (SELECT p_partkey AS pos, p_name AS key, p_name || '=' || p_type AS line FROM part WHERE p_partkey % 3 <> 0),
+n AS (SELECT p_partkey AS pos, p_name AS key, p_name || '=' || p_brand AS line FROM part WHERE p_partkey % 3 <> 1),
+x AS (SELECT key, arg_max(line, pos) AS line, min(pos) AS pos FROM n GROUP BY key)
+SELECT 0 AS part, o.pos, coalesce(x.line, o.line) AS line FROM o LEFT JOIN x USING (key)
+UNION ALL SELECT 1, x.pos, x.line FROM x ANTI JOIN o USING (key)"""
+)
+def q_glossary_merge(spark, sf_dir):
+    parts = table(spark, sf_dir, "part")
+    old = parts.filter("p_partkey % 3 <> 0").select(F.col("p_partkey").alias("pos"), F.concat_ws("=", "p_name", "p_type").alias("line"))
+    new = parts.filter("p_partkey % 3 <> 1").select(F.col("p_partkey").alias("pos"), F.concat_ws("=", "p_name", "p_brand").alias("line"))
+    return glossary.merge(old, new)
+
+
+@query(
+    """SELECT 0 AS part, p_partkey AS pos, p_brand || p_size AS line FROM part WHERE p_partkey % 2 = 0
+UNION ALL SELECT 1, min(p_partkey), p_brand || p_size FROM part WHERE p_partkey % 2 = 1 AND p_brand || p_size NOT IN (SELECT p_brand || p_size FROM part WHERE p_partkey % 2 = 0) GROUP BY p_brand || p_size"""
+)
+def q_filter_merge(spark, sf_dir):
+    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("pos"), F.concat("p_brand", F.col("p_size").cast("string")).alias("line"))
+    return glossary.merge_lines(rows.filter("pos % 2 = 0"), rows.filter("pos % 2 = 1"))
+
+
+@query()
+def q_apply_glossary(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return docs.select("doc_id", glossary.apply(F.col("text"), TERMS).alias("text"))
+
+
+@query()
+def q_reverse_glossary(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    changed = docs.select("doc_id", glossary.apply(F.col("text"), TERMS).alias("text"))
+    return changed.select("doc_id", glossary.reverse(F.col("text"), {v: k for k, v in TERMS.items()}).alias("text"))
+
+
+@query("SELECT doc_id, replace(replace(text, 'the', 'le'), 'leo', 'x') AS text, ((length(text) - length(replace(text, 'the', ''))) / 3 + (length(replace(text, 'the', 'le')) - length(replace(replace(text, 'the', 'le'), 'leo', ''))) / 3)::INT AS n FROM documents")
+def q_quick_replace(spark, sf_dir):
+    done = glossary.replace_all(F.col("text"), [("the", "le"), ("leo", "x")])
+    return table(spark, sf_dir, "documents").select("doc_id", done.alias("r")).select("doc_id", "r.text", "r.n")
+
+
+def _translations(spark, sf_dir):
+    """Every second fragment's upper case as its translation."""
+    found = extract.with_ids(extract.fragments(table(spark, sf_dir, "documents"), LATIN))
+    fresh = found.filter("seq % 2 = 0").select("doc_id", "frag_id", F.col("seq").alias("pos"), F.upper("text").alias("text"))
+    return found, fresh
+
+
+@query(_TRACE + " SELECT doc_id, frag_id, text AS original, seq AS pos, upper(text) AS translation FROM x WHERE seq % 2 = 0")
+def q_translate_join(spark, sf_dir):
+    return translate.pairs(*_translations(spark, sf_dir))
+
+
+@query(_TRACE + " SELECT doc_id, count(*) AS n_ids, count(*) FILTER (seq % 2 = 0) AS n_translated, count(*) FILTER (seq % 2 = 0) / count(*) AS coverage, count(*) FILTER (seq % 2 = 0) / count(*) < 0.5 AS is_low FROM x GROUP BY doc_id")
+def q_coverage(spark, sf_dir):
+    return translate.coverage(*_translations(spark, sf_dir))
+
+
+@query(
+    """SELECT doc_id, array_to_string(list_transform(string_split(text, chr(10)), lambda line, i:
+  CASE WHEN i = 1 THEN replace(line, split_part(line, ' ', 1), reverse(split_part(line, ' ', 1))) ELSE line END), chr(10)) AS text
+FROM documents WHERE split_part(split_part(text, chr(10), 1), ' ', 1) <> ''"""
+)
+def q_translate_apply(spark, sf_dir):
+    """The first word of each document's first line, turned round on that line."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    word = F.split_part(F.split_part("text", F.lit("\n"), F.lit(1)), F.lit(" "), F.lit(1))
+    docs = docs.filter(word != "")
+    found = docs.select("doc_id", F.lit("001-1").alias("frag_id"), F.lit(0).alias("pos"), word.alias("original"), F.reverse(word).alias("translation"))
+    return translate.apply(docs, found)
+
+
+@query("SELECT page_id, regexp_extract(html, '<title>([^<]+)</title>', 1) AS raw_title, md5(url) AS cache_key FROM pages")
+def q_page_title(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("html", "<title>([^<]+)</title>", 1).alias("raw_title"), F.md5("url").alias("cache_key"))
+
+
+@query("SELECT page_id, regexp_replace(html, '<[^>]+>', '', 'g') AS text FROM pages")
+def q_strip_tags(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", scalar.strip_tags(F.col("html")).alias("text"))
+
+
+@query("SELECT page_id, regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)), '^www\\.', '') AS domain FROM pages")
+def q_domain(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", scalar.domain(F.col("url")).alias("domain"))
+
+
+_LINKS = """k AS (SELECT page_id, url AS base, regexp_extract_all(html, '(?s)<a\\s[^>]*?href="([^"]+)"[^>]*>(.*?)</a>', 1) AS h,
+    regexp_extract_all(html, '(?s)<a\\s[^>]*?href="([^"]+)"[^>]*>(.*?)</a>', 2) AS t FROM pages),
+n AS (SELECT page_id, (i - 1)::INT AS pos, regexp_extract(base, '^[a-z]+://[^/?#]+') || h[i] AS url, t[i] AS title FROM k, unnest(range(1, len(h) + 1)) AS r(i))"""
+
+
+@query(f"WITH {_LINKS} SELECT * FROM n")
+def q_page_links(spark, sf_dir):
+    return pages.links(table(spark, sf_dir, "pages"))
+
+
+@query(f"WITH {_LINKS}, w AS (SELECT page_id, pos, lag(url) OVER o AS previous, lead(url) OVER o AS next FROM n WINDOW o AS (PARTITION BY page_id ORDER BY pos)) SELECT page_id, previous, next FROM w WHERE pos = 2")
+def q_adjacent_link(spark, sf_dir):
+    """The links beside the third one, as if it were the current page."""
+    nav = pages.links(table(spark, sf_dir, "pages")).withColumn("is_current", F.col("pos") == 2)
+    return pages.adjacent(nav)
+
+
+@query()
+def q_page_text(spark, sf_dir):
+    """The text of each page's article, by a layout made for these pages."""
+    site = pages.Site("article", "", "(?s)<article>(.*?)(?=</article>|$)", posts=False)
+    return pages.parse(table(spark, sf_dir, "pages"), sites=(site,))
+
+
+@query(
+    """SELECT conv_id, turn, text, last_value(CASE WHEN role = 'user' THEN text END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS asked
+FROM conversations"""
+)
+def q_author_block(spark, sf_dir):
+    """Every turn with the user's text that it follows."""
+    from pyspark.sql import Window
+
+    so_far = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)
+    asked = F.last(F.when(F.col("role") == "user", F.col("text")), ignorenulls=True).over(so_far)
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", "text", asked.alias("asked"))
+
+
+@query("SELECT conv_id AS page_id, arg_min('user ' || role, turn) AS author FROM conversations GROUP BY conv_id")
+def q_first_author(spark, sf_dir):
+    """The first poster of each conversation, its turns written as post headers."""
+    header = F.concat(F.col("turn") + 1, F.lit(" 名前：user "), F.col("role"), F.lit("[] "))
+    rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("page_id"), F.col("turn").alias("line_no"), header.alias("line"))
+    return pages.first_poster(rows)
+
+
+@query("SELECT user_id, event_type, max(event_id) AS event_id, arg_max(value, event_id) AS value FROM events GROUP BY user_id, event_type")
+def q_history_upsert(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").select("user_id", "event_type", "event_id", "value")
+    return history.upsert(rows.filter("event_id % 2 = 0"), rows.filter("event_id % 2 = 1"), ["user_id", "event_type"], "event_id")
+
+
+@query("SELECT event_id, user_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n <= 10")
+def q_history_topn(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "ts")
+    return history.newest(rows, 10, ["ts", "event_id"], ["user_id"]).drop("ts")
+
+
+@query("SELECT page_id AS key_id, url FROM pages WHERE page_id NOT IN (SELECT user_id FROM events WHERE user_id IS NOT NULL)")
+def q_cache_evict(spark, sf_dir):
+    cache = table(spark, sf_dir, "pages").select(F.col("page_id").alias("key_id"), "url")
+    return history.evict(cache, table(spark, sf_dir, "events").select(F.col("user_id").alias("key_id")), "key_id")
+
+
+@query("SELECT page_id, regexp_extract(html, '<title>([^<]+)</title>', 1) AS title, url FROM pages WHERE contains(lower(regexp_extract(html, '<title>([^<]+)</title>', 1)), 'heon') OR contains(lower(url), 'heon')")
+def q_history_search(spark, sf_dir):
+    rows = table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("html", "<title>([^<]+)</title>", 1).alias("title"), "url")
+    return history.find(rows, "heon")
+
+
+@query(
+    """SELECT 'd' || a.doc_id AS file_name, a.text, b.text AS original FROM documents AS a LEFT JOIN (SELECT * FROM documents WHERE doc_id % 2 = 0) AS b ON a.doc_id = b.doc_id"""
+)
+def q_original_lookup(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select(F.concat(F.lit("d"), "doc_id").alias("file_name"), "text", "doc_id")
+    return history.originals(docs.select("file_name", "text"), docs.filter("doc_id % 2 = 0").select("file_name", "text", F.col("doc_id").cast("double").alias("ts")))
+
+
+@query("SELECT p_partkey, regexp_replace(p_name, '[\\\\/:*?\"<>|]', '_', 'g') AS file_name, replace(p_name, ' ', '') AS packed, CASE WHEN p_size * 512 < 1024 THEN printf('%d B', p_size * 512) ELSE printf('%.1f KB', p_size * 512 / 1024) END AS size_label FROM part")
+def q_scalar_names(spark, sf_dir):
+    return table(spark, sf_dir, "part").select(
+        "p_partkey", scalar.safe_file_name(F.col("p_name")).alias("file_name"), scalar.strip_spaces(F.col("p_name")).alias("packed"), scalar.size_label(F.col("p_size") * 512).alias("size_label")
+    )
+
+
+@query("SELECT page_id, replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#x27;') AS escaped FROM pages")
+def q_escape_html(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", scalar.escape_html(F.col("html")).alias("escaped"))
