@@ -30,13 +30,23 @@ class Site:
     item: str = "(?s)<li\\s+class=\"relate_li(?:_nolink)?\"[^>]*>.*?</li>"
     item_break: str = ""
     title: str = "<title>([^<]+)</title>"
-    title_prefix: str = ""
+    title_cut: str = ""  # what does not belong to the title
     posts: bool = True
+    later: str = ""  # a second block of links, in order of time; the first runs backwards
+    current: str = ""  # what marks the item of the current page
+    joined_breaks: bool = False  # a line feed behind a break says nothing
+    flat_cut: str = ""  # markup to drop where posts are not marked up
+
+
+_LATER_LIST = "(?s)<ul\\s+[^>]*class=\"[^\"]*relatedPostsWrap\\s+relatedPostsNext[^\"]*\"[^>]*>(.*?)</ul>"
+_EARLIER_LIST = "(?s)<ul\\s+[^>]*class=\"[^\"]*relatedPostsWrap\\s+relatedPostsPrev[^\"]*\"[^>]*>(.*?)</ul>"
+_ITEM = "(?s)<li[^>]*>.*?</li>"
+_BOOK_TITLE = "\\s*[|｜\\-－–—]\\s*やる夫ブック.*$"
 
 
 # The page layouts known, the default first.
 SITES = (
-    Site("default", "", "(?s)<div\\s+class=\"article\">(.*?)(?=<dl\\s+class=\"relate_dl\">|<div\\s+class=\"article\">|$)", title_prefix="^.*?まとめ\\S*\\s+"),
+    Site("default", "", "(?s)<div\\s+class=\"article\">(.*?)(?=<dl\\s+class=\"relate_dl\">|<div\\s+class=\"article\">|$)", title_cut="^.*?まとめ\\S*\\s+"),
     Site(
         "dt-list", "himanatokiniyaruo.com", "(?s)(<dt\\s+id=\"\\d+\".*?)(?=<div\\s+class=\"related[^\"]*\"|$)",
         related="(?s)<div\\s+class=\"related-entries\">(.*?)</div>", item_break=BREAK, title="<h2[^>]*>\\s*<a[^>]+class=\"kjax\"[^>]*>([^<]+)</a>\\s*</h2>",
@@ -46,6 +56,24 @@ SITES = (
         "(?s)<div\\s+class=\"(?:ently_text|entry_body)\">(.*?)(?=<div\\s+class=\"fc2button-clap[^\"]*\"|<dl\\s+class=\"relate_dl|<!--/ently_text-->|<!--/entry_body-->|$)",
         posts=False,
     ),
+    Site(
+        "res-list", "yaruobook.jp",
+        "(?s)(<dt\\s+[^>]*class=\"[^\"]*author-res-dt.*?|<dt[^>]*>(?:\\s|<[^>]+>)*\\d+(?:\\s|<[^>]+>)*[：:].*?\\d{4}[/年].*?)"
+        "(?=<div\\s+[^>]*class=\"[^\"]*widget-single-content-bottom|<ul\\s+[^>]*class=\"[^\"]*relatedPostsWrap|$)",
+        related=_EARLIER_LIST, later=_LATER_LIST, item=_ITEM, current="currentPost", title_cut=_BOOK_TITLE,
+    ),
+    Site(
+        "entry", "yaruobook.net",
+        "(?s)<div\\s+id=\"entry-content\"[^>]*>(.*?)(?=<div\\s+id=\"custom_html-|<div\\s+[^>]*class=\"[^\"]*widget-single-content-bottom|<ul\\s+[^>]*class=\"[^\"]*relatedPostsWrap|$)",
+        related=_EARLIER_LIST, later=_LATER_LIST, item=_ITEM, current="currentPost", title_cut=_BOOK_TITLE,
+    ),
+    Site(
+        "matome", "yaruo-matome.com",
+        "(?s)<div\\b[^>]*\\bid=\"entry-content\"[^>]*>(.*?)(?=<ul\\b[^>]*\\bclass=\"[^\"]*nexe-prev-post|<div\\b[^>]*\\bclass=\"[^\"]*wp-block-related|<div\\b[^>]*\\bid=\"comments\"|$)",
+        related="(?s)<ul\\b[^>]*\\bclass=\"[^\"]*nexe-prev-post[^\"]*\"[^>]*>(.*?)</ul>", item=_ITEM, joined_breaks=True,
+        title_cut="\\s*[|｜\\-－–—]\\s*.{0,20}まとめ.*$",
+        flat_cut="(?s)<button\\b[^>]*>.*?</button>|<span\\b[^>]*\\bclass=['\"][^'\"]*wpfp[^'\"]*['\"][^>]*>.*?</span>",
+    ),
 )
 
 
@@ -54,8 +82,12 @@ def text_of(fragment: Column) -> Column:
     return rx.strip(arrow.unescape_html(scalar.strip_tags(fragment)))
 
 
-def title(page: Column) -> Column:
-    return rx.strip(arrow.unescape_html(F.regexp_extract(page, "<title>([^<]+)</title>", 1)))
+def title(pages: DataFrame, site: Site = SITES[0]) -> DataFrame:
+    """(page_id, title): by the site's own pattern, else by the title element."""
+    own, usual = F.regexp_extract("html", site.title, 1), F.regexp_extract("html", "<title>([^<]+)</title>", 1)
+    rows = pages.select("page_id", arrow.unescape_html(F.when(own != "", own).otherwise(usual)).alias("_t"))
+    named = rx.strip(F.col("_t"))
+    return rows.select("page_id", (F.regexp_replace(named, site.title_cut, "") if site.title_cut else named).alias("title"))
 
 
 def links(pages: DataFrame) -> DataFrame:
@@ -68,18 +100,30 @@ def links(pages: DataFrame) -> DataFrame:
 def navigation(pages: DataFrame, site: Site = SITES[0]) -> DataFrame:
     """(page_id, pos, title, url, is_current) of a page's related links, oldest first.
 
-    An item without a link is the current page, and so is, where items are set off by
-    breaks, a link to the page itself.
+    The current page is the item with the site's mark; where a site has none, an item
+    without a link, and where items are set off by breaks a link to the page itself too.
     """
-    block = F.regexp_extract("html", site.related, 1)
-    items = F.split(block, site.item_break, -1) if site.item_break else F.regexp_extract_all(block, F.lit(site.item), F.lit(0))
-    rows = pages.select("page_id", F.col("url").alias("base"), F.posexplode(F.reverse(items)).alias("pos", "item"))
+
+    def items(pattern: str) -> Column:
+        block = F.regexp_extract("html", pattern, 1)
+        return F.split(block, site.item_break, -1) if site.item_break else F.regexp_extract_all(block, F.lit(site.item), F.lit(0))
+
+    every = F.reverse(items(site.related))
+    if site.later:
+        every = F.concat(every, items(site.later))
+    rows = pages.select("page_id", F.col("url").alias("base"), F.posexplode(every).alias("pos", "item"))
     href = F.nullif(F.regexp_extract("item", LINK, 1), F.lit(""))
     label = F.when(href.isNotNull(), F.regexp_extract("item", LINK, 2)).otherwise(F.col("item"))
-    rows = rows.select("page_id", "pos", "base", href.alias("href"), text_of(label).alias("title")).withColumn("url", F.when(F.col("href").isNotNull(), arrow.url_join("base", "href")))
+    marked = F.regexp_extract("item", "^<li[^>]*>", 0).contains(site.current) if site.current else F.lit(False)
+    rows = rows.select("page_id", "pos", "base", href.alias("href"), marked.alias("marked"), text_of(label).alias("title")).withColumn("url", F.when(F.col("href").isNotNull(), arrow.url_join("base", "href")))
     bare = lambda c: F.regexp_replace(c, "/+$", "")
-    itself = (bare(F.col("url")) == bare(F.col("base"))) if site.item_break else F.lit(False)
-    return rows.filter("title <> ''").select("page_id", "pos", "title", "url", (F.col("url").isNull() | itself).alias("is_current"))
+    if site.current:
+        current = F.col("marked")
+    elif site.item_break:
+        current = F.col("url").isNull() | (bare(F.col("url")) == bare(F.col("base")))
+    else:
+        current = F.col("url").isNull()
+    return rows.filter("title <> ''").select("page_id", "pos", "title", "url", current.alias("is_current"))
 
 
 def adjacent(nav: DataFrame) -> DataFrame:
@@ -127,7 +171,11 @@ def author_blocks(lines: DataFrame, author: str, author_only: bool = False, key:
     """
     bare = F.regexp_replace("line", scalar.COLOR_SPAN, "")
     rows = lines.withColumn("_bare", bare).withColumn("is_header", scalar.is_post_header(F.col("_bare")))
-    flag = F.when(F.col("is_header"), scalar.is_author_post(F.col("_bare"), F.lit(author)))
+    named = F.lit(author)
+    if author_only and not author:
+        rows = rows.join(first_poster(lines, key), key, "left").withColumn("_author", F.coalesce("author", F.lit(""))).drop("author")
+        named = F.col("_author")
+    flag = F.when(F.col("is_header"), scalar.is_author_post(F.col("_bare"), named))
     so_far = Window.partitionBy(key).orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("is_author", F.coalesce(F.last(flag, ignorenulls=True).over(so_far), F.lit(False)))
     if author_only:
@@ -138,16 +186,27 @@ def author_blocks(lines: DataFrame, author: str, author_only: bool = False, key:
 
 def _parsed(pages: DataFrame, site: Site, author: str, author_only: bool) -> DataFrame:
     body = F.regexp_extract("html", site.body, 1)
+    if site.joined_breaks:
+        body = F.regexp_replace(body, f"{BREAK}[ \\t]*\\n", "<br />")
     if site.posts:
         rows = posts(pages, body, author, author_only)
         ordered = F.array_sort(F.collect_list(F.struct("post_no", "text")))
-        return rows.groupBy("page_id").agg(F.array_join(F.transform(ordered, lambda x: x["text"]), "\n\n").alias("text"))
+        found = rows.groupBy("page_id").agg(F.array_join(F.transform(ordered, lambda x: x["text"]), "\n\n").alias("text"))
+        if not site.flat_cut:
+            return found
+        # Pages without marked-up posts are read as flat text, if a post header stands in it.
+        rest = pages.join(found, "page_id", "left_anti")
+        flat = _flat(rest, F.regexp_replace(body, site.flat_cut, ""), author, author_only)
+        return found.unionByName(flat.filter(F.exists(F.split("text", "\n", -1), lambda line: scalar.is_post_header(line))))
+    return _flat(pages, body, author, author_only)
+
+
+def _flat(pages: DataFrame, body: Column, author: str, author_only: bool) -> DataFrame:
+    """Text whose posts are told apart by their header lines alone."""
     flat = F.regexp_replace(F.regexp_replace(body, "(?s)<a\\s[^>]*>.*?</a>", ""), BREAK, "\n")
     rows = pages.select("page_id", arrow.unescape_html(scalar.strip_tags_keep_color(flat)).alias("text"))
     if author or author_only:
         lines = rows.select("page_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
-        if author_only and not author:
-            raise ValueError("name the author of flat pages; first_poster() finds it")
         kept = author_blocks(lines, author, author_only)
         ordered = F.array_sort(F.collect_list(F.struct("line_no", "line")))
         rows = kept.groupBy("page_id").agg(F.array_join(F.transform(ordered, lambda x: x["line"]), "\n").alias("text"))

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from linewright.operators import history, layout, names, pages
-from linewright.sources import html
+from linewright.sources import html, settings
 from linewright.streaming.history import HistorySink
 
 
@@ -74,3 +74,35 @@ def test_stream_equals_batch(spark, tmp_path):
     last = spark.read.schema(schema).parquet(str(tmp_path / "out/batch=1"))
     expected = history.newest(history.upsert(spark.createDataFrame([], schema), spark.createDataFrame(rows, schema), ["user_id"], "event_id"), 3, ["event_id"])
     assert sorted(map(tuple, last.collect())) == sorted(map(tuple, expected.select(*last.columns).collect()))
+
+
+def test_settings_and_caches(spark, tmp_path):
+    (tmp_path / "a.json").write_text('{"base_regex": "x", "other": 1}')
+    (tmp_path / "b.json").write_text("broken")
+    rows = {r["file_name"]: r for r in settings.read_settings(spark, str(tmp_path)).collect()}
+    assert rows["a.json"]["base_regex"] == "x" and rows["b.json"]["base_regex"] == settings.SETTINGS["base_regex"] and rows["a.json"]["glossary"] == ""
+    raw = settings._raw(spark, str(tmp_path)).filter("file_name = 'a.json'")
+    fresh = raw.select("file_name", *[F.lit(p).alias(p) for p in settings.PATTERNS])
+    assert settings.with_patterns(raw, fresh).first()["raw"] == {"other": "1", **{p: p for p in settings.PATTERNS}}
+    (tmp_path / "c").mkdir()
+    (tmp_path / "c/old.json").write_text('{"current_url": "u", "url_related_links": [{"title": "t", "url": "v", "is_current": false}], "fetch_history_limit": "7", "editor_font_size": "x", "source_text": "a\\n\\n", "auto_copy": true}')
+    (tmp_path / "c/new.json").write_text('{"url_related_links": {"w": []}, "url_history": [{"url": "u", "title": "t"}]}')
+    got = {r["file_name"]: r for r in settings.read_cache(spark, str(tmp_path / "c")).collect()}
+    old, new = got["old.json"], got["new.json"]
+    assert old["original_cache_limit"] == 7 and old["editor_font_size"] == 12 and old["source_text"] == "a" and old["auto_copy"] is True
+    assert list(old["url_related_links"]) == ["u"] and old["url_related_links"]["u"][0]["url"] == "v"
+    assert new["url_related_links"] == {"w": []} and new["url_history"][0]["url"] == "u" and new["doc_num"] == "1"
+
+
+def test_marked_lists_and_flat_pages(spark):
+    lists = '<ul class="relatedPostsWrap relatedPostsPrev"><li class="x"><a href="/2">2話</a></li><li><a href="/1">1話</a></li></ul><ul class="relatedPostsWrap relatedPostsNext"><li class="currentPost">3話</li><li><a href="/4">4話</a></li></ul>'
+    page = f'<title>題 | やる夫ブック</title><div id="entry-content"><dl><dt>1 &#65306; A &#65306; 2021/05/06(木) x</dt><dd>本文</dd></dl></div>{lists}'
+    flat = '<div id="entry-content"><button>b</button>1 ： A ： 2021/05/06(木) x<br>\n本文<br></div><div id="comments">c</div>'
+    frame = spark.createDataFrame([(1, "https://yaruobook.net/3", page), (2, "https://yaruo-matome.com/1", flat)], "page_id int, url string, html string")
+    got = {r["page_id"]: (r["site"], r["text"]) for r in pages.parse(frame).collect()}
+    assert got[1] == ("entry", "1 ： A ： 2021/05/06(木) x\n本文")
+    assert got[2] == ("matome", "1 ： A ： 2021/05/06(木) x\n本文")
+    site = next(s for s in pages.SITES if s.name == "entry")
+    nav = pages.navigation(frame, site).filter("page_id = 1").orderBy("pos").collect()
+    assert [(r["title"], r["is_current"]) for r in nav] == [("1話", False), ("2話", False), ("3話", True), ("4話", False)]
+    assert pages.title(frame, site).filter("page_id = 1").first()["title"] == "題"
