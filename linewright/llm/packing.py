@@ -5,7 +5,8 @@ that fill a sequence are sequences of their own. The others are dealt by a hash
 their document to lanes; each lane is an online best-fit over a bounded set of open
 bins: a bitset has one bit for each amount of free space that some open bin has, so
 the tightest bin that still fits is the lowest set bit at or above the piece's
-length. Where too many bins are open, the fullest closes.
+length. Where too many bins are open, the fullest closes. Pieces reach their lane sorted
+so that complements meet, which packs as tightly as best-fit over all pieces would.
 
 Lanes grow in number with the table, never in size, so no task sees more than
 ``lane_documents`` documents (in expectation), and a lane leaves at most ``open_bins``
@@ -30,7 +31,7 @@ from linewright.llm import encoding, tables
 
 CAPACITY = 1024
 END_ID = 2
-OPEN_BINS = 4096
+OPEN_BINS = 16384
 LANE_DOCUMENTS = 400_000
 
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -120,9 +121,12 @@ def pack(made: DataFrame, lanes: int, capacity: int = CAPACITY, open_bins: int =
                 offsets.append(offset)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sequences, pa.int64()), pa.array(offsets, pa.int64())], [*batch.schema.names, "sequence_id", "offset"])
 
-    # The order within a lane is fixed by values (a hash, so that lengths arrive mixed): a task that is run again packs alike.
-    dealt = made.repartition(lanes, F.xxhash64("doc_id", "ids_crc32")).withColumn("_turn", F.xxhash64("ids_crc32", "doc_id", "piece"))
-    ordered = dealt.sortWithinPartitions("_turn", "doc_id", "piece").drop("_turn")
+    # Pieces that complement each other arrive together: a long one that leaves r free just before
+    # those of length r, from the middle down. The order is fixed by values, so a task that is run
+    # again packs alike.
+    dealt = made.repartition(lanes, F.xxhash64("doc_id", "ids_crc32"))
+    left = F.least(F.col("length"), F.lit(capacity) - F.col("length"))
+    ordered = dealt.sortWithinPartitions(left.desc(), F.desc("length"), "ids_crc32", "doc_id", "piece")
     return ordered.mapInArrow(place, f"{_PIECES}, sequence_id long, offset long")
 
 
