@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linewright.functions import scalar
-from linewright.operators import extract, glossary, history, lines, pages, search, translate
+from linewright.operators import extract, glossary, history, layout, lines, names, pages, search, translate
+from linewright.sources import html
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -209,13 +210,39 @@ def q_filter_merge(spark, sf_dir):
     return glossary.merge_lines(rows.filter("pos % 2 = 0"), rows.filter("pos % 2 = 1"))
 
 
-@query()
+def _apply_sql(source: str) -> str:
+    """One pass over each line, the longest term first; padded where a border follows."""
+    case = lambda pairs: "CASE x " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in pairs) + " END"
+    value = case(TERMS.items())
+    pad = case((k, "　" * max(0, len(k) - len(v))) for k, v in TERMS.items())
+    pattern = "|".join(sorted(TERMS, key=len, reverse=True))
+    return f"""l AS (SELECT doc_id, i AS line_no, regexp_extract_all(s[i], '{pattern}') AS h, string_split_regex(s[i], '{pattern}') AS g
+  FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM {source}), unnest(range(1, len(s) + 1)) AS r(i)),
+a AS (SELECT doc_id, line_no, g[1] || array_to_string(list_transform(h, lambda x, i: {value}
+    || CASE WHEN regexp_matches(array_to_string(g[i + 1:], ''), '[|│｜┃]') THEN {pad} ELSE '' END || g[i + 1]), '') AS line FROM l),
+applied AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY line_no) AS text FROM a GROUP BY doc_id)"""
+
+
+def _reverse_sql() -> str:
+    """Values back to keys; of the full-width spaces behind a value as many go as the key is longer."""
+    values = {v: k for k, v in TERMS.items()}
+    bare = "rtrim(x, '　')"
+    key = f"CASE {bare} " + " ".join(f"WHEN '{v}' THEN '{k}'" for v, k in values.items()) + " END"
+    pattern = "(?:" + "|".join(sorted(values, key=len, reverse=True)) + ")　*"
+    return f"""m AS (SELECT doc_id, i AS line_no, regexp_extract_all(s[i], '{pattern}') AS h, string_split_regex(s[i], '{pattern}') AS g
+  FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM applied), unnest(range(1, len(s) + 1)) AS r(i)),
+b AS (SELECT doc_id, line_no, g[1] || array_to_string(list_transform(h, lambda x, i: {key}
+    || repeat('　', greatest(0, length(x) - length({bare}) - greatest(0, length({key}) - length({bare})))) || g[i + 1]), '') AS line FROM m)
+SELECT doc_id, string_agg(line, chr(10) ORDER BY line_no) AS text FROM b GROUP BY doc_id"""
+
+
+@query(f"WITH {_apply_sql('documents')} SELECT doc_id, text FROM applied")
 def q_apply_glossary(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     return docs.select("doc_id", glossary.apply(F.col("text"), TERMS).alias("text"))
 
 
-@query()
+@query(f"WITH {_apply_sql('documents')}, {_reverse_sql()}")
 def q_reverse_glossary(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     changed = docs.select("doc_id", glossary.apply(F.col("text"), TERMS).alias("text"))
@@ -361,3 +388,80 @@ def q_scalar_names(spark, sf_dir):
 @query("SELECT page_id, replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#x27;') AS escaped FROM pages")
 def q_escape_html(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", scalar.escape_html(F.col("html")).alias("escaped"))
+
+
+# Queries for operators whose kind of text the tables do not hold: it is made from their columns.
+
+
+@query("SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN p_size ELSE p_size + 1 END AS number, CASE WHEN p_partkey % 2 = 0 THEN '第' || p_size || '話' ELSE 'その' || (p_size + 1) END AS label FROM part")
+def q_chapter(spark, sf_dir):
+    text = F.when(F.col("p_partkey") % 2 == 0, F.concat(F.col("p_name"), F.lit(" 第 "), F.col("p_size"), F.lit("話"))).otherwise(F.concat(F.lit("その "), F.col("p_size") + 1))
+    found = table(spark, sf_dir, "part").select("p_partkey", scalar.chapter(text).alias("c"))
+    return found.select("p_partkey", "c.number", "c.label")
+
+
+@query(
+    """SELECT p_partkey AS doc_id, 'x' || chr(10) || '┌' || repeat('─', (length(p_name) + 4) // 2) || '┐' || chr(10) || '│' || p_name || '　　│' || chr(10) || '└'
+  || repeat('─', (length(p_name) + 4) // 2) || '┘' AS text, 1 AS n_boxes FROM part"""
+)
+def q_box_layout(spark, sf_dir):
+    text = F.concat(F.lit("x\n┌──┐\n│"), "p_name", F.lit("│\n└──┘"))
+    return layout.adjust(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), text.alias("text")))
+
+
+@query("SELECT n_nationkey::BIGINT AS page_id, 0 AS strategy, 0 AS pos, 'ナ' || n_name AS jp, '国' || n_name AS cn FROM nation")
+def q_name_pairs(spark, sf_dir):
+    html = F.concat(F.lit("<dl><dt>国"), "n_name", F.lit("（<span lang=\"ja\">ナ"), "n_name", F.lit("</span>）</dt></dl>"))
+    return names.pairs(table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("page_id"), html.alias("html")))
+
+
+@query(
+    """SELECT conv_id AS page_id, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1)::INT AS post_no, turn || ' 名前：' || role || '[] x' AS header, role AS poster,
+  role = 'user' AS is_author FROM conversations WHERE regexp_matches(text, '[^\\s]')"""
+)
+def q_posts(spark, sf_dir):
+    """Conversations written as pages of posts, and read back; the user is the author."""
+    post = F.concat(F.lit("<dt>"), "turn", F.lit(" 名前："), "role", F.lit("[] x</dt><dd>"), F.regexp_replace("text", "[<>&\\n]", " "), F.lit("</dd>"))
+    turns = table(spark, sf_dir, "conversations").filter(F.col("text").rlike("\\S")).groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", post.alias("p")))).alias("ps"))
+    whole = turns.select(F.col("conv_id").alias("page_id"), F.array_join(F.transform("ps", lambda x: x["p"]), "").alias("html"))
+    return pages.posts(whole, F.col("html"), "user").drop("text")
+
+
+@query("SELECT event_id, '2021/05/06(木) 23:19:36 ID:' || left(md5(event_id::VARCHAR), 8) AS fingerprint FROM events")
+def q_fingerprint(spark, sf_dir):
+    mark = F.substring(F.md5(F.col("event_id").cast("string")), 1, 8)
+    text = F.concat(F.lit("12 ： N ： 2021/05/06(木)  23:19:36  ID:"), mark, F.lit(" end"))
+    return table(spark, sf_dir, "events").select("event_id", scalar.author_fingerprint(text).alias("fingerprint"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN '2' ELSE '' END AS lines FROM part")
+def q_validate_ids(spark, sf_dir):
+    text = F.concat(F.lit("001-1|a\n\n002-1|"), "p_name", F.when(F.col("p_partkey") % 2 == 0, " 003-1|b").otherwise(""))
+    found = lines.lines_with_several_ids(text)
+    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(found.cast("array<string>"), ",").alias("lines"))
+
+
+@query("SELECT p_partkey AS doc_id, 1 AS line_no, 0 AS match_no, ' あ！' AS text FROM part WHERE p_size % 2 = 0")
+def q_single_kana(spark, sf_dir):
+    text = F.concat("p_name", F.when(F.col("p_size") % 2 == 0, " あ！").otherwise(" い！"))
+    return extract.single_kana(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), text.alias("text")))
+
+
+@query("SELECT doc_id, instr(lower(text), 'tion') AS first_place FROM documents")
+def q_find_next(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.instr(F.lower("text"), "tion").alias("first_place"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN '` ' || p_name || '`' ELSE p_name END AS encoded, CASE WHEN p_size % 2 = 0 THEN ' ' ELSE '' END || p_name AS decoded FROM part")
+def q_glossary_terms(spark, sf_dir):
+    term = F.concat(F.when(F.col("p_size") % 2 == 0, " ").otherwise(""), F.col("p_name"))
+    rows = table(spark, sf_dir, "part").select("p_partkey", glossary.encode_term(term).alias("encoded"))
+    return rows.withColumn("decoded", glossary.decode_term(F.col("encoded")))
+
+
+@query("SELECT doc_id, text FROM documents")
+def q_html_round_trip(spark, sf_dir):
+    """Texts written as pages and read back."""
+    docs = table(spark, sf_dir, "documents")
+    made = docs.select("doc_id", html.page(F.col("text"), F.lit("#ffffff")).alias("value"))
+    return made.select("doc_id", html.pre_text(F.col("value")).alias("text"))
