@@ -187,6 +187,23 @@ def _pairs(blocks: np.ndarray, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray
     return np.repeat(left, len(right)), np.tile(right, len(left))
 
 
+def _bridges(signatures: np.ndarray, reps: np.ndarray, left: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges that bind two blocks of one band, given what binds each block within.
+
+    The tasks of the single blocks return the edges within; here they only tell which
+    members are bound already, so a group of near copies gives one bridge for a pair of
+    its blocks instead of an edge for every member.
+    """
+    x, y = np.triu_indices(len(reps), 1)
+    stay = plausible(signatures, x, y, least)
+    x, y = x[stay], y[stay]
+    within = left[x] == left[y]
+    own = graph.local_roots(len(reps), x[within], y[within])
+    roots = graph.local_roots(len(reps), own[x[~within]], own[y[~within]])
+    bound = np.flatnonzero(roots != np.arange(len(reps)))
+    return reps[bound], reps[roots[bound]]
+
+
 def _bind(least: np.ndarray):
     """Spanning edges (a, b) of the plausible pairs in the bands at hand."""
 
@@ -203,10 +220,14 @@ def _bind(least: np.ndarray):
             stay = plausible(signatures, x, y, least)
             found.append((x[stay], y[stay]))
 
+        bridges: list[tuple[np.ndarray, np.ndarray]] = []
         for s, e in zip(edges[:-1].tolist(), edges[1:].tolist()):
             if e - s < 2 or (e - s == 2 and lo[s] == hi[s]):
                 continue
-            x, y = _pairs(blocks[s:e], lo[s], hi[s])
+            if lo[s] != hi[s]:
+                bridges.append(_bridges(signatures[s:e], reps[s:e], blocks[s:e] == lo[s], least))
+                continue
+            x, y = np.triu_indices(e - s, 1)
             a.append(x + s)
             b.append(y + s)
             waiting += len(x)
@@ -220,7 +241,9 @@ def _bind(least: np.ndarray):
         y = np.concatenate([f[1] for f in found]) if found else np.empty(0, np.int64)
         roots = graph.local_roots(len(nodes), index[x], index[y])
         bound = np.flatnonzero(roots != np.arange(len(nodes)))
-        return pa.RecordBatch.from_arrays([pa.array(nodes[bound]), pa.array(nodes[roots[bound]])], ["a", "b"])
+        left = np.concatenate([nodes[bound], *(p[0] for p in bridges)])
+        right = np.concatenate([nodes[roots[bound]], *(p[1] for p in bridges)])
+        return pa.RecordBatch.from_arrays([pa.array(left), pa.array(right)], ["a", "b"])
 
     return answer
 
