@@ -12,11 +12,15 @@ from pyspark.sql import functions as F
 from linewright.functions import rx
 from linewright.functions.scalar import WIDE_SPACE
 
-# The parts of a frame and how far its bottom may be.
+# The parts of frames and how far their bottom may be.
 TOP = "^(.*?)┌(─+)┐(?U)\\s*$"
 BOTTOM = "^(.*?)└(─+)┘(?U)\\s*$"
 CONTENT = "^(.*?)│(.*)│(?U)\\s*$"
 FARTHEST = 30
+SHOUT_TOP = "[､、][_＿]+(?:人[_＿]*){3,}"
+SHOUT_BOTTOM = "(?:⌒[YＹ]){3,}"
+SLASH_TOP = "＼─\\|(?:──\\|){2,}─?／"
+SLASH_BOTTOM = "／─\\|(?:──\\|){2,}─?＼"
 PADDING = "[ 　.]+$"
 
 
@@ -29,28 +33,42 @@ def width(text: Column, special: dict[str, int] | None = None) -> Column:
     return total
 
 
-def boxes(lines: Column) -> Column:
-    """(top, bottom) line numbers, from 0, of the frames among an array of lines.
+KINDS = (("shout", SHOUT_TOP, SHOUT_BOTTOM), ("slash", SLASH_TOP, SLASH_BOTTOM), ("box", TOP, BOTTOM))
+_FOUND = "array<struct<top:int,bottom:int,kind:string>>"
+
+
+def _of_kind(lines: Column, known: Column, kind: str, top: str, bottom: str) -> Column:
+    """The frames known and those of one kind on lines that no known frame covers.
 
     From the top down, each top takes the first bottom within reach; lines of a frame
     that is found already are passed over.
     """
-    kind = "array<struct<top:int,bottom:int>>"
-    marks = F.filter(
-        F.transform(lines, lambda line, i: F.struct(i.alias("at"), F.when(line.rlike(TOP), 1).when(line.rlike(BOTTOM), 2).otherwise(0).alias("kind"))),
-        lambda x: x["kind"] > 0,
-    )
+    free = lambda i: ~F.exists(known, lambda k: (i >= k["top"]) & (i <= k["bottom"]))
+    part = lambda line, i: F.when(~free(i), 0).when(line.rlike(top), 1).when(line.rlike(bottom), 2).otherwise(0)
+    marks = F.filter(F.transform(lines, lambda line, i: F.struct(i.alias("at"), part(line, i).alias("part"))), lambda x: x["part"] > 0)
 
     def step(acc: Column, x: Column) -> Column:
         # Of tops still waiting for a bottom, the uppermost in reach takes this one.
         near = F.filter(acc["open"], lambda t: x["at"] - t <= FARTHEST)
-        closes = (x["kind"] == 2) & (F.size(near) > 0)
-        waiting = F.when(closes, F.array().cast("array<int>")).when(x["kind"] == 1, F.concat(near, F.array(x["at"]))).otherwise(near)
-        found = F.when(closes, F.concat(acc["found"], F.array(F.struct(F.get(near, F.lit(0)).alias("top"), x["at"].alias("bottom"))))).otherwise(acc["found"])
-        return F.struct(waiting.alias("open"), found.alias("found"))
+        closes = (x["part"] == 2) & (F.size(near) > 0)
+        waiting = F.when(closes, F.array().cast("array<int>")).when(x["part"] == 1, F.concat(near, F.array(x["at"]))).otherwise(near)
+        frame = F.struct(F.get(near, F.lit(0)).alias("top"), x["at"].alias("bottom"), F.lit(kind).alias("kind"))
+        return F.struct(waiting.alias("open"), F.when(closes, F.concat(acc["found"], F.array(frame))).otherwise(acc["found"]).alias("found"))
+
+    zero = F.struct(F.array().cast("array<int>").alias("open"), F.array().cast(_FOUND).alias("found"))
+    return F.concat(known, F.aggregate(marks, zero, step, lambda acc: acc["found"]))
+
+
+def boxes(lines: Column, kinds: tuple = KINDS) -> Column:
+    """(top, bottom, kind) of the frames among an array of lines, from 0, in order; earlier kinds claim lines first."""
+    found = F.array().cast(_FOUND)
+    for kind, top, bottom in kinds:
+        found = _claimed(lines, found, kind, top, bottom)
+    return F.array_sort(found)
+
 
-    zero = F.struct(F.array().cast("array<int>").alias("open"), F.array().cast(kind).alias("found"))
-    return F.aggregate(marks, zero, step, lambda acc: acc["found"])
+def _claimed(lines: Column, found: Column, kind: str, top: str, bottom: str) -> Column:
+    return rx.let(F.struct(lines.alias("lines"), found.alias("found")), lambda z: _of_kind(z["lines"], z["found"], kind, top, bottom))
 
 
 def _padded(text: Column, target: Column, special: dict[str, int] | None) -> Column:
@@ -88,8 +106,9 @@ def redraw(lines: Column, box: Column, special: dict[str, int] | None = None) ->
 
 
 def adjust(docs: DataFrame, special: dict[str, int] | None = None) -> DataFrame:
-    """Documents with every frame redrawn; ``n_boxes`` counts them."""
-    rows = docs.withColumn("_lines", F.split("text", "\n", -1)).withColumn("_boxes", boxes(F.col("_lines")))
+    """Documents with every box-drawing frame redrawn; ``n_boxes`` counts them."""
+    every = F.filter(boxes(F.col("_lines")), lambda box: box["kind"] == "box")
+    rows = docs.withColumn("_lines", F.split("text", "\n", -1)).withColumn("_boxes", every)
 
     def step(acc: Column, box: Column) -> Column:
         lines = F.col("_lines")

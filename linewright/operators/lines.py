@@ -51,3 +51,17 @@ def restore_from(texts: DataFrame, originals: DataFrame, top: int, key: str = "d
     at = F.least(F.lit(top), F.size(old), F.size(new))
     merged = F.concat(F.slice(old, F.lit(1), at), F.slice(new, at + 1, F.greatest(F.size(new) - at, F.lit(0))))
     return joined.select(key, F.array_join(merged, "\n").alias("text"))
+
+
+def restore_range(texts: DataFrame, originals: DataFrame, first: tuple[int, int], last: tuple[int, int], key: str = "doc_id") -> DataFrame:
+    """(key, text): the original text from one (line, column) to another, both from 0 and clamped to it."""
+    joined = texts.join(originals.select(key, F.col("text").alias("_old")), key)
+    old = split_lines(F.col("_old"))
+
+    def offset(place: tuple[int, int]) -> Column:
+        line = F.least(F.lit(place[0]), F.size(old) - 1)
+        before = F.aggregate(F.slice(old, F.lit(1), line), F.lit(0), lambda n, x: n + F.length(x) + 1)
+        return before + F.least(F.lit(place[1]), F.length(F.get(old, line)))
+
+    start = offset(first)
+    return joined.select(key, F.substring(F.col("_old"), start + 1, F.greatest(offset(last) - start, F.lit(0))).alias("text"))

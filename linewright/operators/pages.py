@@ -97,6 +97,27 @@ def links(pages: DataFrame) -> DataFrame:
     return rows.select("page_id", "pos", arrow.url_join("base", F.col("a.href")).alias("url"), text_of(F.col("a.label")).alias("title"))
 
 
+def balanced_block(page: Column, opening: str) -> Column:
+    """What lies between the first match of an opening div and the close of the same level; empty without one.
+
+    The depth is a running sum over the div tags behind the opening.
+    """
+    rest = F.get(F.split(page, opening, 2), F.lit(1))
+
+    def inner(text: Column) -> Column:
+        tags = rx.matches(text, "<div(?=[\\s>])|</div>")
+
+        def step(acc: Column, tag: Column) -> Column:
+            depth = acc["depth"] + F.when(tag["text"] == "</div>", -1).otherwise(1)
+            end = F.when(acc["end"].isNull() & (depth == 0), tag["start"]).otherwise(acc["end"])
+            return F.struct(depth.alias("depth"), end.alias("end"))
+
+        end = F.aggregate(tags, F.struct(F.lit(1).alias("depth"), F.lit(None).cast("int").alias("end")), step, lambda acc: acc["end"])
+        return F.coalesce(F.substring(text, F.lit(1), end), F.lit(""))
+
+    return F.when(rest.isNull(), "").otherwise(rx.let(rest, inner))
+
+
 def navigation(pages: DataFrame, site: Site = SITES[0]) -> DataFrame:
     """(page_id, pos, title, url, is_current) of a page's related links, oldest first.
 

@@ -106,3 +106,17 @@ def test_marked_lists_and_flat_pages(spark):
     nav = pages.navigation(frame, site).filter("page_id = 1").orderBy("pos").collect()
     assert [(r["title"], r["is_current"]) for r in nav] == [("1話", False), ("2話", False), ("3話", True), ("4話", False)]
     assert pages.title(frame, site).filter("page_id = 1").first()["title"] == "題"
+
+
+def test_frame_kinds_and_nested_blocks(spark):
+    text = "､_人人人_\nx\n⌒Y⌒Y⌒Y\n＼─|──|──|─／\n┌─┐\n／─|──|──|─＼\n┌─┐\n└─┘"
+    row = spark.createDataFrame([(text,)], "t string").select(layout.boxes(F.split("t", "\n")).alias("b")).first()
+    assert [tuple(b) for b in row["b"]] == [(0, 2, "shout"), (3, 5, "slash"), (6, 7, "box")]
+    page = 'a<div class="r">x<div>y</div><div\nid=1>z</div>w</div>v</div>'
+    got = spark.createDataFrame([(page,), ("none",), ('<div class="r">open',)], "t string").select(pages.balanced_block(F.col("t"), '<div class="r">').alias("b")).collect()
+    assert [r["b"] for r in got] == ["x<div>y</div><div\nid=1>z</div>w", "", ""]
+    from linewright.operators import lines
+
+    old = spark.createDataFrame([(1, "abc\ndef\ngh")], "doc_id int, text string")
+    assert lines.restore_range(old, old, (0, 1), (1, 2)).first()["text"] == "bc\nde"
+    assert lines.restore_range(old, old, (1, 9), (9, 9)).first()["text"] == "\ngh"
