@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 from linewright.llm import tables
 
 SPACE = "\\x20\\x09-\\x0D"
-SPACE_CHARS = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 #: The commonest function words of the four languages of the corpus.
 STOP_WORDS = (
@@ -73,32 +72,42 @@ def repeated_words(words: Column) -> Column:
         )
         return let(F.array_sort(F.transform(twice, lambda x: x["i"])), covered)
 
+    def ranked(hashes: Column) -> Column:
+        placed = F.array_sort(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+        # Most texts repeat no window; they need no sort.
+        return F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), 0).otherwise(let(placed, marked))
+
     def hashed(w: Column) -> Column:
-        windows = F.transform(
-            F.sequence(F.lit(0), F.size(w) - 3),
-            lambda i: F.struct(F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)).alias("h"), i.alias("i")),
-        )
-        return F.when(F.size(w) >= 4, let(F.array_sort(windows), marked)).otherwise(0)
+        windows = F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)))
+        return F.when(F.size(w) >= 4, let(windows, ranked)).otherwise(0)
 
     return let(words, hashed)
 
 
-def measures(text: Column) -> dict[str, Column]:
-    """The counts behind the rules, as columns over a text; null counts as empty."""
+def _words(text: Column) -> Column:
+    return F.filter(F.split(F.coalesce(text, F.lit("")), f"[{SPACE}]+", -1), lambda w: w != "")
+
+
+def _count(text: Column, characters: str) -> Column:
+    """How often some characters occur; texts without any cost a search only."""
+    pattern = "[" + characters.replace("|", "\\|") + "]"
+    return F.when(text.rlike(pattern), F.length(text) - F.length(F.translate(text, characters, ""))).otherwise(0).cast("long")
+
+
+def measures(text: Column, words: Column) -> dict[str, Column]:
+    """The counts behind the rules, as columns over a text and its words; null counts as empty."""
     text = F.coalesce(text, F.lit(""))
     lines = F.filter(F.split(text, "\n", -1), lambda line: line.rlike(f"[^{SPACE}]"))
-    words = F.filter(F.split(text, f"[{SPACE}]+", -1), lambda w: w != "")
-    letters = F.length(F.regexp_replace(text, "[^A-Za-z]+", ""))
     return {
         "n_words": F.size(words).cast("long"),
-        "word_chars": F.length(F.translate(text, SPACE_CHARS, "")).cast("long"),
-        "n_symbols": (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long"),
+        "word_chars": F.length(F.array_join(words, "")).cast("long"),
+        "n_symbols": _count(text, SYMBOLS),
         "n_dup_lines": let(lines, lambda a: F.size(a) - F.size(F.array_distinct(a))).cast("long"),
         "n_repeat_words": repeated_words(words).cast("long"),
         "n_lines": F.size(lines).cast("long"),
-        "n_marks": (F.length(text) - F.length(F.translate(text, "!?", ""))).cast("long"),
-        "n_letters": letters.cast("long"),
-        "n_upper": (F.length(text) - F.length(F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", ""))).cast("long"),
+        "n_marks": _count(text, "!?"),
+        "n_letters": F.length(F.regexp_replace(text, "[^A-Za-z]+", "")).cast("long"),
+        "n_upper": F.regexp_count(text, F.lit("[A-Z]")).cast("long"),
         "n_stop_words": F.size(F.filter(words, lambda w: F.lower(w).isin(*sorted(set(STOP_WORDS))))).cast("long"),
     }
 
@@ -128,22 +137,28 @@ def verdict(rules: tuple[Rule, ...] = RULES) -> Column:
     return passed
 
 
+def _counted(docs: DataFrame, kept: Column) -> DataFrame:
+    """A kept column and the counts; the words are cut once."""
+    cut = docs.select(kept, F.col("text").alias("_text"), _words(F.col("text")).alias("_words"))
+    return cut.select(cut.columns[0], *(c.alias(k) for k, c in measures(F.col("_text"), F.col("_words")).items()))
+
+
+def _base_failed() -> Column:
+    return (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
+
+
 def report(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """One row for each document: counts, whether a base rule failed, and the verdict."""
-    counted = docs.select("doc_id", *(c.alias(k) for k, c in measures(F.col("text")).items()))
-    failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
-    return counted.select(
+    return _counted(docs, F.col("doc_id")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        failed.alias("base_failed"), (~failed & verdict(rules)).alias("kept"), "n_stop_words", "n_upper",
+        _base_failed().alias("base_failed"), (~_base_failed() & verdict(rules)).alias("kept"), "n_stop_words", "n_upper",
     )
 
 
 def keep(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The documents that pass, with the columns they came with."""
-    counts = measures(F.col("text"))
-    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), *(c.alias(k) for k, c in counts.items()))
-    failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
-    return whole.filter(~failed & verdict(rules)).select("_row.*")
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row")
+    return _counted(docs, whole).filter(~_base_failed() & verdict(rules)).select("_row.*")
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
