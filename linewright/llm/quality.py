@@ -41,7 +41,7 @@ RULES = (
     Rule("symbols_per_word", None, 0.25),
     Rule("marks_per_word", None, 0.5),
     Rule("stop_word_ratio", 0.02, None),
-    Rule("dup_line_ratio", None, 0.3),
+    Rule("dup_line_ratio", None, 0.5),
     Rule("upper_ratio", None, 0.5),
 )
 LEAST_WORDS = 50
@@ -203,7 +203,7 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
     AND n_symbols / n_words <= 0.25
     AND n_marks / n_words <= 0.5
     AND n_stop_words / n_words >= 0.02
-    AND coalesce(n_dup_lines / nullif(n_lines, 0), 0) <= 0.3
+    AND coalesce(n_dup_lines / nullif(n_lines, 0), 0) <= 0.5
     AND coalesce(n_upper / nullif(n_letters, 0), 0) <= 0.5) AS kept,
   n_stop_words, n_upper
 FROM f
