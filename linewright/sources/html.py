@@ -53,7 +53,7 @@ def escape_body(text: Column) -> Column:
 def page(text: Column, color: Column, head_html: Column | None = None) -> Column:
     """A whole page around a text; a head of its own is kept."""
     made = F.concat(
-        F.lit("<head>\n    <meta charset=\"UTF-8\">\n    <title>AA_Translated</title>\n    <style>\n        body { background-color: "), color,
+        F.lit("<head>\n    <meta charset=\"UTF-8\">\n    <title>Translated</title>\n    <style>\n        body { background-color: "), color,
         F.lit("; color: #000; padding: 20px; }\n        pre {\n            font-family: " + FONTS + ";\n            font-size: 16px;\n            line-height: 1.2;\n            white-space: pre;\n            word-wrap: normal;\n        }\n    </style>\n</head>"),
     )
     top = made if head_html is None else F.coalesce(head_html, made)
