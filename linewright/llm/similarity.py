@@ -20,7 +20,8 @@ n_links (other documents, copies included, at or above the threshold).
 
 Cases: a null text or one without words has no shingles, no links and a class of its
 own, and so has a row with a null doc_id (with class null). Repeated rows count as
-copies. An empty table gives no rows. Columns other than doc_id and text are ignored.
+copies, and so do rows of the same words with other ids; texts that differ under one
+doc_id are documents of their own. An empty table gives no rows. Columns other than doc_id and text are ignored.
 """
 
 from __future__ import annotations
@@ -306,29 +307,35 @@ def _verify(least: np.ndarray, threshold: float):
 
 
 def _with_shingles(members: DataFrame, docs: DataFrame) -> DataFrame:
-    """Members with the shingle sets of their texts."""
+    """Members with the shingle set of their words: one for each key, however many rows share the words or the doc_id."""
 
-    def attach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cut_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = pa.array([s.tobytes() for s, _ in shingle_sets(batch.column("text"))], pa.binary())
-            names = [n for n in batch.schema.names if n != "text"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), sets], [*names, "shingles"])
+            columns: tuple[list, ...] = ([], [], [])
+            for shingles, key in shingle_sets(batch.column(0)):
+                for column, value in zip(columns, (_signed(key[0]), _signed(key[1]), shingles.tobytes())):
+                    column.append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.binary()))], ["k1", "k2", "shingles"])
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text")
-    joined = members.join(texts, "rep")
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in members.schema)
-    return joined.select(*members.columns, "text").mapInArrow(attach, f"{fields}, shingles binary")
+    wanted = members.select(F.col("first").alias("_wanted")).distinct()
+    texts = docs.select(F.col("doc_id").cast("long").alias("_id"), "text")
+    texts = texts.join(wanted, texts["_id"] == wanted["_wanted"], "left_semi").select("text")
+    # A doc_id may stand for several texts and a text in several rows; equal keys have equal sets.
+    sets = texts.mapInArrow(cut_sets, "k1 long, k2 long, shingles binary").groupBy("k1", "k2").agg(F.min("shingles").alias("shingles"))
+    return members.join(sets, ["k1", "k2"])
 
 
-def classes(spark: SparkSession, docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
-    """(doc_id, class_id, n_links), a row for each row of docs."""
+def _placed(spark: SparkSession, docs: DataFrame, threshold: float, tolerance: float) -> tuple[DataFrame, DataFrame]:
+    """The described rows, and for each key (k1, k2) of their words the smallest doc_id, class and links."""
     n, least = tables.partitions(spark), least_matches(threshold, tolerance)
     described = tables.cut(spark, _described(docs), "signatures")
     known = described.filter(F.col("k1").isNotNull())
     reps = known.groupBy("k1", "k2").agg(
-        F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.min_by(F.struct("n_shingles", "signature"), "doc_id").alias("s")
+        F.min("doc_id").alias("first"), F.count("*").alias("copies"), F.min_by(F.struct("n_shingles", "signature"), "doc_id").alias("s")
     )
-    reps = tables.cut(spark, reps.select("k1", "k2", "rep", "copies", "s.n_shingles", "s.signature"), "representatives")
+    # One number for each key, in place of its 128 bits; doc_ids need not be unique. The table fixes the numbers.
+    reps = reps.sortWithinPartitions("k1", "k2").withColumn("rep", F.monotonically_increasing_id())
+    reps = tables.cut(spark, reps.select("k1", "k2", "first", "rep", "copies", "s.n_shingles", "s.signature"), "representatives")
 
     width = 2 * ROWS
     band = F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substring(F.col("signature"), i * width + 1, F.lit(width)))))
@@ -338,17 +345,26 @@ def classes(spark: SparkSession, docs: DataFrame, threshold: float = THRESHOLD,
     dealt = _dealt(members, n, "band", F.ceil(F.col("n") / BLOCK_MEMBERS)).select("band", "lo", "hi", "block", "rep", "signature")
     roots = graph.components(spark, dealt.mapInArrow(_in_groups("band", _bind(least)), "a long, b long"))
 
-    bound = roots.withColumnRenamed("node", "rep").join(reps.select("rep", "copies", "n_shingles", "signature"), "rep")
+    bound = roots.withColumnRenamed("node", "rep").join(reps, "rep")
     sizes = bound.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / BLOCK_MEMBERS), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).alias("blocks"))
-    bound = bound.join(sizes, "root").select("rep", "root", "copies", "signature", "blocks")
+    bound = bound.join(sizes, "root").select("rep", "k1", "k2", "first", "root", "copies", "signature", "blocks")
     dealt = _dealt(_with_shingles(bound, docs), n, "root", F.col("blocks")).select("root", "lo", "hi", "block", "rep", "copies", "signature", "shingles")
     verified = tables.cut(spark, dealt.mapInArrow(_in_groups("root", _verify(least, threshold)), "rep long, links long, root long"), "links")
     links = verified.groupBy("rep").agg(F.sum("links").alias("links"))
-    joined = graph.components(spark, verified.select(F.col("rep").alias("a"), F.col("root").alias("b")))
+    joined = graph.components(spark, verified.select(F.col("rep").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "rep")
+    heads = joined.join(reps.select("rep", "first"), "rep").groupBy("root").agg(F.min("first").alias("class_id"))
+
+    placed = reps.select("k1", "k2", "first", "rep", "copies").join(links, "rep", "left").join(joined.join(heads, "root"), "rep", "left")
+    return described, placed.select(
+        "k1", "k2", "first", F.coalesce("root", "rep").alias("root"), F.coalesce("class_id", "first").alias("class_id"),
+        (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
+    )
 
-    placed = reps.select("k1", "k2", "rep", "copies").join(links, "rep", "left").join(joined.withColumnRenamed("node", "rep"), "rep", "left")
-    placed = placed.select("k1", "k2", F.coalesce("root", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    return described.join(placed, ["k1", "k2"], "left").select(
+
+def classes(spark: SparkSession, docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
+    """(doc_id, class_id, n_links), a row for each row of docs."""
+    described, placed = _placed(spark, docs, threshold, tolerance)
+    return described.join(placed.select("k1", "k2", "class_id", "n_links"), ["k1", "k2"], "left").select(
         "doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")
     )
 

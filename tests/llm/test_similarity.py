@@ -54,6 +54,43 @@ def test_against_brute_force(spark, edge_docs, edge_rows, sentences, monkeypatch
     assert got == brute_force(rows)
 
 
+def brute_force_rows(rows):
+    """(doc_id, class_id, n_links) of each row, whatever its doc_id; copies come out of equal sets."""
+    sets = [None if i is None else shingles(t) for i, t in rows]
+    roots = list(range(len(rows)))
+    links = [0] * len(rows)
+    for x, a in enumerate(sets):
+        for y in range(x):
+            b = sets[y]
+            if a and b and len(a & b) >= 0.8 * len(a | b) - 1e-9:
+                links[x] += 1
+                links[y] += 1
+                old, new = roots[x], roots[y]
+                roots = [new if r == old else r for r in roots]
+    least = lambda r: min(rows[k][0] for k in range(len(rows)) if roots[k] == r)
+    return sorted((i, least(r) if n else i, n) for (i, _), r, n in zip(rows, roots, links) if i is not None)
+
+
+@pytest.mark.parametrize("members", [256, 4])
+def test_repeated_ids_against_brute_force(spark, edge_rows, sentences, monkeypatch, members):
+    """A repeated row counts as often as it stands; texts that differ under one doc_id stay apart."""
+    monkeypatch.setattr(similarity, "BLOCK_MEMBERS", members)
+    base, other = sentences(150, 41), sentences(90, 42)
+    near = lambda text, k: " ".join([*text.split()[:k], f"w{k}", *text.split()[k + 1 :]])
+    rows = [(i, t) for i, t, *_ in edge_rows]
+    rows += [(50, base), (51, other), (50, near(other, 30)), (52, near(base, 70)), (50, near(base, 10)), (50, base.upper())]
+    rows += [(60, near(base, 90))] * 12 + [(49, other), (61, None), (61, other), (61, near(base, 120))]
+    found = similarity.classes(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(tuple(r) for r in found if r["doc_id"] is not None) == brute_force_rows(rows)
+
+
+def test_two_repeats_are_two_links(spark, sentences):
+    near = " ".join([*sentences(120, 1).split()[:50], "changed", *sentences(120, 1).split()[51:]])
+    rows = [(1, sentences(120, 1)), (3, near), (3, near)]
+    found = similarity.classes(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(tuple(r) for r in found) == [(1, 1, 2), (3, 1, 2), (3, 1, 2)]
+
+
 def test_a_row_for_each_row(spark, edge_docs, edge_rows, no_docs):
     assert similarity.classes(spark, edge_docs).count() == len(edge_rows)
     assert similarity.classes(spark, no_docs).count() == 0
