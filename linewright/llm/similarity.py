@@ -369,12 +369,44 @@ def classes(spark: SparkSession, docs: DataFrame, threshold: float = THRESHOLD,
     )
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """(row, _id, _k1, _k2): whole rows with the key of their words, null where there are none."""
+
+    def key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = [(_signed(k[0]), _signed(k[1])) if len(found) else (None, None) for found, k in shingle_sets(batch.column(2))]
+            halves = (pa.array([k[i] for k in keys], pa.int64()) for i in (0, 1))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *halves], ["row", "_id", "_k1", "_k2"])
+
+    rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), docs["doc_id"].cast("long").alias("_id"), docs["text"].alias("_text"))
+    return rows.mapInArrow(key, f"row {docs.schema.simpleString()}, _id long, _k1 long, _k2 long")
+
+
 def keep_one(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """One document of each class (the one with the smallest doc_id), with the columns it came with."""
-    found = classes(spark, docs)
-    firsts = found.filter(F.col("doc_id") == F.col("class_id")).select(F.col("doc_id").alias("_first")).distinct()
-    kept = docs.join(firsts, docs["doc_id"] == firsts["_first"], "left_semi")
-    return kept
+    """One row of each class, with the columns it came with: one of those with the smallest doc_id.
+
+    Rows with a null doc_id belong to no class and all stay. Rows without words are a class
+    for each doc_id. Of rows that share the smallest doc_id, the one of the least key of
+    words stays, and of those with equal words the first by text and by the row as JSON.
+    """
+    described, placed = _placed(spark, docs, THRESHOLD, TOLERANCE)
+    firsts = placed.groupBy("root").agg(F.min(F.struct("first", "k1", "k2")).alias("f")).select(F.col("f.first").alias("doc_id"), "f.k1", "f.k2")
+    owned = described.filter(F.col("doc_id").isNotNull())
+    wordless = owned.filter(F.col("k1").isNull()).select("doc_id", "k1", "k2").distinct()
+    chosen = firsts.unionByName(wordless).withColumn("stays", F.lit(True))
+    fates = owned.groupBy("doc_id").agg(F.count("*").alias("n")).join(chosen, "doc_id", "left")
+    fates = tables.cut(spark, fates, "fates")
+
+    # A doc_id of one row decides by itself (null ones pass); rows of repeated doc_ids are told apart by their words.
+    gone = fates.filter("n > 1 OR stays IS NULL").select(F.col("doc_id").alias("_gone")).distinct()
+    single = docs.join(gone, docs["doc_id"].cast("long") == gone["_gone"], "left_anti")
+    again = fates.filter("n > 1 AND stays")
+    ids = again.select(F.col("doc_id").alias("_again")).distinct()
+    rows = _keyed(docs.join(ids, docs["doc_id"].cast("long") == ids["_again"], "left_semi"))
+    same = (rows["_id"] == again["doc_id"]) & rows["_k1"].eqNullSafe(again["k1"]) & rows["_k2"].eqNullSafe(again["k2"])
+    rows = rows.join(again, same, "left_semi").groupBy("_id", "_k1", "_k2")
+    one = rows.agg(F.min_by("row", F.struct(F.col("row.text"), F.to_json("row"))).alias("row"))
+    return single.unionByName(one.select("row.*"))
 
 
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

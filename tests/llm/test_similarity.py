@@ -104,6 +104,20 @@ def test_keep_one(spark, edge_docs):
     assert len(ids) == len(set(ids))
 
 
+def test_keep_one_row_of_each_class(spark, edge_docs, edge_rows, sentences):
+    """Rows without doc_id stay, repeated rows do not, and texts under one doc_id are told apart."""
+    base, other = sentences(120, 1), sentences(90, 42)
+    more = [(1, base), (1, base.upper()), (1, other), (20, other), (4, None), (4, ""), (21, sentences(50, 43)), (21, sentences(50, 44)), (None, other)]
+    added = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in more], edge_docs.schema.fieldNames()[:5])
+    docs = edge_docs.unionByName(added, allowMissingColumns=True)
+    kept = similarity.keep_one(spark, docs)
+    assert kept.columns == docs.columns
+    rows = [(r["doc_id"], " ".join((r["text"] or "").lower().split())) for r in kept.select("doc_id", "text").collect()]
+    fold = lambda t: " ".join((t or "").lower().split())
+    expected = [(i, t) for i, t, *_ in edge_rows if i is None or i in (4, 5, 6, 7, 9, 10, 11, 12, 13, 14)] + [(1, base), (1, other), *more[6:]]
+    assert sorted(rows, key=str) == sorted(((i, fold(t)) for i, t in expected), key=str)
+
+
 def test_pruning_rule():
     least = similarity.least_matches(0.8, 1e-6)
     for k, fewest in enumerate(least):
