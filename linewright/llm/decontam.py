@@ -4,10 +4,10 @@ Numbers, names and units of benchmark items and documents become typed placehold
 question whose values were exchanged keeps its template. Windows of ``WINDOW`` template
 words are hash-joined; windows with fewer than ``LITERALS`` plain words say too little and
 are left out. Matches of a document and an item on one diagonal (document place less item
-place) are one alignment; it counts if its slots are consistent: each value of the item
-stands for one value of the document and the reverse. A document leaks an item where
-consistent alignments cover ``ENOUGH`` windows of it (thirteen words in a row), or all of
-a shorter item.
+place) are one alignment. Its windows count if their slots are consistent with all of it:
+each value of the item stands for one value of the document and the reverse. Windows
+without any changed slot count always. A document leaks an item where windows that count
+cover ``ENOUGH`` of it (thirteen words in a row), or all of a shorter item.
 
 The items' window hashes also fill a bit map of bounded size (at most ``MAP_BITS`` bits)
 that is broadcast, so only windows that may match leave the map stage; more items make
@@ -180,10 +180,18 @@ def leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataFra
     pairs = F.transform(slots, lambda i: F.struct(word("item_words", i).alias("item"), word("words", i).alias("doc")))
     met = met.select(F.col("id").alias("doc_id"), "item_id", "item_at", (F.col("at") - F.col("item_at")).alias("diagonal"), pairs.alias("pairs"))
     # An alignment has at most as many windows as its item.
-    aligned = met.groupBy("doc_id", "item_id", "diagonal").agg(F.collect_set("item_at").alias("places"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
-    one_to_one = (F.size(F.array_distinct(F.col("pairs.item"))) == F.size("pairs")) & (F.size(F.array_distinct(F.col("pairs.doc"))) == F.size("pairs"))
+    windows = F.collect_set(F.struct(F.col("item_at").alias("place"), "pairs"))
+    aligned = met.groupBy("doc_id", "item_id", "diagonal").agg(windows.alias("windows"))
+    aligned = aligned.withColumn("pairs", F.array_distinct(F.flatten("windows.pairs")))
+    # Values with several partners; a window that has one counts only if it is verbatim.
+    repeated = lambda c: F.filter(c, lambda v, i: (i > 0) & (v == F.get(c, i - 1)))
+    aligned = aligned.withColumns({f"sorted_{side}": F.array_sort(f"pairs.{side}") for side in ("item", "doc")})
+    aligned = aligned.withColumns({f"torn_{side}": repeated(F.col(f"sorted_{side}")) for side in ("item", "doc")})
+    torn = lambda w: F.arrays_overlap(w["pairs"]["item"], F.col("torn_item")) | F.arrays_overlap(w["pairs"]["doc"], F.col("torn_doc"))
+    verbatim = lambda w: F.forall(w["pairs"], lambda p: p["item"] == p["doc"])
+    aligned = aligned.withColumn("windows", F.filter("windows", lambda w: ~torn(w) | verbatim(w))).withColumn("pairs", F.array_distinct(F.flatten("windows.pairs")))
     changed = F.size(F.filter("pairs", lambda p: p["item"] != p["doc"]))
-    aligned = aligned.filter(one_to_one).select("doc_id", "item_id", F.explode("places").alias("place"), F.size("pairs").alias("n"), changed.alias("c"))
+    aligned = aligned.select("doc_id", "item_id", F.explode("windows.place").alias("place"), F.size("pairs").alias("n"), changed.alias("c"))
     covered = aligned.groupBy("doc_id", "item_id").agg(F.countDistinct("place").alias("n_windows"), F.max("n").alias("n_slots"), F.max("c").alias("n_changed"))
     sizes = items.groupBy(F.col("id").alias("item_id")).agg(F.countDistinct("at").alias("item_windows"))
     rated = covered.join(sizes, "item_id").filter(F.col("n_windows") >= F.least(F.lit(ENOUGH), "item_windows"))

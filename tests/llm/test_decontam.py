@@ -29,6 +29,21 @@ def test_slots(spark):
     assert found[0, 0]["n_changed"] == 0 and found[1, 0]["n_changed"] > 0
 
 
+def test_lightly_edited_copies(spark):
+    """A conflict between two slots takes the windows that have it, not the verbatim or untouched ones."""
+    plain = [f"{c}{v}{d}" for c in "bdfgk" for v in "aeiou" for d in "lm"]
+    item = " ".join(["we", "saw", "Anna", *plain[:18], "and", "Anna", *plain[18:40], "then", "5", *plain[40:], "with", "Otto"])
+    twice, same = item.replace("and Anna", "and Ines"), item.replace("Otto", "Anna")
+    renamed = item.replace("Anna", "Ines").replace("and Ines", "and Maja").replace("5", "8")
+    torn = "we saw Ines bal bam bel Maja bem bil Maja"
+    found = leaked(spark, [twice, same, renamed, torn, "we met " + item], (item, "we saw Anna bal bam bel Anna bem bil Anna"))
+    assert {d for d, i in found if i == 0} == {0, 1, 2, 4}
+    assert (3, 1) not in found
+    windows = {d: found[d, 0]["n_windows"] for d in (0, 1, 2, 4)}
+    assert windows[4] == found[4, 0]["item_windows"] > windows[0] > windows[2] >= decontam.ENOUGH
+    assert found[0, 0]["n_changed"] == 0 and found[2, 0]["n_changed"] == 1
+
+
 def test_exact_passages_by_brute_force(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
     bench = spark.read.parquet("/root/testdata/sf0.01/benchmark.parquet")
