@@ -8,8 +8,13 @@ windows of ``SPAN`` lines. Text begins at a surge point (the first window of a r
 sum is at least the threshold at some place) and ends at a dive point (where the sums
 fall to nothing); what lies between is kept, block by block.
 
-Cases: a null or empty page has an empty text. Unclosed elements end with the page, and
-an unclosed boilerplate element before the article ends where the article begins. A tag
+Lines of boilerplate do not part the text around them. Where no window reaches the
+threshold, the largest sum of the page is the threshold, so a short text stays.
+
+Cases: a null or empty page has an empty text. Unclosed elements end with the page, but
+elements whose end tag may be left out (p, li, dd, dt, option, cells and rows) end at the
+start tags that imply it or with their parent, and an unclosed boilerplate element before
+the article ends where the article begins. A tag
 cut off at the end of the page is dropped; unknown character references stay as they
 are. Repeated rows are extracted alike. Null ids and urls stay null. An empty table gives
 no rows. Columns other than page_id, url and html are ignored.
@@ -19,6 +24,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -50,11 +56,22 @@ _MARKS = set(
     "complementary contentinfo form alert".split()
 )
 _ARTICLE = {"article", "main"}
-_VOID = set("area base br col hr img input link meta param source track wbr".split())
+_VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 _INLINE = set(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q ruby rt rp s samp small span "
     "strike strong sub sup time tt u var wbr".split()
 )
+#: Elements whose end tag may be left out, and the start tags that end them.
+_P_ENDS = set(
+    "address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
+    "header hgroup hr li main menu nav ol p pre search section summary table ul".split()
+)
+_ROWS = set("tbody thead tfoot".split())
+_ENDED_BY = {
+    "p": _P_ENDS, "li": {"li"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}, "option": {"option", "optgroup"}, "optgroup": {"optgroup"},
+    "td": {"td", "th", "tr"} | _ROWS, "th": {"td", "th", "tr"} | _ROWS, "tr": {"tr"} | _ROWS, **dict.fromkeys(_ROWS, _ROWS),
+}
+_PASSED = {"address", "div", "p"}
 
 
 class Line:
@@ -79,12 +96,32 @@ def _is_marked(attributes: str) -> bool:
     return bool(_HIDDEN.search(attributes))
 
 
+def _end(open_: list[str], name: str) -> bool:
+    """Close the last open element of this name and all within; whether there is one."""
+    for k in range(len(open_) - 1, -1, -1):
+        if open_[k] == name:
+            del open_[k:]
+            return True
+    return False
+
+
+def _imply_ends(open_: list[str], name: str) -> None:
+    """Close the elements that a start tag ends."""
+    for k in range(len(open_) - 1, -1, -1):
+        if name in _ENDED_BY.get(open_[k], ()):
+            del open_[k:]
+        elif open_[k] not in _PASSED:
+            break
+
+
 def lines_of(page: str) -> list[Line]:
     """The lines of a page in order, those of boilerplate included but marked as shut."""
     lines: list[Line] = []
     article = links = 0
     shut: str | None = None  # the element that began the boilerplate at hand
     depth = 0
+    outer: Counter[str] = Counter()  # open blocks outside of boilerplate
+    inner: list[str] = []  # those within boilerplate whose end tag may be left out, itself first
     line = Line(False, False)
 
     def turn() -> None:
@@ -112,6 +149,21 @@ def lines_of(page: str) -> list[Line]:
         if shut is not None:
             if name in _ARTICLE and not closing and not article or name == "body" and shut == "head":
                 shut = None  # it was never closed
+            elif shut in _ENDED_BY and name not in _INLINE:
+                ended = False
+                if not closing:
+                    _imply_ends(inner, name)
+                    if inner and not alone:
+                        inner.append(name)
+                elif not _end(inner, name) and outer[name] and name != "p":
+                    inner = []  # the end of its parent
+                else:
+                    ended = not inner
+                if inner or ended:
+                    shut = shut if inner else None
+                    turn()
+                    continue
+                shut = None
             else:
                 if name == shut and not alone:
                     depth += -1 if closing else 1
@@ -122,9 +174,11 @@ def lines_of(page: str) -> list[Line]:
                     turn()
                 continue
         if not closing and not alone and name not in ("html", "body") and (name in _BOILERPLATE or name not in _ARTICLE and _is_marked(attributes)):
-            shut, depth = name, 1
+            shut, depth, inner = name, 1, [name]
             turn()
             continue
+        if name not in _INLINE and not alone:
+            outer[name] = max(0, outer[name] + (-1 if closing else 1))
         if name in _ARTICLE:
             article = max(0, article + (-1 if closing else 1))
             turn()
@@ -161,14 +215,17 @@ def kept_lines(weights: list[int], span: int, surge: int) -> list[bool]:
 def main_text(page: str | None, span: int = SPAN, surge: int = SURGE) -> str:
     """The article's blocks, each with its white space as single spaces, joined by one space."""
     lines = lines_of(page or "")
+    lines = [line for line in lines if not line.shut]  # they do not part the text around them
     texts = [" ".join(html.unescape("".join(line.parts)).split()) for line in lines]
-    marked = any(line.article and not line.shut and text for line, text in zip(lines, texts))
+    marked = any(line.article and text for line, text in zip(lines, texts))
     weights = [
-        0 if line.shut or (marked and not line.article) else len(text) if marked else max(0, len(text) - line.linked)
+        0 if marked and not line.article else len(text) if marked else max(0, len(text) - line.linked)
         for line, text in zip(lines, texts)
     ]
-    kept = kept_lines(weights, span, 1 if marked else surge)
-    return " ".join(t for t, k, line in zip(texts, kept, lines) if k and t and not line.shut and (line.article or not marked))
+    # On a page of short texts only, the heaviest windows are the surge.
+    sums = [sum(weights[i : i + span]) for i in range(len(weights))]
+    kept = kept_lines(weights, span, 1 if marked else min(surge, max(sums, default=0)))
+    return " ".join(t for t, k, line in zip(texts, kept, lines) if k and t and (line.article or not marked))
 
 
 def extract(pages: DataFrame) -> DataFrame:

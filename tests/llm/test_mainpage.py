@@ -36,6 +36,32 @@ def test_broken_pages():
     assert mainpage.main_text(f"<head><title>x</title><body><nav><li>menu<article><p>{LONG}") == " ".join(LONG.split())
 
 
+def test_void_elements_shut_nothing():
+    assert mainpage.main_text('<article><p>a</p><embed src=x><p>b</p><embed src="y"/>c</article>') == "a b c"
+
+
+def test_omitted_end_tags():
+    for page, text in {
+        "<article><p>a<p class=ad>buy <b>now</b><p>b": "a b",
+        "<article><p>a<p class=ad>buy<p class=ad>more<h2>b</h2>c": "a b c",
+        "<article><ul><li>a<li class=share>x<ul><li>y</ul>z<li>b</ul>c": "a b c",
+        "<article><ul><li>a<li class=share><div><p>x</div></ul><p>b": "a b",
+        "<article><dl><dt>a<dd class=promo>x<dt>b<dt class=ad>y</dl>c": "a b c",
+        "<article><table><tr><td>a<td class=ad>x<td>b<tr class=promo><td>y<tr><td>c</table>d": "a b c d",
+        "<article><div><p class=ad>x</div>a": "a",
+        "<article><p class=ad>x</p>a<ul><li class=share><p>y</p>z</li><li>b</li></ul>": "a b",
+        "<article><p>a<p class=ad>x</article><p>y": "a",
+    }.items():
+        assert mainpage.main_text(page) == text, page
+
+
+def test_short_pages_without_an_article():
+    assert mainpage.main_text("<body><nav>menu</nav><div><h1>Head</h1><p>Short.</p></div><footer>f</footer>") == "Head Short."
+    body = " ".join(LONG.split())
+    assert mainpage.main_text(f"<div><p>{LONG}</p><p class=ad>x</p><p class=ad>y</p><p class=ad>z</p><p>The end.</p></div>") == f"{body} The end."
+    assert mainpage.main_text("<nav>menu</nav>") == ""
+
+
 def test_surge_and_dive():
     assert mainpage.kept_lines([0, 5, 0, 0, 0, 90, 0, 4, 0, 0, 0, 7], 3, 80) == [False] * 5 + [True] * 3 + [False] * 4
     assert mainpage.kept_lines([], 3, 80) == []
