@@ -1,12 +1,13 @@
 """Main text of web pages by line-block distribution.
 
-Markup is stripped to lines, one for each block of the page. Every line has a weight, the
-length of its text: lines of menus, headers, footers, sidebars, notices, adverts, forms
-and reader comments weigh nothing, and where a page marks its article, neither do lines
-outside of it; on other pages the text of links does not count. Weights are summed over
-windows of ``SPAN`` lines. Text begins at a surge point (the first window of a run whose
-sum is at least the threshold at some place) and ends at a dive point (where the sums
-fall to nothing); what lies between is kept, block by block.
+Markup is stripped to lines, one for each block of the page; lines of menus, headers,
+footers, sidebars, notices, adverts, forms and reader comments go with it. Every other
+line has a weight. On a page without article or main it is the length of its text outside
+of links. Where a page marks its article, lines in it weigh ``ARTICLE`` times their text,
+and others only what exceeds ``OUTSIDE`` characters outside of links. Weights are summed
+over windows of ``SPAN`` lines. Text begins at a surge point (the first window of a run
+whose sum is at least the threshold at some place) and ends at a dive point (where the
+sums fall to nothing); what lies between is kept, block by block, in or out of the mark.
 
 Lines of boilerplate do not part the text around them. Where no window reaches the
 threshold, the largest sum of the page is the threshold, so a short text stays.
@@ -14,17 +15,19 @@ threshold, the largest sum of the page is the threshold, so a short text stays.
 Cases: a null or empty page has an empty text. Unclosed elements end with the page, but
 elements whose end tag may be left out (p, li, dd, dt, option, cells and rows) end at the
 start tags that imply it or with their parent, and an unclosed boilerplate element before
-the article ends where the article begins. A tag
+the article ends where the article begins. A closed one keeps what is in it, articles
+included, unless it is a form or a marked wrapper around all articles and most text. A tag
 cut off at the end of the page is dropped; unknown character references stay as they
-are. Repeated rows are extracted alike. Null ids and urls stay null. An empty table gives
-no rows. Columns other than page_id, url and html are ignored.
+are. Work grows with the length of a page. Repeated rows are extracted alike. Null ids
+and urls stay null. An empty table gives no rows. Columns other than page_id, url and
+html are ignored.
 """
 
 from __future__ import annotations
 
 import html
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -34,6 +37,8 @@ from linewright.llm import tables
 
 SPAN = 3
 SURGE = 80
+ARTICLE = 4
+OUTSIDE = 200
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -55,7 +60,10 @@ _MARKS = set(
     "related promo promoted sponsor sponsored newsletter subscribe signup login search pagination pager widget toolbar "
     "complementary contentinfo form alert".split()
 )
+#: Before a mark these say that the page has such a part, not that the element is one.
+_HAVING = {"with", "has", "no", "without"}
 _ARTICLE = {"article", "main"}
+_WHOLE = re.compile(r"""\brole\s*=\s*["']?main\b|\bitemprop\s*=\s*["']?articleBody\b""", re.I)
 _VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 _INLINE = set(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q ruby rt rp s samp small span "
@@ -90,12 +98,50 @@ def _is_marked(attributes: str) -> bool:
     if "=" not in attributes and "hidden" not in attributes:
         return False
     for groups in _MARKED.findall(attributes):
-        value = _CAMEL.sub(" ", next(filter(None, groups), ""))
-        if not _MARKS.isdisjoint(_NAME_PART.findall(value.lower())):
-            return True
+        for token in _CAMEL.sub("-", next(filter(None, groups), "")).lower().split():
+            parts = _NAME_PART.findall(token)
+            if any(part in _MARKS and (not i or parts[i - 1] not in _HAVING) for i, part in enumerate(parts)):
+                return True
     return bool(_HIDDEN.search(attributes))
 
 
+class Tag:
+    """A tag of the page, how much text stands before it, and for a start tag the index of its end tag."""
+
+    __slots__ = ("before", "name", "closing", "attributes", "alone", "closer")
+
+    def __init__(self, token: re.Match, before: int):
+        self.before = before
+        self.name = (token[3] or token[6]).lower()
+        self.closing = bool(token[2] or token[5])
+        self.attributes = token[4] or token[7] or ""
+        self.alone = self.name in _VOID or (self.attributes.endswith("/") and self.name in _INLINE)
+        self.closer: int | None = None
+
+
+def tags_of(page: str) -> tuple[list[Tag], list[list[tuple[int, int]]], int]:
+    """The tags in order, the text before each and behind the last as stretches that comments and scripts part, and the length of all text."""
+    tags: list[Tag] = []
+    texts: list[list[tuple[int, int]]] = [[]]
+    open_: dict[str, list[Tag]] = defaultdict(list)
+    at = length = 0
+    for token in _TOKEN.finditer(page):
+        texts[-1].append((at, token.start()))
+        length += token.start() - at
+        at = token.end()
+        if token[3] is None and token[6] is None:
+            continue
+        tag = Tag(token, length)
+        if tag.closing and open_[tag.name]:
+            open_[tag.name].pop().closer = len(tags)
+        elif not tag.closing and not tag.alone:
+            open_[tag.name].append(tag)
+        tags.append(tag)
+        texts.append([])
+    texts[-1].append((at, len(page)))
+    return tags, texts, length + len(page) - at
+
+
 def _end(open_: list[str], name: str) -> bool:
     """Close the last open element of this name and all within; whether there is one."""
     for k in range(len(open_) - 1, -1, -1):
@@ -114,46 +160,58 @@ def _imply_ends(open_: list[str], name: str) -> None:
             break
 
 
+def _shuts(tags: list[Tag], k: int, articles: list[int], length: int) -> bool:
+    """Whether the element that tag k starts is boilerplate."""
+    tag = tags[k]
+    if tag.name in ("html", "body") or tag.name in _ARTICLE:
+        return False
+    if tag.name in _BOILERPLATE - {"form"}:
+        return True
+    if tag.name != "form" and not _is_marked(tag.attributes):
+        return False
+    if tag.closer is None or not articles or articles[0] < k or tag.closer < articles[-1]:
+        return True
+    # A wrapper around all articles and most of the text is no part beside them.
+    return 2 * (tags[tag.closer].before - tag.before) <= length
+
+
 def lines_of(page: str) -> list[Line]:
     """The lines of a page in order, those of boilerplate included but marked as shut."""
+    tags, texts, length = tags_of(page)
+    articles = [k for k, tag in enumerate(tags) if tag.name in _ARTICLE and not tag.closing]
     lines: list[Line] = []
-    article = links = 0
-    shut: str | None = None  # the element that began the boilerplate at hand
+    article_end = -1  # the tag that ends the article at hand
+    links = 0
+    shut: Tag | None = None  # the element that began the boilerplate at hand
     depth = 0
     outer: Counter[str] = Counter()  # open blocks outside of boilerplate
     inner: list[str] = []  # those within boilerplate whose end tag may be left out, itself first
     line = Line(False, False)
 
-    def turn() -> None:
+    def turn(k: int) -> None:
         nonlocal line
         if line.parts:
             lines.append(line)
-        line = Line(article > 0, shut is not None)
-
-    def add(text: str) -> None:
-        if text:
-            line.parts.append(text)
-            if links:
-                line.linked += len(text)
-
-    at = 0
-    for token in _TOKEN.finditer(page):
-        add(page[at : token.start()])
-        at = token.end()
-        name = token[3] or token[6]
-        if name is None:
-            continue
-        name, closing = name.lower(), bool(token[2] or token[5])
-        attributes = (token[4] or token[7] or "")
-        alone = name in _VOID or attributes.endswith("/") and name in _INLINE
+        line = Line(k < article_end, shut is not None)
+
+    def add(stretches: list[tuple[int, int]]) -> None:
+        for s, e in stretches:
+            if e > s:
+                line.parts.append(page[s:e])
+                if links:
+                    line.linked += e - s
+
+    for k, tag in enumerate(tags):
+        add(texts[k])
+        name = tag.name
         if shut is not None:
-            if name in _ARTICLE and not closing and not article or name == "body" and shut == "head":
+            if name in _ARTICLE and not tag.closing and shut.closer is None and k >= article_end or name == "body" and shut.name == "head":
                 shut = None  # it was never closed
-            elif shut in _ENDED_BY and name not in _INLINE:
+            elif shut.name in _ENDED_BY and name not in _INLINE:
                 ended = False
-                if not closing:
+                if not tag.closing:
                     _imply_ends(inner, name)
-                    if inner and not alone:
+                    if inner and not tag.alone:
                         inner.append(name)
                 elif not _end(inner, name) and outer[name] and name != "p":
                     inner = []  # the end of its parent
@@ -161,33 +219,32 @@ def lines_of(page: str) -> list[Line]:
                     ended = not inner
                 if inner or ended:
                     shut = shut if inner else None
-                    turn()
+                    turn(k)
                     continue
                 shut = None
             else:
-                if name == shut and not alone:
-                    depth += -1 if closing else 1
+                if name == shut.name and not tag.alone:
+                    depth += -1 if tag.closing else 1
                     if depth == 0:
                         shut = None
-                        turn()
+                        turn(k)
                 elif name not in _INLINE:
-                    turn()
+                    turn(k)
                 continue
-        if not closing and not alone and name not in ("html", "body") and (name in _BOILERPLATE or name not in _ARTICLE and _is_marked(attributes)):
-            shut, depth, inner = name, 1, [name]
-            turn()
+        if not tag.closing and not tag.alone and _shuts(tags, k, articles, length):
+            shut, depth, inner = tag, 1, [name]
+            turn(k)
             continue
-        if name not in _INLINE and not alone:
-            outer[name] = max(0, outer[name] + (-1 if closing else 1))
-        if name in _ARTICLE:
-            article = max(0, article + (-1 if closing else 1))
-            turn()
-        elif name == "a":
-            links = 0 if closing else 1
+        if name not in _INLINE and not tag.alone:
+            outer[name] = max(0, outer[name] + (-1 if tag.closing else 1))
+        if not tag.closing and (name in _ARTICLE or _WHOLE.search(tag.attributes)):
+            article_end = max(article_end, len(tags) if tag.closer is None else tag.closer)
+        if name == "a":
+            links = 0 if tag.closing else 1
         elif name not in _INLINE:
-            turn()
-    add(page[at:])
-    turn()
+            turn(k)
+    add(texts[-1])
+    turn(len(tags))
     return lines
 
 
@@ -212,20 +269,22 @@ def kept_lines(weights: list[int], span: int, surge: int) -> list[bool]:
     return kept
 
 
+def weights_of(lines: list[Line], texts: list[str]) -> list[int]:
+    marked = any(line.article and text for line, text in zip(lines, texts))
+    spared = OUTSIDE if marked else 0
+    return [ARTICLE * len(text) if line.article else max(0, len(text) - line.linked - spared) for line, text in zip(lines, texts)]
+
+
 def main_text(page: str | None, span: int = SPAN, surge: int = SURGE) -> str:
     """The article's blocks, each with its white space as single spaces, joined by one space."""
-    lines = lines_of(page or "")
-    lines = [line for line in lines if not line.shut]  # they do not part the text around them
+    lines = [line for line in lines_of(page or "") if not line.shut]  # shut ones do not part the text around them
     texts = [" ".join(html.unescape("".join(line.parts)).split()) for line in lines]
-    marked = any(line.article and text for line, text in zip(lines, texts))
-    weights = [
-        0 if marked and not line.article else len(text) if marked else max(0, len(text) - line.linked)
-        for line, text in zip(lines, texts)
-    ]
+    lines, texts = [line for line, t in zip(lines, texts) if t], [t for t in texts if t]
+    weights = weights_of(lines, texts)
     # On a page of short texts only, the heaviest windows are the surge.
     sums = [sum(weights[i : i + span]) for i in range(len(weights))]
-    kept = kept_lines(weights, span, 1 if marked else min(surge, max(sums, default=0)))
-    return " ".join(t for t, k, line in zip(texts, kept, lines) if k and t and (line.article or not marked))
+    kept = kept_lines(weights, span, min(surge, max(sums, default=0)))
+    return " ".join(t for t, k in zip(texts, kept) if k)
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -67,6 +67,69 @@ def test_surge_and_dive():
     assert mainpage.kept_lines([], 3, 80) == []
 
 
+def test_boilerplate_keeps_its_articles():
+    body = " ".join(LONG.split())
+    assert mainpage.main_text(f"<main><p>{LONG}</p></main><aside><article><p>teaser</p></article></aside>") == body
+    assert mainpage.main_text(f"<aside><article><p>teaser</p></article></aside><div><p>{LONG}</p></div>") == body
+    assert mainpage.main_text(f"<form id=all><nav>x</nav><article><p>{LONG}</p></article></form>") == body
+
+
+def test_marks_of_layouts():
+    body = " ".join(LONG.split())
+    assert mainpage.main_text(f'<body><div class="layout with-sidebar"><p>{LONG}</p></div></body>') == body
+    assert mainpage.main_text(f'<div class="page hasSidebar no-footer"><p>{LONG}</p><div class="page-footer">x</div></div>') == body
+
+
+def _by_brute_force(weights, texts, span, surge):
+    """Keep every line that some reaching run of windows holds between its outermost lines of weight."""
+    n = len(weights)
+    surge = min(surge, max((sum(weights[i : i + span]) for i in range(n)), default=0))
+    kept = set()
+    for i in range(n):
+        for j in range(i, n):
+            runs = all(sum(weights[k : k + span]) for k in range(i, j + 1))
+            if runs and any(sum(weights[k : k + span]) >= surge for k in range(i, j + 1)):
+                heavy = [k for k in range(i, j + 1) if weights[k]]
+                kept |= set(range(heavy[0], heavy[-1] + 1)) if heavy else set()
+    return " ".join(t for k, t in enumerate(texts) if k in kept)
+
+
+def _layouts():
+    """Pages of random blocks, with and without an article, and what each line weighs."""
+    import random
+
+    r = random.Random(5)
+    for _ in range(300):
+        marked, blocks, weights, texts = r.random() < 0.5, [], [], []
+        for _ in range(r.randint(1, 14)):
+            text = " ".join("word" for _ in range(r.choice([1, 2, 3, 20, 80])))
+            kind = r.choice(["p", "link", "article" if marked else "p", "nav"])
+            blocks.append({"p": f"<p>{text}</p>", "link": f"<p><a href=x>{text}</a></p>", "article": f"<article>{text}</article>", "nav": f"<nav>{text}</nav>"}[kind])
+            if kind != "nav":
+                texts.append(text)
+                weights.append((kind, len(text)))
+        has = any(k == "article" for k, _ in weights)
+        spared = mainpage.OUTSIDE if has else 0
+        yield "".join(blocks), [mainpage.ARTICLE * n if k == "article" else 0 if k == "link" else max(0, n - spared) for k, n in weights], texts, has
+
+
+def test_whole_pages_by_brute_force():
+    for page, weights, texts, _ in _layouts():
+        assert mainpage.main_text(page) == _by_brute_force(weights, texts, mainpage.SPAN, mainpage.SURGE)
+
+
+def test_line_blocks_decide(monkeypatch):
+    made = [(page, mainpage.main_text(page), has) for page, _, _, has in _layouts()]
+    monkeypatch.setattr(mainpage, "kept_lines", lambda weights, span, surge: [True] * len(weights))
+    changed = [has for page, text, has in made if mainpage.main_text(page) != text]
+    assert changed.count(True) > 50 and changed.count(False) > 20
+
+
+def test_a_very_long_page():
+    page = f"<article>{f'<p>{LONG}</p><div class=ad>x</div>' * 20000}</article>"
+    assert len(mainpage.main_text(page)) == 20000 * (len(" ".join(LONG.split())) + 1) - 1
+
+
 def test_operator(spark):
     schema = "page_id long, url string, html string, text string, n_chars long"
     pages = spark.createDataFrame([(1, "u", f"<article>{LONG}</article>", "x", 1), (None, None, None, None, None), (1, "u", "", "x", 1)], schema)
