@@ -26,6 +26,14 @@ def test_ids_equal_the_tokenizers_library(reference, edge_rows):
         assert np.frombuffer(encoder.ids(text), "<u4").tolist() == reference(text)
 
 
+def test_very_long_runs(reference):
+    encoder = encoding.encoder(encoding.default_path())
+    n = 2_000_000
+    mixed = "<|endoftext|>" + " " * 150_000 + "<|endoftext|>" + "\n" * 150_000 + "the " + "\u3000" * 120_000
+    for text in (" " * n, "\n" * n, "a" * n, "x" + " " * n + "y", "x" + "\n" * n + "!", mixed):
+        assert np.frombuffer(encoder.ids(text), "<u4").tolist() == reference(text)
+
+
 def test_context_limits_by_brute_force(spark, edge_docs, edge_rows, reference):
     counts = Counter(len(reference(t)) for _, t, *_ in edge_rows)
     every = list(counts.elements())
