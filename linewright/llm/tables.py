@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,17 +13,31 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a local default only where none is set, as in tests."""
-    known = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """The folder named by spark.checkpoint.dir.
+
+    Where it is unset, a session on one machine (as in tests) gets a temporary one; on
+    several machines that would lose tables, so there it is an error.
+    """
+    conf = spark.sparkContext.getConf()
+    known = spark.conf.get("spark.checkpoint.dir", None) or conf.get("spark.checkpoint.dir")
     if known:
         return known.rstrip("/")
-    return "/tmp/linewright-checkpoints"
+    if not conf.get("spark.master", "").startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    made = tempfile.mkdtemp(prefix="linewright-")
+    spark.conf.set("spark.checkpoint.dir", made)
+    return made
 
 
 def cut(spark: SparkSession, frame: DataFrame, label: str) -> DataFrame:
-    """Write a frame to the shared folder and read it back: lost executors repeat nothing above it."""
+    """Write a frame to the shared folder and read it back: lost executors repeat nothing above it.
+
+    The table goes when the driver ends, since frames may read it until then.
+    """
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     frame.write.parquet(path)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
     return spark.read.schema(frame.schema).parquet(path)
 
 
