@@ -1,16 +1,18 @@
 """Best-fit packing of documents into training sequences.
 
-Tokenising is a narrow Arrow stage that keeps a few numbers for each piece. Pieces
-that fill a sequence are sequences of their own. The others are dealt by a hash of
-their document to lanes; each lane is an online best-fit over a bounded set of open
-bins: a bitset has one bit for each amount of free space that some open bin has, so
-the tightest bin that still fits is the lowest set bit at or above the piece's
-length. Where too many bins are open, the fullest closes. Pieces reach their lane sorted
-so that complements meet, which packs as tightly as best-fit over all pieces would.
+Tokenising is a narrow Arrow stage that keeps a few numbers for each piece, in a table of
+the shared folder. Pieces that fill a sequence are sequences of their own there. The
+others are dealt by their row number to lanes, where they arrive in order; each lane is an
+online best-fit over ``OPEN_BINS`` open bins: a bitset has one bit for each amount of free
+space that some open bin has, so the tightest bin that still fits is the lowest set bit
+at or above the piece's length. Where too many bins are open, the fullest closes. A lane
+looks ahead ``AHEAD`` pieces and places them so that complements meet (one that leaves r
+free just before those of length r, from the middle down), so few bins stay open long.
 
 Lanes grow in number with the table, never in size, so no task sees more than
-``lane_documents`` documents (in expectation), and a lane leaves at most ``open_bins``
-sequences unfilled.
+``LANE_PIECES`` pieces (in expectation); they follow the partitions of a shuffle where
+there are fewer pieces, but hold ``LEAST_PIECES`` as each leaves some sequences unfilled.
+A task that runs again reads the same table and packs alike.
 
 Cases: a null or empty text is one piece that holds the end id alone. Repeated rows
 are packed as often as they occur. An empty table gives no rows. Columns other than
@@ -31,10 +33,13 @@ from linewright.llm import encoding, tables
 
 CAPACITY = 1024
 END_ID = 2
-OPEN_BINS = 16384
-LANE_DOCUMENTS = 400_000
+OPEN_BINS = 1024
+AHEAD = 8192
+LANE_PIECES = 1 << 18
+LEAST_PIECES = 1 << 14
 
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
+_PLACED = f"{_PIECES}, sequence_id long, offset long"
 
 
 class OpenBins:
@@ -87,11 +92,14 @@ def cut_points(n: int, capacity: int) -> list[tuple[int, int]]:
 
 
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
-    """One row for each piece of each document, with the checksum of its ids."""
+    """One row for each piece of each document, with the checksum of its ids and the number of the row."""
     end = np.array([end_id], "<u4").tobytes()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
         encoder = encoding.encoder(path)
+        row_no = TaskContext.get().partitionId() << 40
         for batch in batches:
             rows: tuple[list, ...] = ([], [], [], [], [])
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
@@ -99,40 +107,61 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = E
                 for k, (start, length) in enumerate(cut_points(len(ids) // 4, capacity)):
                     for column, value in zip(rows, (doc_id, k, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)]))):
                         column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if i == 1 else pa.int64()) for i, c in enumerate(rows)], ["doc_id", "piece", "start", "length", "ids_crc32"])
+            n = len(rows[0])
+            columns = [pa.array(c, pa.int32() if i == 1 else pa.int64()) for i, c in enumerate(rows)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(np.arange(row_no, row_no + n))], ["doc_id", "piece", "start", "length", "ids_crc32", "row_no"])
+            row_no += n
 
-    return docs.select("doc_id", "text").mapInArrow(encode, _PIECES)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(encode, f"{_PIECES}, row_no long")
 
 
-def pack(made: DataFrame, lanes: int, capacity: int = CAPACITY, open_bins: int = OPEN_BINS) -> DataFrame:
-    """Give each piece a sequence and an offset in it."""
-
+def _placing(capacity: int, open_bins: int, ahead: int):
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         fresh = TaskContext.get().partitionId() << 40
         bins = OpenBins(open_bins)
-        for batch in batches:
-            sequences, offsets = [], []
-            for length in batch.column("length").to_pylist():
-                sequence, offset, new = bins.place(length, capacity, fresh)
+
+        def settle(held: pa.Table) -> pa.RecordBatch:
+            nonlocal fresh
+            lengths = held.column("length").to_numpy()
+            sequences, offsets = np.empty(len(lengths), np.int64), np.empty(len(lengths), np.int64)
+            left = np.minimum(lengths, capacity - lengths)
+            for i in np.lexsort((-lengths, -left)).tolist():
+                sequences[i], offsets[i], new = bins.place(int(lengths[i]), capacity, fresh)
                 fresh += new
-                sequences.append(sequence)
-                offsets.append(offset)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sequences, pa.int64()), pa.array(offsets, pa.int64())], [*batch.schema.names, "sequence_id", "offset"])
-
-    # Pieces that complement each other arrive together: a long one that leaves r free just before
-    # those of length r, from the middle down. The order is fixed by values, so a task that is run
-    # again packs alike.
-    dealt = made.repartition(lanes, F.xxhash64("doc_id", "ids_crc32"))
-    left = F.least(F.col("length"), F.lit(capacity) - F.col("length"))
-    ordered = dealt.sortWithinPartitions(left.desc(), F.desc("length"), "ids_crc32", "doc_id", "piece")
-    return ordered.mapInArrow(place, f"{_PIECES}, sequence_id long, offset long")
-
-
-def pack_documents(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, open_bins: int = OPEN_BINS, lane_documents: int = LANE_DOCUMENTS) -> DataFrame:
-    lanes = max(1, -(-docs.count() // lane_documents))
-    return pack(pieces(docs, path or encoding.default_path(), capacity), lanes, capacity, open_bins)
+            columns = [held.column(c).combine_chunks() for c in held.schema.names if c != "row_no"]
+            return pa.RecordBatch.from_arrays([*columns, pa.array(sequences), pa.array(offsets)], [f.split()[0] for f in _PLACED.split(", ")])
+
+        held: list[pa.RecordBatch] = []
+        waiting = 0
+        for batch in batches:
+            held.append(batch)
+            waiting += batch.num_rows
+            while waiting >= ahead:
+                table = pa.Table.from_batches(held)
+                yield settle(table.slice(0, ahead))
+                held = table.slice(ahead).to_batches()
+                waiting -= ahead
+        if waiting:
+            yield settle(pa.Table.from_batches(held))
+
+    return place
+
+
+def pack(made: DataFrame, lanes: int, capacity: int = CAPACITY, open_bins: int = OPEN_BINS, ahead: int = AHEAD) -> DataFrame:
+    """Give each piece a sequence and an offset in it; full ones are numbered below zero."""
+    full = made.filter(F.col("length") == capacity).withColumn("sequence_id", -1 - F.col("row_no")).withColumn("offset", F.lit(0).cast("long")).drop("row_no")
+    lane = made.filter(F.col("length") != capacity).repartition(lanes, "row_no").sortWithinPartitions("row_no")
+    return lane.mapInArrow(_placing(capacity, open_bins, ahead), _PLACED).unionByName(full)
+
+
+def pack_documents(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, open_bins: int = OPEN_BINS, lane_pieces: int = LANE_PIECES) -> DataFrame:
+    spark = docs.sparkSession
+    made = tables.cut(spark, pieces(docs, path or encoding.default_path(), capacity), "pieces")
+    n = made.filter(F.col("length") != capacity).count()
+    lanes = max(1, -(-n // lane_pieces), min(tables.partitions(spark), n // LEAST_PIECES))
+    return pack(made, lanes, capacity, open_bins)
 
 
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

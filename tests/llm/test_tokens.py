@@ -79,6 +79,7 @@ def test_packing(spark, edge_docs, edge_rows, reference):
     rows = packing.pack_documents(edge_docs).collect()
     ids = [(i, 1, reference(t)) for i, t, *_ in edge_rows]
     assert len(rows) == sum(len(packing.cut_points(len(x) + 1, 1024)) for _, _, x in ids)
+    assert all(r["length"] < 1024 or r["offset"] == 0 for r in rows)
     n = check_packing(rows, ids, 1024)
     assert n <= -(-sum(len(x) + 1 for _, _, x in ids) // 1024) + 2
 
@@ -105,3 +106,17 @@ def test_packing_wastes_little(spark, tiny):
     rows = packing.pack_documents(docs).collect()
     total = sum(r["length"] for r in rows)
     assert len({r["sequence_id"] for r in rows}) <= 1.005 * -(-total // 1024) + 1
+
+
+def test_the_bound_binds_and_many_lanes_pack_alike(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    made = packing.pieces(docs, encoding.default_path()).cache()
+    total = made.agg({"length": "sum"}).first()[0]
+    counts = {}
+    for bins in (8, packing.OPEN_BINS):
+        rows = packing.pack(made, 3, open_bins=bins).collect()
+        assert len(rows) == made.count() and {(r["doc_id"], r["piece"]) for r in rows} == {(r["doc_id"], r["piece"]) for r in made.collect()}
+        counts[bins] = len({r["sequence_id"] for r in rows})
+    assert counts[8] > counts[packing.OPEN_BINS]  # bins close before they are full
+    assert counts[packing.OPEN_BINS] <= 1.005 * -(-total // 1024)
+    made.unpersist()
