@@ -1,18 +1,22 @@
-"""License scan: Aho-Corasick over normalised words, shunting-yard over licence expressions.
+"""License scan: Aho-Corasick over words and tags, shunting-yard over licence expressions.
 
 A text is lower-cased (A-Z only) and cut into words of digits, small letters and
-non-ASCII characters; one automaton finds all notice phrases and identifier tags in one
-pass over the words joined by single spaces. A notice phrase gives its label. Behind an
-identifier tag stands an expression of licence names, and / or / with and parentheses; a
-shunting-yard parser turns it into postfix order and evaluates it to the labels that it
-names and to whether every choice it leaves is permissive.
+non-ASCII characters; one automaton finds all notice phrases in one pass over the words
+joined by single spaces. A notice phrase gives its label. A second automaton finds the
+identifier tags in the lower-cased text itself. Behind a tag stands an expression of
+licence names, and / or / with and parentheses up to the end of its line; a shunting-yard
+parser turns it into postfix order and evaluates it to the labels that it names and to
+whether every choice it leaves is permissive. Names are matched whole (a trailing + means
+later versions), and what follows ``with`` must be a known exception. Tags that plain
+prose may hold (package fields, ``@license``) count only where the expression is whole and
+all its names are known.
 
 Score: 1.0 for a tag with a well-formed expression; 0.9 for a base phrase; 0.7 for another
-phrase; 0.5 for a tag whose expression is broken (the names in it still count); else 0.
+phrase; 0.5 for an SPDX tag whose expression is broken (the names in it still count); else 0.
 
 Cases: a null or empty text has no words and no labels. Repeated rows are reported alike.
 A null doc_id stays null. An empty table gives no rows. Columns other than doc_id and
-text are ignored.
+text are ignored. Work grows with the length of a text and its hits.
 """
 
 from __future__ import annotations
@@ -51,41 +55,101 @@ PHRASES = (
     ("cc0 1 0", "cc0"),
     ("all rights reserved", "proprietary"),
 )
-TAG = "spdx license identifier"
-#: Labels by the start of a licence name in an expression; the longest start counts.
-NAMES = {
-    "mit": "mit", "apache-2": "apache-2", "gpl-2": "gpl-2", "gpl-3": "gpl-3", "lgpl": "lgpl", "agpl-3": "agpl-3",
-    "mpl-2": "mpl-2", "bsd": "bsd", "isc": "isc", "cc-by": "cc-by", "cc-by-sa": "cc-by-sa", "cc-by-nc": "cc-by-nc", "cc0": "cc0",
+#: Identifier tags as they stand before an expression; True where the tag is used for nothing else.
+TAGS = {
+    "spdx-license-identifier:": True,
+    "license-expression:": True,
+    "@license": False,
+    "license:": False,
+    '"license":': False,
+    "license =": False,
+}
+
+_LATER = ("", "+", "-only", "-or-later")
+#: Licence names by family: stem, versions, endings, label ({} is the version's first number), permissive.
+FAMILIES = (
+    ("gpl", "1.0 2.0 3.0", _LATER, "gpl-{}", False),
+    ("lgpl", "2.0 2.1 3.0", _LATER, "lgpl", False),
+    ("agpl", "1.0 3.0", _LATER, "agpl-{}", False),
+    ("gfdl", "1.1 1.2 1.3", _LATER, "gfdl", False),
+    ("apache", "1.0 1.1 2.0", ("",), "apache-{}", True),
+    ("mpl", "1.0 1.1 2.0 2.0-no-copyleft-exception", ("",), "mpl-{}", False),
+    ("epl", "1.0 2.0", ("",), "epl-{}", False),
+    ("eupl", "1.0 1.1 1.2", ("",), "eupl", False),
+    ("cddl", "1.0 1.1", ("",), "cddl", False),
+    ("osl", "1.0 1.1 2.0 2.1 3.0", ("",), "osl", False),
+    ("cecill", "1.0 1.1 2.0 2.1 b c", ("",), "cecill", False),
+    ("lppl", "1.0 1.1 1.2 1.3a 1.3c", ("",), "lppl", False),
+    ("artistic", "1.0 2.0", ("",), "artistic", True),
+    ("afl", "1.1 1.2 2.0 2.1 3.0", ("",), "afl", True),
+    ("ofl", "1.0 1.1", ("",), "ofl", True),
+    ("zpl", "1.1 2.0 2.1", ("",), "zpl", True),
+    ("php", "3.0 3.01", ("",), "php", True),
+    ("ecl", "1.0 2.0", ("",), "ecl", True),
+    ("python", "2.0 2.0.1", ("",), "python", True),
+    ("bsd", "1 2 3 4", ("-clause", "-clause-patent", "-clause-clear", "-clause-attribution", "-clause-uc"), "bsd", True),
+    ("cc-by", "1.0 2.0 2.5 3.0 4.0", ("",), "cc-by", True),
+    *((f"cc-by-{kind}", "1.0 2.0 2.5 3.0 4.0", ("",), f"cc-by-{kind}", False) for kind in ("sa", "nd", "nc", "nc-sa", "nc-nd")),
+)
+#: Names outside of the families, and short forms in common use, with label and permissive.
+SINGLE = {
+    **{name: (name, True) for name in "mit mit-0 isc x11 zlib unlicense wtfpl ncsa postgresql curl libpng openssl ruby vim ftl ijg json psf-2.0 upl-1.0 bsl-1.0".split()},
+    **{name: (name, False) for name in "ms-rl sleepycat cpl-1.0 ssp-1.0 busl-1.1 sspl-1.0 proprietary unlicensed".split()},
+    **{name: ("bsd", True) for name in "0bsd bsd".split()},
+    **{name: ("cc0", True) for name in "cc0 cc0-1.0".split()},
+    **{name: ("apache-2", True) for name in "apache-2 apache2".split()},
+    **{f"{stem}{form}{v}": (f"{stem}-{v}", False) for stem in ("gpl", "agpl") for form in ("-", "v") for v in (2, 3)},
+    **{f"lgpl{form}": ("lgpl", False) for form in ("", "-2", "-3", "v2", "v3")},
+    **{name: (name, name == "cc-by") for name in "cc-by cc-by-sa cc-by-nd cc-by-nc cc-by-nc-sa cc-by-nc-nd".split()},
+    "mpl-2": ("mpl-2", False), "ms-pl": ("ms-pl", True), "python": ("python", True),
 }
-PERMISSIVE = {"mit", "apache-2", "bsd", "isc", "cc-by", "cc0"}
+#: Exceptions that may follow ``with``.
+EXCEPTIONS = set(
+    "389-exception autoconf-exception-2.0 autoconf-exception-3.0 bison-exception-2.2 bootloader-exception classpath-exception-2.0 clisp-exception-2.0 "
+    "ecos-exception-2.0 fltk-exception font-exception-2.0 freertos-exception-2.0 gcc-exception-2.0 gcc-exception-3.1 gpl-cc-1.0 libtool-exception "
+    "linux-syscall-note llvm-exception lzma-exception mif-exception nokia-qt-exception-1.1 ocaml-lgpl-linking-exception openvpn-openssl-exception "
+    "qt-gpl-exception-1.0 qt-lgpl-exception-1.1 qwt-exception-1.0 swift-exception u-boot-exception-2.0 universal-foss-exception-1.0 wxwindows-exception-3.1".split()
+)
+NAMES = SINGLE | {
+    f"{stem}-{version}{ending}": (label.format(version[0]), free) for stem, versions, endings, label, free in FAMILIES for version in versions.split() for ending in endings
+}
 
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 #: Bytes of the text to bytes of the words: small letters, digits and non-ASCII stay, all else is a space.
 _WORDS = bytes(c if c >= 128 or 97 <= c <= 122 or 48 <= c <= 57 else 32 for c in _LOWER)
-_TAG_LINE = re.compile(r"[Ss][Pp][Dd][Xx]-[Ll][Ii][Cc][Ee][Nn][Ss][Ee]-[Ii][Dd][Ee][Nn][Tt][Ii][Ff][Ii][Ee][Rr]:([^\n]*)")
 _TOKEN = re.compile(r"[()]|[A-Za-z0-9.+-]+")
+_STOP = re.compile("[,;{}]")
+_SPACE = re.compile(" ")
 _RANK = {"or": 1, "and": 2, "with": 3}
 
 
 @lru_cache(maxsize=1)
-def _automaton():
+def _automata():
+    """The automaton of phrases over joined words and that of tags over the text."""
     import ahocorasick
 
-    made = ahocorasick.Automaton()
+    phrases, tags = ahocorasick.Automaton(), ahocorasick.Automaton()
     for phrase, label in PHRASES:
-        made.add_word(f" {phrase} ", (phrase, label, False))
+        phrases.add_word(f" {phrase} ", (phrase, label, False))
     for phrase, label in BASE:
-        made.add_word(f" {phrase} ", (phrase, label, True))
-    made.add_word(f" {TAG} ", (TAG, None, False))
-    made.make_automaton()
-    return made
+        phrases.add_word(f" {phrase} ", (phrase, label, True))
+    for tag, only in TAGS.items():
+        tags.add_word(tag, (tag, only))
+    phrases.make_automaton()
+    tags.make_automaton()
+    return phrases, tags
 
 
-def label_of(name: str) -> str:
-    """The label of a licence name: that of its longest known start, or the name itself."""
+def known(name: str) -> tuple[str, bool] | None:
+    """Label and permissive of a licence name, whatever its case; None if it is not in the table."""
     name = name.lower()
-    starts = [s for s in NAMES if name.startswith(s)]
-    return NAMES[max(starts, key=len)] if starts else name
+    return NAMES.get(name) or (NAMES.get(name[:-1]) if name.endswith("+") else None)
+
+
+def label_of(name: str) -> str:
+    """The label of a licence name, or the name itself."""
+    found = known(name)
+    return found[0] if found else name.lower()
 
 
 def to_postfix(tokens: list[str]) -> list[str] | None:
@@ -124,33 +188,35 @@ def to_postfix(tokens: list[str]) -> list[str] | None:
     return out + stack[::-1]
 
 
-def evaluate(postfix: list[str]) -> tuple[set[str], bool]:
-    """The labels of an expression, and whether it can be met by permissive licences alone."""
-    stack: list[tuple[set[str], bool]] = []
+def evaluate(postfix: list[str]) -> tuple[set[str], bool] | None:
+    """The labels of an expression, and whether it can be met by permissive licences alone; None if an exception is unknown."""
+    stack: list[tuple[set[str], bool, str]] = []
     for token in postfix:
         if token not in _RANK:
-            label = label_of(token)
-            stack.append(({label}, label in PERMISSIVE))
+            found = known(token)
+            stack.append(({label_of(token)}, bool(found and found[1]), token.lower()))
             continue
         right, left = stack.pop(), stack.pop()
         if token == "with":  # the right side names an exception, not a licence
-            stack.append(left)
+            if right[2] not in EXCEPTIONS or not left[2]:
+                return None
+            stack.append((left[0], left[1], ""))
         elif token == "and":
-            stack.append((left[0] | right[0], left[1] and right[1]))
+            stack.append((left[0] | right[0], left[1] and right[1], ""))
         else:
-            stack.append((left[0] | right[0], left[1] or right[1]))
-    return stack[0]
+            stack.append((left[0] | right[0], left[1] or right[1], ""))
+    return stack[0][:2]
 
 
-def expression(line: str) -> tuple[set[str], bool, bool]:
-    """Labels, permissive, and whether the expression behind a tag is well formed.
+def expression(line: str) -> tuple[set[str], bool, bool, bool]:
+    """Labels, permissive, whether the expression behind a tag is well formed, and whether all its names are known.
 
-    The expression ends where words stop alternating with operators, so prose that follows
-    on the line does not belong to it.
+    The expression ends at a comma, semicolon or brace and where words stop alternating with
+    operators, so what follows on the line does not belong to it.
     """
     tokens: list[str] = []
     depth, operand = 0, False
-    for token in _TOKEN.findall(line):
+    for token in _TOKEN.findall(_STOP.split(line, 1)[0]):
         kind = token.lower()
         if operand and (token == "(" or (kind not in _RANK and token != ")")):
             break
@@ -159,10 +225,27 @@ def expression(line: str) -> tuple[set[str], bool, bool]:
         depth += (token == "(") - (token == ")")
         operand = token == ")" or (token != "(" and kind not in _RANK)
         tokens.append(token)
+    names = [t for t in tokens if t.lower() not in _RANK and t not in "()" and t.lower() not in EXCEPTIONS]
+    whole = bool(names) and all(map(known, names))
     postfix = to_postfix(tokens)
-    if postfix is None:
-        return {label_of(t) for t in tokens if t.lower() not in _RANK and t not in "()"}, False, False
-    return (*evaluate(postfix), True)
+    found = evaluate(postfix) if postfix is not None else None
+    if found is None:
+        return {label_of(t) for t in names}, False, False, whole
+    return (*found, True, whole)
+
+
+def tagged(text: str, lowered: str) -> list[tuple[set[str], bool, bool]]:
+    """Labels, permissive and well formed of the expressions behind tags, in the order of the text."""
+    out = []
+    for last, (tag, only) in _automata()[1].iter(lowered):
+        start = last - len(tag) + 1
+        if start and tag[0].isalnum() and (lowered[start - 1].isalnum() or lowered[start - 1] in "-_."):
+            continue  # the end of a longer word
+        stop = text.find("\n", last + 1)
+        labels, free, whole, all_known = expression(text[last + 1 : len(text) if stop < 0 else stop])
+        if only or whole and all_known:
+            out.append((labels, free, whole))
+    return out
 
 
 def scan_text(text: str | None) -> tuple:
@@ -173,23 +256,20 @@ def scan_text(text: str | None) -> tuple:
     places: list[int] = []
     base: set[str] = set()
     labels: set[str] = set()
-    score, permissive, tagged = 0.0, None, False
-    for end, (phrase, label, is_base) in _automaton().iter(joined):
-        if label is None:
-            tagged = True
-            continue
+    score, permissive = 0.0, None
+    for end, (phrase, label, is_base) in _automata()[0].iter(joined):
         labels.add(label)
         score = max(score, 0.9 if is_base else 0.7)
         if is_base:
             base.add(label)
-            places.append(joined.count(" ", 0, end - len(phrase) - 1))
-    if tagged:
-        for line in _TAG_LINE.findall(text or ""):
-            named, free, whole = expression(line)
-            labels |= named
-            permissive = free if permissive is None else permissive and free
-            score = max(score, 1.0 if whole else 0.5)
-    first, last = (min(places), max(places)) if places else (None, None)
+            places.append(end - len(phrase) - 1)
+    for named, free, whole in tagged(text or "", raw.translate(_LOWER).decode()):
+        labels |= named
+        permissive = free if permissive is None else permissive and free
+        score = max(score, 1.0 if whole else 0.5)
+    first = last = None
+    if places:  # the spaces before a place are the number of its first word
+        first, last = (sum(1 for _ in _SPACE.finditer(joined, 0, at)) for at in (min(places), max(places)))
     return len(words), len(places), first, last, ",".join(sorted(base)), ",".join(sorted(labels)), score, permissive
 
 
