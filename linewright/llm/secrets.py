@@ -9,6 +9,11 @@ range check, and each part meets one scope). In a scope that has a secret (assig
 hex or key) besides an identifier (access or ident) or an endpoint, weak parts are kept,
 but for those that overlap a strong one.
 
+Texts are scanned once; their spans go to a table of the shared folder with a number for
+each row, by which parts are linked. Only rows whose spans could complement each other
+are shuffled. Work grows with the length of a text times the number of its spans over
+``FOLD``, as running sums and masks are built in folds.
+
 Cases: a null or empty text has no spans. Repeated rows are reported alike. A null doc_id
 stays null. An empty table gives no rows. Columns other than doc_id and text are ignored
 by the report; ``redact`` returns the columns it was given.
@@ -55,32 +60,34 @@ _TESTS = {"hex": "[0-9a-f]{24}", "access": "AKIA[A-Z0-9]{16}"}
 _SPANS = "array<struct<s:int,e:int,ok:boolean>>"
 
 
+def running(values: Column, op, kind: str = "int") -> Column:
+    """For each value the fold of those before it, from 0 on; in folds of FOLD values, since arrays are copied as they grow."""
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(values) - 1) / FOLD).cast("int")), lambda b: F.slice(values, b * FOLD + 1, F.lit(FOLD)))
+    zero = F.lit(0).cast(kind).alias("at")
+
+    def fold(block: Column) -> Column:
+        step = lambda acc, x: F.struct(op(acc["at"], x).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
+        return F.aggregate(block, F.struct(zero, F.array().cast(f"array<{kind}>").alias("out")), step)
+
+    def chain(acc: Column, f: Column) -> Column:
+        moved = F.transform(f["out"], lambda y: op(acc["at"], y))
+        return F.struct(op(acc["at"], f["at"]).alias("at"), F.concat(acc["outs"], F.array(moved)).alias("outs"))
+
+    start = F.struct(zero, F.array().cast(f"array<array<{kind}>>").alias("outs"))
+    return F.when(F.size(values) > 0, F.flatten(F.aggregate(F.transform(blocks, fold), start, chain)["outs"])).otherwise(F.array().cast(f"array<{kind}>"))
+
+
 def spans(text: Column, pattern: str, group: int, least: int) -> Column:
     """Start and end, in code points, of the leftmost non-overlapping matches, with whether the group is long enough.
 
-    The text between matches gives the gaps; running sums of gaps and matches give the
-    places. Sums run in folds of FOLD matches, so their cost stays linear in practice.
+    The text between matches gives the gaps; running sums of gaps and matches give the places.
     """
     # A run of a class is matched whole, so the shorter runs between can be left out from the start.
     used = {"[0-9a-f]+": "[0-9a-f]{24,}", "AKIA[A-Z0-9]+": "AKIA[A-Z0-9]{16,}"}.get(pattern, pattern)
 
     def places(found: Column) -> Column:
-        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(found) - 1) / FOLD).cast("int")), lambda b: F.slice(found, b * FOLD + 1, F.lit(FOLD)))
-
-        def fold(block: Column) -> Column:
-            def step(acc: Column, x: Column) -> Column:
-                start = acc["at"] + x["gap"]
-                span = F.struct(start.alias("s"), (start + x["len"]).alias("e"), x["ok"].alias("ok"))
-                return F.struct((start + x["len"]).alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
-
-            return F.aggregate(block, F.struct(F.lit(0).alias("at"), F.array().cast(_SPANS).alias("out")), step)
-
-        def chain(acc: Column, f: Column) -> Column:
-            moved = F.transform(f["out"], lambda y: F.struct((y["s"] + acc["at"]).alias("s"), (y["e"] + acc["at"]).alias("e"), y["ok"].alias("ok")))
-            return F.struct((acc["at"] + f["at"]).alias("at"), F.concat(acc["outs"], F.array(moved)).alias("outs"))
-
-        zero = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{_SPANS}>").alias("outs"))
-        return F.flatten(F.aggregate(F.transform(blocks, fold), zero, chain)["outs"])
+        before = running(F.transform(found, lambda x: x["gap"] + x["len"]), lambda a, b: a + b)
+        return F.zip_with(found, before, lambda x, at: F.struct((at + x["gap"]).alias("s"), (at + x["gap"] + x["len"]).alias("e"), x["ok"].alias("ok")))
 
     gaps = F.transform(F.split(text, used, -1), lambda p: F.length(p))
     hits = F.regexp_extract_all(text, F.lit(used), F.lit(0))
@@ -91,7 +98,7 @@ def spans(text: Column, pattern: str, group: int, least: int) -> Column:
     )
     found = F.filter(rows, lambda x: x["len"].isNotNull())
     none = F.array().cast(_SPANS)
-    return F.when(text.rlike(_TESTS.get(_name(pattern), used)), let(found, lambda f: F.when(F.size(f) > 0, places(f)).otherwise(none))).otherwise(none)
+    return F.when(text.rlike(_TESTS.get(_name(pattern), used)), let(found, places)).otherwise(none)
 
 
 def _name(pattern: str) -> str:
@@ -112,12 +119,27 @@ def _ranked(kinds: tuple, text: Column) -> Column:
     return F.flatten(F.array(*arrays))
 
 
+def _is(rank: Column, names: tuple[str, ...]) -> Column:
+    return rank.isin(*[i for i, (k, *_) in enumerate(KINDS) if k in names])
+
+
 def _role(names: tuple[str, ...]) -> Column:
-    return F.col("rank").isin(*[i for i, (k, *_) in enumerate(KINDS) if k in names])
+    return _is(F.col("rank"), names)
+
+
+def _apart(parts: DataFrame) -> DataFrame:
+    """The parts without weak ones that overlap a strong one."""
+    order = Window.partitionBy("key").orderBy("s", "rank", "e")
+    strong = F.col("rank") < len(STRONG)
+    before = F.max(F.when(strong, F.col("e"))).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    after = F.min(F.when(strong, F.col("s"))).over(order.rowsBetween(1, Window.unboundedFollowing))
+    met = F.coalesce(before > F.col("s"), F.lit(False)) | F.coalesce(after < F.col("e"), F.lit(False))
+    return parts.withColumn("_met", met).filter(strong | ~F.col("_met")).drop("_met")
 
 
 def link(parts: DataFrame) -> DataFrame:
-    """The weak parts (key, s, rank, e) that complementary parts of their scope confirm."""
+    """The weak parts (key, s, rank, e) that complementary parts of their scope confirm; key stands for one text."""
+    parts = _apart(parts)
     order = Window.partitionBy("key").orderBy("s", "rank", "e")
     reach = F.max("e").over(order.rowsBetween(Window.unboundedPreceding, -1))
     opened = parts.withColumn("_new", F.when(F.col("s") - reach <= REACH, 0).otherwise(1))
@@ -135,15 +157,18 @@ def link(parts: DataFrame) -> DataFrame:
 def _found(docs: DataFrame, carried: list[Column]) -> DataFrame:
     """The carried columns with _strong and _weak, arrays of (s, rank, e)."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    key = F.xxhash64("doc_id", "text")
-    strong = F.array_sort(_ranked(STRONG, text))
-    scanned = docs.select(key.alias("key"), strong.alias("_strong"), *carried)
-    weak = docs.filter(F.col("text").rlike("|".join(p for _, p, _, _ in WEAK)))
-    weak = weak.select(key.alias("key"), strong.alias("_strong"), _ranked(WEAK, text).alias("_weak"))
-    clear = F.filter("_weak", lambda w: ~F.exists("_strong", lambda x: (w["s"] < x["e"]) & (x["s"] < w["e"])))
-    parts = weak.select("key", F.explode(F.concat("_strong", clear)).alias("p")).select("key", "p.s", "p.rank", "p.e").distinct()
-    linked = link(parts).groupBy("key").agg(F.collect_list(F.struct("s", "rank", "e")).alias("_weak"))
-    return scanned.join(linked, "key", "left").withColumn("_weak", F.coalesce("_weak", F.array().cast("array<struct<s:int,rank:int,e:int>>"))).drop("key")
+    none = F.array().cast("array<struct<s:int,rank:int,e:int>>")
+    weak = F.when(text.rlike("|".join(p for _, p, _, _ in WEAK)), _ranked(WEAK, text)).otherwise(none)
+    scanned = docs.select(F.monotonically_increasing_id().alias("_key"), F.array_sort(_ranked(STRONG, text)).alias("_strong"), weak.alias("_weak"), *carried)
+    scanned = tables.cut(docs.sparkSession, scanned, "spans")
+
+    has = lambda names: F.exists("_strong", lambda x: _is(x["rank"], names)) | F.exists("_weak", lambda x: _is(x["rank"], names))
+    open_ = (F.size("_weak") > 0) & has(SECRETS) & has(IDENTIFIERS + ENDPOINTS)
+    asked = scanned.filter(open_)
+    parts = asked.select(F.col("_key").alias("key"), F.explode(F.concat("_strong", "_weak")).alias("p")).select("key", "p.s", "p.rank", "p.e")
+    linked = link(parts).groupBy(F.col("key").alias("_key")).agg(F.collect_list(F.struct("s", "rank", "e")).alias("_linked"))
+    asked = asked.drop("_weak").join(linked, "_key", "left").withColumn("_weak", F.coalesce("_linked", none)).drop("_linked")
+    return scanned.filter(~open_).withColumn("_weak", none).unionByName(asked).drop("_key")
 
 
 def _written(found: Column) -> Column:
@@ -167,22 +192,30 @@ def redact(docs: DataFrame) -> DataFrame:
     """The documents with every span replaced by MASK; n_chars, where there is one, follows the text."""
     found = _found(docs, [F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row")])
 
-    def merge(acc: Column, x: Column) -> Column:
-        last = F.element_at(acc, -1)
-        joined = F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(last["s"].alias("s"), F.greatest(last["e"], x["e"]).alias("e"))))
-        return F.when((F.size(acc) > 0) & (F.get(acc, F.size(acc) - 1)["e"] > x["s"]), joined).otherwise(F.concat(acc, F.array(F.struct(x["s"].alias("s"), x["e"].alias("e")))))
-
-    none = F.array().cast("array<struct<s:int,e:int>>")
-    merged = F.aggregate(F.array_sort(F.concat("_strong", "_weak")), none, merge)
     text = F.col("_row.text")
 
-    def rebuilt(m: Column) -> Column:
-        start = lambda i: F.when(i > 0, F.get(m, i - 1)["e"]).otherwise(0)
-        pieces = F.transform(F.sequence(F.lit(0), F.size(m)), lambda i: F.substring(text, start(i) + 1, F.coalesce(F.get(m, i)["s"], F.length(text)) - start(i)))
-        return F.array_join(pieces, MASK)
+    def rebuilt(found: Column) -> Column:
+        """The text between the spans and a mask for each run of overlapping ones, in blocks of FOLD spans."""
+        reach = running(F.transform(found, lambda x: x["e"]), F.greatest)
+        placed = F.zip_with(found, reach, lambda x, r: F.struct(x["s"].alias("s"), x["e"].alias("e"), r.alias("r")))
+
+        def block(own: Column) -> Column:
+            def masked(stretch: Column) -> Column:
+                before = lambda x: F.substring(stretch, x["r"] - own[0]["r"] + 1, x["s"] - x["r"])
+                return F.array_join(F.transform(own, lambda x: F.when(x["s"] >= x["r"], F.concat(before(x), F.lit(MASK))).otherwise("")), "")
+
+            return let(F.substring(text, own[0]["r"] + 1, F.element_at(own, -1)["s"] - own[0]["r"]), masked)
+
+        def joined(m: Column) -> Column:
+            starts = F.sequence(F.lit(1), F.size(m), F.lit(FOLD))
+            blocks = F.transform(starts, lambda at: let(F.slice(m, at, F.lit(FOLD)), block))
+            last = F.greatest(F.element_at(m, -1)["r"], F.element_at(m, -1)["e"])
+            return F.concat(F.array_join(blocks, ""), F.substring(text, last + 1, F.length(text)))
+
+        return let(placed, joined)
 
     some = F.size(F.col("_strong")) + F.size(F.col("_weak")) > 0
-    clean = found.withColumn("_text", F.when(some, let(merged, rebuilt)).otherwise(text))
+    clean = found.withColumn("_text", F.when(some, let(F.array_sort(F.concat("_strong", "_weak")), rebuilt)).otherwise(text))
     length = {"n_chars": F.when(some, F.length("_text")).otherwise(F.col("_row.n_chars")).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {}
     return clean.select(*(F.col("_text").alias(c) if c == "text" else length[c].alias(c) if c in length else F.col(f"_row.`{c}`").alias(c) for c in docs.columns))
 

@@ -142,6 +142,33 @@ def test_secrets_run_without_python(spark, edge_docs):
     assert "Python" not in secrets.scan(edge_docs)._jdf.queryExecution().toString()
 
 
+def test_repeated_rows_and_ids_of_several_texts(spark):
+    rows = [(1, SECRETS[0]), (1, SECRETS[0]), (1, SECRETS[2]), (None, SECRETS[0]), (None, None)]
+    got = secrets.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    whole = "ident:0:10,key:11:27,endpoint:31:58"
+    assert sorted((repr(r["doc_id"]), r["spans"]) for r in got) == [("1", ""), ("1", whole), ("1", whole), ("None", ""), ("None", whole)]
+
+
+def test_very_many_spans(spark):
+    text = "é token=abcdefgh user=bob pwd=longsecret9\n" * 5000
+    frame = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    row = secrets.scan(frame).first()
+    assert row["n_assign"] == 5000 and tuple(row)[1:5] == plain_secrets(text) and row["spans"].count(",") == 3 * 5000 - 1
+    assert secrets.redact(frame).first()["text"] == "é [SECRET] [SECRET] [SECRET]\n" * 5000
+
+
+def test_redaction_by_brute_force(spark):
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(SECRETS) if t], "doc_id long, text string")
+    spans = {r["doc_id"]: r["spans"] for r in secrets.scan(frame).collect()}
+    for row in secrets.redact(frame).collect():
+        text, out, at = SECRETS[row["doc_id"]], [], 0
+        for s, e in (map(int, x.split(":")[1:]) for x in spans[row["doc_id"]].split(",") if x):
+            if s >= at:
+                out += [text[at:s], secrets.MASK]
+            at = max(at, e)
+        assert row["text"] == "".join(out) + text[at:]
+
+
 def test_redaction(spark, edge_docs, edge_rows):
     frame = spark.createDataFrame([(i, t, len(t) if t else None) for i, t in enumerate(SECRETS)], "doc_id long, text string, n_chars long")
     rows = {r["doc_id"]: r for r in secrets.redact(frame).collect()}
