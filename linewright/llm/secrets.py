@@ -62,7 +62,6 @@ _SPANS = "array<struct<s:int,e:int,ok:boolean>>"
 
 def running(values: Column, op, kind: str = "int") -> Column:
     """For each value the fold of those before it, from 0 on; in folds of FOLD values, since arrays are copied as they grow."""
-    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(values) - 1) / FOLD).cast("int")), lambda b: F.slice(values, b * FOLD + 1, F.lit(FOLD)))
     zero = F.lit(0).cast(kind).alias("at")
 
     def fold(block: Column) -> Column:
@@ -73,8 +72,12 @@ def running(values: Column, op, kind: str = "int") -> Column:
         moved = F.transform(f["out"], lambda y: op(acc["at"], y))
         return F.struct(op(acc["at"], f["at"]).alias("at"), F.concat(acc["outs"], F.array(moved)).alias("outs"))
 
-    start = F.struct(zero, F.array().cast(f"array<array<{kind}>>").alias("outs"))
-    return F.when(F.size(values) > 0, F.flatten(F.aggregate(F.transform(blocks, fold), start, chain)["outs"])).otherwise(F.array().cast(f"array<{kind}>"))
+    def folded(held: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(held) - 1) / FOLD).cast("int")), lambda b: F.slice(held, b * FOLD + 1, F.lit(FOLD)))
+        start = F.struct(zero, F.array().cast(f"array<array<{kind}>>").alias("outs"))
+        return F.when(F.size(held) > 0, F.flatten(F.aggregate(F.transform(blocks, fold), start, chain)["outs"])).otherwise(F.array().cast(f"array<{kind}>"))
+
+    return let(values, folded)
 
 
 def spans(text: Column, pattern: str, group: int, least: int) -> Column:
@@ -132,7 +135,8 @@ def _apart(parts: DataFrame) -> DataFrame:
     order = Window.partitionBy("key").orderBy("s", "rank", "e")
     strong = F.col("rank") < len(STRONG)
     before = F.max(F.when(strong, F.col("e"))).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    after = F.min(F.when(strong, F.col("s"))).over(order.rowsBetween(1, Window.unboundedFollowing))
+    back = Window.partitionBy("key").orderBy(F.desc("s"), F.desc("rank"), F.desc("e"))  # a frame up to the last row would be summed anew for every row
+    after = F.min(F.when(strong, F.col("s"))).over(back.rowsBetween(Window.unboundedPreceding, -1))
     met = F.coalesce(before > F.col("s"), F.lit(False)) | F.coalesce(after < F.col("e"), F.lit(False))
     return parts.withColumn("_met", met).filter(strong | ~F.col("_met")).drop("_met")
 
