@@ -14,22 +14,27 @@ def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
 
     Each round takes the smallest label among a node's neighbours, then follows labels
     one step (the label of the label), so chains shrink geometrically. Labels are written
-    to the shared folder each round; only the number of changes comes to the driver.
+    to the shared folder each round; only the number of changes comes to the driver. Nodes
+    with very many edges, and labels of very many nodes, are looked up by broadcast.
     """
     a, b = F.col("a"), F.col("b")
     both = edges.filter(a != b).select(a, b).unionByName(edges.filter(a != b).select(b.alias("a"), a.alias("b"))).distinct()
     both = tables.cut(spark, both, "edges")
-    labels = both.groupBy(a.alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("root"))
+    n_edges = both.count()
+    labels = both.groupBy(a.alias("node")).agg(F.min("b").alias("m"), F.count("*").alias("_n")).select("node", F.least("node", "m").alias("root"), "_n")
     labels = tables.cut(spark, labels, "labels")
+    n_nodes = labels.count()
     while True:
-        near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("root").alias("m"))
-        lower = labels.join(near, labels["node"] == near["a"]).select("node", F.col("root").alias("old"), F.least("root", "m").alias("root"))
-        jump = labels.select(F.col("node").alias("root"), F.col("root").alias("above"))
-        moved = lower.join(jump, "root").select("node", "old", F.least("root", "above").alias("root"))
-        moved = tables.cut(spark, moved, "labels")
-        labels = moved.select("node", "root")
+        near = tables.attach(both, labels.withColumnRenamed("node", "b"), ["b"], n_edges).groupBy("a").agg(F.min("root").alias("m"))
+        lower = labels.join(near, labels["node"] == near["a"]).select("node", F.col("root").alias("old"), F.least("root", "m").alias("root"), "_n")
+        lower = tables.cut(spark, lower, "lower")
+        held = lower.groupBy("root").agg(F.count("*").alias("_held"))
+        jump = held.join(labels.select(F.col("node").alias("root"), F.col("root").alias("above")), "root").withColumnRenamed("_held", "_n")
+        moved = tables.attach(lower.withColumnRenamed("_n", "_degree"), jump, ["root"], n_nodes)
+        moved = tables.cut(spark, moved.select("node", "old", F.least("root", "above").alias("root"), F.col("_degree").alias("_n")), "labels")
+        labels = moved.select("node", "root", "_n")
         if moved.filter(F.col("root") != F.col("old")).isEmpty():
-            return labels
+            return labels.drop("_n")
 
 
 def local_roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:

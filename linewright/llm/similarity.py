@@ -6,13 +6,14 @@
 2. 128 MinHash values in 32 bands of 4: a pair at similarity 0.8 misses every band with a
    probability below 1e-7. Bands that one representative has alone go; of a large band,
    members are dealt to blocks and the pairs of blocks to tasks.
-3. In each pair of blocks, MinHash values are compared 16 at a time. With m of n equal and
-   a uniform prior, the posterior probability that the similarity reaches the threshold
-   is P(Bin(n + 1, threshold) <= m); pairs go as soon as it falls below the tolerance.
-   What is left binds representatives into candidate components.
-4. Within a component all pairs are pruned in the same way and the rest is verified on the
-   shingle sets, again by pairs of blocks of bounded size. Pairs never become rows: each
-   task returns the number of links and the smallest linked member of each document.
+3. A pair is a candidate in the first band that it shares, and in no other. There its
+   MinHash values are compared 16 at a time. With m of n equal and a uniform prior, the
+   posterior probability that the similarity reaches the threshold is
+   P(Bin(n + 1, threshold) <= m); pairs go as soon as it falls below the tolerance.
+4. What is left is verified on the shingle sets, by jobs: the members of at most two tiles
+   of ``TILE`` representatives, each with a bit for every partner. Only members of a job
+   send their shingles. Pairs never become rows: each job returns the number of links and
+   the smallest linked member of each document.
 5. Verified links bind documents into classes.
 
 Result: one row for each document with class_id (the smallest doc_id of its class) and
@@ -43,8 +44,10 @@ TOLERANCE = 1e-6
 BANDS, ROWS = 32, 4
 HASHES = BANDS * ROWS
 STEP = 16
-BLOCK_MEMBERS = 256
-BLOCK_SHINGLES = 250_000
+#: Members of a block: a part of the band, within these bounds.
+BLOCK_PART, BLOCK_LEAST, BLOCK_MOST = 32, 256, 8192
+BLOCK_SHINGLES = 4_000_000
+TILE = 512
 CHUNK_BYTES = 4 << 20
 PAIRS_AT_ONCE = 200_000
 
@@ -130,16 +133,25 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
-def _dealt(rows: DataFrame, n: int, group: str, blocks: Column) -> DataFrame:
-    """Each member once for each pair of blocks (lo, hi) that its block is in, in order of the pair."""
+def _dealt(rows: DataFrame, n: int, blocks: Column) -> DataFrame:
+    """Each member of a band once for each pair of blocks (lo, hi) that its block is in, in order of the pair."""
     placed = rows.withColumn("_blocks", blocks.cast("int")).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("_blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))
     dealt = placed.withColumn("_other", other).withColumn("lo", F.least("block", "_other")).withColumn("hi", F.greatest("block", "_other"))
-    return dealt.drop("_blocks", "_other").repartition(n, group, "lo", "hi").sortWithinPartitions(group, "lo", "hi")
+    return dealt.drop("_blocks", "_other").repartition(n, "band", "lo", "hi").sortWithinPartitions("band", "lo", "hi", "rep")
 
 
-def _in_groups(group: str, answer: Callable[[pa.Table, np.ndarray], pa.RecordBatch]):
-    """Run ``answer`` on runs of whole groups; rows come sorted by (group, lo, hi)."""
+def _edges(keys: np.ndarray) -> np.ndarray:
+    return np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1
+
+
+def _in_groups(group: tuple[str, ...], answer: Callable[[pa.Table, np.ndarray], pa.RecordBatch]):
+    """Run ``answer`` on runs of whole groups; rows come sorted by the columns of group."""
+    keys_of = lambda rows: np.stack([rows.column(c).to_numpy().astype(np.int64) for c in group])
+
+    def answered(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        table = pa.Table.from_batches(held).combine_chunks()
+        return answer(table, np.concatenate(([0], _edges(keys_of(table)), [table.num_rows])))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -147,31 +159,24 @@ def _in_groups(group: str, answer: Callable[[pa.Table, np.ndarray], pa.RecordBat
         for batch in batches:
             if not batch.num_rows:
                 continue
-            keys = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in (group, "lo", "hi")])
-            edges = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1
+            keys = keys_of(batch)
+            edges = _edges(keys)
             if held and tuple(keys[:, 0]) != last:
-                yield from _answered(held, group, answer)
+                yield answered(held)
                 held = []
             last = tuple(keys[:, -1])
             if len(edges):
                 held.append(batch.slice(0, edges[-1]))
-                yield from _answered(held, group, answer)
+                yield answered(held)
                 held = [batch.slice(edges[-1])]
             else:
                 held.append(batch)
         if held:
-            yield from _answered(held, group, answer)
+            yield answered(held)
 
     return each
 
 
-def _answered(held: list[pa.RecordBatch], group: str, answer) -> Iterator[pa.RecordBatch]:
-    table = pa.Table.from_batches(held).combine_chunks()
-    keys = np.stack([table.column(c).to_numpy().astype(np.int64) for c in (group, "lo", "hi")])
-    edges = np.concatenate(([0], np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1, [table.num_rows]))
-    yield answer(table, edges)
-
-
 def _signatures(table: pa.Table) -> np.ndarray:
     column = table.column("signature").combine_chunks()
     column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
@@ -180,71 +185,72 @@ def _signatures(table: pa.Table) -> np.ndarray:
     return np.frombuffer(data, "<u2", len(column) * HASHES, first).reshape(-1, HASHES)
 
 
-def _pairs(blocks: np.ndarray, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs of one group: within a block, or across the two blocks."""
+def _tiles(blocks: np.ndarray, lo: int, hi: int, size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs of one group, within a block or across its two blocks, tile by tile."""
+    cut = lambda members: [members[i : i + size] for i in range(0, len(members), size)]
     if lo == hi:
-        return np.triu_indices(len(blocks), 1)
-    left, right = np.flatnonzero(blocks == lo), np.flatnonzero(blocks == hi)
-    return np.repeat(left, len(right)), np.tile(right, len(left))
+        parts = cut(np.arange(len(blocks)))
+        for i, left in enumerate(parts):
+            x, y = np.triu_indices(len(left), 1)
+            yield left[x], left[y]
+            for right in parts[i + 1 :]:
+                yield np.repeat(left, len(right)), np.tile(right, len(left))
+    else:
+        for left in cut(np.flatnonzero(blocks == lo)):
+            for right in cut(np.flatnonzero(blocks == hi)):
+                yield np.repeat(left, len(right)), np.tile(right, len(left))
 
 
-def _bridges(signatures: np.ndarray, reps: np.ndarray, left: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Edges that bind two blocks of one band, given what binds each block within.
+def _first_shared(bands: np.ndarray, x: np.ndarray, y: np.ndarray, number: np.ndarray) -> np.ndarray:
+    """Which pairs share no band before the one at hand (number, by row)."""
+    alive = np.arange(len(x))
+    for j in range(int(number.max()) if len(x) else 0):
+        alive = alive[(number[x[alive]] <= j) | (bands[x[alive], j] != bands[y[alive], j])]
+    return alive
 
-    The tasks of the single blocks return the edges within; here they only tell which
-    members are bound already, so a group of near copies gives one bridge for a pair of
-    its blocks instead of an edge for every member.
-    """
-    x, y = np.triu_indices(len(reps), 1)
-    stay = plausible(signatures, x, y, least)
-    x, y = x[stay], y[stay]
-    within = left[x] == left[y]
-    own = graph.local_roots(len(reps), x[within], y[within])
-    roots = graph.local_roots(len(reps), own[x[~within]], own[y[~within]])
-    bound = np.flatnonzero(roots != np.arange(len(reps)))
-    return reps[bound], reps[roots[bound]]
 
+_JOB = ("band", "lo", "hi", "tile")
+_JOBS = "band long, lo int, hi int, tile int, rep long, place int, partners binary"
+_JOB_KINDS = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.binary())
 
-def _bind(least: np.ndarray):
-    """Spanning edges (a, b) of the plausible pairs in the bands at hand."""
+
+def _candidates(least: np.ndarray, size: int = TILE):
+    """Jobs of the plausible pairs in the bands at hand: a row for each member, with bits for its partners behind it."""
 
     def answer(table: pa.Table, edges: np.ndarray) -> pa.RecordBatch:
         signatures, reps = _signatures(table), table.column("rep").to_numpy()
-        blocks, lo, hi = (table.column(c).to_numpy() for c in ("block", "lo", "hi"))
-        sizes = np.diff(edges)
-        twos = edges[:-1][(sizes == 2) & (lo[edges[:-1]] == hi[edges[:-1]])]
-        a, b, waiting = [twos], [twos + 1], len(twos)
-        found: list[tuple[np.ndarray, np.ndarray]] = []
+        bands = signatures.view(np.uint64)
+        band, block, lo, hi, number = (table.column(c).to_numpy() for c in ("band", "block", "lo", "hi", "number"))
+        out: tuple[list, ...] = ([], [], [], [], [], [], [])
 
-        def flush() -> None:
-            x, y = np.concatenate(a), np.concatenate(b)
+        def settled(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            first = _first_shared(bands, x, y, number)
+            x, y = x[first], y[first]
             stay = plausible(signatures, x, y, least)
-            found.append((x[stay], y[stay]))
+            return x[stay], y[stay]
+
+        def put(row: int, tile: int, place: int, partners: bytes) -> None:
+            for column, value in zip(out, (band[row], lo[row], hi[row], tile, reps[row], place, partners)):
+                column.append(value)
 
-        bridges: list[tuple[np.ndarray, np.ndarray]] = []
+        sizes = np.diff(edges)
+        twos = edges[:-1][(sizes == 2) & (lo[edges[:-1]] == hi[edges[:-1]])]
+        for x, y in zip(*(v.tolist() for v in settled(twos, twos + 1))):
+            put(x, 0, 0, b"\x02")
+            put(y, 0, 1, b"")
         for s, e in zip(edges[:-1].tolist(), edges[1:].tolist()):
-            if e - s < 2 or (e - s == 2 and lo[s] == hi[s]):
+            if e - s < 2 or e - s == 2 and lo[s] == hi[s]:
                 continue
-            if lo[s] != hi[s]:
-                bridges.append(_bridges(signatures[s:e], reps[s:e], blocks[s:e] == lo[s], least))
-                continue
-            x, y = np.triu_indices(e - s, 1)
-            a.append(x + s)
-            b.append(y + s)
-            waiting += len(x)
-            if waiting > 4 * PAIRS_AT_ONCE:
-                flush()
-                a, b, waiting = [], [], 0
-        if a:
-            flush()
-        nodes, index = np.unique(reps, return_inverse=True)
-        x = np.concatenate([f[0] for f in found]) if found else np.empty(0, np.int64)
-        y = np.concatenate([f[1] for f in found]) if found else np.empty(0, np.int64)
-        roots = graph.local_roots(len(nodes), index[x], index[y])
-        bound = np.flatnonzero(roots != np.arange(len(nodes)))
-        left = np.concatenate([nodes[bound], *(p[0] for p in bridges)])
-        right = np.concatenate([nodes[roots[bound]], *(p[1] for p in bridges)])
-        return pa.RecordBatch.from_arrays([pa.array(left), pa.array(right)], ["a", "b"])
+            for tile, (x, y) in enumerate(_tiles(block[s:e], lo[s], hi[s], size)):
+                x, y = settled(x + s, y + s)
+                if not len(x):
+                    continue
+                members, places = np.unique(np.concatenate((x, y)), return_inverse=True)
+                bits = np.zeros((len(members), len(members)), bool)
+                bits[places[: len(x)], places[len(x) :]] = True
+                for place, (row, own) in enumerate(zip(members.tolist(), np.packbits(bits, axis=1, bitorder="little"))):
+                    put(row, tile, place, own.tobytes())
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, _JOB_KINDS)], [f.split()[0] for f in _JOBS.split(", ")])
 
     return answer
 
@@ -268,21 +274,16 @@ def _intersections(sets: list[np.ndarray]) -> np.ndarray:
     return total
 
 
-def _verify(least: np.ndarray, threshold: float):
-    """For each member with links in a group: their number, copies included, and the smallest member bound."""
+def _verify(threshold: float):
+    """For each member with links in a job: their number, copies included, and the smallest member bound."""
 
     def answer(table: pa.Table, edges: np.ndarray) -> pa.RecordBatch:
-        signatures, reps = _signatures(table), table.column("rep").to_numpy()
-        copies = table.column("copies").to_numpy()
-        packed = table.column("shingles").combine_chunks()
-        blocks, lo, hi = (table.column(c).to_numpy() for c in ("block", "lo", "hi"))
+        reps, copies = table.column("rep").to_numpy(), table.column("copies").to_numpy()
+        packed, partners = table.column("shingles").combine_chunks(), table.column("partners").to_pylist()
         out: tuple[list, ...] = ([], [], [])
         for s, e in zip(edges[:-1].tolist(), edges[1:].tolist()):
-            x, y = _pairs(blocks[s:e], lo[s], hi[s])
-            stay = plausible(signatures[s:e], x, y, least)
-            x, y = x[stay], y[stay]
-            if not len(x):
-                continue
+            found = [np.flatnonzero(np.unpackbits(np.frombuffer(bits, np.uint8), bitorder="little")) for bits in partners[s:e]]
+            x, y = np.repeat(np.arange(e - s), [len(f) for f in found]), np.concatenate(found)
             sets = [np.frombuffer(packed[k].as_buffer(), np.uint64) for k in range(s, e)]
             size = np.array([len(t) for t in sets])
             if len(x) > 2 * (e - s):
@@ -306,8 +307,8 @@ def _verify(least: np.ndarray, threshold: float):
     return answer
 
 
-def _with_shingles(members: DataFrame, docs: DataFrame) -> DataFrame:
-    """Members with the shingle set of their words: one for each key, however many rows share the words or the doc_id."""
+def _with_shingles(members: DataFrame, described: DataFrame, docs: DataFrame) -> DataFrame:
+    """(rep, copies, shingles): members with the shingle set of their words: one for each key, however many rows share the words or the doc_id."""
 
     def cut_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -317,16 +318,17 @@ def _with_shingles(members: DataFrame, docs: DataFrame) -> DataFrame:
                     column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.binary()))], ["k1", "k2", "shingles"])
 
-    wanted = members.select(F.col("first").alias("_wanted")).distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("_id"), "text")
-    texts = texts.join(wanted, texts["_id"] == wanted["_wanted"], "left_semi").select("text")
+    ids = docs.select(F.col("doc_id").cast("long").alias("_id"), "text")
+    counted = described.groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("_n"))
+    wanted = members.select(F.col("first").alias("_id")).distinct().join(counted, "_id")
+    texts = tables.attach(ids, wanted, ["_id"], described.count(), "left_semi").select("text")
     # A doc_id may stand for several texts and a text in several rows; equal keys have equal sets.
     sets = texts.mapInArrow(cut_sets, "k1 long, k2 long, shingles binary").groupBy("k1", "k2").agg(F.min("shingles").alias("shingles"))
-    return members.join(sets, ["k1", "k2"])
+    return members.join(sets, ["k1", "k2"]).select("rep", "copies", "shingles")
 
 
 def _placed(spark: SparkSession, docs: DataFrame, threshold: float, tolerance: float) -> tuple[DataFrame, DataFrame]:
-    """The described rows, and for each key (k1, k2) of their words the smallest doc_id, class and links."""
+    """The described rows, and for each key (k1, k2) of their words the smallest doc_id, copies, class and links."""
     n, least = tables.partitions(spark), least_matches(threshold, tolerance)
     described = tables.cut(spark, _described(docs), "signatures")
     known = described.filter(F.col("k1").isNotNull())
@@ -338,25 +340,27 @@ def _placed(spark: SparkSession, docs: DataFrame, threshold: float, tolerance: f
     reps = tables.cut(spark, reps.select("k1", "k2", "first", "rep", "copies", "s.n_shingles", "s.signature"), "representatives")
 
     width = 2 * ROWS
-    band = F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substring(F.col("signature"), i * width + 1, F.lit(width)))))
-    bands = reps.select("rep", band.alias("band"))
-    shared = bands.groupBy("band").agg(F.count("*").alias("n")).filter(F.col("n") > 1)
-    members = bands.join(shared, "band").join(reps.select("rep", "signature"), "rep")
-    dealt = _dealt(members, n, "band", F.ceil(F.col("n") / BLOCK_MEMBERS)).select("band", "lo", "hi", "block", "rep", "signature")
-    roots = graph.components(spark, dealt.mapInArrow(_in_groups("band", _bind(least)), "a long, b long"))
-
-    bound = roots.withColumnRenamed("node", "rep").join(reps, "rep")
-    sizes = bound.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / BLOCK_MEMBERS), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).alias("blocks"))
-    bound = bound.join(sizes, "root").select("rep", "k1", "k2", "first", "root", "copies", "signature", "blocks")
-    dealt = _dealt(_with_shingles(bound, docs), n, "root", F.col("blocks")).select("root", "lo", "hi", "block", "rep", "copies", "signature", "shingles")
-    verified = tables.cut(spark, dealt.mapInArrow(_in_groups("root", _verify(least, threshold)), "rep long, links long, root long"), "links")
+    values = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substring(F.col("signature"), i * width + 1, F.lit(width))))
+    bands = reps.select("rep", "n_shingles", F.posexplode(values).alias("number", "band"))
+    shared = bands.groupBy("band").agg(F.count("*").alias("_n"), F.sum("n_shingles").alias("shingles")).filter(F.col("_n") > 1)
+    per_block = F.least(F.lit(BLOCK_MOST), F.greatest(F.lit(BLOCK_LEAST), F.col("_n") / BLOCK_PART))
+    shared = shared.withColumn("blocks", F.greatest(F.ceil(F.col("_n") / per_block), F.ceil(F.col("shingles") / BLOCK_SHINGLES))).drop("shingles")
+    members = tables.attach(bands, shared, ["band"], BANDS * reps.count()).join(reps.select("rep", "signature"), "rep")
+    dealt = _dealt(members, n, F.col("blocks")).select("band", "lo", "hi", "block", "number", "rep", "signature")
+    jobs = tables.cut(spark, dealt.mapInArrow(_in_groups(("band", "lo", "hi"), _candidates(least, TILE)), _JOBS), "jobs")
+
+    wanted = reps.join(jobs.select("rep").distinct(), "rep").select("rep", "k1", "k2", "first", "copies")
+    asked = jobs.join(_with_shingles(wanted, described, docs), "rep").repartition(n, *_JOB).sortWithinPartitions(*_JOB, "place")
+    asked = asked.select(*_JOB, "rep", "copies", "partners", "shingles")
+    verified = tables.cut(spark, asked.mapInArrow(_in_groups(_JOB, _verify(threshold)), "rep long, links long, root long"), "links")
     links = verified.groupBy("rep").agg(F.sum("links").alias("links"))
     joined = graph.components(spark, verified.select(F.col("rep").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "rep")
-    heads = joined.join(reps.select("rep", "first"), "rep").groupBy("root").agg(F.min("first").alias("class_id"))
+    heads = joined.join(reps.select("rep", "first"), "rep").groupBy("root").agg(F.min("first").alias("class_id"), F.count("*").alias("_n"))
+    joined = tables.attach(joined, heads, ["root"], joined.count())
 
-    placed = reps.select("k1", "k2", "first", "rep", "copies").join(links, "rep", "left").join(joined.join(heads, "root"), "rep", "left")
+    placed = reps.select("k1", "k2", "first", "rep", "copies").join(links, "rep", "left").join(joined, "rep", "left")
     return described, placed.select(
-        "k1", "k2", "first", F.coalesce("root", "rep").alias("root"), F.coalesce("class_id", "first").alias("class_id"),
+        "k1", "k2", "first", "copies", F.coalesce("root", "rep").alias("root"), F.coalesce("class_id", "first").alias("class_id"),
         (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
     )
 
@@ -364,9 +368,11 @@ def _placed(spark: SparkSession, docs: DataFrame, threshold: float, tolerance: f
 def classes(spark: SparkSession, docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
     """(doc_id, class_id, n_links), a row for each row of docs."""
     described, placed = _placed(spark, docs, threshold, tolerance)
-    return described.join(placed.select("k1", "k2", "class_id", "n_links"), ["k1", "k2"], "left").select(
-        "doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")
-    )
+    placed = tables.cut(spark, placed.select("k1", "k2", "class_id", "n_links", F.col("copies").alias("_n")), "classes")
+    rows = described.select("doc_id", "k1", "k2")
+    found = tables.attach(rows.filter(F.col("k1").isNotNull()), placed, ["k1", "k2"], described.count())
+    alone = rows.filter(F.col("k1").isNull()).select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
+    return found.select("doc_id", "class_id", F.col("n_links").cast("long").alias("n_links")).unionByName(alone)
 
 
 def _keyed(docs: DataFrame) -> DataFrame:

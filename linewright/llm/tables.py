@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,3 +44,19 @@ def cut(spark: SparkSession, frame: DataFrame, label: str) -> DataFrame:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+#: Keys with at least this part of all rows are hot; there are at most SHARE of them, whatever the size of a table.
+SHARE = 1000
+
+
+def attach(rows: DataFrame, answers: DataFrame, keys: list[str], total: int, how: str = "inner") -> DataFrame:
+    """Join rows (``total`` in number) to answers, which hold each key once and in ``_n`` how many of the rows have it.
+
+    The answers to hot keys are broadcast, so no task receives all rows of such a key; all
+    other keys meet by a shuffle. how: inner, left or left_semi.
+    """
+    hot = answers.filter(F.col("_n") * SHARE >= total).drop("_n")
+    cold = answers.filter(F.col("_n") * SHARE < total).drop("_n")
+    spread = rows.join(F.broadcast(hot), keys, "left_semi" if how == "left_semi" else "inner")
+    return spread.unionByName(rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(cold, keys, how))

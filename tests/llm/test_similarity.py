@@ -6,7 +6,7 @@ from math import comb
 import numpy as np
 import pytest
 
-from linewright.llm import graph, similarity
+from linewright.llm import graph, similarity, tables
 
 
 def shingles(text):
@@ -14,46 +14,6 @@ def shingles(text):
     return frozenset(tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))) if words else None
 
 
-def brute_force(rows):
-    sets = [(i, shingles(t)) for i, t in rows]
-    linked = lambda a, b: a and b and len(a & b) >= 0.8 * len(a | b) - 1e-9
-    parent = {i: i for i, _ in sets}
-
-    def find(x):
-        while parent[x] != x:
-            x = parent[x]
-        return x
-
-    links = {}
-    for k, (i, a) in enumerate(sets):
-        if i is None:
-            continue
-        for j, b in sets[k + 1 :]:
-            if j is not None and linked(a, b):
-                links[i], links[j] = links.get(i, 0) + 1, links.get(j, 0) + 1
-                x, y = sorted((find(i), find(j)))
-                parent[y] = x
-    return {i: (find(i), links.get(i, 0)) for i, _ in sets if i is not None}
-
-
-@pytest.mark.parametrize("members", [256, 8])
-def test_against_brute_force(spark, edge_docs, edge_rows, sentences, monkeypatch, members):
-    """With small blocks, members of one group meet in several pairs of blocks."""
-    monkeypatch.setattr(similarity, "BLOCK_MEMBERS", members)
-    random.seed(2)
-    base = sentences(150, 40).split()
-    rows = [(i, t) for i, t, *_ in edge_rows if i != 3]
-    for i in range(60):
-        words = list(base)
-        for _ in range(random.randint(0, 5)):
-            words[random.randrange(len(words))] = f"z{random.randrange(10**6)}"
-        rows.append((1000 + i, " ".join(words)))
-    rows += [(2000 + i, rows[-1 - i][1].upper()) for i in range(10)]
-    got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in similarity.classes(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got.pop(None) == (None, 0)
-    assert got == brute_force(rows)
-
-
 def brute_force_rows(rows):
     """(doc_id, class_id, n_links) of each row, whatever its doc_id; copies come out of equal sets."""
     sets = [None if i is None else shingles(t) for i, t in rows]
@@ -71,10 +31,34 @@ def brute_force_rows(rows):
     return sorted((i, least(r) if n else i, n) for (i, _), r, n in zip(rows, roots, links) if i is not None)
 
 
-@pytest.mark.parametrize("members", [256, 4])
-def test_repeated_ids_against_brute_force(spark, edge_rows, sentences, monkeypatch, members):
+@pytest.fixture(params=[None, (4, 3)])
+def blocks(request, monkeypatch):
+    """With small blocks and tiles, members of one group meet in several pairs of both."""
+    if request.param:
+        least, tile = request.param
+        monkeypatch.setattr(similarity, "BLOCK_LEAST", least)
+        monkeypatch.setattr(similarity, "BLOCK_MOST", 2 * least)
+        monkeypatch.setattr(similarity, "TILE", tile)
+        monkeypatch.setattr(tables, "SHARE", 8)
+
+
+def test_against_brute_force(spark, edge_rows, sentences, blocks):
+    random.seed(2)
+    base = sentences(150, 40).split()
+    rows = [(i, t) for i, t, *_ in edge_rows]
+    for i in range(60):
+        words = list(base)
+        for _ in range(random.randint(0, 5)):
+            words[random.randrange(len(words))] = f"z{random.randrange(10**6)}"
+        rows.append((1000 + i, " ".join(words)))
+    rows += [(2000 + i, rows[-1 - i][1].upper()) for i in range(10)]
+    got = [tuple(r) for r in similarity.classes(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert got.count((None, None, 0)) == 2
+    assert sorted(r for r in got if r[0] is not None) == brute_force_rows(rows)
+
+
+def test_repeated_ids_against_brute_force(spark, edge_rows, sentences, blocks):
     """A repeated row counts as often as it stands; texts that differ under one doc_id stay apart."""
-    monkeypatch.setattr(similarity, "BLOCK_MEMBERS", members)
     base, other = sentences(150, 41), sentences(90, 42)
     near = lambda text, k: " ".join([*text.split()[:k], f"w{k}", *text.split()[k + 1 :]])
     rows = [(i, t) for i, t, *_ in edge_rows]
@@ -118,6 +102,23 @@ def test_keep_one_row_of_each_class(spark, edge_docs, edge_rows, sentences):
     assert sorted(rows, key=str) == sorted(((i, fold(t)) for i, t in expected), key=str)
 
 
+def test_recall_on_a_whole_table(spark):
+    """Every pair of the exact join, found through shared shingles, is linked; so recall is 1."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    sets = {r["doc_id"]: shingles(r["text"]) for r in docs.collect()}
+    holders = {}
+    for i, own in sets.items():
+        for g in own or ():
+            holders.setdefault(g, []).append(i)
+    pairs = {(a, b) for ids in holders.values() for x, a in enumerate(ids) for b in ids[x + 1 :]}
+    links = dict.fromkeys(sets, 0)
+    for a, b in pairs:
+        if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) - 1e-9:
+            links[a] += 1
+            links[b] += 1
+    assert {r["doc_id"]: r["n_links"] for r in similarity.classes(spark, docs).collect()} == links and sum(links.values()) > 0
+
+
 def test_pruning_rule():
     least = similarity.least_matches(0.8, 1e-6)
     for k, fewest in enumerate(least):
