@@ -19,7 +19,12 @@ window that many of its documents share, what its smallest document has; what th
 need is already known. So a passage that a third of all rows share adds one entry for
 each chunk to its bucket.
 
-Hashes are of 64 bits in step 2; two windows with equal hashes count as equal.
+Buckets grow in number with the bytes of the texts (one for ``BUCKET_BYTES``, or more where
+a shuffle has more partitions), so a task holds one bucket of bounded size at a time, and
+step 1 tells blocks apart by 32 bits besides the bucket: chance anchors, which cost a look
+and decide nothing, stay as rare on any input. Hashes are of 96 bits in step 2; two
+windows with equal hashes count as equal (of 10**13 windows, some two differ with a
+probability under 0.001).
 
 Cases: a null or empty text has no words and keeps nothing. Repeated rows with equal
 doc_id do not remove each other. A row with a null doc_id is kept whole and removes
@@ -42,10 +47,12 @@ from linewright.llm import tables, textkit
 WINDOW = 13
 BLOCK = 7
 CHUNK_BYTES = 4 << 20
+BUCKET_BYTES = 64 << 20
+_OTHER_STEP = np.uint64(0x9FB21C651E98DF25)
 
 PROBE, BLOCKED, KNOWN, ASKED = 0, 1, 2, 3
-_PACKED = "bucket int, kind int, keys binary, ids binary, counts binary, hashes binary, at binary"
-_NAMES = ["bucket", "kind", "keys", "ids", "counts", "hashes", "at"]
+_PACKED = "bucket int, kind int, keys binary, ids binary, counts binary, hashes binary, at binary, more binary"
+_NAMES = ["bucket", "kind", "keys", "ids", "counts", "hashes", "at", "more"]
 
 
 def _runs(values: np.ndarray) -> np.ndarray:
@@ -75,9 +82,9 @@ class Packed:
         """Hashes that occur, whoever has them."""
         if len(hashes):
             for bucket, mine in self._sliced((hashes >> np.uint64(33)) % self.buckets):
-                self._row(bucket, PROBE, b"", b"", b"", hashes[mine].astype(self.hash_kind).tobytes(), b"")
+                self._row(bucket, PROBE, b"", b"", b"", hashes[mine].astype(self.hash_kind).tobytes(), b"", b"")
 
-    def add(self, kind: int, docs: np.ndarray, at: np.ndarray, hashes: np.ndarray | None, keys: np.ndarray, ids: np.ndarray | None) -> None:
+    def add(self, kind: int, docs: np.ndarray, at: np.ndarray, hashes: np.ndarray | None, keys: np.ndarray, ids: np.ndarray | None, more: np.ndarray | None = None) -> None:
         """Entries in order of document: docs are indexes into keys and ids, at the word numbers.
 
         Entries with hashes go to the bucket of the hash, others to that of the document.
@@ -97,10 +104,11 @@ class Packed:
                 counts.astype("u1" if int(counts.max()) < 256 else "<u4").tobytes(),
                 b"" if hashes is None else hashes[mine].astype(self.hash_kind).tobytes(),
                 places.astype("<u2" if int(places.max()) < 65536 else "<u4").tobytes(),
+                b"" if more is None else more[mine].tobytes(),
             )
 
     def batch(self) -> pa.RecordBatch:
-        kinds = [pa.int32(), pa.int32()] + [pa.binary()] * 5
+        kinds = [pa.int32(), pa.int32()] + [pa.binary()] * 6
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(self.columns, kinds)], _NAMES)
 
 
@@ -110,7 +118,7 @@ def _narrow(raw: bytes, n: int) -> np.ndarray:
 
 
 def _unpack(rows: list[tuple], hash_kind: type) -> tuple[np.ndarray, ...]:
-    """The entries of packed rows: document number, keys and ids by document, places, hashes, kinds."""
+    """The entries of packed rows: document number, keys and ids by document, places, hashes, kinds, further bits of the hashes."""
     keys = [np.frombuffer(r[2], np.int64) for r in rows]
     counts = [_narrow(r[4], len(k)) for r, k in zip(rows, keys)]
     sizes = [int(c.sum()) if r[1] != PROBE else len(r[5]) // np.dtype(hash_kind).itemsize for r, c in zip(rows, counts)]
@@ -120,7 +128,8 @@ def _unpack(rows: list[tuple], hash_kind: type) -> tuple[np.ndarray, ...]:
     hashes = [np.frombuffer(r[5], hash_kind) if r[5] else np.zeros(n, hash_kind) for r, n in zip(rows, sizes)]
     ids = [np.frombuffer(r[3], np.int64) if r[3] else k for r, k in zip(rows, keys)]
     kinds = np.repeat(np.array([r[1] for r in rows], np.int8), sizes)
-    return tuple(np.concatenate(x) for x in (docs, keys, ids, at, hashes)) + (kinds,)
+    more = [np.frombuffer(r[7], "<u4") if r[7] else np.zeros(n if r[5] else 0, "<u4") for r, n in zip(rows, sizes)] if hash_kind is np.uint64 else []
+    return tuple(np.concatenate(x) for x in (docs, keys, ids, at, hashes)) + (kinds, np.concatenate(more) if more else None)
 
 
 def _groups(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -183,8 +192,8 @@ def _buckets(hash_kind: type, targets: int, answer):
     """
 
     def answered(held: list[tuple]) -> pa.RecordBatch:
-        docs, keys, ids, at, hashes, kinds = _unpack(held, hash_kind)
-        chosen = np.flatnonzero(answer(docs, ids, hashes, kinds))
+        docs, keys, ids, at, hashes, kinds, more = _unpack(held, hash_kind)
+        chosen = np.flatnonzero(answer(docs, ids, hashes, kinds, more))
         out = Packed(targets, hash_kind)
         out.add(KNOWN, docs[chosen], at[chosen], None, keys, None)
         return out.batch()
@@ -207,7 +216,7 @@ def _each_bucket(answer):
     return each
 
 
-def _anchors(docs, ids, hashes, kinds) -> np.ndarray:
+def _anchors(docs, ids, hashes, kinds, more) -> np.ndarray:
     """Blocks known to be anchors, and those that another chunk's entry equals."""
     hit = kinds == KNOWN
     met = np.flatnonzero(~hit)
@@ -218,18 +227,18 @@ def _anchors(docs, ids, hashes, kinds) -> np.ndarray:
     return hit
 
 
-def _repeats(docs, ids, hashes, kinds) -> np.ndarray:
+def _repeats(docs, ids, hashes, kinds, more) -> np.ndarray:
     """Windows known to repeat, and those that a smaller document of another chunk has."""
     gone = kinds == KNOWN
     met = np.flatnonzero(~gone)
     if len(met):
-        gone[met] = _later(ids[docs[met]], hashes[met])
+        gone[met] = _later(ids[docs[met]], hashes[met], more)
     return gone
 
 
 def _by_document(held: list[tuple]) -> pa.RecordBatch:
     """One row (key, places) for each document among the packed entries of a bucket."""
-    docs, keys, _, at, _, _ = _unpack(held, np.uint32)
+    docs, keys, _, at, *_ = _unpack(held, np.uint32)
     key = keys[docs]
     order = np.argsort(key, kind="stable")
     first = _runs(key[order])
@@ -249,7 +258,8 @@ def _send_windows(buckets: int):
             for i, j in textkit.row_ranges(offsets, CHUNK_BYTES):
                 part, bounds = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
                 starts, ends, first = textkit.words(part, bounds)
-                hashes = textkit.window_hashes(textkit.word_hashes(part, starts, ends), WINDOW)
+                by_word = textkit.word_hashes(part, starts, ends)
+                hashes = textkit.window_hashes(by_word, WINDOW)
                 if not len(hashes):
                     continue
                 found = [first[d] + np.frombuffer(anchors[i + d], "<u4").astype(np.int64) for d in range(j - i)]
@@ -258,25 +268,27 @@ def _send_windows(buckets: int):
                 places = np.flatnonzero(near & textkit.window_rows(first, WINDOW, len(hashes)))
                 if not len(places):
                     continue
-                hashes = hashes[places]
+                hashes, more = hashes[places], (textkit.window_hashes(by_word, WINDOW, _OTHER_STEP)[places] >> np.uint64(32)).astype("<u4")
                 docs = np.searchsorted(first, places, "right") - 1
                 at = places - first[docs]
-                later = _later(ids[i:j][docs], hashes)
+                later = _later(ids[i:j][docs], hashes, more)
                 out = Packed(buckets, np.uint64)
                 known, rest = np.flatnonzero(later), np.flatnonzero(~later)
                 out.add(KNOWN, docs[known], at[known], None, keys[i:j], ids[i:j])
-                out.add(ASKED, docs[rest], at[rest], hashes[rest], keys[i:j], ids[i:j])
+                out.add(ASKED, docs[rest], at[rest], hashes[rest], keys[i:j], ids[i:j], more[rest])
                 yield out.batch()
 
     return send
 
 
-def _later(ids: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+def _later(ids: np.ndarray, hashes: np.ndarray, more: np.ndarray) -> np.ndarray:
     """True for entries whose hash a smaller id has too."""
-    order, starts, run = _groups(hashes)
-    least = np.minimum.reduceat(ids[order], starts)
+    order = np.lexsort((more, hashes))
+    high, low = hashes[order], more[order]
+    new = np.concatenate(([True], (high[1:] != high[:-1]) | (low[1:] != low[:-1])))
+    least = np.minimum.reduceat(ids[order], np.flatnonzero(new))
     later = np.empty(len(hashes), bool)
-    later[order] = ids[order] > least[run]
+    later[order] = ids[order] > least[np.cumsum(new) - 1]
     return later
 
 
@@ -306,14 +318,16 @@ def _located(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """Every row with ``gone``: packed starts of its windows that a smaller document has."""
     n = tables.partitions(spark)
     keyed = _keyed(docs)
+    size = keyed.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(n, -(-size // BUCKET_BYTES))
 
     def asked(sent: DataFrame, hash_kind: type, answer, name: str) -> DataFrame:
-        met = sent.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_buckets(hash_kind, n, answer), _PACKED)
+        met = sent.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_buckets(hash_kind, buckets, answer), _PACKED)
         told = met.repartition(n, "bucket").sortWithinPartitions("bucket")
         return told.mapInArrow(_each_bucket(_by_document), "key long, at binary").withColumnRenamed("at", name)
 
-    anchors = asked(keyed.mapInArrow(_send_blocks(n), _PACKED), np.uint32, _anchors, "anchors")
-    gone = asked(keyed.join(anchors, "key").mapInArrow(_send_windows(n), _PACKED), np.uint64, _repeats, "gone")
+    anchors = asked(keyed.mapInArrow(_send_blocks(buckets), _PACKED), np.uint32, _anchors, "anchors")
+    gone = asked(keyed.join(anchors, "key").mapInArrow(_send_windows(buckets), _PACKED), np.uint64, _repeats, "gone")
     return keyed.join(gone, "key", "left").select("doc_id", "text", "gone")
 
 

@@ -103,14 +103,14 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(U64))
 
 
-def window_hashes(hashes: np.ndarray, k: int) -> np.ndarray:
-    """A hash for the k words from each word on; the last k - 1 words have none."""
+def window_hashes(hashes: np.ndarray, k: int, step: np.uint64 = _STEP) -> np.ndarray:
+    """A hash for the k words from each word on; the last k - 1 words have none. Other odd steps give other hashes."""
     n = len(hashes) - k + 1
     if n <= 0:
         return np.empty(0, U64)
     total = hashes[:n].copy()
     for j in range(1, k):
-        total *= _STEP
+        total *= step
         total += hashes[j : j + n]
     return mix(total)
 

@@ -28,8 +28,9 @@ def plain(rows):
 
 @pytest.mark.parametrize("chunk", [4 << 20, 700])
 def test_against_plain_code(spark, edge_rows, sentences, monkeypatch, chunk):
-    """With small chunks, copies of a passage meet in the buckets instead of within a chunk."""
+    """With small chunks, copies of a passage meet in the buckets, of which there are many, instead of within a chunk."""
     monkeypatch.setattr(substrings, "CHUNK_BYTES", chunk)
+    monkeypatch.setattr(substrings, "BUCKET_BYTES", 5000 if chunk < 1000 else substrings.BUCKET_BYTES)
     passage = sentences(14, 90)
     rows = [(i, t) for i, t, *_ in edge_rows if chunk > 1000 or i != 11]
     rows += [(500 + i, f"{sentences(i, 600 + i)} {passage} {sentences(40 - i, 700 + i)}") for i in range(40)]
@@ -46,3 +47,10 @@ def test_edges(spark, edge_docs, edge_rows, no_docs):
     assert by_id[2]["kept_text"] == "" and by_id[1]["n_removed"] == 0 and by_id[10]["n_removed"] == 60
     assert all(r["n_removed"] == 0 for r in rows if r["doc_id"] is None)
     assert substrings.remove_repeats(spark, no_docs).count() == 0
+
+
+def test_hashes_that_agree_in_part_are_told_apart():
+    import numpy as np
+
+    ids, hashes, more = np.array([1, 2, 3, 4]), np.array([9, 9, 9, 8], np.uint64), np.array([5, 6, 5, 5], "<u4")
+    assert substrings._later(ids, hashes, more).tolist() == [False, False, True, False]
