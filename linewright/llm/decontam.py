@@ -2,25 +2,29 @@
 
 Numbers, names and units of benchmark items and documents become typed placeholders, so a
 question whose values were exchanged keeps its template. Windows of ``WINDOW`` template
-words are hash-joined; windows with fewer than ``LITERALS`` plain words say too little and
-are left out. Matches of a document and an item on one diagonal (document place less item
-place) are one alignment. Its windows count if their slots are consistent with all of it:
-each value of the item stands for one value of the document and the reverse. Windows
-without any changed slot count always. A document leaks an item where windows that count
-cover ``ENOUGH`` of it (thirteen words in a row), or all of a shorter item.
+words are hash-joined. A window stands for its template if at least ``LITERALS`` of its
+words are plain, and always for its words themselves, so a verbatim copy is found however
+many slots it has and however its capitals are read. Matches of a document and an item on
+one diagonal (document place less item place) are one alignment. Its windows count if
+their slots are consistent with all of it: each value of the item stands for one value of
+the document and the reverse. Windows without any changed slot count always. A document
+leaks an item where windows that count cover ``ENOUGH`` of it (thirteen words in a row),
+or all of a shorter item; an item of ``LITERALS`` words to ``WINDOW`` is one window.
 
 The items' window hashes also fill a bit map of bounded size (at most ``MAP_BITS`` bits)
 that is broadcast, so only windows that may match leave the map stage; more items make
-the map denser, not larger, and the join decides.
+the map denser, not larger, and the join decides. Windows meet the distinct hashes first,
+and only documents with enough of them meet items; a window that very many documents have
+is dealt to several tasks (``SPREAD``).
 
 Words are runs of ASCII letters, digits and non-ASCII characters. A number is a word of
 digits; a unit is a word of the unit list behind a number; a name is a word with one
 capital, its first, that does not begin a sentence or line.
 
-Cases: a null or empty text has no windows; items with fewer than WINDOW words are never
-found. Rows with a null doc_id or item_id are left out of the report (and kept by
-``keep_clean``). Repeated rows give one row of the report. Empty tables give no rows.
-Columns other than doc_id, item_id and text are ignored.
+Cases: a null or empty text has no windows. Items with fewer than LITERALS words say too
+little to be told from chance and are never found. Rows with a null doc_id or item_id are
+left out of the report (and kept by ``keep_clean``). Repeated rows give one row of the
+report. Empty tables give no rows. Columns other than doc_id, item_id and text are ignored.
 """
 
 from __future__ import annotations
@@ -41,6 +45,7 @@ MAP_BITS = 1 << 28
 BITS_PER_WINDOW = 32
 SEGMENT_BITS = 1 << 19
 CHUNK_BYTES = 4 << 20
+SPREAD = 4096
 #: Units that may follow a number.
 UNITS = (
     "km m cm mm mi miles mile feet foot ft inch inches yards kg g mg lb lbs pounds ounces oz tons l ml liters litres gallons "
@@ -58,7 +63,7 @@ _UPPER = np.zeros(256, np.int32)
 _UPPER[65:91] = 1
 _BREAK = np.zeros(256, np.int32)
 _BREAK[[10, 33, 46, 58, 63]] = 1  # line feed ! . : ?
-_NUMBER, _NAME, _UNIT = (np.uint64(v) for v in (0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3))
+_NUMBER, _NAME, _UNIT, _VERBATIM = (np.uint64(v) for v in (0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3))
 _WINDOW_FIELDS = "hash long, id long, at int, words binary, slots int"
 
 
@@ -98,8 +103,12 @@ def templates(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     return hashes, canonical, number | name | unit, first
 
 
-def _windows(column: str, bitmap=None):
-    """Windows of each text: hash, id, place, the words' own hashes, and which words are slots."""
+def _windows(column: str, lengths: tuple[int, ...] | None = None, bitmap=None):
+    """Windows of each text: hash, id, place, the words' own hashes, and which words are slots (none in a verbatim one).
+
+    Documents have a window of each of the lengths at each word; items, without lengths,
+    have those of WINDOW words, or one of all their words.
+    """
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = None if bitmap is None else bitmap.value
@@ -109,28 +118,30 @@ def _windows(column: str, bitmap=None):
             ids = batch.column(column).to_numpy()
             for i, j in textkit.row_ranges(offsets, CHUNK_BYTES):
                 words, canonical, slot, first = templates(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                hashes = textkit.window_hashes(canonical, WINDOW)
-                if not len(hashes):
-                    continue
                 before = np.concatenate(([0], np.cumsum(slot)))
-                good = textkit.window_rows(first, WINDOW, len(hashes)) & (before[WINDOW:] - before[:-WINDOW] <= WINDOW - LITERALS)
-                if bits is not None:
-                    good &= _marked(bits, hashes)
-                at = np.flatnonzero(good)
-                rows = np.searchsorted(first, at, "right") - 1
-                spread = at[:, None] + np.arange(WINDOW)
-                flags = (slot[spread] << np.arange(WINDOW)).sum(axis=1) if len(at) else np.empty(0, np.int64)
-                raw = words[spread].astype("<u8")
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(hashes[at].view(np.int64)),
-                        pa.array(ids[i:j][rows]),
-                        pa.array((at - first[rows]).astype(np.int32)),
-                        pa.array([r.tobytes() for r in raw], pa.binary()),
-                        pa.array(flags.astype(np.int32)),
-                    ],
-                    ["hash", "id", "at", "words", "slots"],
-                )
+                for k in lengths or range(LITERALS, WINDOW + 1):
+                    plain = textkit.window_hashes(canonical, k)
+                    if not len(plain):
+                        continue
+                    if lengths or k == WINDOW:
+                        whole = textkit.window_rows(first, k, len(plain))
+                    else:
+                        whole = np.zeros(len(plain), bool)
+                        whole[first[:-1][np.diff(first) == k]] = True
+                    n_slots = before[k:] - before[:-k]
+                    verbatim = textkit.mix(textkit.window_hashes(words, k) ^ _VERBATIM)
+                    for hashes, good, exact in ((plain, whole & (n_slots > 0) & (n_slots <= k - LITERALS), False), (verbatim, whole, True)):
+                        at = np.flatnonzero(good if bits is None else good & _marked(bits, hashes))
+                        if len(at):
+                            yield rows(hashes, at, k, words, None if exact else slot, first, ids[i:j])
+
+    def rows(hashes, at, k, words, slot, first, ids) -> pa.RecordBatch:
+        owner = np.searchsorted(first, at, "right") - 1
+        spread = at[:, None] + np.arange(k)
+        flags = np.zeros(len(at), np.int32) if slot is None else (slot[spread] << np.arange(k)).sum(axis=1).astype(np.int32)
+        raw = pa.array([r.tobytes() for r in words[spread].astype("<u8")], pa.binary())
+        columns = [pa.array(hashes[at].view(np.int64)), pa.array(ids[owner]), pa.array((at - first[owner]).astype(np.int32)), raw, pa.array(flags)]
+        return pa.RecordBatch.from_arrays(columns, ["hash", "id", "at", "words", "slots"])
 
     return each
 
@@ -169,10 +180,26 @@ def leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataFra
     """(doc_id, item_id, n_windows, item_windows, coverage, n_slots, n_changed), a row for each leaked item of a document."""
     items = benchmark.selectExpr("cast(item_id AS long) AS item_id", "text").mapInArrow(_windows("item_id"), _WINDOW_FIELDS)
     items = tables.cut(spark, items, "items")
+    sizes = items.groupBy(F.col("id").alias("item_id")).agg(F.countDistinct("at").alias("item_windows"))
+    sizes = sizes.withColumn("need", F.least(F.lit(ENOUGH), "item_windows"))
+    lengths = items.select((F.octet_length("words") / 8).cast("int").alias("k")).distinct().collect()  # at most WINDOW - LITERALS + 1 numbers
+    lengths = tuple(sorted({r["k"] for r in lengths} or {WINDOW}))
     bitmap = spark.sparkContext.broadcast(bit_map(spark, items))
-    found = docs.selectExpr("cast(doc_id AS long) AS doc_id", "text").mapInArrow(_windows("doc_id", bitmap), _WINDOW_FIELDS)
-    item_side = items.select("hash", F.col("id").alias("item_id"), F.col("at").alias("item_at"), F.col("words").alias("item_words"), F.col("slots").alias("item_slots"))
-    met = found.join(item_side, (found["hash"] == item_side["hash"]) & (found["slots"] == item_side["item_slots"]))
+    found = docs.selectExpr("cast(doc_id AS long) AS doc_id", "text").mapInArrow(_windows("doc_id", lengths, bitmap), _WINDOW_FIELDS)
+    found = tables.cut(spark, found, "windows")
+
+    # Each distinct hash: how many windows of documents have it, and how many an item with it needs at least.
+    hashes = items.join(sizes, items["id"] == sizes["item_id"]).groupBy("hash").agg(F.min("need").alias("need"))
+    hashes = found.groupBy("hash").agg(F.count("*").alias("_n")).join(hashes, "hash").withColumn("spread", F.ceil(F.col("_n") / SPREAD).cast("int"))
+    hashes = tables.cut(spark, hashes, "hashes")
+    known = tables.attach(found, hashes, ["hash"], found.count())
+    able = known.groupBy("id").agg(F.countDistinct("at").alias("n"), F.min("need").alias("need")).filter("n >= need").select("id")
+    known = known.join(able, "id", "left_semi").withColumn("salt", F.pmod(F.xxhash64("id", "at"), F.col("spread")).cast("int"))
+    item_side = items.join(hashes.select("hash", "spread"), "hash").select(
+        "hash", F.col("id").alias("item_id"), F.col("at").alias("item_at"), F.col("words").alias("item_words"), "slots",
+        F.explode(F.sequence(F.lit(0), F.col("spread") - 1)).alias("salt"),
+    )
+    met = known.join(item_side, ["hash", "slots", "salt"])
 
     word = lambda c, i: F.substring(F.col(c), i * 8 + 1, F.lit(8))
     is_slot = lambda i: F.call_function("getbit", F.col("slots"), i) == 1
@@ -193,8 +220,7 @@ def leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataFra
     changed = F.size(F.filter("pairs", lambda p: p["item"] != p["doc"]))
     aligned = aligned.select("doc_id", "item_id", F.explode("windows.place").alias("place"), F.size("pairs").alias("n"), changed.alias("c"))
     covered = aligned.groupBy("doc_id", "item_id").agg(F.countDistinct("place").alias("n_windows"), F.max("n").alias("n_slots"), F.max("c").alias("n_changed"))
-    sizes = items.groupBy(F.col("id").alias("item_id")).agg(F.countDistinct("at").alias("item_windows"))
-    rated = covered.join(sizes, "item_id").filter(F.col("n_windows") >= F.least(F.lit(ENOUGH), "item_windows"))
+    rated = covered.join(sizes, "item_id").filter(F.col("n_windows") >= F.col("need"))
     return rated.select("doc_id", "item_id", "n_windows", "item_windows", (F.col("n_windows") / F.col("item_windows")).alias("coverage"), "n_slots", "n_changed")
 
 

@@ -1,6 +1,10 @@
 """Benchmark leaks: exact, re-parameterised and inconsistent ones."""
 
+import random
 import re
+from collections import defaultdict
+
+import pytest
 
 from linewright.llm import decontam
 
@@ -56,6 +60,77 @@ def test_exact_passages_by_brute_force(spark):
     assert kept == set(texts) - {i for i, _ in expected}
 
 
+def canonical(text):
+    """(lower-cased word, kind) for each word, one by one."""
+    out, end = [], 0
+    for m in re.finditer(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", text or ""):
+        word = m[0]
+        opens = not out or re.search(r"[\n!.:?]", text[end : m.start()])
+        kind = None
+        if re.fullmatch("[0-9]+", word):
+            kind = "number"
+        elif not opens and out[-1][1] == "number" and word.lower() in decontam.UNITS:
+            kind = "unit"
+        elif not opens and len(word) > 1 and word[0].isupper() and not any(c.isupper() for c in word[1:]):
+            kind = "name"
+        out.append((word.lower(), kind))
+        end = m.end()
+    return out
+
+
+def plain_leaks(docs, items):
+    found = {}
+    for i, text in docs.items():
+        words = canonical(text)
+        for k, item in items.items():
+            own = canonical(item)
+            n = min(decontam.WINDOW, len(own))
+            if n < decontam.LITERALS:
+                continue
+            count = len(own) - n + 1
+            diagonals = defaultdict(dict)
+            for p in range(count):
+                for q in range(len(words) - n + 1):
+                    a, b = own[p : p + n], words[q : q + n]
+                    slots = [x[1] is not None for x in a]
+                    if [x[0] for x in a] == [x[0] for x in b]:
+                        diagonals[q - p].setdefault(p, set()).add(())
+                    if any(slots) and n - sum(slots) >= decontam.LITERALS and all(x[1] == y[1] and (x[1] or x[0] == y[0]) for x, y in zip(a, b)):
+                        diagonals[q - p].setdefault(p, set()).add(tuple((x[0], y[0]) for x, y in zip(a, b) if x[1]))
+            places = set()
+            for windows in diagonals.values():
+                pairs = {pair for seen in windows.values() for w in seen for pair in w}
+                torn = lambda pair: sum(pair[0] == o[0] for o in pairs) > 1 or sum(pair[1] == o[1] for o in pairs) > 1  # noqa: E731, B023
+                places |= {p for p, seen in windows.items() if any(all(a == b for a, b in w) or not any(map(torn, w)) for w in seen)}
+            if len(places) >= min(decontam.ENOUGH, count):
+                found[i, k] = len(places)
+    return found
+
+
+@pytest.mark.parametrize("spread", [decontam.SPREAD, 2])
+def test_reparameterised_questions_by_brute_force(spark, sentences, monkeypatch, spread):
+    monkeypatch.setattr(decontam, "SPREAD", spread)
+    r = random.Random(3)
+    draw = {"N": lambda: str(r.randint(1, 30)), "P": lambda: r.choice(["Mary", "Bob", "Ina", "Otto"]), "U": lambda: r.choice(["km", "kg", "euros", "hours"])}
+    common = "read the text and then answer the question below in one word please"
+    shapes = []
+    for k in range(8):
+        words = sentences(r.randint(12, 30), 300 + k).split()
+        for _ in range(r.randint(1, 6)):
+            at = r.randrange(1, len(words))
+            words[at:at] = r.choice([["N"], ["N", "U"], ["P"]])
+        shapes.append((common if k % 2 else "") + " " + " ".join(words))
+    fill = lambda shape: " ".join(draw[w]() if w in draw else w for w in shape.split())
+    items = {k: fill(shape) for k, shape in enumerate(shapes)}
+    items |= {20: "one two three four five six", 21: "8 9 10 11 Mary 12 13 14 15 16", 22: "two words", 23: "Why is a b c d e f g h i j k"}
+    docs = {i: f"{sentences(10, i)} {fill(shapes[i % 8])} {sentences(10, 50 + i)}" for i in range(24)}
+    docs |= {30: common, 31: "x one two three four five six y", 32: "z 8 9 10 11 Mary 12 13 14 15 16 z", 33: "so Why is a b c d e f g h i j k", 34: "one two three four five"}
+    docs |= {35: items[1] + ". " + items[2].upper(), 36: items[3].lower()}
+    got = leaked(spark, [docs.get(i) for i in range(40)], [items.get(k) for k in range(24)])
+    assert {pair: row["n_windows"] for pair, row in got.items()} == plain_leaks(docs, items)
+    assert {(31, 20), (32, 21), (33, 23)} <= set(got) and (34, 20) not in got and 10 < len(got) < 200
+
+
 def test_edges(spark, edge_docs, edge_rows, no_docs):
     bench = spark.createDataFrame([(1, edge_rows[0][1][:400]), (2, None), (None, "x"), (3, ""), (4, "one two")], "item_id long, text string")
     found = {(r["doc_id"], r["item_id"]) for r in decontam.leaks(spark, edge_docs, bench).collect()}
