@@ -7,12 +7,13 @@ block of ``CHAIN`` words in a row. A document's language is the label with the l
 sum of posteriors over all its words, its score the mean posterior of that label.
 
 The model is fitted on a bounded sample of labelled rows: at most ``SAMPLE_DOCS`` rows
-in all and ``SAMPLE_WORDS`` words of each, chosen by hash among documents that are not
-held out (crc32 of the doc_id as text modulo 4 is not 2). Training chains splice pieces
+in all and ``SAMPLE_WORDS`` words of each, chosen by hash among different documents that
+are not held out (crc32 of the doc_id as text modulo 4 is not 2). It learns the
+``LANGUAGES`` most frequent labels (of equally frequent ones the first by alphabet). Training chains splice pieces
 of several sampled documents, so that transitions between languages can be learned.
 
 Cases: a text that is null or has no letter is ``und`` with score 0. So is every text
-where no row can be learned from. A null doc_id is neither learned from nor held out.
+where no row can be learned from. Of labels with equal sums the first by alphabet counts. A null doc_id is neither learned from nor held out.
 Repeated rows are labelled alike. An empty table gives no rows. Columns other than
 doc_id, text and lang are ignored; lang is read for learning only.
 """
@@ -34,6 +35,7 @@ from linewright.llm import tables
 CHAIN = 64
 SAMPLE_DOCS = 2400
 SAMPLE_WORDS = 120
+LANGUAGES = 64
 LEXICON = 4000
 ROUNDS = 60
 RATE = 0.15
@@ -227,16 +229,19 @@ def held_out(doc_id: Column) -> Column:
 def sample(docs: DataFrame, most: int = SAMPLE_DOCS, words: int = SAMPLE_WORDS) -> list[tuple[str, list[str]]]:
     """A bounded sample of rows that may be learned from, even over the languages."""
     usable = docs.filter(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-    counts = dict(usable.groupBy("lang").count().collect())
+    turn = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40)) / float(1 << 40)
+    different = F.approx_count_distinct(turn).alias("n")
+    counts = dict(usable.groupBy("lang").agg(different).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect())
     if not counts:
         return []
     each = max(1, most // len(counts))
-    turn = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) / float(1 << 40)
     share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, 1.5 * each / n))])
     pieces = F.split("text", "\\s+")
     start = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.greatest(F.size("pieces") - words, F.lit(1))) + 1
-    chosen = usable.filter(turn < share[F.col("lang")]).select("lang", turn.alias("turn"), "doc_id", pieces.alias("pieces"))
-    rows = chosen.select("lang", "turn", "doc_id", F.array_join(F.slice("pieces", start.cast("int"), F.lit(words)), " ").alias("text")).limit(2 * most).collect()
+    # By turn within the share of their language, languages come evenly; repeated rows count once.
+    chosen = usable.select("lang", "doc_id", "text", (turn / share[F.col("lang")]).alias("turn")).filter("turn < 1").distinct()
+    chosen = chosen.orderBy("turn", "doc_id", "text").limit(2 * most).select("lang", "turn", "doc_id", pieces.alias("pieces"))
+    rows = chosen.select("lang", "turn", "doc_id", F.array_join(F.slice("pieces", start.cast("int"), F.lit(words)), " ").alias("text")).collect()
     kept: list[tuple[str, list[str]]] = []
     taken: Counter = Counter()
     for row in sorted(rows, key=lambda r: (r["turn"], r["doc_id"], r["text"])):

@@ -1,5 +1,8 @@
 """Quality rules: one table of thresholds, compiled into one projection of built-in functions.
 
+The stop-word rule asks for function words of the languages in STOP_WORDS, so it rejects
+texts in all others; give ``rules`` without it, or words of more languages, for those.
+
 Cases: a null or empty text has no words and fails. Repeated rows are judged alike. An
 empty table gives no rows. Columns other than doc_id and text are ignored by the report;
 ``keep`` returns the columns it was given.

@@ -64,3 +64,48 @@ def test_memory_of_words_is_bounded(monkeypatch):
     first = labeller.sums([["the", "house", "a", "b"], ["der"]])[0]
     labeller.sums([["c", "d", "e", "f"]])
     assert np.allclose(labeller.sums([["the", "house", "a", "b"], ["der"]])[0], first) and len(labeller.place) <= 8
+
+
+def test_documents_by_plain_code(spark):
+    """Chains of CHAIN words, sums over a document and the choice of its label, in loops over single words."""
+    import math
+    import random
+
+    r = random.Random(9)
+    words = {lang: [f"{r.choice(ends)}{r.choice('aeiou')}{r.choice(ends)}" for _ in range(60)] for lang, ends in (("aa", "bdg"), ("bb", "klm"), ("cc", "rst"))}
+    model = langid.fit([(lang, [r.choice(w) for _ in range(80)]) for lang, w in words.items() for _ in range(4)])
+    texts = [" ".join(r.choice(words[lang]) for lang in r.choices(list(words), [3, 2, 1], k=n)) for n in (1, 5, langid.CHAIN, langid.CHAIN + 1, 200)] + ["aa", "12 !", None]
+    k = len(model.labels)
+
+    def plain(text):
+        own, sums = langid.words_of(text or ""), [0.0] * k
+        for at in range(0, len(own), langid.CHAIN):
+            chain = own[at : at + langid.CHAIN]
+            e = [[math.exp(sum(float(model.weights[model.index[f], j]) for f in langid.features(w) if f in model.index)) for j in range(k)] for w in chain]
+            move = [[math.exp(float(model.moves[i, j])) for j in range(k)] for i in range(k)]
+            ahead = [[math.exp(float(model.starts[j])) * e[0][j] for j in range(k)]]
+            for x in e[1:]:
+                ahead.append([sum(ahead[-1][i] * move[i][j] for i in range(k)) * x[j] for j in range(k)])
+                total = sum(ahead[-1])
+                ahead[-1] = [v / total for v in ahead[-1]]
+            back = [[1.0] * k]
+            for x in e[:0:-1]:
+                back.append([sum(move[i][j] * x[j] * back[-1][j] for j in range(k)) for i in range(k)])
+                total = sum(back[-1])
+                back[-1] = [v / total for v in back[-1]]
+            for a, b in zip(ahead, back[::-1]):
+                total = sum(x * y for x, y in zip(a, b))
+                sums = [s + x * y / total for s, x, y in zip(sums, a, b)]
+        best = max(range(k), key=lambda j: (sums[j], -j))
+        return (model.labels[best], sums[best] / sum(sums)) if sum(sums) else ("und", 0.0)
+
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for row in langid.predict(spark, frame, model).collect():
+        label, score = plain(texts[row["doc_id"]])
+        assert row["lang_pred"] == label and abs(row["score"] - score) < 1e-3
+
+
+def test_sample_is_even_whatever_repeats(spark):
+    rows = [(1, "tick tock " * 20, "aa")] * 300 + [(i, f"word{i} some thing", "bb") for i in range(2, 40)] + [(i, f"mot{i}", "cc") for i in range(40, 80)]
+    taken = [lang for lang, _ in langid.sample(spark.createDataFrame(rows, "doc_id long, text string, lang string"), most=30)]
+    assert set(taken) == {"aa", "bb", "cc"} and taken.count("aa") == 1 and max(map(taken.count, ("bb", "cc"))) <= 10

@@ -25,3 +25,22 @@ def test_stages(spark, edge_docs, sentences, tmp_path):
     assert secrets.MASK in masked["text"] and masked["n_chars"] == len(masked["text"])
     strip = lambda f: sorted((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in f.collect())
     assert strip(corpus_pipeline.run(spark, root)) == strip(frame)
+
+
+def test_edge_rows(spark, edge_docs, edge_rows, sentences, tmp_path):
+    """Null ids, nulls, repeated rows, a very long text and clashing columns; and no rows at all."""
+    root = str(tmp_path)
+    spark.createDataFrame([(1, sentences(30, 77))], "item_id long, text string").write.parquet(f"{root}/benchmark.parquet")
+    edge_docs.write.parquet(f"{root}/documents.parquet")
+    frame = spark.read.parquet(f"{root}/documents.parquet")
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
+        frame = stage(spark, frame, root)
+        frame.write.parquet(f"{root}/{k}")
+        frame = spark.read.parquet(f"{root}/{k}")
+        assert frame.columns == edge_docs.columns
+    kept = sorted(repr(r["doc_id"]) for r in frame.select("doc_id").collect())
+    assert kept == sorted(["1", "9", "10", "11", "None"])  # 2 and 3 are copies, 13 repeats itself, the others are short
+    packed = corpus_pipeline.run(spark, root).collect()
+    assert {repr(r["doc_id"]) for r in packed} == set(kept) and sum(r["length"] for r in packed if r["doc_id"] == 11) > 30000
+    edge_docs.limit(0).write.mode("overwrite").parquet(f"{root}/documents.parquet")
+    assert corpus_pipeline.run(spark, root).count() == 0
