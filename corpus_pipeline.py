@@ -2,7 +2,13 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a frame; run() writes it as Parquet
 and reads it back as the next stage's docs, so a lost executor repeats one stage at most.
-All stages but the last return the columns of documents.
+All stages but the last return the columns of documents, whatever their names.
+
+Cases: a null or empty text has no words and goes with the quality rules. Of repeated
+rows, and of rows of one class of near duplicates, one stays. Rows with a null doc_id
+belong to no class: those of good quality all stay, through decontamination too, their
+secrets are masked and they are packed. Very long texts are treated whole. An empty table
+gives no rows.
 """
 
 from __future__ import annotations
