@@ -8,10 +8,13 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterable
 
-from pyspark.sql import Column
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-_OUTER_SPACE = "(?U)^[\\s\\x1c-\\x1f]+|[\\s\\x1c-\\x1f]+$"
+#: All characters that count as white space.
+SPACES = "".join(map(chr, [*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+FOLD = 256
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -21,7 +24,7 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 def strip(text: Column) -> Column:
     """Trim all Unicode white space, not just the ASCII space."""
-    return F.regexp_replace(text, _OUTER_SPACE, "")
+    return F.btrim(text, F.lit(SPACES))
 
 
 def is_blank(text: Column) -> Column:
@@ -43,13 +46,27 @@ def alternation(terms: Iterable[str]) -> str:
     return "|".join(quote(t) for t in sorted(terms, key=len, reverse=True))
 
 
-def valid(pattern: str) -> bool:
-    """Whether a user's pattern compiles; checked on the driver, before any task runs."""
+def groups(pattern: str) -> int | None:
+    """How many groups a user's pattern has; None if it does not compile.
+
+    The engine that will run the pattern is asked, on the driver and before any task runs.
+    """
+    session = SparkSession.getActiveSession()
+    jvm = getattr(session, "_jvm", None)
+    if jvm is None:  # no engine at hand
+        try:
+            return re.compile(pattern).groups
+        except re.error:
+            return None
     try:
-        re.compile(pattern)
-    except re.error:
-        return False
-    return True
+        return jvm.java.util.regex.Pattern.compile(pattern).matcher("").groupCount()
+    except Py4JJavaError:
+        return None
+
+
+def valid(pattern: str) -> bool:
+    """Whether a user's pattern compiles."""
+    return groups(pattern) is not None
 
 
 def any_match(text: Column, patterns: Iterable[str]) -> Column:
@@ -76,19 +93,36 @@ def rewrite(text: Column, pattern: str, body: Callable[[Column, Column, Column,
     return F.when(text.rlike(pattern), let(both, build)).otherwise(text)
 
 
+def running(values: Column, op: Callable[[Column, Column], Column], kind: str = "int") -> Column:
+    """For each value the fold of those before it, from 0 on; in folds of FOLD values, since arrays are copied as they grow."""
+    zero = F.lit(0).cast(kind).alias("at")
+
+    def fold(block: Column) -> Column:
+        step = lambda acc, x: F.struct(op(acc["at"], x).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
+        return F.aggregate(block, F.struct(zero, F.array().cast(f"array<{kind}>").alias("out")), step)
+
+    def chain(acc: Column, f: Column) -> Column:
+        moved = F.transform(f["out"], lambda y: op(acc["at"], y))
+        return F.struct(op(acc["at"], f["at"]).alias("at"), F.concat(acc["outs"], F.array(moved)).alias("outs"))
+
+    def folded(held: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(held) - 1) / FOLD).cast("int")), lambda b: F.slice(held, b * FOLD + 1, F.lit(FOLD)))
+        start = F.struct(zero, F.array().cast(f"array<array<{kind}>>").alias("outs"))
+        return F.when(F.size(held) > 0, F.flatten(F.aggregate(F.transform(blocks, fold), start, chain)["outs"])).otherwise(F.array().cast(f"array<{kind}>"))
+
+    return let(values, folded)
+
+
 def matches(text: Column, pattern: str) -> Column:
     """The matches of a pattern as an array of (start, end, text), in code points from 0."""
-    kind = "array<struct<start:int,end:int,text:string>>"
 
     def place(z: Column) -> Column:
-        def step(acc: Column, i: Column) -> Column:
-            hit = F.get(z["hits"], i)
-            start = acc["at"] + F.length(F.get(z["gaps"], i))
-            end = start + F.length(hit)
-            return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end"), hit.alias("text")))).alias("out"))
-
-        zero = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out"))
-        return F.aggregate(F.sequence(F.lit(0), F.size(z["hits"]) - 1), zero, step)["out"]
+        before = running(F.transform(z["hits"], lambda hit, i: F.length(F.get(z["gaps"], i)) + F.length(hit)), lambda a, b: a + b)
+        start = lambda at, i: at + F.length(F.get(z["gaps"], i))
+        return F.transform(
+            before,
+            lambda at, i: F.struct(start(at, i).alias("start"), (start(at, i) + F.length(F.get(z["hits"], i))).alias("end"), F.get(z["hits"], i).alias("text")),
+        )
 
     both = F.struct(F.split(text, pattern, -1).alias("gaps"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hits"))
-    return F.when(text.rlike(pattern), let(both, place)).otherwise(F.array().cast(kind))
+    return F.when(text.rlike(pattern), let(both, place)).otherwise(F.array().cast("array<struct<start:int,end:int,text:string>>"))

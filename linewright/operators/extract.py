@@ -43,9 +43,7 @@ class Config:
     brackets: bool = True
 
     def checked(self) -> Config:
-        import re
-
-        base = self.base if rx.valid(self.base) and re.compile(self.base).groups < 2 else BASE
+        base = self.base if rx.groups(self.base) in (0, 1) else BASE
         return Config(
             base,
             self.invalid if rx.valid(self.invalid) else INVALID,
@@ -64,16 +62,14 @@ class Config:
 def tidy(text: Column) -> Column:
     """Keep what bars frame; drop what cannot begin or end a fragment."""
     framed = "[│|](.*)[│|]"
-    text = F.when(text.rlike(framed), F.regexp_replace(F.regexp_extract(text, framed, 1), "^[ \\t　.]+|[ \\t　.]+$", "")).otherwise(text)
+    text = F.when(text.rlike(framed), F.btrim(F.regexp_extract(text, framed, 1), F.lit(" \t　."))).otherwise(text)
     text = rx.strip(F.regexp_replace(text, NOT_TEXT_START, ""))
     text = rx.strip(F.regexp_replace(text, "^[0-9０-９]+[.．]", ""))
-    return rx.strip(F.regexp_replace(text, "[|｜(（]+$", ""))
+    return rx.strip(F.rtrim(text, F.lit("|｜(（")))
 
 
 def trace(docs: DataFrame, config: Config = Config()) -> DataFrame:
     """(doc_id, line_no, chunk_no, match_no, text, reason) for every candidate; reason is null where it is kept."""
-    import re
-
     c = config.checked()
     title = rx.strip(F.lit(c.skip_title))
     at_title = F.when(title != "", L.first_line_with_text(F.col("text"))).otherwise(F.lit(0))
@@ -88,7 +84,7 @@ def trace(docs: DataFrame, config: Config = Config()) -> DataFrame:
     dense = F.regexp_count("chunk", F.lit(c.symbol)) > F.length("chunk") * 0.5
     rows = rows.withColumn("_reason", F.coalesce("_line_reason", F.when(dense, "symbols")))
 
-    group = 1 if re.compile(c.base).groups else 0
+    group = 1 if rx.groups(c.base) else 0
     found = F.when(F.col("_reason").isNull(), F.regexp_extract_all("chunk", F.lit(c.base), F.lit(group))).otherwise(F.array("chunk"))
     rows = rows.select("doc_id", "line_no", "line", "chunk_no", "_reason", F.posexplode(found).alias("match_no", "_raw"))
     raw = rx.strip(F.col("_raw"))
@@ -106,7 +102,9 @@ def trace(docs: DataFrame, config: Config = Config()) -> DataFrame:
     whole = arrow.complete_brackets("_tidy", "line") if c.brackets else F.col("_tidy")
     rows = rows.withColumn("text", F.when(F.col("_reason").isNull(), whole).otherwise(F.col("_raw")))
     filtered = F.when(F.col("reason").isNull() & rx.any_match(F.col("text"), c.filters), "filter")
-    return rows.select("doc_id", "line_no", "chunk_no", "match_no", "text", F.coalesce("reason", filtered).alias("reason"))
+    # A filter on these columns would be pushed below as copies of all that they are made of; it stays above a generator.
+    made = F.inline(F.array(F.struct(F.col("text").alias("text"), F.coalesce("reason", filtered).alias("reason"))))
+    return rows.select("doc_id", "line_no", "chunk_no", "match_no", made)
 
 
 def fragments(docs: DataFrame, config: Config = Config()) -> DataFrame:

@@ -161,12 +161,19 @@ def q_first_nonblank(spark, sf_dir):
 FROM (SELECT a.doc_id, a.text, least(2, len(string_split(a.text, chr(10))), len(string_split(b.text, chr(10)))) AS t FROM documents AS a JOIN documents AS b ON a.doc_id + 1 = b.doc_id) AS d
 JOIN documents AS o ON d.doc_id + 1 = o.doc_id"""
 )
-def q_restore_range(spark, sf_dir):
+def q_restore_from(spark, sf_dir):
     """The first two lines of a document above the rest of the next one."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return lines.restore_from(docs, docs.withColumn("doc_id", F.col("doc_id") - 1), 2)
 
 
+@query("SELECT doc_id, substring(text, least(2, length(string_split(text, chr(10))[1])) + 1, greatest(length(array_to_string(string_split(text, chr(10))[1:2], chr(10))) - least(2, length(string_split(text, chr(10))[1])), 0)) AS text FROM documents")
+def q_restore_range(spark, sf_dir):
+    """From the third character of the first line to the end of the second, taken from the original."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return lines.restore_range(docs.withColumn("text", F.upper("text")), docs, (0, 2), (1, 1 << 20))
+
+
 def _part_lines(spark, sf_dir):
     return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("pos"), F.concat_ws(" = ", "p_type", "p_name").alias("line"))
 
@@ -256,20 +263,24 @@ def q_quick_replace(spark, sf_dir):
 
 
 def _translations(spark, sf_dir):
-    """Every second fragment's upper case as its translation."""
+    """The fragments, and every fragment's upper case as its translation."""
     found = extract.with_ids(extract.fragments(table(spark, sf_dir, "documents"), LATIN))
-    fresh = found.filter("seq % 2 = 0").select("doc_id", "frag_id", F.col("seq").alias("pos"), F.upper("text").alias("text"))
-    return found, fresh
+    return found, found.select("doc_id", "frag_id", F.col("seq").alias("pos"), F.upper("text").alias("text"))
 
 
-@query(_TRACE + " SELECT doc_id, frag_id, text AS original, seq AS pos, upper(text) AS translation FROM x WHERE seq % 2 = 0")
+@query(_TRACE + " SELECT doc_id, frag_id, text AS original, seq AS pos, upper(text) AS translation FROM x")
 def q_translate_join(spark, sf_dir):
     return translate.pairs(*_translations(spark, sf_dir))
 
 
-@query(_TRACE + " SELECT doc_id, count(*) AS n_ids, count(*) FILTER (seq % 2 = 0) AS n_translated, count(*) FILTER (seq % 2 = 0) / count(*) AS coverage, count(*) FILTER (seq % 2 = 0) / count(*) < 0.5 AS is_low FROM x GROUP BY doc_id")
+_KNOWN = "count(*) FILTER (NOT regexp_matches(text, '[A-Z]'))"
+
+
+@query(_TRACE + f" SELECT doc_id, count(*) AS n_ids, {_KNOWN} AS n_translated, {_KNOWN} / count(*) AS coverage, {_KNOWN} / count(*) < 0.5 AS is_low FROM x GROUP BY doc_id")
 def q_coverage(spark, sf_dir):
-    return translate.coverage(*_translations(spark, sf_dir))
+    """Fragments with a capital letter are left without a translation."""
+    found, _ = _translations(spark, sf_dir)
+    return translate.coverage(found, found.filter(~F.col("text").rlike("[A-Z]")))
 
 
 @query(
@@ -371,11 +382,13 @@ def q_history_search(spark, sf_dir):
 
 
 @query(
-    """SELECT 'd' || a.doc_id AS file_name, a.text, b.text AS original FROM documents AS a LEFT JOIN (SELECT * FROM documents WHERE doc_id % 2 = 0) AS b ON a.doc_id = b.doc_id"""
+    """SELECT 'd' || a.doc_id AS file_name, a.text, b.text AS original FROM documents AS a LEFT JOIN (SELECT * FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)) AS b ON a.doc_id = b.doc_id"""
 )
 def q_original_lookup(spark, sf_dir):
+    """Every document with the original that is kept of it; originals are kept of labelled documents."""
     docs = table(spark, sf_dir, "documents").select(F.concat(F.lit("d"), "doc_id").alias("file_name"), "text", "doc_id")
-    return history.originals(docs.select("file_name", "text"), docs.filter("doc_id % 2 = 0").select("file_name", "text", F.col("doc_id").cast("double").alias("ts")))
+    kept = docs.join(table(spark, sf_dir, "labels").select("doc_id").distinct(), "doc_id", "left_semi")
+    return history.originals(docs.select("file_name", "text"), kept.select("file_name", "text", F.col("doc_id").cast("double").alias("ts")))
 
 
 @query("SELECT p_partkey, regexp_replace(p_name, '[\\\\/:*?\"<>|]', '_', 'g') AS file_name, replace(p_name, ' ', '') AS packed, CASE WHEN p_size * 512 < 1024 THEN printf('%d B', p_size * 512) ELSE printf('%.1f KB', p_size * 512 / 1024) END AS size_label FROM part")
