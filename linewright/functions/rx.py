@@ -9,6 +9,7 @@ import re
 from collections.abc import Callable, Iterable
 
 from py4j.protocol import Py4JJavaError
+from pyspark.errors import IllegalArgumentException
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,7 +61,7 @@ def groups(pattern: str) -> int | None:
             return None
     try:
         return jvm.java.util.regex.Pattern.compile(pattern).matcher("").groupCount()
-    except Py4JJavaError:
+    except (IllegalArgumentException, Py4JJavaError):  # the session turns the engine's error into the first
         return None
 
 

@@ -160,3 +160,53 @@ def css_rgba(color: Column) -> Column:
     return F.when(full != "", F.struct(*[pair(i).alias(k) for k, i in zip(kinds, (1, 3, 5))], F.lit(1.0).alias("a"))).when(
         color.rlike(call), F.struct(*[part(i).alias(k) for k, i in zip(kinds, (1, 2, 3))], alpha.alias("a"))
     )
+
+
+def toggle_color(text: Column, color: Column) -> Column:
+    """A text in a colour span; one that holds colour markup loses it instead."""
+    bare = F.regexp_replace(text, COLOR_SPAN, "")
+    return F.when(text.rlike(COLOR_SPAN), bare).otherwise(F.concat(F.lit("<span style=\"color:"), color, F.lit("\">"), text, F.lit("</span>")))
+
+
+_RUN = "(?s)<span style=\"color:([^\"]+)\">(.*?)</span>"
+BLACK = "^(?i)(?:#0{3}|#0{6}|black)$"
+
+
+def color_runs(text: Column) -> Column:
+    """Markup as an array of (text, color) runs; what no span colours is black."""
+    run = lambda body, color: F.struct(body.alias("text"), color.alias("color"))
+
+    def build(z: Column) -> Column:
+        black = lambda i: run(F.get(z["gaps"], i), F.lit("#000000"))
+        pairs = F.transform(z["bodies"], lambda body, i: F.array(run(body, F.get(z["colors"], i)), black(i + 1)))
+        return F.filter(F.concat(F.array(black(F.lit(0))), F.flatten(pairs)), lambda x: x["text"] != "")
+
+    parts = F.struct(
+        F.split(text, _RUN, -1).alias("gaps"), F.regexp_extract_all(text, F.lit(_RUN), F.lit(1)).alias("colors"), F.regexp_extract_all(text, F.lit(_RUN), F.lit(2)).alias("bodies")
+    )
+    return rx.let(parts, build)
+
+
+def runs_markup(runs: Column) -> Column:
+    """Runs as markup; black ones stand without a span."""
+    span = lambda x: F.concat(F.lit("<span style=\"color:"), x["color"], F.lit("\">"), x["text"], F.lit("</span>"))
+    return F.array_join(F.transform(runs, lambda x: F.when(x["color"].rlike(BLACK), x["text"]).otherwise(span(x))), "")
+
+
+def chapter_number(text: Column) -> Column:
+    """The number of the chapter mark in the first 200 characters; null without one."""
+    return chapter(F.substring(text, 1, 200))["number"]
+
+
+def step_number(number: Column, by: int) -> Column:
+    """A number written as text moved by one step, not below zero; an empty one counts as 0, other texts stay."""
+    value = F.when(number == "", F.lit(0).cast("long")).otherwise(rx.strip(number).try_cast("long"))
+    moved = value + by
+    return F.when(value.isNull() | ((moved < 0) if by < 0 else F.lit(False)), number).otherwise(moved.cast("string"))
+
+
+def output_names(title: Column, number: Column) -> Column:
+    """(file_name, display): a title and a number joined by an underscore; an unnamed work has a name of its own."""
+    title, number = F.coalesce(F.nullif(rx.strip(title), F.lit("")), F.lit("未命名")), rx.strip(number)
+    joined = F.when(number == "", title).otherwise(F.concat_ws("_", title, number))
+    return F.struct(safe_file_name(joined).alias("file_name"), joined.alias("display"))

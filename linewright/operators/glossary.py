@@ -152,3 +152,28 @@ def keep_first(rows: DataFrame, key: list[str], order: str) -> DataFrame:
     """One row for each key, the first in order."""
     first = Window.partitionBy(*key).orderBy(order)
     return rows.withColumn("_n", F.row_number().over(first)).filter("_n = 1").drop("_n")
+
+
+def combined(normal: Column, temporary: Column) -> Column:
+    """Two glossaries as one text, blank ones left out; entries of the second come later, so they win."""
+    part = lambda text: F.nullif(rx.strip(text), F.lit(""))
+    return F.concat_ws("\n", part(normal), part(temporary))
+
+
+def with_entry(text: Column, original: Column, translation: Column) -> Column:
+    """A glossary with one more entry on a line of its own; unchanged where a side of the entry is empty."""
+    bare = F.rtrim(text, F.lit("\n"))
+    entry = F.concat(encode_term(original), F.lit("="), encode_term(translation))
+    return F.when((original == "") | (translation == ""), text).otherwise(F.concat(F.when(bare == "", "").otherwise(F.concat(bare, F.lit("\n"))), entry))
+
+
+def quick_entries(lines: DataFrame) -> DataFrame:
+    """(pos, sub, key, value) of a list of plain replacements: either equals sign parts a line, the first one counts.
+
+    Backticks mean nothing here, and a key may stand several times.
+    """
+    line = rx.strip(F.col("line"))
+    at = F.regexp_instr(line, F.lit("[=＝]"))
+    side = lambda s: F.when(at > 0, rx.strip(s))
+    rows = lines.select("pos", side(F.substring(line, F.lit(1), at - 1)).alias("k"), side(F.substring(line, at + 1, F.length(line))).alias("v"))
+    return rows.filter("k <> ''").select("pos", F.posexplode(_expanded(F.col("k"), F.col("v"))).alias("sub", "e")).select("pos", "sub", "e.key", "e.value")

@@ -6,7 +6,7 @@ other two, and a map of exceptions can be given.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from linewright.functions import rx
@@ -72,12 +72,36 @@ def _claimed(lines: Column, found: Column, kind: str, top: str, bottom: str) ->
 
 
 def _padded(text: Column, target: Column, special: dict[str, int] | None) -> Column:
-    """Full-width spaces as far as they fit, then half-width ones."""
+    """Full-width spaces as far as they fit, then half-width ones, and one more if that comes nearer."""
     wide, narrow = (special or {}).get(WIDE_SPACE, 2), (special or {}).get(" ", 1)
-    room = F.greatest(target - width(text, special), F.lit(0))
-    n_wide = F.floor(room / wide).cast("int")
-    n_narrow = F.floor((room - n_wide * wide) / narrow).cast("int")
-    return F.concat(text, F.repeat(F.lit(WIDE_SPACE), n_wide), F.repeat(F.lit(" "), n_narrow))
+    room = target - width(text, special)
+    n_wide = F.floor(F.greatest(room, F.lit(0)) / wide).cast("int")
+    left = room - n_wide * wide
+    n_narrow = F.floor(F.greatest(left, F.lit(0)) / narrow).cast("int")
+    left = left - n_narrow * narrow
+    nearer = F.when(narrow - left < left, 1).otherwise(0)
+    return F.concat(text, F.repeat(F.lit(WIDE_SPACE), n_wide), F.repeat(F.lit(" "), n_narrow + nearer))
+
+
+def align_to_previous(lines: DataFrame, at: Column, special: dict[str, int] | None = None, key: str = "doc_id") -> DataFrame:
+    """(key, line_no, line, cursor): what stands at or behind ``at`` (from 0) moved to the end of the line before.
+
+    The first character there that is no space goes behind one space, next to the last
+    character of the previous line; cursor is its place. Lines without such a character,
+    or without text before them, stay, with cursor null.
+    """
+    previous = F.lag("line").over(Window.partitionBy(key).orderBy("line_no"))
+    rows = lines.withColumn("_at", at).withColumn("_previous", F.regexp_replace(previous, "(?U)\\s+$", ""))
+    behind = F.substring("line", F.col("_at") + 1, F.length("line"))
+    start = F.col("_at") + F.length(behind) - F.length(F.ltrim(behind, F.lit(" " + WIDE_SPACE)))
+    content = F.coalesce(F.nullif(F.rtrim("_previous", F.lit(" .．" + WIDE_SPACE)), F.lit("")), F.col("_previous"))
+    target = F.when(F.length(content) > 1, width(F.substring(content, F.lit(1), F.length(content) - 1), special)).otherwise(width(content, special))
+    rows = rows.select(key, "line_no", "line", "_previous", start.alias("_start"), target.alias("_target"))
+    before = F.rtrim(F.substring("line", F.lit(1), F.col("_start")), F.lit(" " + WIDE_SPACE))
+    prefix = F.when(width(before, special) >= F.col("_target"), before).otherwise(_padded(before, F.col("_target"), special))
+    rows = rows.withColumn("_prefix", F.when((F.col("_previous") != "") & (F.col("_start") < F.length("line")), prefix))
+    moved = F.concat("_prefix", F.lit(" "), F.substring("line", F.col("_start") + 1, F.length("line")))
+    return rows.select(key, "line_no", F.coalesce(moved, F.col("line")).alias("line"), (F.length("_prefix") + 1).alias("cursor"))
 
 
 def redraw(lines: Column, box: Column, special: dict[str, int] | None = None) -> Column:

@@ -31,44 +31,65 @@ def is_japanese(name: Column) -> Column:
 
 
 
-def from_terms(pages: DataFrame) -> DataFrame:
+_FOUND = "array<struct<strategy:int,pos:int,jp:string,cn:string>>"
+
+
+def _row(strategy: int, pos: Column, jp: Column, cn: Column) -> Column:
+    return F.struct(F.lit(strategy).alias("strategy"), pos.alias("pos"), jp.alias("jp"), cn.alias("cn"))
+
+
+def from_terms(html: Column) -> Column:
     """A definition term begins with the Chinese name and holds the Japanese one."""
-    rows = pages.select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit("(?is)<dt\\b[^>]*>(.*?)</dt>"), F.lit(1))).alias("pos", "dt"))
-    marked = F.transform(F.regexp_extract_all("dt", F.lit(JA_SPAN), F.lit(1)), lambda s: clean(plain(s)))
     in_brackets = "[（(][^（()）]*?[，,、]\\s*([^（()）]+?)\\s*[)）]"
-    listed = F.transform(F.regexp_extract_all(plain(F.col("dt")), F.lit(in_brackets), F.lit(1)), clean)
-    first = lambda names: F.get(F.filter(names, is_japanese), F.lit(0))
-    rows = rows.select("page_id", "pos", clean(F.regexp_extract("dt", "^\\s*([^<]+)", 1)).alias("cn"), F.coalesce(first(marked), first(listed)).alias("jp"))
-    return rows.filter("cn <> '' AND jp IS NOT NULL").select("page_id", F.lit(0).alias("strategy"), "pos", "jp", "cn")
 
+    def pair(dt: Column, i: Column) -> Column:
+        marked = F.transform(F.regexp_extract_all(dt, F.lit(JA_SPAN), F.lit(1)), lambda s: clean(plain(s)))
+        listed = F.transform(F.regexp_extract_all(plain(dt), F.lit(in_brackets), F.lit(1)), clean)
+        first = lambda names: F.get(F.filter(names, is_japanese), F.lit(0))
+        return _row(0, i, F.coalesce(first(marked), first(listed)), clean(F.regexp_extract(dt, "^\\s*([^<]+)", 1)))
+
+    terms = F.regexp_extract_all(html, F.lit("(?is)<dt\\b[^>]*>(.*?)</dt>"), F.lit(1))
+    return F.filter(F.transform(terms, pair), lambda x: (x["cn"] != "") & x["jp"].isNotNull())
 
-def from_tables(pages: DataFrame) -> DataFrame:
+
+def from_tables(html: Column) -> Column:
     """Of a row's first three cells, the first with kana and the first with Han characters but no kana."""
-    tables = F.regexp_extract_all("html", F.lit("(?is)<table\\b[^>]*class=\"[^\"]*wikitable[^\"]*\"[^>]*>(.*?)</table>"), F.lit(1))
+    tables = F.regexp_extract_all(html, F.lit("(?is)<table\\b[^>]*class=\"[^\"]*wikitable[^\"]*\"[^>]*>(.*?)</table>"), F.lit(1))
     rows = F.flatten(F.transform(tables, lambda t: F.regexp_extract_all(t, F.lit("(?is)<tr\\b[^>]*>(.*?)</tr>"), F.lit(1))))
-    found = pages.select("page_id", F.posexplode(rows).alias("pos", "row"))
-    raw = F.regexp_extract_all("row", F.lit("(?is)<t[dh]\\b[^>]*>(.*?)</t[dh]>"), F.lit(1))
-    cells = F.transform(F.slice(raw, 1, 3), lambda c: clean(plain(c)))
-    jp = F.get(F.filter(cells, lambda c: c.rlike(KANA)), F.lit(0))
-    cn = F.get(F.filter(cells, lambda c: c.rlike(HAN) & ~c.rlike(KANA)), F.lit(0))
-    named = found.filter(F.size(raw) >= 2).select("page_id", "pos", jp.alias("jp"), cn.alias("cn"))
-    return named.filter("jp IS NOT NULL AND cn IS NOT NULL").select("page_id", F.lit(1).alias("strategy"), "pos", "jp", "cn")
+
+    def pair(row: Column, i: Column) -> Column:
+        raw = F.regexp_extract_all(row, F.lit("(?is)<t[dh]\\b[^>]*>(.*?)</t[dh]>"), F.lit(1))
+        cells = F.transform(F.slice(raw, 1, 3), lambda c: clean(plain(c)))
+        jp = F.get(F.filter(cells, lambda c: c.rlike(KANA)), F.lit(0))
+        cn = F.get(F.filter(cells, lambda c: c.rlike(HAN) & ~c.rlike(KANA)), F.lit(0))
+        return F.when(F.size(raw) >= 2, _row(1, i, jp, cn))
+
+    return F.filter(F.transform(rows, pair), lambda x: x["jp"].isNotNull() & x["cn"].isNotNull())
 
 
-def from_spans(pages: DataFrame) -> DataFrame:
+def from_spans(html: Column) -> Column:
     """Before a Japanese span stands the Chinese name, at the end of the text that precedes it."""
-    rows = pages.select("page_id", "html", F.posexplode(rx.matches(F.col("html"), JA_SPAN)).alias("pos", "m"))
-    start = F.col("m.start")
-    before = F.substring("html", F.greatest(start - LOOK_BACK, F.lit(0)) + 1, F.least(start, F.lit(LOOK_BACK)))
-    before = F.regexp_replace(F.regexp_replace(plain(before), "[（(]\\s*$", ""), "(?U)\\s+$", "")
-    cn = clean(F.regexp_extract(before, "(?U)([\\u4e00-\\u9fff·・‧\\s]+)$", 1))
-    named = rows.select("page_id", "pos", clean(plain(F.regexp_extract("m.text", JA_SPAN, 1))).alias("jp"), cn.alias("cn"))
-    return named.filter(is_japanese(F.col("jp")) & F.col("cn").rlike(HAN) & ~F.col("cn").rlike(KANA)).select("page_id", F.lit(2).alias("strategy"), "pos", "jp", "cn")
+
+    def pair(m: Column, i: Column) -> Column:
+        before = F.substring(html, F.greatest(m["start"] - LOOK_BACK, F.lit(0)) + 1, F.least(m["start"], F.lit(LOOK_BACK)))
+        before = F.regexp_replace(F.regexp_replace(plain(before), "[（(]\\s*$", ""), "(?U)\\s+$", "")
+        return _row(2, i, clean(plain(F.regexp_extract(m["text"], JA_SPAN, 1))), clean(F.regexp_extract(before, "(?U)([\\u4e00-\\u9fff·・‧\\s]+)$", 1)))
+
+    named = F.transform(rx.matches(html, JA_SPAN), pair)
+    return F.filter(named, lambda x: is_japanese(x["jp"]) & x["cn"].rlike(HAN) & ~x["cn"].rlike(KANA))
 
 
 def pairs(pages: DataFrame) -> DataFrame:
-    """(page_id, strategy, pos, jp, cn), each Japanese name once per page, by the earliest strategy."""
-    both = from_terms(pages).unionByName(from_tables(pages)).unionByName(from_spans(pages))
+    """(page_id, strategy, pos, jp, cn), each Japanese name once per page, by the earliest strategy.
+
+    Character references are decoded first, but for those that would read as markup, which
+    are decoded in the names. page_id must tell pages apart.
+    """
+    guarded = F.regexp_replace("html", "(?i)&(?=(?:lt|gt|amp|quot|#0*(?:34|38|60|62)|#x0*(?:22|26|3c|3e));?)", "&amp;")
+    decoded = pages.select("page_id", arrow.unescape_html(guarded).alias("html"))
+    html = F.col("html")
+    every = F.concat(*(f(html).cast(_FOUND) for f in (from_terms, from_tables, from_spans)))
+    both = decoded.select("page_id", F.inline(every))
     cleaned = both.withColumn("jp", clean(arrow.unescape_html("jp"))).withColumn("cn", clean(arrow.unescape_html("cn")))
     usable = cleaned.filter((F.col("cn") != "") & (F.col("jp") != F.col("cn")) & is_japanese(F.col("jp")))
     first = Window.partitionBy("page_id", "jp").orderBy("strategy", "pos")

@@ -2,11 +2,14 @@
 
 A site is an entry of ``SITES``: patterns for the container of posts, for the block of
 related links and its items, and how the title is found. ``parse`` tries the site whose
-domain fits, then the others in order, and takes the first with text.
+domain fits, then the others in order, and takes the first with text; ``result`` adds the
+title and the links of that layout. All layouts are tried in one pass over the pages,
+which page_id must tell apart.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -36,6 +39,7 @@ class Site:
     current: str = ""  # what marks the item of the current page
     joined_breaks: bool = False  # a line feed behind a break says nothing
     flat_cut: str = ""  # markup to drop where posts are not marked up
+    nested: str = ""  # the opening div of a block of links that may hold further divs
 
 
 _LATER_LIST = "(?s)<ul\\s+[^>]*class=\"[^\"]*relatedPostsWrap\\s+relatedPostsNext[^\"]*\"[^>]*>(.*?)</ul>"
@@ -49,7 +53,7 @@ SITES = (
     Site("default", "", "(?s)<div\\s+class=\"article\">(.*?)(?=<dl\\s+class=\"relate_dl\">|<div\\s+class=\"article\">|$)", title_cut="^.*?まとめ\\S*\\s+"),
     Site(
         "dt-list", "himanatokiniyaruo.com", "(?s)(<dt\\s+id=\"\\d+\".*?)(?=<div\\s+class=\"related[^\"]*\"|$)",
-        related="(?s)<div\\s+class=\"related-entries\">(.*?)</div>", item_break=BREAK, title="<h2[^>]*>\\s*<a[^>]+class=\"kjax\"[^>]*>([^<]+)</a>\\s*</h2>",
+        related="(?s)<div\\s+class=\"related-entries\">(.*?)</div>", nested="<div\\s+class=\"related-entries\">", item_break=BREAK, title="<h2[^>]*>\\s*<a[^>]+class=\"kjax\"[^>]*>([^<]+)</a>\\s*</h2>",
     ),
     Site(
         "flat", "blog.fc2.com",
@@ -82,12 +86,28 @@ def text_of(fragment: Column) -> Column:
     return rx.strip(arrow.unescape_html(scalar.strip_tags(fragment)))
 
 
+def _by_site(sites: tuple[Site, ...]) -> Callable[[Callable[[Site], Column]], Column]:
+    """A column of the site that a row names; that of the first site where it names none."""
+
+    def pick(made: Callable[[Site], Column]) -> Column:
+        chosen = made(sites[0])
+        for site in sites[1:]:
+            chosen = F.when(F.col("site") == site.name, made(site)).otherwise(chosen)
+        return chosen
+
+    return pick
+
+
+def _titles(pages: DataFrame, pick) -> DataFrame:
+    own, usual = pick(lambda s: F.regexp_extract("html", s.title, 1)), F.regexp_extract("html", "<title>([^<]+)</title>", 1)
+    rows = pages.withColumn("_t", arrow.unescape_html(F.when(own != "", own).otherwise(usual)))
+    named = rx.strip(F.col("_t"))
+    return rows.select("page_id", pick(lambda s: F.regexp_replace(named, s.title_cut, "") if s.title_cut else named).alias("title"))
+
+
 def title(pages: DataFrame, site: Site = SITES[0]) -> DataFrame:
     """(page_id, title): by the site's own pattern, else by the title element."""
-    own, usual = F.regexp_extract("html", site.title, 1), F.regexp_extract("html", "<title>([^<]+)</title>", 1)
-    rows = pages.select("page_id", arrow.unescape_html(F.when(own != "", own).otherwise(usual)).alias("_t"))
-    named = rx.strip(F.col("_t"))
-    return rows.select("page_id", (F.regexp_replace(named, site.title_cut, "") if site.title_cut else named).alias("title"))
+    return _titles(pages, _by_site((site,)))
 
 
 def links(pages: DataFrame) -> DataFrame:
@@ -118,33 +138,41 @@ def balanced_block(page: Column, opening: str) -> Column:
     return F.when(rest.isNull(), "").otherwise(rx.let(rest, inner))
 
 
-def navigation(pages: DataFrame, site: Site = SITES[0]) -> DataFrame:
-    """(page_id, pos, title, url, is_current) of a page's related links, oldest first.
-
-    The current page is the item with the site's mark; where a site has none, an item
-    without a link, and where items are set off by breaks a link to the page itself too.
-    """
-
-    def items(pattern: str) -> Column:
+def _related(pages: DataFrame, pick) -> DataFrame:
+    def items(site: Site, pattern: str) -> Column:
         block = F.regexp_extract("html", pattern, 1)
+        if site.nested:  # where the plain block has no link, the one up to the close of the same level
+            block = F.when(block.rlike(LINK), block).otherwise(balanced_block(F.col("html"), site.nested))
         return F.split(block, site.item_break, -1) if site.item_break else F.regexp_extract_all(block, F.lit(site.item), F.lit(0))
 
-    every = F.reverse(items(site.related))
-    if site.later:
-        every = F.concat(every, items(site.later))
-    rows = pages.select("page_id", F.col("url").alias("base"), F.posexplode(every).alias("pos", "item"))
+    def every(site: Site) -> Column:
+        first = F.reverse(items(site, site.related))
+        return F.concat(first, items(site, site.later)) if site.later else first
+
+    kept = [F.col("site")] if "site" in pages.columns else []
+    rows = pages.select("page_id", *kept, F.col("url").alias("base"), F.posexplode(pick(every)).alias("pos", "item"))
     href = F.nullif(F.regexp_extract("item", LINK, 1), F.lit(""))
     label = F.when(href.isNotNull(), F.regexp_extract("item", LINK, 2)).otherwise(F.col("item"))
-    marked = F.regexp_extract("item", "^<li[^>]*>", 0).contains(site.current) if site.current else F.lit(False)
-    rows = rows.select("page_id", "pos", "base", href.alias("href"), marked.alias("marked"), text_of(label).alias("title")).withColumn("url", F.when(F.col("href").isNotNull(), arrow.url_join("base", "href")))
+    rows = rows.select("*", href.alias("href"), text_of(label).alias("title")).withColumn("url", F.when(F.col("href").isNotNull(), arrow.url_join("base", "href")))
     bare = lambda c: F.regexp_replace(c, "/+$", "")
-    if site.current:
-        current = F.col("marked")
-    elif site.item_break:
-        current = F.col("url").isNull() | (bare(F.col("url")) == bare(F.col("base")))
-    else:
-        current = F.col("url").isNull()
-    return rows.filter("title <> ''").select("page_id", "pos", "title", "url", current.alias("is_current"))
+
+    def current(site: Site) -> Column:
+        if site.current:
+            return F.regexp_extract("item", "^<li[^>]*>", 0).contains(site.current)
+        if site.item_break:
+            return F.col("url").isNull() | (bare(F.col("url")) == bare(F.col("base")))
+        return F.col("url").isNull()
+
+    return rows.filter("title <> ''").select("page_id", "pos", "title", "url", pick(current).alias("is_current"))
+
+
+def navigation(pages: DataFrame, site: Site = SITES[0]) -> DataFrame:
+    """(page_id, pos, title, url, is_current) of a page's related links, oldest first.
+
+    The current page is the item with the site's mark; where a site has none, an item
+    without a link, and where items are set off by breaks a link to the page itself too.
+    """
+    return _related(pages, _by_site((site,)))
 
 
 def adjacent(nav: DataFrame) -> DataFrame:
@@ -154,18 +182,18 @@ def adjacent(nav: DataFrame) -> DataFrame:
     return rows.filter("is_current").groupBy("page_id").agg(F.min_by(F.struct("previous", "next"), "pos").alias("at")).select("page_id", "at.previous", "at.next")
 
 
-def posts(pages: DataFrame, body: Column, author: str = "", author_only: bool = False) -> DataFrame:
-    """(page_id, post_no, header, poster, is_author, text) of the dt / dd posts of a page.
+def posts(pages: DataFrame, body: Column, author: str = "", author_only: bool = False, keys: tuple[str, ...] = ("page_id",)) -> DataFrame:
+    """(*keys, post_no, header, poster, is_author, text) of the dt / dd posts of a page.
 
     The author's posts keep their colours. With ``author_only`` and no name, the first
     poster named on the page is the author.
     """
     found = F.posexplode(F.arrays_zip(F.regexp_extract_all(body, F.lit(POST), F.lit(1)).alias("dt"), F.regexp_extract_all(body, F.lit(POST), F.lit(2)).alias("dd")))
-    rows = pages.select("page_id", found.alias("post_no", "p")).select("page_id", "post_no", text_of(F.col("p.dt")).alias("header"), F.regexp_replace("p.dd", BREAK, "\n").alias("dd"))
+    rows = pages.select(*keys, found.alias("post_no", "p")).select(*keys, "post_no", text_of(F.col("p.dt")).alias("header"), F.regexp_replace("p.dd", BREAK, "\n").alias("dd"))
     rows = rows.withColumn("poster", scalar.poster_name(F.col("header")))
     named = F.lit(author)
     if author_only and not author:
-        whole = Window.partitionBy("page_id")
+        whole = Window.partitionBy(*keys)
         rows = rows.withColumn("_author", F.coalesce(F.min_by("poster", F.when(F.col("poster") != "", F.col("post_no"))).over(whole), F.lit("")))
         named = F.col("_author")
     rows = rows.withColumn("is_author", scalar.is_author_post(F.col("header"), named))
@@ -175,17 +203,18 @@ def posts(pages: DataFrame, body: Column, author: str = "", author_only: bool =
     body_text = arrow.unescape_html(F.when(F.col("is_author"), F.col("_colored")).otherwise(F.col("_plain")))
     trimmed = F.regexp_replace(body_text, "(?U)(?:(?:^|\\n)[\\s&&[^\\n]]*)+\\z", "")
     done = plain.withColumn("_text", trimmed).filter(~rx.is_blank(F.col("_text")))
-    return done.select("page_id", "post_no", "header", "poster", "is_author", F.concat_ws("\n", "header", "_text").alias("text"))
+    return done.select(*keys, "post_no", "header", "poster", "is_author", F.concat_ws("\n", "header", "_text").alias("text"))
 
 
-def first_poster(lines: DataFrame, key: str = "page_id") -> DataFrame:
-    """The first poster named in a header line: (key, author)."""
+def first_poster(lines: DataFrame, *keys: str) -> DataFrame:
+    """The first poster named in a header line: (*keys, author); pages are told apart by page_id unless keys are given."""
+    keys = keys or ("page_id",)
     bare = F.regexp_replace("line", scalar.COLOR_SPAN, "")
-    named = lines.filter(scalar.is_post_header(bare)).select(key, "line_no", scalar.poster_name(bare).alias("name")).filter("name <> ''")
-    return named.groupBy(key).agg(F.min_by("name", "line_no").alias("author"))
+    named = lines.filter(scalar.is_post_header(bare)).select(*keys, "line_no", scalar.poster_name(bare).alias("name")).filter("name <> ''")
+    return named.groupBy(*keys).agg(F.min_by("name", "line_no").alias("author"))
 
 
-def author_blocks(lines: DataFrame, author: str, author_only: bool = False, key: str = "page_id") -> DataFrame:
+def author_blocks(lines: DataFrame, author: str, author_only: bool = False, keys: tuple[str, ...] = ("page_id",)) -> DataFrame:
     """Lines with the author's colours kept and the others' dropped; with ``author_only`` the others' posts go.
 
     A header decides for the lines that follow it; lines before the first are nobody's.
@@ -194,57 +223,90 @@ def author_blocks(lines: DataFrame, author: str, author_only: bool = False, key:
     rows = lines.withColumn("_bare", bare).withColumn("is_header", scalar.is_post_header(F.col("_bare")))
     named = F.lit(author)
     if author_only and not author:
-        rows = rows.join(first_poster(lines, key), key, "left").withColumn("_author", F.coalesce("author", F.lit(""))).drop("author")
+        rows = rows.join(first_poster(lines, *keys), list(keys), "left").withColumn("_author", F.coalesce("author", F.lit(""))).drop("author")
         named = F.col("_author")
     flag = F.when(F.col("is_header"), scalar.is_author_post(F.col("_bare"), named))
-    so_far = Window.partitionBy(key).orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    so_far = Window.partitionBy(*keys).orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("is_author", F.coalesce(F.last(flag, ignorenulls=True).over(so_far), F.lit(False)))
     if author_only:
         rows = rows.filter("is_author")
     text = F.when(F.col("is_author") & ~F.col("is_header"), F.col("line")).otherwise(F.col("_bare"))
-    return rows.select(key, "line_no", text.alias("line"), "is_header", "is_author")
-
-
-def _parsed(pages: DataFrame, site: Site, author: str, author_only: bool) -> DataFrame:
-    body = F.regexp_extract("html", site.body, 1)
-    if site.joined_breaks:
-        body = F.regexp_replace(body, f"{BREAK}[ \\t]*\\n", "<br />")
-    if site.posts:
-        rows = posts(pages, body, author, author_only)
-        ordered = F.array_sort(F.collect_list(F.struct("post_no", "text")))
-        found = rows.groupBy("page_id").agg(F.array_join(F.transform(ordered, lambda x: x["text"]), "\n\n").alias("text"))
-        if not site.flat_cut:
-            return found
-        # Pages without marked-up posts are read as flat text, if a post header stands in it.
-        rest = pages.join(found, "page_id", "left_anti")
-        flat = _flat(rest, F.regexp_replace(body, site.flat_cut, ""), author, author_only)
-        return found.unionByName(flat.filter(F.exists(F.split("text", "\n", -1), lambda line: scalar.is_post_header(line))))
-    return _flat(pages, body, author, author_only)
-
-
-def _flat(pages: DataFrame, body: Column, author: str, author_only: bool) -> DataFrame:
+    return rows.select(*keys, "line_no", text.alias("line"), "is_header", "is_author")
+
+
+_KEYS = ("page_id", "rank", "site")
+
+
+def _bodies(pages: DataFrame, sites: tuple[Site, ...]) -> DataFrame:
+    """(page_id, rank, site, body) for every layout that fits a page; the one of the page's domain comes first."""
+    host = scalar.domain(F.col("url"))
+
+    def tried(i: int, site: Site) -> Column:
+        body = F.when(F.col("html").rlike(site.body), F.regexp_extract("html", site.body, 1))
+        if site.joined_breaks:
+            body = F.regexp_replace(body, f"{BREAK}[ \\t]*\\n", "<br />")
+        rank = F.when(host.contains(site.domain) if site.domain else F.lit(False), -1).otherwise(i)
+        return F.struct(rank.alias("rank"), F.lit(site.name).alias("site"), body.alias("body"))
+
+    return pages.select("page_id", F.inline(F.array(*(tried(i, s) for i, s in enumerate(sites))))).filter("body IS NOT NULL")
+
+
+def _flat(bodies: DataFrame, author: str, author_only: bool) -> DataFrame:
     """Text whose posts are told apart by their header lines alone."""
-    flat = F.regexp_replace(F.regexp_replace(body, "(?s)<a\\s[^>]*>.*?</a>", ""), BREAK, "\n")
-    rows = pages.select("page_id", arrow.unescape_html(scalar.strip_tags_keep_color(flat)).alias("text"))
+    flat = F.regexp_replace(F.regexp_replace("body", "(?s)<a\\s[^>]*>.*?</a>", ""), BREAK, "\n")
+    rows = bodies.select(*_KEYS, arrow.unescape_html(scalar.strip_tags_keep_color(flat)).alias("text"))
     if author or author_only:
-        lines = rows.select("page_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
-        kept = author_blocks(lines, author, author_only)
+        lines = rows.select(*_KEYS, F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
+        kept = author_blocks(lines, author, author_only, _KEYS)
         ordered = F.array_sort(F.collect_list(F.struct("line_no", "line")))
-        rows = kept.groupBy("page_id").agg(F.array_join(F.transform(ordered, lambda x: x["line"]), "\n").alias("text"))
+        rows = kept.groupBy(*_KEYS).agg(F.array_join(F.transform(ordered, lambda x: x["line"]), "\n").alias("text"))
     else:
         rows = rows.withColumn("text", F.regexp_replace("text", scalar.COLOR_SPAN, ""))
     return rows.withColumn("text", F.regexp_replace("text", "(?U)^(?:[\\s&&[^\\n]]*\\n)+|(?:\\n[\\s&&[^\\n]]*)+\\z", ""))
 
 
 def parse(pages: DataFrame, author: str = "", author_only: bool = False, sites: tuple[Site, ...] = SITES) -> DataFrame:
-    """(page_id, site, text): the text of each page by the first layout that finds some; null if none does."""
-    host = scalar.domain(F.col("url"))
-    rank = lambda i, s: F.when(host.contains(s.domain) if s.domain else F.lit(False), -1).otherwise(i)
-    tries = None
-    for i, site in enumerate(sites):
-        fitting = pages.filter(F.col("html").rlike(site.body))
-        got = _parsed(fitting, site, author, author_only).join(pages.select("page_id", rank(i, site).alias("rank")), "page_id")
-        got = got.filter(~rx.is_blank(F.col("text"))).select("page_id", "rank", F.lit(site.name).alias("site"), "text")
-        tries = got if tries is None else tries.unionByName(got)
-    best = tries.groupBy("page_id").agg(F.min_by(F.struct("site", "text"), "rank").alias("b"))
+    """(page_id, site, text): the text of each page by the first layout that finds some; null if none does.
+
+    Pages without marked-up posts, where a layout says how they are read flat, are so read
+    if a post header stands in them.
+    """
+    bodies = _bodies(pages, sites)
+    named = lambda held: F.col("site").isin(*[s.name for s in sites if held(s)])
+    rows = posts(bodies.filter(named(lambda s: s.posts)), F.col("body"), author, author_only, _KEYS)
+    ordered = F.array_sort(F.collect_list(F.struct("post_no", "text")))
+    found = rows.groupBy(*_KEYS).agg(F.array_join(F.transform(ordered, lambda x: x["text"]), "\n\n").alias("text"))
+    plain = bodies.filter(named(lambda s: not s.posts))
+    texts = found.unionByName(_flat(plain, author, author_only)) if any(not s.posts for s in sites) else found
+    if any(s.posts and s.flat_cut for s in sites):
+        rest = bodies.filter(named(lambda s: s.posts and s.flat_cut)).join(found.select(*_KEYS), list(_KEYS), "left_anti")
+        for site in sites:
+            if site.flat_cut:
+                rest = rest.withColumn("body", F.when(F.col("site") == site.name, F.regexp_replace("body", site.flat_cut, "")).otherwise(F.col("body")))
+        texts = texts.unionByName(_flat(rest, author, author_only).filter(F.exists(F.split("text", "\n", -1), lambda line: scalar.is_post_header(line))))
+    best = texts.filter(~rx.is_blank(F.col("text"))).groupBy("page_id").agg(F.min_by(F.struct("site", "text"), "rank").alias("b"))
     return pages.select("page_id").join(best, "page_id", "left").select("page_id", "b.site", "b.text")
+
+
+def result(pages: DataFrame, author: str = "", author_only: bool = False, sites: tuple[Site, ...] = SITES) -> DataFrame:
+    """(page_id, site, title, text, links, status): what a reader of a page wants, by the layout that gave its text.
+
+    text is the title, a blank line and the page's text. links are (title, url, is_current)
+    from the oldest on. status is ``text``; ``author`` where the page has text, but none by
+    the author who alone was asked for; else ``none``. Pages without a text have no links.
+    """
+    read = parse(pages, author, author_only, sites)
+    if author_only and author:
+        lost = pages.join(read.filter("text IS NULL").select("page_id"), "page_id", "left_semi")
+        others = parse(lost, sites=sites).filter("text IS NOT NULL").select("page_id", F.lit("author").alias("_others"))
+        read = read.join(others, "page_id", "left")
+    else:
+        read = read.withColumn("_others", F.lit(None).cast("string"))
+    status = F.when(F.col("text").isNotNull(), "text").otherwise(F.coalesce("_others", F.lit("none")))
+    sited = pages.select("page_id", "url", "html").join(read.filter("text IS NOT NULL").select("page_id", "site"), "page_id")
+    pick = _by_site(sites)
+    links_of = _related(sited, pick).groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("pos", "title", "url", "is_current"))).alias("_links"))
+    rows = read.withColumn("status", status).join(_titles(sited, pick), "page_id", "left").join(links_of, "page_id", "left")
+    whole = F.when(F.col("title") != "", F.concat_ws("\n\n", "title", "text")).otherwise(F.col("text"))
+    found = F.transform("_links", lambda x: F.struct(x["title"].alias("title"), x["url"].alias("url"), x["is_current"].alias("is_current")))
+    return rows.select("page_id", "site", "title", F.when(F.col("text").isNotNull(), whole).alias("text"), found.alias("links"), "status")

@@ -68,3 +68,17 @@ def undo(replaced: DataFrame, only: Column | None = None) -> DataFrame:
     """The texts of before the replacement, of all documents or of some."""
     back = F.lit(True) if only is None else only
     return replaced.withColumn("text", F.when(back, F.col("before")).otherwise(F.col("text"))).withColumn("n_replaced", F.when(back, 0).otherwise(F.col("n_replaced")).cast("long"))
+
+
+def find_next(text: Column, needle: Column, start: Column) -> Column:
+    """Where a literal stands next, in any case, at or behind a place from 0, else from the top on; null where nowhere."""
+    held, sought = F.lower(text), F.lower(needle)
+    ahead = F.call_function("locate", sought, held, start + 1)
+    found = F.when(ahead > 0, ahead).otherwise(F.call_function("locate", sought, held, F.lit(1)))
+    return F.when((needle != "") & (found > 0), found - 1)
+
+
+def replace_one(docs: DataFrame, hit: DataFrame, value: str, key: str = "doc_id") -> DataFrame:
+    """Documents with a single hit each replaced by a literal: the first of those given, by line and offset."""
+    chosen = hit.groupBy(key).agg(F.min_by(F.struct("line_idx", "match_start", "match_end"), F.struct("line_idx", "match_start")).alias("h"))
+    return replace_hits(docs, chosen.select(key, "h.*"), value, key)

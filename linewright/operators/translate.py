@@ -5,9 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from linewright.functions import rx
+from linewright.functions import rx, scalar
 from linewright.functions.scalar import BORDER, WIDE_SPACE
 from linewright.operators import glossary
+from linewright.sources import html
+
+
+_EDITS = "array<struct<order:int,pos:bigint,a:string,b:string,padded:string,line_no:int>>"
 
 
 def parse_rows(rows: DataFrame) -> DataFrame:
@@ -65,19 +69,43 @@ def apply(docs: DataFrame, found: DataFrame, terms: dict[str, str] | None = None
         translation = F.replace(translation, F.lit(key), F.lit(terms[key]))
     line_no = F.split_part("frag_id", F.lit("-"), F.lit(1)).try_cast("int")
     edit = F.struct(
-        (-F.length("original")).alias("order"), "pos", F.col("original").alias("a"), translation.alias("b"),
+        (-F.length("original")).alias("order"), F.col("pos").cast("bigint").alias("pos"), F.col("original").alias("a"), translation.alias("b"),
         F.concat(translation, F.repeat(F.lit(WIDE_SPACE), F.greatest(F.length("original") - F.length(translation), F.lit(0)))).alias("padded"),
         line_no.alias("line_no"),
     )
-    edits = found.filter("original <> ''").groupBy("doc_id").agg(F.array_sort(F.collect_list(edit)).alias("_edits"))
+    # A map from lines to their edits; ids that name no line at all stand under 0.
+    number = F.when(F.col("e.line_no") >= 1, F.col("e.line_no")).otherwise(0)
+    by_line = found.filter("original <> ''").select("doc_id", edit.alias("e")).groupBy("doc_id", number.alias("_line")).agg(F.collect_list("e").alias("es"))
+    edits = by_line.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("_line", F.array_sort("es").alias("es")))).alias("_edits"))
     joined = docs.join(edits, "doc_id", "left")
 
-    def changed(line: Column, i: Column) -> Column:
-        lost = F.col("_edits")
-        mine = F.filter(lost, lambda e: (e["line_no"] == i + 1) | e["line_no"].isNull() | (e["line_no"] < 1) | (e["line_no"] > F.col("_n")))
-        return F.aggregate(mine, line, lambda acc, e: replace_padded(acc, e["a"], e["b"], e["padded"]))
+    def rewritten(z: Column) -> Column:
+        def changed(line: Column, i: Column) -> Column:
+            own = F.coalesce(F.try_element_at(z["edits"], i + 1), F.array().cast(_EDITS))
+            mine = F.when(F.size(z["lost"]) > 0, F.array_sort(F.concat(own, z["lost"]))).otherwise(own)
+            return F.aggregate(mine, line, lambda acc, e: replace_padded(acc, e["a"], e["b"], e["padded"]))
+
+        return F.array_join(F.transform(z["lines"], changed), "\n")
 
     lines = F.split("text", "\n", -1)
-    joined = joined.withColumn("_n", F.size(lines))
-    text = F.when(F.col("_edits").isNull(), F.col("text")).otherwise(F.array_join(F.transform(lines, changed), "\n"))
-    return joined.withColumn("text", glossary.apply(text, terms)).drop("_edits", "_n")
+    lost = F.flatten(F.map_values(F.map_filter("_edits", lambda line, es: (line < 1) | (line > F.size(lines)))))
+    whole = rx.let(F.struct(lines.alias("lines"), F.col("_edits").alias("edits"), lost.alias("lost")), rewritten)
+    text = F.when(F.col("_edits").isNull(), F.col("text")).otherwise(whole)
+    return joined.withColumn("text", glossary.apply(text, terms)).drop("_edits")
+
+
+def prepared(docs: DataFrame, extracted: DataFrame, translated: DataFrame, terms: dict[str, str] | None = None) -> DataFrame:
+    """Documents of (doc_id, text, title, number) translated, with their names and how much of them is translated.
+
+    (doc_id, text, source, file_name, display, coverage, is_low); documents without a
+    translated fragment, which there is nothing to write of, are left out.
+    """
+    found = pairs(extracted, translated)
+    done = apply(docs.withColumn("source", F.col("text")).join(found.select("doc_id").distinct(), "doc_id", "left_semi"), found, terms)
+    named = done.withColumn("_names", scalar.output_names(F.col("title"), F.col("number"))).join(coverage(extracted, translated), "doc_id")
+    return named.select("doc_id", "text", "source", "_names.file_name", "_names.display", "coverage", "is_low")
+
+
+def save(made: DataFrame, path: str, color: str = "#ffffff") -> None:
+    """What ``prepared`` gives as one page for each file name, in a shared folder."""
+    html.write_folder(made.select("file_name", html.page(F.col("text"), F.lit(color)).alias("value")), path)

@@ -329,7 +329,13 @@ def q_adjacent_link(spark, sf_dir):
     return pages.adjacent(nav)
 
 
-@query()
+@query(
+    """WITH b AS (SELECT page_id, regexp_extract(html, '<article>(.*?)(</article>|$)', 1, 's') AS b FROM pages),
+t AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(b, '<a\\s[^>]*>.*?</a>', '', 'gs'), '<br\\s*/?>', chr(10), 'g'), '<[^>]+>', '', 'g') AS t FROM b),
+u AS (SELECT page_id, replace(t, '&amp;', '&') AS t FROM t)
+SELECT page_id, CASE WHEN regexp_matches(t, '\\S') THEN 'article' END AS site,
+  CASE WHEN regexp_matches(t, '\\S') THEN regexp_replace(regexp_replace(t, '^(?:[^\\S\\n]*\\n)+', ''), '(?:\\n[^\\S\\n]*)+$', '') END AS text FROM u"""
+)
 def q_page_text(spark, sf_dir):
     """The text of each page's article, by a layout made for these pages."""
     site = pages.Site("article", "", "(?s)<article>(.*?)(?=</article>|$)", posts=False)
@@ -337,16 +343,40 @@ def q_page_text(spark, sf_dir):
 
 
 @query(
-    """SELECT conv_id, turn, text, last_value(CASE WHEN role = 'user' THEN text END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS asked
-FROM conversations"""
+    """WITH p AS (SELECT p_partkey AS page_id, p_partkey % 6 AS k, p_name AS n FROM part)
+SELECT page_id, CASE k WHEN 0 THEN 'default' WHEN 1 THEN 'dt-list' WHEN 2 THEN 'flat' WHEN 3 THEN 'res-list' WHEN 4 THEN 'entry' ELSE 'matome' END AS site, 'T' AS title,
+  'T' || chr(10) || chr(10) || CASE k WHEN 2 THEN n || chr(10) || 'x' WHEN 5 THEN '1 ： A ： 2021/05/06(木) x' || chr(10) || n ELSE '1 名前：A[]' || chr(10) || n END AS text,
+  CASE WHEN k = 1 THEN '2話,1話' ELSE '' END AS links, 'text' AS status FROM p"""
 )
-def q_author_block(spark, sf_dir):
-    """Every turn with the user's text that it follows."""
-    from pyspark.sql import Window
+def q_page_result(spark, sf_dir):
+    """A page for each known layout in turn, read with its title and links."""
+    name, post = F.col("p_name"), F.concat(F.lit("1 名前：A[] </dt><dd>"), "p_name", F.lit("</dd>"))
+    made = (
+        F.concat(F.lit('<div class="article"><dl><dt>'), post, F.lit("</dl></div>")),
+        F.concat(F.lit('<dt id="1">'), post, F.lit('<div class="related-entries"><a href="/1">1話</a><br><a href="/2">2話</a></div>')),
+        F.concat(F.lit('<div class="entry_body">'), name, F.lit("<br>x</div>")),
+        F.concat(F.lit('<dt class="author-res-dt">'), post, F.lit('<ul class="relatedPostsWrap x"></ul>')),
+        F.concat(F.lit('<div id="entry-content"><dl><dt>'), post, F.lit("</dl></div>")),
+        F.concat(F.lit('<div id="entry-content"><button>b</button>1 ： A ： 2021/05/06(木) x<br>'), name, F.lit("<br></div>")),
+    )
+    html = F.concat(F.lit("<title>T</title>"), F.get(F.array(*made), (F.col("p_partkey") % 6).cast("int")))
+    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("page_id"), F.lit("https://s.example/p").alias("url"), html.alias("html"))
+    links = F.array_join(F.transform("links", lambda x: x["title"]), ",")
+    return pages.result(rows).withColumn("links", F.coalesce(links, F.lit("")))
 
-    so_far = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)
-    asked = F.last(F.when(F.col("role") == "user", F.col("text")), ignorenulls=True).over(so_far)
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", "text", asked.alias("asked"))
+
+@query(
+    """WITH l AS (SELECT conv_id AS page_id, (2 * turn)::BIGINT AS line_no, (turn + 1) || ' 名前：' || role || '[] ' AS line, TRUE AS is_header, role = 'user' AS is_author FROM conversations
+UNION ALL SELECT conv_id, (2 * turn + 1)::BIGINT, CASE WHEN role = 'user' THEN '<span style="color:red">' || turn || '</span>' ELSE turn::VARCHAR END, FALSE, role = 'user' FROM conversations)
+SELECT * FROM l"""
+)
+def q_author_block(spark, sf_dir):
+    """Turns written as a header line and a coloured line each; only the user's keep their colours."""
+    header = F.concat(F.col("turn") + 1, F.lit(" 名前："), F.col("role"), F.lit("[] "))
+    body = F.concat(F.lit("<span style=\"color:red\">"), F.col("turn").cast("string"), F.lit("</span>"))
+    both = F.array(F.struct((2 * F.col("turn")).alias("line_no"), header.alias("line")), F.struct((2 * F.col("turn") + 1).alias("line_no"), body.alias("line")))
+    rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("page_id"), F.inline(both))
+    return pages.author_blocks(rows, "user")
 
 
 @query("SELECT conv_id AS page_id, arg_min('user ' || role, turn) AS author FROM conversations GROUP BY conv_id")
@@ -422,9 +452,15 @@ def q_box_layout(spark, sf_dir):
     return layout.adjust(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), text.alias("text")))
 
 
-@query("SELECT n_nationkey::BIGINT AS page_id, 0 AS strategy, 0 AS pos, 'ナ' || n_name AS jp, '国' || n_name AS cn FROM nation")
+@query("SELECT n_nationkey::BIGINT AS page_id, (n_nationkey % 3)::INT AS strategy, 0 AS pos, 'ナ' || n_name AS jp, '国' || CASE WHEN n_nationkey % 3 = 2 THEN '' ELSE n_name END AS cn FROM nation")
 def q_name_pairs(spark, sf_dir):
-    html = F.concat(F.lit("<dl><dt>国"), "n_name", F.lit("（<span lang=\"ja\">ナ"), "n_name", F.lit("</span>）</dt></dl>"))
+    """A page for each strategy in turn, the names written as character references."""
+    jp, cn = F.concat(F.lit("&#12490;"), "n_name"), F.concat(F.lit("&#x56fd;"), "n_name")
+    terms = F.concat(F.lit("<dl><dt>"), cn, F.lit("（<span lang=\"ja\">"), jp, F.lit("</span>）</dt></dl>"))
+    cells = F.concat(F.lit("<table class=\"wikitable\"><tr><td>"), jp, F.lit("</td><td>"), cn, F.lit("</td></tr></table>"))
+    spans = F.concat(F.lit("<p>&#x56fd;（<span lang=\"ja\">"), jp, F.lit("</span>）</p>"))
+    kind = F.col("n_nationkey") % 3
+    html = F.when(kind == 0, terms).when(kind == 1, cells).otherwise(spans)
     return names.pairs(table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("page_id"), html.alias("html")))
 
 
@@ -460,9 +496,68 @@ def q_single_kana(spark, sf_dir):
     return extract.single_kana(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), text.alias("text")))
 
 
-@query("SELECT doc_id, instr(lower(text), 'tion') AS first_place FROM documents")
+@query(
+    """SELECT doc_id, CASE WHEN instr(lower(substring(text, 101)), 'tion') > 0 THEN instr(lower(substring(text, 101)), 'tion') + 99
+  WHEN instr(lower(text), 'tion') > 0 THEN instr(lower(text), 'tion') - 1 END::INT AS place FROM documents"""
+)
 def q_find_next(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.instr(F.lower("text"), "tion").alias("first_place"))
+    """The next place from the hundredth character on, else from the top."""
+    return table(spark, sf_dir, "documents").select("doc_id", search.find_next(F.col("text"), F.lit("TION"), F.lit(100)).alias("place"))
+
+
+@query("SELECT doc_id, regexp_replace(text, 'the', '$1') AS text, text AS before, (CASE WHEN contains(text, 'the') THEN 1 ELSE 0 END)::BIGINT AS n_replaced FROM documents")
+def q_replace_one(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return search.replace_one(docs, search.hits(docs, "the"), "$1")
+
+
+@query("SELECT p_partkey, trim(p_name) || chr(10) || p_type AS combined, p_name || chr(10) || '` ' || p_type || '`=' || p_brand AS saved FROM part")
+def q_glossary_edit(spark, sf_dir):
+    """Two glossaries as one, and one with a further entry."""
+    saved = glossary.with_entry(F.concat("p_name", F.lit("\n\n")), F.concat(F.lit(" "), "p_type"), F.col("p_brand"))
+    both = glossary.combined(F.concat(F.lit("\n"), "p_name", F.lit("\n")), F.col("p_type"))
+    return table(spark, sf_dir, "part").select("p_partkey", both.alias("combined"), saved.alias("saved"))
+
+
+@query("SELECT p_partkey AS pos, 0 AS sub, p_brand AS key, CASE WHEN p_size % 2 = 0 THEN p_name || '=x' ELSE p_name || '＝x' END AS value FROM part")
+def q_quick_entries(spark, sf_dir):
+    sign = lambda even: F.when((F.col("p_size") % 2 == 0) == F.lit(even), "＝").otherwise("=")
+    line = F.concat(F.lit(" "), "p_brand", sign(True), F.lit(" "), "p_name", sign(False), F.lit("x"))
+    return glossary.quick_entries(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("pos"), line.alias("line")))
+
+
+@query(
+    """SELECT p_partkey AS doc_id, 1 AS line_no, p_name AS line, NULL::INT AS cursor FROM part
+UNION ALL SELECT p_partkey, 2, 'ab' || repeat('　', (length(p_name) - 3) // 2) || repeat(' ', (length(p_name) - 3) % 2) || ' |', length('ab' || repeat('　', (length(p_name) - 3) // 2) || repeat(' ', (length(p_name) - 3) % 2)) + 1 FROM part"""
+)
+def q_align_line(spark, sf_dir):
+    """A bar moved below the last character of the line above."""
+    both = F.array(F.struct(F.lit(1).alias("line_no"), F.col("p_name").alias("line")), F.struct(F.lit(2).alias("line_no"), F.lit("ab    |").alias("line")))
+    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), F.inline(both))
+    return layout.align_to_previous(rows, F.when(F.col("line_no") == 1, F.length("line")).otherwise(2))
+
+
+@query(
+    """SELECT p_partkey, '<span style="color:red">' || p_name || '</span>' AS colored, p_name AS bare, 3 AS n_runs, 'a<span style="color:red">' || p_name || '</span>bc' AS markup FROM part"""
+)
+def q_color_runs(spark, sf_dir):
+    colored = scalar.toggle_color(F.col("p_name"), F.lit("red"))
+    runs = scalar.color_runs(F.concat(F.lit("a"), colored, F.lit("b<span style=\"color:#000\">c</span>")))
+    return table(spark, sf_dir, "part").select(
+        "p_partkey", colored.alias("colored"), scalar.toggle_color(colored, F.lit("red")).alias("bare"), (F.size(runs) - 1).alias("n_runs"), scalar.runs_markup(runs).alias("markup")
+    )
+
+
+@query(
+    """SELECT p_partkey, (p_size + 1)::VARCHAR AS more, greatest(p_size - 1, 0)::VARCHAR AS less, p_size AS number, p_brand || '_' || p_size AS file_name, '未命名' AS unnamed FROM part"""
+)
+def q_chapter_steps(spark, sf_dir):
+    size = F.col("p_size").cast("string")
+    number = scalar.chapter_number(F.concat("p_name", F.lit(" 第"), size, F.lit("話"), F.repeat(F.lit("x"), 300)))
+    return table(spark, sf_dir, "part").select(
+        "p_partkey", scalar.step_number(size, 1).alias("more"), scalar.step_number(size, -1).alias("less"), number.alias("number"),
+        scalar.output_names(F.col("p_brand"), size)["file_name"].alias("file_name"), scalar.output_names(F.lit(" "), F.lit(""))["display"].alias("unnamed"),
+    )
 
 
 @query("SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN '` ' || p_name || '`' ELSE p_name END AS encoded, CASE WHEN p_size % 2 = 0 THEN ' ' ELSE '' END || p_name AS decoded FROM part")

@@ -61,9 +61,29 @@ def page(text: Column, color: Column, head_html: Column | None = None) -> Column
 
 
 def write_folder(pages: DataFrame, path: str) -> None:
-    """One text file for each (file_name, value), in a folder of its own name."""
+    """One file of its own name for each (file_name, value), in a folder that the executors share.
+
+    Names get the suffix .html where they lack it. A file appears whole under its name; of
+    rows that share one the greatest value stays, so tasks may run again.
+    """
     named = pages.select(F.when(F.lower("file_name").endswith(".html"), F.col("file_name")).otherwise(F.concat("file_name", F.lit(".html"))).alias("file_name"), "value")
-    named.write.mode("overwrite").partitionBy("file_name").option("lineSep", "\u0000").text(path)
+    ordered = named.filter("value IS NOT NULL").repartition("file_name").sortWithinPartitions("file_name", "value")
+
+    def put(rows) -> None:
+        import os
+        import uuid
+
+        from pyarrow import fs
+
+        store, root = fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else os.path.abspath(path))
+        store.create_dir(root, recursive=True)
+        for row in rows:
+            fresh = f"{root}/.{uuid.uuid4().hex}"
+            with store.open_output_stream(fresh) as out:
+                out.write(row["value"].encode())
+            store.move(fresh, f"{root}/{row['file_name']}")
+
+    ordered.foreachPartition(put)
 
 
 def font_face(spark: SparkSession, path: str, family: str) -> DataFrame:

@@ -120,3 +120,23 @@ def test_frame_kinds_and_nested_blocks(spark):
     old = spark.createDataFrame([(1, "abc\ndef\ngh")], "doc_id int, text string")
     assert lines.restore_range(old, old, (0, 1), (1, 2)).first()["text"] == "bc\nde"
     assert lines.restore_range(old, old, (1, 9), (9, 9)).first()["text"] == "\ngh"
+
+
+def test_result(spark):
+    post = "<dl><dt>1 名前：A[] </dt><dd>x</dd></dl>"
+    listed = '<dt id="1">1 名前：A[] </dt><dd>y</dd><div class="related-entries"><div>newest</div><a href="/2">2話</a><br>1話<br></div>'
+    nested = listed.replace('<div>newest</div>', '<div><div>n</div></div><br>')
+    rows = [(1, "https://s.example/a", f'<title>T</title><div class="article">{post}</div>'), (2, "https://himanatokiniyaruo.com/3", nested), (3, "u", "<p>no</p>")]
+    frame = spark.createDataFrame(rows, "page_id int, url string, html string")
+    got = {r["page_id"]: r for r in pages.result(frame).collect()}
+    assert (got[1]["site"], got[1]["title"], got[1]["text"], got[1]["status"], got[1]["links"]) == ("default", "T", "T\n\n1 名前：A[]\nx", "text", None)
+    assert [(r["title"], r["url"], r["is_current"]) for r in got[2]["links"]] == [("1話", None, True), ("2話", "https://himanatokiniyaruo.com/2", False), ("n", None, True)]
+    assert (got[3]["text"], got[3]["status"]) == (None, "none")
+    only = {r["page_id"]: (r["text"], r["status"]) for r in pages.result(frame, "B", author_only=True).collect()}
+    assert only[1] == (None, "author") and only[3] == (None, "none")
+
+
+def test_names_written_as_references(spark):
+    rows = [(1, "<dl><dt>&#33802;（<span lang='x' lang=\"ja\">&#12521;&#12452;&#12470;</span>）</dt></dl>"), (2, '<table class="wikitable"><tr><td>&#12521;&amp;&lt;</td><td>&#33802;</td></tr></table>')]
+    got = {r["page_id"]: (r["jp"], r["cn"]) for r in names.pairs(spark.createDataFrame(rows, "page_id int, html string")).collect()}
+    assert got == {1: ("ライザ", chr(33802)), 2: ("ラ&<", chr(33802))}

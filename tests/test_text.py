@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from linewright.functions import arrow, rx, scalar
 from linewright.operators import extract, glossary, lines, search, translate
+from linewright.sources import html
 
 SOURCE = "\n".join(
     [
@@ -150,3 +151,44 @@ def test_matches_equal_finditer(spark):
     rows = ["".join(random.choice("ab😀 ") for _ in range(random.randint(0, 12))) for _ in range(200)]
     got = spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "i int, t string").select("i", rx.matches(F.col("t"), "a+b?").alias("m")).orderBy("i").collect()
     assert [[(m["start"], m["end"], m["text"]) for m in r["m"]] for r in got] == [[(*m.span(), m[0]) for m in re.finditer("a+b?", r)] for r in rows]
+
+
+def test_written_folders_are_read_back(spark, tmp_path):
+    rows = [("a.html", "<pre>一\n二</pre>\n"), ("b", "x\x00y"), ("c.HTML", "z"), ("b", "a smaller value")]
+    html.write_folder(spark.createDataFrame(rows, "file_name string, value string"), str(tmp_path / "made"))
+    got = {r["file_name"]: r["value"] for r in html.read_folder(spark, str(tmp_path / "made")).collect()}
+    assert got == {"a.html": rows[0][1], "b.html": "x\x00y", "c.HTML": "z"}
+
+
+def test_patterns_are_checked_by_the_engine_that_runs_them(spark):
+    assert rx.groups("(a)(?<x>b)") == 2 and rx.groups("[a-z&&[^b]]") == 0  # not for Python
+    assert rx.groups("(?P<x>a)") is None and not rx.valid("([")  # not for Java
+    frame = spark.createDataFrame([("ab",)], "t string")
+    assert frame.filter(rx.any_match(frame["t"], ("(?P<x>a)",))).count() == 0
+
+
+def test_matches_of_a_long_line(spark):
+    frame = spark.createDataFrame([("é1" * 2000,), ("none",)], "t string")
+    rows = [r["m"] for r in frame.select(rx.matches(frame["t"], "[0-9]").alias("m")).collect()]
+    assert [(m["start"], m["end"], m["text"]) for m in rows[0]] == [(2 * i + 1, 2 * i + 2, "1") for i in range(2000)] and rows[1] == []
+
+
+def test_edits_of_other_lines(spark):
+    """Edits stay on their line; those whose id names none are tried on all."""
+    docs = spark.createDataFrame([(1, "a b\na b"), (2, "a"), (3, None)], "doc_id long, text string")
+    edits = [(1, "002-1", 0, "a", "X"), (1, "009-1", 1, "b", "Y"), (1, "001-1", 2, "", "Z"), (2, "nope", 0, "a", "long"), (3, "001-1", 0, "a", "b")]
+    found = spark.createDataFrame(edits, "doc_id long, frag_id string, pos int, original string, translation string")
+    got = {r["doc_id"]: r["text"] for r in translate.apply(docs, found).collect()}
+    assert got == {1: "a Y\nX Y", 2: "long", 3: None}
+
+
+def test_save_and_read_back(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "猫が\n犬", "T/a", "3"), (2, "x", "", "")], "doc_id long, text string, title string, number string")
+    found = spark.createDataFrame([(1, "001-1", "猫が"), (1, "002-1", "犬"), (2, "001-1", "x")], "doc_id long, frag_id string, text string")
+    fresh = spark.createDataFrame([(1, "001-1", 0, "cat")], "doc_id long, frag_id string, pos int, text string")
+    made = translate.prepared(docs, found, fresh)
+    row = made.first()
+    assert made.count() == 1 and (row["file_name"], row["display"], row["coverage"], row["is_low"]) == ("T_a_3", "T/a_3", 0.5, False)
+    translate.save(made, str(tmp_path / "out"))
+    back = html.read_folder(spark, str(tmp_path / "out"))
+    assert back.select(html.pre_text(back["value"]).alias("t")).first()["t"] == "cat\n犬"
