@@ -9,10 +9,10 @@ from linewright.functions import scalar
 
 
 def upsert(history: DataFrame, fresh: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """The newest entry of each key of both."""
-    both = history.unionByName(fresh, allowMissingColumns=True)
-    rest = [c for c in both.columns if c not in keys]
-    newest = both.groupBy(*keys).agg(F.max_by(F.struct(*rest), order).alias("_e"))
+    """The newest entry of each key of both; of equally new ones a fresh one, then the greatest by its other columns."""
+    both = history.withColumn("_fresh", F.lit(0)).unionByName(fresh.withColumn("_fresh", F.lit(1)), allowMissingColumns=True)
+    rest = [c for c in both.columns if c not in keys and c != "_fresh"]
+    newest = both.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(order, "_fresh", F.to_json(F.struct(*rest)))).alias("_e"))
     return newest.select(*keys, *[F.col(f"_e.{c}").alias(c) for c in rest])
 
 

@@ -6,6 +6,8 @@ other two, and a map of exceptions can be given.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -129,16 +131,107 @@ def redraw(lines: Column, box: Column, special: dict[str, int] | None = None) ->
     return rx.let(F.coalesce(needed + width(F.lit(WIDE_SPACE), special), given), drawn)
 
 
+@dataclass(frozen=True)
+class Drawing:
+    """How a frame of a kind is told from its lines and drawn: pairs of sides, and borders as start, repeated part and end."""
+
+    top: str
+    bottom: str
+    sides: tuple[tuple[str, str], ...]
+    parts: tuple[tuple[str, str, str], tuple[str, str, str]]
+    whole_line: bool  # a border reaches to the end of its line
+
+
+# The borders and sides of shouts and slashed frames.
+DRAWINGS = {
+    "shout": Drawing("[､、]?[_＿]+(?:人[_＿]*)+", "(?:⌒[YＹ]){2,}", (("）", "（"), ("＞", "＜"), (">", "<"), ("》", "《")), (("_", "_人", ""), ("", "⌒Y", "")), True),
+    "slash": Drawing("＼─\\|(?:──\\|)+─?／", "／─\\|(?:──\\|)+─?＼", (("│", "│"), ("─", "─")), (("＼─|", "──|", "─／"), ("／─|", "──|", "─＼")), False),
+}
+
+
+def _fill(target: Column, start: Column, part: str, end: str, special: dict[str, int] | None) -> Column:
+    """A border with as many parts as the target has room for."""
+    room = target - width(F.concat(start, F.lit(end)), special)
+    n = F.greatest(F.floor(room / width(F.lit(part), special)), F.lit(0)).cast("int")
+    return F.concat(start, F.repeat(F.lit(part), n), F.lit(end))
+
+
+def redraw_as(lines: Column, box: Column, kind: str, special: dict[str, int] | None = None) -> Column:
+    """The lines of a shout or a slashed frame drawn to the width of its widest content."""
+    d = DRAWINGS[kind]
+    own = F.slice(lines, box["top"] + 1, box["bottom"] - box["top"] + 1)
+    edge = F.lit(" \r" + WIDE_SPACE)
+
+    def read(line: Column) -> Column:
+        """(part, prefix, bubble, left, right, inner) of one line; part is top, bottom, content or other."""
+        row = lambda part, prefix=None, bubble=None, left=None, right=None, inner=None: F.struct(
+            *(F.lit(v).cast("string").alias(n) if v is None or isinstance(v, str) else v.alias(n) for n, v in zip(("part", "prefix", "bubble", "left", "right", "inner"), (part, prefix, bubble, left, right, inner)))
+        )
+
+        def border(part: str, pattern: str) -> Column:
+            at = F.regexp_instr(line, F.lit(pattern))
+            tail = F.substring(line, at, F.length(line))
+            bubble = F.regexp_replace(tail, "(?U)\\s+$", "") if d.whole_line else F.regexp_substr(line, F.lit(pattern))
+            return row(part, F.substring(line, F.lit(1), at - 1), bubble)
+
+        bare = F.rtrim(line, edge)
+        found = row("other")
+        for left, right in reversed(d.sides):
+            before = F.substring(bare, F.lit(1), F.length(bare) - 1)
+            at = F.length(before) - F.instr(F.reverse(before), left) + 1
+            inner = F.regexp_replace(F.substring(before, at + 1, F.length(before)), ",+$", "")
+            ends = bare.endswith(right) & before.contains(left)
+            found = F.when(ends, row("content", F.substring(line, F.lit(1), at - 1), None, left, right, F.rtrim(inner, F.lit(" ." + WIDE_SPACE)))).otherwise(found)
+        first, second = (border("top", d.top), line.rlike(d.top)), (border("bottom", d.bottom), line.rlike(d.bottom))
+        if d.whole_line:  # a line that holds both is a bottom
+            first, second = second, first
+        return F.when(first[1], first[0]).when(second[1], second[0]).otherwise(found)
+
+    def drawn(z: Column) -> Column:
+        rows = z["rows"]
+        needed = F.array_max(F.transform(rows, lambda x: F.when(x["part"] == "content", width(F.concat(x["left"], x["inner"], F.lit(WIDE_SPACE), x["right"]), special))))
+        bubble = F.get(F.filter(rows, lambda x: x["part"].isin("top", "bottom")), F.lit(0))["bubble"]
+        given = width(bubble, special)
+
+        def build(target: Column) -> Column:
+            (top_start, top_part, top_end), (low_start, low_part, low_end) = d.parts
+            corner = lambda x: F.when(F.lit(kind == "shout") & x["bubble"].rlike("^[､、]"), F.substring(x["bubble"], 1, 1)).otherwise("")
+            top = lambda x: _fill(target, F.concat(corner(x), F.lit(top_start)), top_part, top_end, special)
+            low = lambda x: F.regexp_replace(_fill(target, F.lit(low_start), low_part, low_end, special), "Y$", "Ｙ")
+            content = lambda x: F.concat(x["left"], _padded(x["inner"], F.greatest(target - width(F.concat(x["left"], x["right"]), special), F.lit(0)), special), x["right"])
+            made = lambda x: F.when(x["part"] == "top", top(x)).when(x["part"] == "bottom", low(x)).otherwise(content(x))
+            return F.zip_with(rows, z["own"], lambda x, line: F.when(x["part"] == "other", line).otherwise(F.concat(x["prefix"], made(x))))
+
+        return F.when(given > 0, rx.let(F.coalesce(needed + width(F.lit(WIDE_SPACE), special), given), build)).otherwise(z["own"])
+
+    return rx.let(own, lambda o: rx.let(F.struct(F.transform(o, read).alias("rows"), o.alias("own")), drawn))
+
+
 def adjust(docs: DataFrame, special: dict[str, int] | None = None) -> DataFrame:
-    """Documents with every box-drawing frame redrawn; ``n_boxes`` counts them."""
-    every = F.filter(boxes(F.col("_lines")), lambda box: box["kind"] == "box")
-    rows = docs.withColumn("_lines", F.split("text", "\n", -1)).withColumn("_boxes", every)
+    """Documents with every box-drawing frame, shout and slashed frame redrawn; ``n_boxes`` counts them."""
+    rows = docs.withColumn("_lines", F.split("text", "\n", -1)).withColumn("_boxes", boxes(F.col("_lines")))
 
     def step(acc: Column, box: Column) -> Column:
         lines = F.col("_lines")
         between = F.slice(lines, acc["at"] + 1, box["top"] - acc["at"])
-        return F.struct((box["bottom"] + 1).alias("at"), F.concat(acc["out"], between, redraw(lines, box, special)).alias("out"))
+        made = redraw(lines, box, special)
+        for kind in DRAWINGS:
+            made = F.when(box["kind"] == kind, redraw_as(lines, box, kind, special)).otherwise(made)
+        return F.struct((box["bottom"] + 1).alias("at"), F.concat(acc["out"], between, made).alias("out"))
 
     zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
     whole = F.aggregate("_boxes", zero, step, lambda acc: F.concat(acc["out"], F.slice(F.col("_lines"), acc["at"] + 1, F.size("_lines"))))
     return rows.withColumn("text", F.array_join(whole, "\n")).withColumn("n_boxes", F.size("_boxes")).drop("_lines", "_boxes")
+
+
+def adjust_selection(text: Column, special: dict[str, int] | None = None) -> Column:
+    """A selected frame redrawn as a whole, by the first kind whose two borders it holds; null if it is no frame of these kinds."""
+    lines = F.split(text, "\n", -1)
+    every = F.struct(F.lit(0).alias("top"), (F.size(lines) - 1).alias("bottom"))
+    has = lambda pattern: F.exists(lines, lambda line: line.rlike(pattern))
+    join = lambda made: F.array_join(made, "\n")
+    return (
+        F.when(has("_人") & has("⌒[YＹ]"), join(redraw_as(lines, every, "shout", special)))
+        .when(has("＼─\\|(?:──\\|){2,}") & has("／─\\|(?:──\\|){2,}"), join(redraw_as(lines, every, "slash", special)))
+        .when(has(TOP) & has(BOTTOM), join(redraw(lines, every, special)))
+    )

@@ -64,6 +64,16 @@ def replace_hits(docs: DataFrame, found: DataFrame, value: str, key: str = "doc_
     return joined.withColumn("text", text).withColumn("n_replaced", F.coalesce("_n", F.lit(0)).cast("long")).drop("_edits", "_n")
 
 
+def replace_all(docs: DataFrame, needle: str, value: str, regex: bool = False) -> DataFrame:
+    """As ``replace_hits`` with every hit, in one projection: nothing is exploded or joined."""
+    pattern = needle if regex else rx.quote(needle)
+    lines = F.split("text", "\n", -1)
+    changed = F.array_join(F.transform(lines, lambda line: rx.rewrite(line, pattern, lambda *_: F.lit(value))), "\n")
+    count = F.aggregate(lines, F.lit(0).cast("long"), lambda n, line: n + F.regexp_count(line, F.lit(pattern)))
+    hit = F.col("text").rlike(pattern)
+    return docs.withColumns({"before": F.col("text"), "n_replaced": F.when(hit, count).otherwise(0), "text": F.when(hit, changed).otherwise(F.col("text"))})
+
+
 def undo(replaced: DataFrame, only: Column | None = None) -> DataFrame:
     """The texts of before the replacement, of all documents or of some."""
     back = F.lit(True) if only is None else only

@@ -83,6 +83,13 @@ def q_search_count_by_doc(spark, sf_dir):
     "SELECT doc_id, replace(text, 'the', '$1') AS text, text AS before, ((length(text) - length(replace(text, 'the', ''))) / 3)::BIGINT AS n_replaced FROM documents"
 )
 def q_replace_all(spark, sf_dir):
+    return search.replace_all(table(spark, sf_dir, "documents").select("doc_id", "text"), "the", "$1")
+
+
+@query(
+    "SELECT doc_id, replace(text, 'the', '$1') AS text, text AS before, ((length(text) - length(replace(text, 'the', ''))) / 3)::BIGINT AS n_replaced FROM documents"
+)
+def q_replace_hits(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return search.replace_hits(docs, search.hits(docs, "the"), "$1")
 
@@ -452,6 +459,27 @@ def q_box_layout(spark, sf_dir):
     return layout.adjust(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), text.alias("text")))
 
 
+@query(
+    """SELECT p_partkey AS doc_id, CASE WHEN p_partkey % 2 = 0
+  THEN '､_' || repeat('_人', (length(p_name) + 5) // 3) || chr(10) || '＞' || p_name || '　　＜' || chr(10) || repeat('⌒Y', (length(p_name) + 8) // 3 - 1) || '⌒Ｙ'
+  ELSE '＼─|' || repeat('──|', greatest(length(p_name) - 1, 0) // 5) || '─／' || chr(10) || '│' || p_name || '　　│' || chr(10) || '／─|' || repeat('──|', greatest(length(p_name) - 1, 0) // 5) || '─＼' END AS text,
+  1 AS n_boxes FROM part"""
+)
+def q_frame_layout(spark, sf_dir):
+    """Shouts and slashed frames around a name."""
+    shout = F.concat(F.lit("､_人人人_\n＞"), "p_name", F.lit(" ＜\n⌒Y⌒Y⌒Y"))
+    slash = F.concat(F.lit("＼─|──|──|─／\n│"), "p_name", F.lit("│\n／─|──|──|─＼"))
+    text = F.when(F.col("p_partkey") % 2 == 0, shout).otherwise(slash)
+    return layout.adjust(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), text.alias("text")))
+
+
+@query("SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN '┌' || repeat('─', (length(p_name) + 4) // 2) || '┐' || chr(10) || '│' || p_name || '　　│' || chr(10) || '└' || repeat('─', (length(p_name) + 4) // 2) || '┘' END AS text FROM part")
+def q_frame_selection(spark, sf_dir):
+    box = F.concat(F.lit("┌──┐\n│"), "p_name", F.lit("│\n└──┘"))
+    made = layout.adjust_selection(F.when(F.col("p_partkey") % 2 == 0, box).otherwise(F.col("p_name")))
+    return table(spark, sf_dir, "part").select("p_partkey", made.alias("text"))
+
+
 @query("SELECT n_nationkey::BIGINT AS page_id, (n_nationkey % 3)::INT AS strategy, 0 AS pos, 'ナ' || n_name AS jp, '国' || CASE WHEN n_nationkey % 3 = 2 THEN '' ELSE n_name END AS cn FROM nation")
 def q_name_pairs(spark, sf_dir):
     """A page for each strategy in turn, the names written as character references."""
