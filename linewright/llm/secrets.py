@@ -12,7 +12,7 @@ but for those that overlap a strong one.
 Texts are scanned once; their spans go to a table of the shared folder with a number for
 each row, by which parts are linked. Only rows whose spans could complement each other
 are shuffled. Work grows with the length of a text times the number of its spans over
-``FOLD``, as running sums and masks are built in folds.
+the size of a fold, as running sums and masks are built in folds.
 
 Cases: a null or empty text has no spans. Repeated rows are reported alike. A null doc_id
 stays null. An empty table gives no rows. Columns other than doc_id and text are ignored
@@ -24,12 +24,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from linewright.functions.rx import FOLD, let, running
 from linewright.llm import tables
-from linewright.llm.quality import let
 
 REACH = 200
 CELL = 4096
-FOLD = 256
 MASK = "[SECRET]"
 
 
@@ -60,26 +59,6 @@ _TESTS = {"hex": "[0-9a-f]{24}", "access": "AKIA[A-Z0-9]{16}"}
 _SPANS = "array<struct<s:int,e:int,ok:boolean>>"
 
 
-def running(values: Column, op, kind: str = "int") -> Column:
-    """For each value the fold of those before it, from 0 on; in folds of FOLD values, since arrays are copied as they grow."""
-    zero = F.lit(0).cast(kind).alias("at")
-
-    def fold(block: Column) -> Column:
-        step = lambda acc, x: F.struct(op(acc["at"], x).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
-        return F.aggregate(block, F.struct(zero, F.array().cast(f"array<{kind}>").alias("out")), step)
-
-    def chain(acc: Column, f: Column) -> Column:
-        moved = F.transform(f["out"], lambda y: op(acc["at"], y))
-        return F.struct(op(acc["at"], f["at"]).alias("at"), F.concat(acc["outs"], F.array(moved)).alias("outs"))
-
-    def folded(held: Column) -> Column:
-        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(held) - 1) / FOLD).cast("int")), lambda b: F.slice(held, b * FOLD + 1, F.lit(FOLD)))
-        start = F.struct(zero, F.array().cast(f"array<array<{kind}>>").alias("outs"))
-        return F.when(F.size(held) > 0, F.flatten(F.aggregate(F.transform(blocks, fold), start, chain)["outs"])).otherwise(F.array().cast(f"array<{kind}>"))
-
-    return let(values, folded)
-
-
 def spans(text: Column, pattern: str, group: int, least: int) -> Column:
     """Start and end, in code points, of the leftmost non-overlapping matches, with whether the group is long enough.
 
