@@ -339,9 +339,10 @@ def q_adjacent_link(spark, sf_dir):
 @query(
     """WITH b AS (SELECT page_id, regexp_extract(html, '<article>(.*?)(</article>|$)', 1, 's') AS b FROM pages),
 t AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(b, '<a\\s[^>]*>.*?</a>', '', 'gs'), '<br\\s*/?>', chr(10), 'g'), '<[^>]+>', '', 'g') AS t FROM b),
-u AS (SELECT page_id, replace(t, '&amp;', '&') AS t FROM t)
+u AS (SELECT page_id, replace(replace(replace(replace(t, '&quot;', '"'), '&#x27;', chr(39)), '&lt;', '<'), '&gt;', '>') AS t FROM t),
+v AS (SELECT page_id, regexp_replace(t, '&amp;?', '&', 'g') AS t FROM u)
 SELECT page_id, CASE WHEN regexp_matches(t, '\\S') THEN 'article' END AS site,
-  CASE WHEN regexp_matches(t, '\\S') THEN regexp_replace(regexp_replace(t, '^(?:[^\\S\\n]*\\n)+', ''), '(?:\\n[^\\S\\n]*)+$', '') END AS text FROM u"""
+  CASE WHEN regexp_matches(t, '\\S') THEN regexp_replace(regexp_replace(t, '^(?:[^\\S\\n]*\\n)+', ''), '(?:\\n[^\\S\\n]*)+$', '') END AS text FROM v"""
 )
 def q_page_text(spark, sf_dir):
     """The text of each page's article, by a layout made for these pages."""
