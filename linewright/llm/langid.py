@@ -94,28 +94,28 @@ def posteriors(scores: np.ndarray, real: np.ndarray, moves: np.ndarray, starts:
     of each chain's normaliser.
     """
     n, t, k = scores.shape
-    top = scores.max(axis=2, keepdims=True)
-    e = np.exp(scores - top)
-    a = np.exp(moves)
+    e = np.ascontiguousarray(scores.transpose(1, 2, 0))  # places x labels x chains: each step reads memory in a row
+    top = e.max(axis=1)
+    e = np.exp(e - top[:, None])
+    a = np.exp(moves).astype(e.dtype)
+    goes = np.ascontiguousarray(real.T)
     alpha, beta = np.empty_like(e), np.ones_like(e)
-    scale = np.ones((n, t), e.dtype)
-    alpha[:, 0] = np.exp(starts) * e[:, 0]
+    scale = np.empty((t, n), e.dtype)
+    alpha[0] = np.exp(starts)[:, None] * e[0]
     for i in range(t):
         if i:
-            alpha[:, i] = (alpha[:, i - 1] @ a) * e[:, i]
-        scale[:, i] = alpha[:, i].sum(axis=1)
-        alpha[:, i] /= scale[:, i, None]
-    for i in range(t - 2, -1, -1):
-        beta[:, i] = np.where(real[:, i + 1, None], ((e[:, i + 1] * beta[:, i + 1]) @ a.T) / scale[:, i + 1, None], 1)
-    post = alpha * beta
-    post /= post.sum(axis=2, keepdims=True)
+            alpha[i] = (a.T @ alpha[i - 1]) * e[i]
+        scale[i] = alpha[i].sum(axis=0)
+        alpha[i] /= scale[i]
     joint = np.zeros((k, k))
-    for i in range(t - 1):
-        both = real[:, i + 1]
-        right = (e[both, i + 1] * beta[both, i + 1]) / scale[both, i + 1, None]
-        joint += (alpha[both, i].T @ right) * a
-    logz = (np.log(scale) + top[:, :, 0])
-    return post, joint, np.where(real, logz, 0).sum(axis=1)
+    for i in range(t - 2, -1, -1):
+        right = e[i + 1] * beta[i + 1] / scale[i + 1]
+        beta[i] = np.where(goes[i + 1], a @ right, 1)
+        joint += alpha[i] @ (right * goes[i + 1]).T
+    alpha *= beta
+    alpha /= alpha.sum(axis=1)[:, None]
+    logz = np.where(goes, np.log(scale) + top, 0).sum(axis=0)
+    return alpha.transpose(2, 0, 1), joint * a, logz
 
 
 def into_chains(scores: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
