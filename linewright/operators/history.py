@@ -37,10 +37,10 @@ def evict(cache: DataFrame, history: DataFrame, key: str) -> DataFrame:
 
 
 def originals(files: DataFrame, cache: DataFrame) -> DataFrame:
-    """For each (file_name, text) its original: by name, else the earliest with the same fingerprint."""
-    named = cache.groupBy("file_name").agg(F.max_by("text", "ts").alias("by_name"))
+    """For each (file_name, text) its original: by name, else the earliest with the same fingerprint; equally old ones by text."""
+    named = cache.groupBy("file_name").agg(F.max_by("text", F.struct("ts", "text")).alias("by_name"))
     marked = cache.withColumn("author_key", scalar.author_fingerprint(F.col("text"))).filter("author_key IS NOT NULL")
-    marked = marked.groupBy("author_key").agg(F.min_by("text", "ts").alias("by_key"))
+    marked = marked.groupBy("author_key").agg(F.min_by("text", F.struct("ts", "text")).alias("by_key"))
     rows = files.withColumn("author_key", scalar.author_fingerprint(F.col("text")))
     joined = rows.join(named, "file_name", "left").join(marked, "author_key", "left")
     return joined.select("file_name", "text", F.coalesce("by_name", "by_key").alias("original"))

@@ -1,4 +1,8 @@
-"""A history kept by a stream: each batch is merged into the table, newest entry per key, capped."""
+"""A history kept by a stream: each batch is merged into the table, newest entry per key, capped.
+
+A batch writes the whole history anew, so give a cap (``most``) where the number of keys
+has no bound of its own.
+"""
 
 from __future__ import annotations
 
@@ -9,21 +13,41 @@ from linewright.operators import history
 
 
 class HistorySink:
-    """Versions of a history under a path, one folder for each batch; a repeated batch writes the same folder."""
+    """Versions of a history under a path, one folder for each merged batch.
+
+    A batch is merged into the newest whole version, whatever its own number: merging it
+    once more changes nothing, and a stream that lost its checkpoint goes on from what is
+    there. The version before the newest stays for readers, older ones are removed.
+    """
 
     def __init__(self, spark: SparkSession, path: str, keys: list[str], order: list[str], most: int | None = None):
         self.spark, self.path, self.keys, self.order, self.most = spark, path.rstrip("/"), keys, order, most
 
-    def _before(self, batch_id: int, schema) -> DataFrame:
-        if batch_id == 0:
+    def _store(self):
+        where = self.spark._jvm.org.apache.hadoop.fs.Path
+        return where(self.path).getFileSystem(self.spark._jsc.hadoopConfiguration()), where
+
+    def versions(self) -> list[int]:
+        """The whole versions, oldest first; a folder without Spark's mark of success is none."""
+        store, where = self._store()
+        found = store.globStatus(where(f"{self.path}/batch=*/_SUCCESS")) or []
+        return sorted(int(f.getPath().getParent().getName().removeprefix("batch=")) for f in found)
+
+    def latest(self, schema) -> DataFrame:
+        known = self.versions()
+        if not known:
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(f"{self.path}/batch={batch_id - 1}")
+        return self.spark.read.schema(schema).parquet(f"{self.path}/batch={known[-1]}")
 
     def write(self, batch: DataFrame, batch_id: int) -> None:
-        merged = history.upsert(self._before(batch_id, batch.schema), batch, self.keys, self.order[0])
+        known = self.versions()
+        merged = history.upsert(self.latest(batch.schema), batch, self.keys, self.order[0])
         if self.most:
             merged = history.newest(merged, self.most, self.order)
-        merged.select(*batch.columns).write.mode("overwrite").parquet(f"{self.path}/batch={batch_id}")
+        merged.select(*batch.columns).write.mode("overwrite").parquet(f"{self.path}/batch={known[-1] + 1 if known else 0}")
+        store, where = self._store()
+        for old in known[:-1]:
+            store.delete(where(f"{self.path}/batch={old}"), True)
 
     def start(self, stream: DataFrame, checkpoint: str) -> StreamingQuery:
         return stream.writeStream.foreachBatch(self.write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

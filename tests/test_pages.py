@@ -76,6 +76,28 @@ def test_stream_equals_batch(spark, tmp_path):
     assert sorted(map(tuple, last.collect())) == sorted(map(tuple, expected.select(*last.columns).collect()))
 
 
+def test_a_stream_without_its_checkpoint_goes_on(spark, tmp_path):
+    schema = "user_id long, event_id long, title string"
+    sink = HistorySink(spark, str(tmp_path / "out"), ["user_id"], ["event_id"])
+    rows = [(1, 1, "a"), (2, 2, "b"), (1, 3, "c"), (3, 4, "d")]
+    for k, row in enumerate(rows):
+        sink.write(spark.createDataFrame([row], schema), k)
+    kept = {(1, 3, "c"), (2, 2, "b"), (3, 4, "d")}
+    assert sink.versions() == [2, 3] and set(map(tuple, sink.latest(schema).collect())) == kept
+    (tmp_path / "out/batch=4").mkdir()  # a version that was never finished
+    again = HistorySink(spark, str(tmp_path / "out"), ["user_id"], ["event_id"])
+    again.write(spark.createDataFrame(rows[:1], schema), 0)
+    again.write(spark.createDataFrame(rows[3:], schema), 1)
+    again.write(spark.createDataFrame(rows[3:], schema), 1)
+    assert set(map(tuple, again.latest(schema).collect())) == kept and len(again.versions()) == 2
+
+
+def test_originals_of_equal_age(spark):
+    cache = spark.createDataFrame([("f", "x", 1.0), ("f", "y", 1.0)], "file_name string, text string, ts double")
+    files = spark.createDataFrame([("f", "z")], "file_name string, text string")
+    assert [r["original"] for r in history.originals(files, cache.repartition(2, "text")).collect()] == ["y"]
+
+
 def test_settings_and_caches(spark, tmp_path):
     (tmp_path / "a.json").write_text('{"base_regex": "x", "other": 1}')
     (tmp_path / "b.json").write_text("broken")
