@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from linewright.llm import decontam, langid, lengths, licenses, mainpage, packing, quality, secrets, similarity, substrings
+from linewright.llm import (
+    decontam, langid, lengths, licenses, mainpage, packing, prefixes, quality, secrets, similarity, substrings, urls, whitening,
+)
 
 QUERIES = {
     "op1_benchmark_decontamination": decontam.op1_benchmark_decontamination,
@@ -15,10 +17,14 @@ QUERIES = {
     "op8_substring_dedup": substrings.op8_substring_dedup,
     "op9_html_extraction": mainpage.op9_html_extraction,
     "op10_best_fit_packing": packing.op10_best_fit_packing,
+    "op11_prefix_trie": prefixes.op11_prefix_trie,
+    "op12_url_filters": urls.op12_url_filters,
+    "op13_embedding_whitening": whitening.op13_embedding_whitening,
 }
 
 SQL = {
     "op5_secret_scans": secrets.SQL,
     "op6_quality_rules": quality.SQL,
     "op8_substring_dedup": substrings.SQL,
+    "op11_prefix_trie": prefixes.SQL,
 }
