@@ -27,7 +27,8 @@ windows with equal hashes count as equal (of 10**13 windows, some two differ wit
 probability under 0.001).
 
 Cases: a null or empty text has no words and keeps nothing. Repeated rows with equal
-doc_id do not remove each other. A row with a null doc_id is kept whole and removes
+doc_id do not remove each other; equal rows are treated once and come out as often as they
+came in. A row with a null doc_id is kept whole and removes
 nothing. An empty table gives no rows. Columns other than doc_id and text are ignored.
 """
 
@@ -47,6 +48,7 @@ from linewright.llm import tables, textkit
 WINDOW = 13
 BLOCK = 7
 CHUNK_BYTES = 4 << 20
+REPEATS = 1024
 BUCKET_BYTES = 64 << 20
 _OTHER_STEP = np.uint64(0x9FB21C651E98DF25)
 
@@ -141,8 +143,47 @@ def _groups(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """doc_id, text and a key that tells rows apart by both."""
-    return docs.select(F.xxhash64(F.col("doc_id").cast("long"), "text").alias("key"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    """doc_id, text, a key that tells rows apart by both, and 64 further bits to check it by."""
+    doc_id = F.col("doc_id").cast("long")
+    return docs.select(F.xxhash64(doc_id, "text").alias("key"), F.xxhash64(F.lit(WINDOW), "text", doc_id).alias("check"), doc_id.alias("doc_id"), "text")
+
+
+def _met_again(keyed: DataFrame) -> DataFrame:
+    """(key, n, clash) of the keys of several rows: equal rows, or different ones that the further bits tell apart."""
+    met = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("check").alias("_lo"), F.max("check").alias("_hi"))
+    return met.filter("n > 1").select("key", "n", (F.col("_lo") != F.col("_hi")).alias("clash"))
+
+
+def _distinct(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, bool]:
+    """Rows (key, doc_id, text, n), each distinct one once, and whether any occurs n > 1 times.
+
+    The first pass shuffles hashes only. Different rows under one key (none, or a few among
+    10**10 rows) get keys made of 128 bits. Only where rows repeat are texts merged by key,
+    in the tasks that read them first.
+    """
+    keyed = _keyed(docs)
+    again = tables.cut(spark, _met_again(keyed), "repeated-rows")
+    clashes = [r["key"] for r in again.filter("clash").collect()]
+    if clashes:
+        keyed = keyed.withColumn("key", F.when(F.col("key").isin(clashes), F.xxhash64("check", "key")).otherwise(F.col("key")))
+        again = tables.cut(spark, _met_again(keyed), "repeated-rows")
+    if again.isEmpty():
+        return keyed.select("key", "doc_id", "text", F.lit(1).cast("long").alias("n")), False
+    total = keyed.count()
+    repeated = tables.attach(keyed, again.select("key", F.col("n").alias("_n")), ["key"], total, "left_semi")
+    merged = repeated.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.min("text").alias("text"), F.count("*").alias("n"))
+    hot = again.filter(F.col("n") * tables.SHARE >= total).select("key")
+    single = keyed.join(F.broadcast(hot), "key", "left_anti").join(again.select("key"), "key", "left_anti")
+    return tables.cut(spark, merged.unionByName(single.select("key", "doc_id", "text", F.lit(1).cast("long").alias("n"))), "distinct-rows"), True
+
+
+def _each_time(spark: SparkSession, rows: DataFrame) -> DataFrame:
+    """Every row n times; a row of very many repeats is spread over tasks first."""
+    once, many = rows.filter("n = 1"), rows.filter("n > 1")
+    part = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / REPEATS)))
+    spread = many.withColumn("_part", part).repartition(tables.partitions(spark), "key", "_part")
+    copies = F.explode(F.sequence(F.lit(1).cast("long"), F.least(F.lit(REPEATS).cast("long"), F.col("n") - F.col("_part") * REPEATS)))
+    return once.unionByName(spread.withColumn("_copy", copies).drop("_part", "_copy"))
 
 
 def _send_blocks(buckets: int):
@@ -317,7 +358,7 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _located(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """Every row with ``gone``: packed starts of its windows that a smaller document has."""
     n = tables.partitions(spark)
-    keyed = _keyed(docs)
+    keyed, repeats = _distinct(spark, docs)
     size = keyed.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(n, -(-size // BUCKET_BYTES))
 
@@ -326,9 +367,11 @@ def _located(spark: SparkSession, docs: DataFrame) -> DataFrame:
         told = met.repartition(n, "bucket").sortWithinPartitions("bucket")
         return told.mapInArrow(_each_bucket(_by_document), "key long, at binary").withColumnRenamed("at", name)
 
-    anchors = asked(keyed.mapInArrow(_send_blocks(buckets), _PACKED), np.uint32, _anchors, "anchors")
-    gone = asked(keyed.join(anchors, "key").mapInArrow(_send_windows(buckets), _PACKED), np.uint64, _repeats, "gone")
-    return keyed.join(gone, "key", "left").select("doc_id", "text", "gone")
+    keyed_texts = keyed.select("key", "doc_id", "text")
+    anchors = asked(keyed_texts.mapInArrow(_send_blocks(buckets), _PACKED), np.uint32, _anchors, "anchors")
+    gone = asked(keyed_texts.join(anchors, "key").mapInArrow(_send_windows(buckets), _PACKED), np.uint64, _repeats, "gone")
+    found = keyed.join(gone, "key", "left")
+    return (_each_time(spark, found) if repeats else found).select("doc_id", "text", "gone")
 
 
 def remove_repeats(spark: SparkSession, docs: DataFrame) -> DataFrame:

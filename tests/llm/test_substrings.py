@@ -54,3 +54,33 @@ def test_hashes_that_agree_in_part_are_told_apart():
 
     ids, hashes, more = np.array([1, 2, 3, 4]), np.array([9, 9, 9, 8], np.uint64), np.array([5, 6, 5, 5], "<u4")
     assert substrings._later(ids, hashes, more).tolist() == [False, False, True, False]
+
+
+def _gone_bytes(spark, copies, words):
+    from pyspark.sql import functions as F
+
+    text = " ".join(f"w{i}" for i in range(words))
+    frame = spark.createDataFrame([(0, text)] + [(5, text)] * copies + [(6, "a b c")] * 3 + [(None, text)] * 2, "doc_id long, text string")
+    located = substrings._located(spark, frame)
+    rows = located.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(F.length("gone")).alias("b"), F.max(F.length("gone")).alias("most")).collect()
+    return {r["doc_id"]: (r["n"], r["b"], r["most"]) for r in rows}
+
+
+def test_repeated_rows_cost_in_proportion(spark, monkeypatch):
+    monkeypatch.setattr(substrings, "REPEATS", 64)
+    each = 4 * (300 - 12)
+    for copies in (100, 3000):
+        assert _gone_bytes(spark, copies, 300) == {0: (1, None, None), 5: (copies, copies * each, each), 6: (3, None, None), None: (2, None, None)}
+
+
+def test_rows_under_one_key_are_told_apart(spark, monkeypatch, sentences):
+    """With keys of a few values nearly all rows clash; the further bits tell them apart."""
+    from pyspark.sql import functions as F
+
+    rows = [(i, sentences(30, i % 7)) for i in range(20)] + [(3, sentences(30, 3))]
+    keyed = substrings._keyed
+
+    monkeypatch.setattr(substrings, "_keyed", lambda docs: keyed(docs).withColumn("key", F.col("key") % 3))
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    sha = substrings._located(spark, frame).mapInArrow(substrings._digest, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    assert sorted((tuple(r) for r in sha.collect()), key=repr) == plain(rows)
