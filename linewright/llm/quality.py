@@ -160,7 +160,7 @@ def report(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 
 def keep(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The documents that pass, with the columns they came with."""
-    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row")
+    whole = F.struct(*tables.columns(docs)).alias("_row")
     return _counted(docs, whole).filter(~_base_failed() & verdict(rules)).select("_row.*")
 
 

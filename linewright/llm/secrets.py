@@ -173,7 +173,7 @@ def scan(docs: DataFrame) -> DataFrame:
 
 def redact(docs: DataFrame) -> DataFrame:
     """The documents with every span replaced by MASK; n_chars, where there is one, follows the text."""
-    found = _found(docs, [F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row")])
+    found = _found(docs, [F.struct(*tables.columns(docs)).alias("_row")])
 
     text = F.col("_row.text")
 
@@ -200,7 +200,7 @@ def redact(docs: DataFrame) -> DataFrame:
     some = F.size(F.col("_strong")) + F.size(F.col("_weak")) > 0
     clean = found.withColumn("_text", F.when(some, let(F.array_sort(F.concat("_strong", "_weak")), rebuilt)).otherwise(text))
     length = {"n_chars": F.when(some, F.length("_text")).otherwise(F.col("_row.n_chars")).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {}
-    return clean.select(*(F.col("_text").alias(c) if c == "text" else length[c].alias(c) if c in length else F.col(f"_row.`{c}`").alias(c) for c in docs.columns))
+    return clean.select(*(F.col("_text").alias(c) if c == "text" else length[c].alias(c) if c in length else F.col("_row").getField(c).alias(c) for c in docs.columns))
 
 
 def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -35,6 +35,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from linewright.llm import graph, tables, textkit
 
@@ -384,8 +385,9 @@ def _keyed(docs: DataFrame) -> DataFrame:
             halves = (pa.array([k[i] for k in keys], pa.int64()) for i in (0, 1))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *halves], ["row", "_id", "_k1", "_k2"])
 
-    rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), docs["doc_id"].cast("long").alias("_id"), docs["text"].alias("_text"))
-    return rows.mapInArrow(key, f"row {docs.schema.simpleString()}, _id long, _k1 long, _k2 long")
+    rows = docs.select(F.struct(*tables.columns(docs)).alias("row"), docs["doc_id"].cast("long").alias("_id"), docs["text"].alias("_text"))
+    kind = T.StructType([T.StructField("row", docs.schema, False), *(T.StructField(c, T.LongType()) for c in ("_id", "_k1", "_k2"))])
+    return rows.mapInArrow(key, kind)
 
 
 def keep_one(spark: SparkSession, docs: DataFrame) -> DataFrame:

@@ -1,6 +1,8 @@
 """The pipeline, stage by stage, against what each stage must leave."""
 
 import corpus_pipeline
+from pyspark.sql import functions as F
+
 from linewright.llm import secrets
 
 
@@ -42,5 +44,12 @@ def test_edge_rows(spark, edge_docs, edge_rows, sentences, tmp_path):
     assert kept == sorted(["1", "9", "10", "11", "None"])  # 2 and 3 are copies, 13 repeats itself, the others are short
     packed = corpus_pipeline.run(spark, root).collect()
     assert {repr(r["doc_id"]) for r in packed} == set(kept) and sum(r["length"] for r in packed if r["doc_id"] == 11) > 30000
+    # Rows of any column names keep them through every stage.
+    odd = edge_docs.limit(4).unionByName(edge_docs.limit(4)).withColumns({"a b": F.lit(1), "x.y": F.lit(2), "q`t": F.lit(3), "_row.z": F.lit(4)})
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        odd = stage(spark, odd, root)
+        assert odd.columns == [*edge_docs.columns, "a b", "x.y", "q`t", "_row.z"]
+    assert {tuple(r[-4:]) for r in odd.collect()} == {(1, 2, 3, 4)}
+    assert corpus_pipeline.STAGES[-1][1](spark, odd, root).count() == 1
     edge_docs.limit(0).write.mode("overwrite").parquet(f"{root}/documents.parquet")
     assert corpus_pipeline.run(spark, root).count() == 0
