@@ -1,4 +1,7 @@
-"""Frames of box-drawing characters: found in the lines of a document and drawn anew to fit.
+"""Frames around speech: found in the lines of a document and drawn anew to fit.
+
+Shouts, slashed frames and box-drawing frames claim lines in this order; normal frames, of
+overlines and underlines with rounded corners, stand on what is left and may enclose them.
 
 Widths come from an additive measure; by default an ASCII character is one wide and any
 other two, and a map of exceptions can be given.
@@ -24,6 +27,14 @@ SHOUT_BOTTOM = "(?:⌒[YＹ]){3,}"
 SLASH_TOP = "＼─\\|(?:──\\|){2,}─?／"
 SLASH_BOTTOM = "／─\\|(?:──\\|){2,}─?＼"
 PADDING = "[ 　.]+$"
+OVER, UNDER = "￣", "＿"
+OVER_CORNERS, UNDER_CORNERS = ("´'", "｀ヽﾍ"), ("乂ヽ丶", "ノﾉ")
+RIGHT_SIDES = "│｜|〉》>）)ノﾉ＼ヽ｝}］]"
+BARS = "|│｜"
+SELECTED = "￣＿─-="
+PADS = " .　"
+LINE_ENDS = "\r\n 　"
+CORNER = 4
 
 
 def width(text: Column, special: dict[str, int] | None = None) -> Column:
@@ -39,15 +50,21 @@ KINDS = (("shout", SHOUT_TOP, SHOUT_BOTTOM), ("slash", SLASH_TOP, SLASH_BOTTOM),
 _FOUND = "array<struct<top:int,bottom:int,kind:string>>"
 
 
+def _marks(lines: Column, known: Column, top: str, bottom: str) -> Column:
+    """(at, part) of the lines that are a top (1) or else a bottom (2) and that no known frame covers."""
+    free = lambda x: ~F.exists(known, lambda k: (x["at"] >= k["top"]) & (x["at"] <= k["bottom"]))
+    part = lambda line: F.when(line.rlike(top), 1).when(line.rlike(bottom), 2).otherwise(0)
+    every = F.transform(lines, lambda line, i: F.struct(i.alias("at"), part(line).alias("part")))
+    return F.filter(F.filter(every, lambda x: x["part"] > 0), free)
+
+
 def _of_kind(lines: Column, known: Column, kind: str, top: str, bottom: str) -> Column:
     """The frames known and those of one kind on lines that no known frame covers.
 
     From the top down, each top takes the first bottom within reach; lines of a frame
     that is found already are passed over.
     """
-    free = lambda i: ~F.exists(known, lambda k: (i >= k["top"]) & (i <= k["bottom"]))
-    part = lambda line, i: F.when(~free(i), 0).when(line.rlike(top), 1).when(line.rlike(bottom), 2).otherwise(0)
-    marks = F.filter(F.transform(lines, lambda line, i: F.struct(i.alias("at"), part(line, i).alias("part"))), lambda x: x["part"] > 0)
+    marks = _marks(lines, known, top, bottom)
 
     def step(acc: Column, x: Column) -> Column:
         # Of tops still waiting for a bottom, the uppermost in reach takes this one.
@@ -61,11 +78,38 @@ def _of_kind(lines: Column, known: Column, kind: str, top: str, bottom: str) ->
     return F.concat(known, F.aggregate(marks, zero, step, lambda acc: acc["found"]))
 
 
-def boxes(lines: Column, kinds: tuple = KINDS) -> Column:
+def _safe(run: str, corners: tuple[str, str]) -> str:
+    """A border with corners at both ends: the last run of three or more, at most four characters from the end."""
+    before, after = corners
+    return f"[{before}][ 　]*{run}{{3,}}[ 　]*(?=.{{0,{CORNER - 1}}}[{after}])(?!.*{run}{{3}})[^ 　].{{0,{CORNER - 1}}}\\z"
+
+
+NORMAL_TOP = f"(?s){_safe(OVER, OVER_CORNERS)}"
+NORMAL_BOTTOM = f"(?s)^(?!.*{OVER}{{3}}).*{_safe(UNDER, UNDER_CORNERS)}"
+
+
+def _normal(lines: Column, known: Column) -> Column:
+    """The frames known and the normal ones: a top and the next border below it, if that is a bottom within reach."""
+    bare = F.transform(lines, lambda line: F.rtrim(line, F.lit(LINE_ENDS)))
+
+    def paired(marks: Column) -> Column:
+        def pair(x: Column, i: Column) -> Column:
+            after = F.get(marks, i + 1)
+            near = (x["part"] == 1) & (after["part"] == 2) & (after["at"] - x["at"] <= FARTHEST)
+            return F.when(near, F.struct(x["at"].alias("top"), after["at"].alias("bottom"), F.lit("normal").alias("kind")))
+
+        return F.filter(F.transform(marks, pair), lambda f: f.isNotNull())
+
+    return F.concat(known, rx.let(_marks(bare, known, NORMAL_TOP, NORMAL_BOTTOM), paired))
+
+
+def boxes(lines: Column, kinds: tuple = KINDS, normal: bool = True) -> Column:
     """(top, bottom, kind) of the frames among an array of lines, from 0, in order; earlier kinds claim lines first."""
     found = F.array().cast(_FOUND)
     for kind, top, bottom in kinds:
         found = _claimed(lines, found, kind, top, bottom)
+    if normal:
+        found = rx.let(F.struct(lines.alias("lines"), found.alias("found")), lambda z: _normal(z["lines"], z["found"]))
     return F.array_sort(found)
 
 
@@ -76,13 +120,16 @@ def _claimed(lines: Column, found: Column, kind: str, top: str, bottom: str) ->
 def _padded(text: Column, target: Column, special: dict[str, int] | None) -> Column:
     """Full-width spaces as far as they fit, then half-width ones, and one more if that comes nearer."""
     wide, narrow = (special or {}).get(WIDE_SPACE, 2), (special or {}).get(" ", 1)
-    room = target - width(text, special)
-    n_wide = F.floor(F.greatest(room, F.lit(0)) / wide).cast("int")
-    left = room - n_wide * wide
-    n_narrow = F.floor(F.greatest(left, F.lit(0)) / narrow).cast("int")
-    left = left - n_narrow * narrow
-    nearer = F.when(narrow - left < left, 1).otherwise(0)
-    return F.concat(text, F.repeat(F.lit(WIDE_SPACE), n_wide), F.repeat(F.lit(" "), n_narrow + nearer))
+
+    def filled(room: Column) -> Column:
+        n_wide = F.floor(F.greatest(room, F.lit(0)) / wide).cast("int")
+        left = room - n_wide * wide
+        n_narrow = F.floor(F.greatest(left, F.lit(0)) / narrow).cast("int")
+        left = left - n_narrow * narrow
+        nearer = F.when(narrow - left < left, 1).otherwise(0)
+        return F.concat(text, F.repeat(F.lit(WIDE_SPACE), n_wide), F.repeat(F.lit(" "), n_narrow + nearer))
+
+    return rx.let(target - width(text, special), filled)
 
 
 def align_to_previous(lines: DataFrame, at: Column, special: dict[str, int] | None = None, key: str = "doc_id") -> DataFrame:
@@ -207,31 +254,120 @@ def redraw_as(lines: Column, box: Column, kind: str, special: dict[str, int] | N
     return rx.let(own, lambda o: rx.let(F.struct(F.transform(o, read).alias("rows"), o.alias("own")), drawn))
 
 
-def adjust(docs: DataFrame, special: dict[str, int] | None = None) -> DataFrame:
-    """Documents with every box-drawing frame, shout and slashed frame redrawn; ``n_boxes`` counts them."""
-    rows = docs.withColumn("_lines", F.split("text", "\n", -1)).withColumn("_boxes", boxes(F.col("_lines")))
+def _repeats(room: Column, part: Column) -> Column:
+    """How often a part of some width fits a room, once more if that comes nearer."""
+    n = F.floor(F.greatest(room, F.lit(0)) / part).cast("int")
+    return F.when((n + 1) * part - room < room - n * part, n + 1).otherwise(n)
+
+
+def redraw_normal(lines: Column, box: Column, special: dict[str, int] | None = None) -> Column:
+    """The lines of a normal frame drawn to the widest text behind its last bar.
+
+    The first border fixes how often overlines and underlines are repeated; all borders
+    take that number, so they stay alike whatever their corners are. Null without a border
+    or a text to measure.
+    """
+    own = F.slice(lines, box["top"] + 1, box["bottom"] - box["top"] + 1)
+    row = lambda part, left, char=None, right=None: F.struct(
+        *(v.alias(n) if isinstance(v, Column) else F.lit(v).cast("string").alias(n) for n, v in zip(("part", "left", "char", "right"), (part, left, char, right)))
+    )
+    uncommaed = lambda text: F.regexp_replace(text, ",+\\z", "")
+
+    def read(line: Column) -> Column:
+        """(part, left, char, right) of one line: border, side (text with a right side), text or blank."""
+
+        def parted(bare: Column) -> Column:
+            sided = f"(?s)^(.*?[^{PADS}])[{PADS}]+([^{PADS}]{{1,3}})\\z"
+            left, right = (F.regexp_extract(bare, sided, i) for i in (1, 2))
+            found = F.when(right.rlike(f"[{rx.quote(RIGHT_SIDES)}]"), row("side", uncommaed(left), None, right)).otherwise(row("text", uncommaed(bare)))
+            for run in (UNDER, OVER):
+                border = f"(?s)^((?:.*[^{run}])?){run}{{3,}}((?:[^{run}].*)?)\\z"
+                tail = F.regexp_extract(bare, border, 2)
+                near = bare.rlike(border) & (F.length(F.btrim(tail, F.lit(" 　"))) <= CORNER)
+                found = F.when(near, row("border", F.regexp_extract(bare, border, 1), run, tail)).otherwise(found)
+            return found
+
+        return F.when(line == "", row("blank", line)).otherwise(rx.let(F.rtrim(line, F.lit(LINE_ENDS)), parted))
+
+    def spoken(x: Column) -> Column:
+        """The width of what stands behind the last bar."""
+        inner = F.regexp_extract(x["left"], f"(?s)[{BARS}]([^{BARS}]*)\\z", 1)
+        return F.when((x["part"] == "side") & x["left"].rlike(f"[{BARS}]"), width(F.rtrim(inner, F.lit(PADS)), special))
+
+    of = lambda x, *names: sum((width(x[n], special) for n in names[1:]), width(x[names[0]], special))
+
+    def drawn(z: Column) -> Column:
+        def made(x: Column) -> Column:
+            n = F.when(z["widest"] > 0, z["n"]).otherwise(_repeats(z["target"] - of(x, "left", "right"), width(x["char"], special)))
+            side = F.concat(_padded(F.rtrim(x["left"], F.lit(PADS)), z["target"] - width(x["right"], special), special), x["right"])
+            return F.when(x["part"] == "border", F.concat(x["left"], F.repeat(x["char"], n), x["right"])).when(x["part"] == "side", side).otherwise(x["left"])
+
+        return F.when(z["target"] > 0, F.transform(z["rows"], made))
+
+    def measured(z: Column) -> Column:
+        """With the number of repeats and the width of the frame, 0 where nothing can be measured."""
+        corners = F.coalesce(of(z["first"], "left", "right"), F.lit(0))
+        unit = width(z["first"]["char"], special)
+        target = F.when(z["widest"] > 0, corners + z["widest"]).otherwise(F.coalesce(corners + z["length"] * unit, F.lit(0)))
+        known = F.struct(z["rows"].alias("rows"), z["widest"].alias("widest"), target.alias("target"), _repeats(z["widest"], unit).alias("n"))
+        return rx.let(known, drawn)
+
+    def seen(z: Column) -> Column:
+        rows = z["rows"]
+        at = F.array_position(F.transform(rows, lambda x: x["part"]), F.lit("border"))
+        first = F.when(at > 0, F.get(rows, at - 1))
+        length = F.length(F.rtrim(F.get(z["own"], at - 1), F.lit(LINE_ENDS))) - F.length(first["left"]) - F.length(first["right"])
+        widest = F.coalesce(F.array_max(F.transform(rows, spoken)), F.lit(0))
+        return rx.let(F.struct(rows.alias("rows"), first.alias("first"), length.alias("length"), widest.alias("widest")), measured)
+
+    return rx.let(own, lambda o: rx.let(F.struct(F.transform(o, read).alias("rows"), o.alias("own")), seen))
+
+
+def _replaced(lines: Column, frames: Column, made) -> Column:
+    """Lines with each of some disjoint frames, in order, drawn anew."""
 
     def step(acc: Column, box: Column) -> Column:
-        lines = F.col("_lines")
         between = F.slice(lines, acc["at"] + 1, box["top"] - acc["at"])
+        return F.struct((box["bottom"] + 1).alias("at"), F.concat(acc["out"], between, made(lines, box)).alias("out"))
+
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+    return F.aggregate(frames, zero, step, lambda acc: F.concat(acc["out"], F.slice(lines, acc["at"] + 1, F.size(lines))))
+
+
+def adjust(docs: DataFrame, special: dict[str, int] | None = None) -> DataFrame:
+    """Documents with every frame of the four kinds redrawn; ``n_boxes`` counts them.
+
+    Normal frames come last: they may enclose others, whose new lines they then measure.
+    """
+    rows = docs.withColumn("_lines", F.split("text", "\n", -1)).withColumn("_boxes", boxes(F.col("_lines")))
+
+    def one(lines: Column, box: Column) -> Column:
         made = redraw(lines, box, special)
         for kind in DRAWINGS:
             made = F.when(box["kind"] == kind, redraw_as(lines, box, kind, special)).otherwise(made)
-        return F.struct((box["bottom"] + 1).alias("at"), F.concat(acc["out"], between, made).alias("out"))
+        return made
 
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-    whole = F.aggregate("_boxes", zero, step, lambda acc: F.concat(acc["out"], F.slice(F.col("_lines"), acc["at"] + 1, F.size("_lines"))))
-    return rows.withColumn("text", F.array_join(whole, "\n")).withColumn("n_boxes", F.size("_boxes")).drop("_lines", "_boxes")
+    normal = lambda lines, box: redraw_normal(lines, box, special)
+    rows = rows.withColumn("_lines", _replaced(F.col("_lines"), F.filter("_boxes", lambda b: b["kind"] != "normal"), one))
+    rows = rows.withColumn("_lines", _replaced(F.col("_lines"), F.filter("_boxes", lambda b: b["kind"] == "normal"), normal))
+    return rows.withColumn("text", F.array_join("_lines", "\n")).withColumn("n_boxes", F.size("_boxes")).drop("_lines", "_boxes")
 
 
 def adjust_selection(text: Column, special: dict[str, int] | None = None) -> Column:
-    """A selected frame redrawn as a whole, by the first kind whose two borders it holds; null if it is no frame of these kinds."""
+    """A selected frame redrawn as a whole, by the first kind whose borders it holds; null if it is no frame.
+
+    A selection is taken for a normal frame if a line ends in a run of three overlines,
+    underlines, dashes, hyphens or equals signs and at most four characters.
+    """
     lines = F.split(text, "\n", -1)
     every = F.struct(F.lit(0).alias("top"), (F.size(lines) - 1).alias("bottom"))
     has = lambda pattern: F.exists(lines, lambda line: line.rlike(pattern))
     join = lambda made: F.array_join(made, "\n")
+    runs = "|".join(f"{c}{{3,}}" for c in SELECTED)
+    bordered = F.exists(lines, lambda line: F.rtrim(line, F.lit(LINE_ENDS)).rlike(f"(?s)(?:{runs})[ 　]*.{{0,{CORNER}}}\\z"))
     return (
         F.when(has("_人") & has("⌒[YＹ]"), join(redraw_as(lines, every, "shout", special)))
         .when(has("＼─\\|(?:──\\|){2,}") & has("／─\\|(?:──\\|){2,}"), join(redraw_as(lines, every, "slash", special)))
         .when(has(TOP) & has(BOTTOM), join(redraw(lines, every, special)))
+        .when(bordered, join(redraw_normal(lines, every, special)))
     )

@@ -474,6 +474,26 @@ def q_frame_layout(spark, sf_dir):
     return layout.adjust(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), text.alias("text")))
 
 
+@query(
+    """WITH p AS (SELECT p_partkey AS doc_id, p_name AS n, p_partkey % 4 AS k, length(p_name) // 2 AS w FROM part)
+SELECT doc_id, CASE k
+  WHEN 0 THEN 'x' || chr(10) || '  f´' || repeat('￣', w) || '｀ヽ' || chr(10) || '  |' || n || '　　 |' || chr(10) || '  乂' || repeat('＿', w) || 'ノ'
+  WHEN 1 THEN ' f´￣￣￣｀ヽ' || chr(10) || n || chr(10) || ' f´' || repeat('￣', w) || '｀ヽ' || chr(10) || ' |' || n || '　　 |' || chr(10) || ' 乂' || repeat('＿', w) || 'ノ'
+  WHEN 2 THEN ' f￣￣￣｀ヽ' || chr(10) || ' |' || n || '   |' || chr(10) || ' 乂＿＿＿ノ'
+  ELSE ' f´' || repeat('￣', w) || '｀ヽ' || chr(10) || '┌' || repeat('─', (length(n) + 4) // 2) || '┐' || chr(10) || '│' || n || '　　│' || chr(10) || '└' || repeat('─', (length(n) + 4) // 2) || '┘' || chr(10) || ' 乂' || repeat('＿', w) || 'ノ' END AS text,
+  CASE k WHEN 2 THEN 0 WHEN 3 THEN 2 ELSE 1 END AS n_boxes FROM p"""
+)
+def q_normal_frame(spark, sf_dir):
+    """Frames with rounded corners: alone, below a top without a bottom, without a corner (stays), and around another frame."""
+    name, top, bottom = F.col("p_name"), " f´￣￣￣｀ヽ", " 乂＿＿＿ノ"
+    alone = F.concat(F.lit(f"x\n {top}\n  |"), name, F.lit(f"   |\n {bottom}"))
+    second = F.concat(F.lit(f"{top}\n"), name, F.lit(f"\n{top} \n |"), name, F.lit(f" |\n{bottom}"))
+    unsafe = F.concat(F.lit(" f￣￣￣｀ヽ\n |"), name, F.lit(f"   |\n{bottom}"))
+    around = F.concat(F.lit(f"{top}\n┌──┐\n│"), name, F.lit(f"│\n└──┘\n{bottom}"))
+    text = F.get(F.array(alone, second, unsafe, around), (F.col("p_partkey") % 4).cast("int"))
+    return layout.adjust(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), text.alias("text")))
+
+
 @query("SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN '┌' || repeat('─', (length(p_name) + 4) // 2) || '┐' || chr(10) || '│' || p_name || '　　│' || chr(10) || '└' || repeat('─', (length(p_name) + 4) // 2) || '┘' END AS text FROM part")
 def q_frame_selection(spark, sf_dir):
     box = F.concat(F.lit("┌──┐\n│"), "p_name", F.lit("│\n└──┘"))
