@@ -93,15 +93,28 @@ def apply(text: Column, terms: dict[str, str]) -> Column:
         return text
     values = F.create_map(*[F.lit(x) for pair in terms.items() for x in pair])
 
-    def body(hit: Column, i: Column, gaps: Column, hits: Column) -> Column:
-        value = F.element_at(values, hit)
-        rest = F.concat(F.slice(gaps, i + 2, F.size(gaps)), F.slice(hits, i + 2, F.size(hits)))
-        short = F.greatest(F.length(hit) - F.length(value), F.lit(0))
-        pad = F.when(F.exists(rest, lambda x: x.rlike(BORDER)), F.repeat(F.lit(WIDE_SPACE), short)).otherwise("")
-        return F.concat(value, pad)
+    def build(z: Column) -> Column:
+        gaps, hits = z["gaps"], z["hits"]
+        last = lambda pieces: F.size(pieces) - F.array_position(F.reverse(F.transform(pieces, lambda x: x.rlike(BORDER))), True)
+        border = F.greatest(F.when(F.exists(gaps, lambda x: x.rlike(BORDER)), last(gaps)), F.when(F.exists(hits, lambda x: x.rlike(BORDER)), last(hits)), F.lit(-1))
+
+        def rewritten(y: Column) -> Column:
+            def piece(hit: Column, i: Column) -> Column:
+                value = F.element_at(values, hit)
+                pad = F.when(i < y["border"], F.repeat(F.lit(WIDE_SPACE), F.greatest(F.length(hit) - F.length(value), F.lit(0)))).otherwise("")
+                return F.concat(value, pad, F.get(y["gaps"], i + 1))
+
+            return F.concat(F.get(y["gaps"], F.lit(0)), F.array_join(F.transform(y["hits"], piece), ""))
+
+        return rx.let(F.struct(gaps.alias("gaps"), hits.alias("hits"), border.alias("border")), rewritten)
 
     pattern = rx.alternation(terms)
-    return _per_line(text, lambda line: rx.rewrite(line, pattern, body))
+
+    def changed(line: Column) -> Column:
+        both = F.struct(F.split(line, pattern, -1).alias("gaps"), F.regexp_extract_all(line, F.lit(pattern), F.lit(0)).alias("hits"))
+        return F.when(line.rlike(pattern), rx.let(both, build)).otherwise(line)
+
+    return _per_line(text, changed)
 
 
 def reverse(text: Column, originals: dict[str, str]) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linewright.functions import scalar
-from linewright.operators import extract, glossary, history, layout, lines, names, pages, search, translate
+from linewright.operators import extract, glossary, history, layout, lines, names, pages, search, terms, translate
 from linewright.sources import html
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -256,6 +256,24 @@ def q_apply_glossary(spark, sf_dir):
     return docs.select("doc_id", glossary.apply(F.col("text"), TERMS).alias("text"))
 
 
+_ORDERED = """o AS (SELECT o_orderkey AS doc_id, c_name, c_custkey % 2 = 0 AS known, c_mktsegment, o_orderkey % 3 AS k FROM orders JOIN customer ON o_custkey = c_custkey)"""
+
+
+@query(
+    f"""WITH {_ORDERED}, t AS (SELECT *, CASE WHEN known THEN c_mktsegment ELSE 'C:' || substring(c_name, 10) END AS v, CASE WHEN known THEN 18 - length(c_mktsegment) ELSE 7 END AS pad FROM o)
+SELECT doc_id, v || CASE k WHEN 0 THEN '' ELSE CASE WHEN known THEN repeat('　', pad) ELSE '' END END || CASE k WHEN 0 THEN ' no border' WHEN 1 THEN ' | ' ELSE '│' END || chr(10) || v AS text FROM t WHERE known
+UNION ALL SELECT doc_id, 'C:' || CASE k WHEN 0 THEN '' ELSE repeat('　', 7) END || substring(c_name, 10) || CASE k WHEN 0 THEN ' no border' WHEN 1 THEN ' | ' ELSE '│' END || chr(10) || v FROM t WHERE NOT known"""
+)
+def q_glossary_table(spark, sf_dir):
+    """The names of every second customer as a glossary, and the beginning that all names share, over a text for each order."""
+    customers, orders = table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders")
+    rows = orders.join(customers, F.col("o_custkey") == F.col("c_custkey"))
+    end = F.get(F.array(F.lit(" no border"), F.lit(" | "), F.lit("│")), (F.col("o_orderkey") % 3).cast("int"))
+    docs = rows.select(F.col("o_orderkey").alias("doc_id"), F.concat("c_name", end, F.lit("\n"), "c_name").alias("text"))
+    pairs = customers.filter("c_custkey % 2 = 0").select(F.col("c_name").alias("key"), F.col("c_mktsegment").alias("value"))
+    return terms.apply(docs, pairs.unionByName(spark.range(1).select(F.lit("Customer#").alias("key"), F.lit("C:").alias("value"))))
+
+
 @query(f"WITH {_apply_sql('documents')}, {_reverse_sql()}")
 def q_reverse_glossary(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
