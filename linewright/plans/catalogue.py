@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linewright.functions import scalar
-from linewright.operators import extract, glossary, history, layout, lines, names, pages, search, terms, translate
+from linewright.operators import edits, extract, glossary, history, layout, lines, names, pages, positions, search, terms, translate
 from linewright.sources import html
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -152,6 +152,18 @@ def q_asof_fragment(spark, sf_dir):
     return extract.next_fragment(extract.fragments(table(spark, sf_dir, "documents"), LATIN), 3)
 
 
+_PLACES = "SELECT o_orderkey AS position_id, o_orderkey % 1000 AS doc_id, (o_custkey % 12)::INT AS line_no FROM orders"
+
+
+@query(_TRACE + f", q AS ({_PLACES}) SELECT q.position_id, q.doc_id, q.line_no, y.frag_id, y.seq, y.line_no AS frag_line FROM q ASOF LEFT JOIN (SELECT * FROM x WHERE sub = 1) AS y ON q.doc_id = y.doc_id AND q.line_no <= y.line_no")
+def q_asof_positions(spark, sf_dir):
+    """For a place named by each order, the first fragment at or below it."""
+    found = extract.with_ids(extract.fragments(table(spark, sf_dir, "documents"), LATIN))
+    orders = table(spark, sf_dir, "orders")
+    places = orders.select(F.col("o_orderkey").alias("position_id"), (F.col("o_orderkey") % 1000).alias("doc_id"), (F.col("o_custkey") % 12).cast("int").alias("line_no"))
+    return positions.next_fragments(places, found)
+
+
 @query(_TRACE + " SELECT doc_id, seq, line_no, text, ntile(2) OVER (PARTITION BY doc_id ORDER BY seq)::INT AS half FROM f")
 def q_halves(spark, sf_dir):
     return lines.halves(extract.fragments(table(spark, sf_dir, "documents"), LATIN), ["seq"], ["doc_id"])
@@ -174,6 +186,33 @@ def q_restore_from(spark, sf_dir):
     return lines.restore_from(docs, docs.withColumn("doc_id", F.col("doc_id") - 1), 2)
 
 
+@query(
+    """WITH p AS (SELECT o_orderkey AS span_id, o_orderkey % 1000 AS doc_id, (o_custkey % 5)::INT AS first_line, (o_custkey % 7)::INT AS first_col, (o_custkey % 5 + o_orderkey % 4 - 1)::INT AS last_line, (o_orderkey % 11)::INT AS last_col FROM orders),
+j AS (SELECT p.*, text, string_split(text, chr(10)) AS s FROM p JOIN documents USING (doc_id)),
+c AS (SELECT *, least(first_line, len(s) - 1) AS a, least(last_line, len(s) - 1) AS b FROM j),
+o AS (SELECT *, list_sum(list_transform(s[1:a], lambda x: length(x) + 1)) AS before_a, list_sum(list_transform(s[1:b], lambda x: length(x) + 1)) AS before_b FROM c),
+f AS (SELECT *, coalesce(before_a, 0) + least(first_col, length(s[a + 1])) AS i, CASE WHEN b < 0 THEN 0 ELSE coalesce(before_b, 0) + least(last_col, length(s[b + 1])) END AS e FROM o)
+SELECT span_id, doc_id, first_line, first_col, last_line, last_col, substring(text, (i + 1)::BIGINT, greatest(e - i, 0)::BIGINT) AS text FROM f"""
+)
+def q_restore_spans(spark, sf_dir):
+    """For each order a span of a document's text, some beyond its end and some empty."""
+    orders = table(spark, sf_dir, "orders")
+    key, cust = F.col("o_orderkey"), F.col("o_custkey")
+    made = {"first_line": cust % 5, "first_col": cust % 7, "last_line": cust % 5 + key % 4 - 1, "last_col": key % 11}
+    places = orders.select(key.alias("span_id"), (key % 1000).alias("doc_id"), *(c.cast("int").alias(n) for n, c in made.items()))
+    return positions.spans(table(spark, sf_dir, "documents").select("doc_id", "text"), places)
+
+
+@query(
+    """WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS s, doc_id % 4 AS top FROM documents)
+SELECT doc_id, top, array_to_string(list_concat(list_transform(s[1:least(top, len(s))], lambda x: replace(x, 'e', 'E')), s[least(top, len(s)) + 1:]), chr(10)) AS text FROM d"""
+)
+def q_restore_tops(spark, sf_dir):
+    """Each document with capital Es above a line of its own, and as it was from there on."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return positions.restore_from(docs.withColumn("text", F.replace("text", F.lit("e"), F.lit("E"))), docs, docs.select("doc_id", (F.col("doc_id") % 4).alias("top")))
+
+
 @query("SELECT doc_id, substring(text, least(2, length(string_split(text, chr(10))[1])) + 1, greatest(length(array_to_string(string_split(text, chr(10))[1:2], chr(10))) - least(2, length(string_split(text, chr(10))[1])), 0)) AS text FROM documents")
 def q_restore_range(spark, sf_dir):
     """From the third character of the first line to the end of the second, taken from the original."""
@@ -308,6 +347,22 @@ def q_coverage(spark, sf_dir):
     return translate.coverage(found, found.filter(~F.col("text").rlike("[A-Z]")))
 
 
+@query(
+    """WITH r AS (SELECT doc_id, text AS t0, replace(text, 'the', 'der') AS t1, replace(replace(text, 'the', 'der'), 'and', 'und') AS t2 FROM documents),
+s AS (SELECT *, t1 <> t0 AS c1, t2 <> t1 AS c2 FROM r)
+SELECT doc_id, CASE WHEN c2 AND doc_id % 2 = 0 THEN CASE WHEN c1 THEN t0 ELSE t1 END WHEN c2 THEN t2 WHEN c1 THEN t0 ELSE t0 END AS text,
+  CASE WHEN NOT c1 THEN NULL WHEN c2 AND doc_id % 2 = 1 THEN 'later batch' ELSE 'undone' END AS outcome FROM s"""
+)
+def q_undo_batches(spark, sf_dir):
+    """Two batches; the second is undone for even documents, then the first for all that the second does not stand on."""
+    state = edits.begin(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    state = edits.replace(state, search.hits(state.docs, "the"), "der", 1)
+    state = edits.replace(state, search.hits(state.docs, "and"), "und", 2)
+    state = edits.undo(state, 2, state.docs.filter("doc_id % 2 = 0"))
+    state = edits.undo(state, 1)
+    return state.docs.join(state.report.select("doc_id", "outcome"), "doc_id", "left")
+
+
 @query(
     """SELECT doc_id, array_to_string(list_transform(string_split(text, chr(10)), lambda line, i:
   CASE WHEN i = 1 THEN replace(line, split_part(line, ' ', 1), reverse(split_part(line, ' ', 1))) ELSE line END), chr(10)) AS text
