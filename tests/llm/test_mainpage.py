@@ -108,9 +108,12 @@ def _layouts():
             if kind != "nav":
                 texts.append(text)
                 weights.append((kind, len(text)))
-        has = any(k == "article" for k, _ in weights)
-        spared = mainpage.OUTSIDE if has else 0
-        yield "".join(blocks), [mainpage.ARTICLE * n if k == "article" else 0 if k == "link" else max(0, n - spared) for k, n in weights], texts, has
+        regions = [n for k, n in weights if k == "article"]
+        near = lambda k, n: k == "article" and 4 * n >= max(regions)
+        inside = sum(n for k, n in weights if near(k, n))
+        outside = sum(n for k, n in weights if not near(k, n) and k != "link")
+        spared = 0 if not regions else mainpage.OUTSIDE if inside < outside else 1 << 30
+        yield "".join(blocks), [mainpage.ARTICLE * n if near(k, n) else 0 if k == "link" else max(0, n - spared) for k, n in weights], texts, bool(regions)
 
 
 def test_whole_pages_by_brute_force():
@@ -136,3 +139,41 @@ def test_operator(spark):
     rows = mainpage.extract(pages).collect()
     assert sorted(r["n_chars"] for r in rows) == [0, 0, len(" ".join(LONG.split()))]
     assert mainpage.extract(pages.limit(0)).count() == 0
+
+
+def test_words_of_an_article_are_no_marks():
+    """Class and id words that only sound like boilerplate, in an article and without one."""
+    body = " ".join(LONG.split())
+    links = "".join(f"<a href=x>link {i}</a> " for i in range(9))
+    held = f'<p class="share-price">{LONG}</p><h2 id="search">Search</h2><section id="related-work"><p>{LONG}</p></section><div class="form-of-government">{LONG}</div>'
+    for page in (f"<article>{held}</article>", f"<body><div>{held}</div></body>"):
+        assert mainpage.main_text(page) == f"{body} Search {body} {body}"
+    gone = f'<div class="share-this-story">{links}</div><ul class="related-posts"><li>{LONG}</li></ul><div id="comments-3">{LONG}</div><div class="js-share-buttons">x</div>'
+    assert mainpage.main_text(f"<article><p>{LONG}</p>{gone}<p>end</p></article>") == f"{body} end"
+
+
+def test_the_heaviest_region_is_the_article():
+    body = " ".join(LONG.split())
+    teaser = "<div><article><h2>Teaser</h2><p>Short words on something else.</p></article></div>"
+    assert mainpage.main_text(f"<main><article><p>{LONG}</p></article></main>{teaser}") == body
+    assert mainpage.main_text(f"{teaser * 3}<article><p>{LONG}</p></article>{teaser}") == body
+    assert mainpage.main_text(f"<main><p>{LONG}</p></main><article><p>{LONG}</p></article>") == body
+    assert mainpage.main_text(f"<article>{LONG}</article><div>{LONG}{LONG[:90]}</div><article><p>{LONG}</p></article>") == f"{body} {body} {LONG[:90].strip()} {body}"
+    assert mainpage.main_text(f"<article><p>{LONG}</p><p>{LONG}</p></article><p>{LONG}</p>") == f"{body} {body}"
+
+
+PAGES = {  # as sites of several kinds write them: (page, its text)
+    "forum": (f'<div id="page-body"><div class="navbar"><a href="/">Index</a></div><div class="post" id="p1"><h3><a href="#p1">Topic</a></h3><div class="content">{LONG}</div></div>'
+              f'<div class="post" id="p2"><div class="content">{LONG}</div></div><div id="page-footer">Powered</div></div>', f"{LONG} {LONG}"),
+    "wiki": (f'<div id="content" role="main"><h1 id="firstHeading">Form</h1><div id="bodyContent"><p>{LONG}</p><h2><span id="Search">Search</span></h2><p>{LONG}</p>'
+             '<div class="navbox" role="navigation"><a href=a>A</a><a href=b>B</a></div></div></div><div id="mw-navigation"><a href=c>Log in</a></div>', f"Form {LONG} Search {LONG}"),
+    "news": (f'<header>Paper</header><main><article itemprop="articleBody"><h1>Head</h1><p>{LONG}</p><aside>Read also</aside><p>Last.</p></article></main>'
+             f'<section class="more"><article><h3>Other</h3><p>News</p></article><article><h3>More</h3><p>News</p></article></section><footer>x</footer>', f"Head {LONG} Last."),
+    "blog": (f'<div class="site has-sidebar"><div class="entry"><h2>Title</h2><p>{LONG}</p><p>{LONG}</p><div class="sharing-buttons"><a href=x>Tweet</a></div></div>'
+             f'<div class="widget-area"><p>{LONG}</p></div><div class="comments-area"><p>{LONG}</p></div></div>', f"Title {LONG} {LONG}"),
+}
+
+
+def test_pages_as_sites_write_them():
+    for name, (page, text) in PAGES.items():
+        assert mainpage.main_text(page) == " ".join(text.split()), name
