@@ -48,7 +48,7 @@ ENOUGH = 6
 MAP_BITS = 1 << 28
 BITS_PER_WINDOW = 32
 SEGMENT_BITS = 1 << 19
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 SPREAD = 4096
 #: Units that may follow a number.
 UNITS = (
@@ -108,7 +108,7 @@ def templates(data: np.ndarray, offsets: np.ndarray, opening: bool = True) -> tu
     if not len(starts):
         none = np.empty(0, np.uint64)
         return none, none.copy(), np.empty(0, bool), first
-    total = lambda table: np.concatenate(([0], np.cumsum(table[data])))
+    total = lambda table: np.concatenate((np.zeros(1, np.int32), np.cumsum(table[data], dtype=np.int32)))
     digits, capitals, breaks = total(_DIGIT), total(_UPPER), total(_BREAK)
     # Capital Latin-1 letters are the bytes C3 80 - C3 9E but for the multiplication sign.
     accented = np.zeros(len(data), bool)
@@ -118,7 +118,7 @@ def templates(data: np.ndarray, offsets: np.ndarray, opening: bool = True) -> tu
     hashes = textkit.word_hashes(lowered, starts, ends)
     capital = capitals[starts + 1] > capitals[starts]
     capital |= accented[np.minimum(starts + 1, len(data) - 1)] & (ends - starts > 1)
-    above = np.concatenate(([0], np.cumsum(accented)))
+    above = np.concatenate((np.zeros(1, np.int32), np.cumsum(accented, dtype=np.int32)))
     n_capitals = capitals[ends] - capitals[starts] + above[ends] - above[starts]
     opens = np.ones(len(starts), bool)
     opens[1:] = breaks[starts[1:]] > breaks[ends[:-1]]
