@@ -8,14 +8,21 @@ from pyspark.sql import functions as F
 from linewright.functions import scalar
 
 
-def upsert(history: DataFrame, fresh: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """The newest entry of each key of both; of equally new ones a fresh one, then the greatest by its other columns."""
-    both = history.withColumn("_fresh", F.lit(0)).unionByName(fresh.withColumn("_fresh", F.lit(1)), allowMissingColumns=True)
-    rest = [c for c in both.columns if c not in keys and c != "_fresh"]
-    newest = both.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(order, "_fresh", F.to_json(F.struct(*rest)))).alias("_e"))
+def merge(parts: list[DataFrame], keys: list[str], order: list[str]) -> DataFrame:
+    """The newest entry of each key of all parts; of equally new ones that of the last part, then the greatest by its other columns."""
+    both = parts[0].withColumn("_part", F.lit(0))
+    for i, part in enumerate(parts[1:], 1):
+        both = both.unionByName(part.withColumn("_part", F.lit(i)), allowMissingColumns=True)
+    rest = [c for c in both.columns if c not in keys and c != "_part"]
+    newest = both.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*order, "_part", F.to_json(F.struct(*rest)))).alias("_e"))
     return newest.select(*keys, *[F.col(f"_e.{c}").alias(c) for c in rest])
 
 
+def upsert(history: DataFrame, fresh: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """As ``merge`` of a history and what is fresh."""
+    return merge([history, fresh], keys, [order])
+
+
 def newest(history: DataFrame, most: int, order: list[str], by: list[str] | None = None) -> DataFrame:
     """The newest entries, of all or of each group."""
     descending = [F.desc(c) for c in order]

@@ -71,7 +71,7 @@ def test_stream_equals_batch(spark, tmp_path):
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     sink = HistorySink(spark, str(tmp_path / "out"), ["user_id"], ["event_id"], most=3)
     sink.start(stream, str(tmp_path / "log")).awaitTermination(120)
-    last = spark.read.schema(schema).parquet(str(tmp_path / "out/batch=1"))
+    last = sink.latest(spark.createDataFrame([], schema).schema)
     expected = history.newest(history.upsert(spark.createDataFrame([], schema), spark.createDataFrame(rows, schema), ["user_id"], "event_id"), 3, ["event_id"])
     assert sorted(map(tuple, last.collect())) == sorted(map(tuple, expected.select(*last.columns).collect()))
 
@@ -83,13 +83,31 @@ def test_a_stream_without_its_checkpoint_goes_on(spark, tmp_path):
     for k, row in enumerate(rows):
         sink.write(spark.createDataFrame([row], schema), k)
     kept = {(1, 3, "c"), (2, 2, "b"), (3, 4, "d")}
-    assert sink.versions() == [2, 3] and set(map(tuple, sink.latest(schema).collect())) == kept
-    (tmp_path / "out/batch=4").mkdir()  # a version that was never finished
+    assert sink.tiers() == [(0, 3)] and set(map(tuple, sink.latest(schema).collect())) == kept
+    (tmp_path / "out/tier=4-4").mkdir()  # a tier that was never finished
     again = HistorySink(spark, str(tmp_path / "out"), ["user_id"], ["event_id"])
     again.write(spark.createDataFrame(rows[:1], schema), 0)
     again.write(spark.createDataFrame(rows[3:], schema), 1)
     again.write(spark.createDataFrame(rows[3:], schema), 1)
-    assert set(map(tuple, again.latest(schema).collect())) == kept and len(again.versions()) == 2
+    assert set(map(tuple, again.latest(schema).collect())) == kept and again.tiers() == [(0, 3), (4, 5), (6, 6)]
+
+
+def test_tiers_rewrite_little_and_cap_exactly(spark, tmp_path):
+    schema = "k long, ts long, tie long, v string"
+    rows = [((7 * i) % 13, i // 3, i % 3, f"v{i}") for i in range(66)]
+    sink = HistorySink(spark, str(tmp_path / "out"), ["k"], ["ts", "tie"], most=5)
+    oldest = None
+    for k in range(11):
+        sink.write(spark.createDataFrame(rows[6 * k : 6 * k + 6], schema), k)
+        best = {}
+        for row in rows[: 6 * k + 6]:
+            best[row[0]] = max(best.get(row[0], row), row, key=lambda r: (r[1], r[2]))
+        expected = set(sorted(best.values(), key=lambda r: (r[1], r[2], r[0]))[-5:])
+        assert set(map(tuple, sink.latest(schema).collect())) == expected
+        if k == 7:
+            oldest = {f.name for f in (tmp_path / "out/tier=0-7").iterdir()}
+    assert sink.tiers() == [(0, 7), (8, 9), (10, 10)]
+    assert {f.name for f in (tmp_path / "out/tier=0-7").iterdir()} == oldest
 
 
 def test_originals_of_equal_age(spark):
