@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from linewright.functions import scalar
 from linewright.operators import edits, extract, glossary, history, layout, lines, names, pages, positions, search, terms, translate
-from linewright.sources import html
+from linewright.sources import html, shared
+from linewright.sources.cache import PageCache
+from linewright.streaming.history import HistorySink
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -474,6 +476,32 @@ def q_history_upsert(spark, sf_dir):
     return history.upsert(rows.filter("event_id % 2 = 0"), rows.filter("event_id % 2 = 1"), ["user_id", "event_type"], "event_id")
 
 
+@query("SELECT user_id, event_type, ts, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n = 1")
+def q_history_batches(spark, sf_dir):
+    """What a stream keeps of the events that come in five batches."""
+    rows = table(spark, sf_dir, "events").select("user_id", "event_type", "ts", "event_id", "value")
+    sink = HistorySink(spark, shared.fresh(spark, "history"), ["user_id", "event_type"], ["ts", "event_id"])
+    for k in range(5):
+        sink.write(rows.filter(F.pmod("event_id", F.lit(5)) == k), k)
+    return sink.latest(rows.schema)
+
+
+@query(
+    """WITH k AS (SELECT url, max(html) AS first, max(html || '!') FILTER (page_id % 5 = 0) AS second FROM pages WHERE page_id % 3 <> 0 GROUP BY url),
+w AS (SELECT DISTINCT url FROM pages WHERE page_id % 7 <> 0)
+SELECT page_id, p.url, coalesce(second, first) AS html, first IS NOT NULL AS is_hit FROM pages AS p LEFT JOIN (SELECT * FROM k WHERE url IN (SELECT url FROM w)) AS k ON p.url = k.url"""
+)
+def q_page_cache(spark, sf_dir):
+    """Pages looked up in a cache that was filled, partly renewed, and cleared of what is not wanted any more."""
+    pages_ = table(spark, sf_dir, "pages")
+    cache = PageCache(spark, shared.fresh(spark, "pages"), buckets=16)
+    some = pages_.filter("page_id % 3 <> 0")
+    cache.put(some.select("url", "html"))
+    cache.put(some.filter("page_id % 5 = 0").select("url", F.concat("html", F.lit("!")).alias("html")))
+    cache.keep_only(pages_.filter("page_id % 7 <> 0"))
+    return cache.lookup(pages_.select("page_id", "url"))
+
+
 @query("SELECT event_id, user_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n <= 10")
 def q_history_topn(spark, sf_dir):
     rows = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "ts")

@@ -26,11 +26,18 @@ def store(spark: SparkSession, path: str):
     return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
 
 
-def written(frame: DataFrame, label: str) -> DataFrame:
-    """The frame as a table of its own, which goes when the driver ends."""
-    spark = frame.sparkSession
+def fresh(spark: SparkSession, label: str) -> str:
+    """A path of its own, which goes with all below it when the driver ends."""
     path = f"{folder(spark)}/{label}-{uuid.uuid4().hex}"
-    frame.write.parquet(path)
     files, place = store(spark, path)
+    files.mkdirs(place)
     files.deleteOnExit(place)
+    return path
+
+
+def written(frame: DataFrame, label: str) -> DataFrame:
+    """The frame as a table of its own, which goes when the driver ends."""
+    spark = frame.sparkSession
+    path = fresh(spark, label)
+    frame.write.mode("append").parquet(path)
     return spark.read.schema(frame.schema).parquet(path)
