@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linewright.functions import arrow, rx, scalar
+from linewright.sources import shared, sink
 
 # The page template and the spans that it lets through.
 KEPT_SPAN = "<span style=\"(?:color:[^\"]*|display:\\s*none;?\\s*)\">|</span>"
@@ -50,40 +51,43 @@ def escape_body(text: Column) -> Column:
     return rx.let(both, build)
 
 
-def page(text: Column, color: Column, head_html: Column | None = None) -> Column:
-    """A whole page around a text; a head of its own is kept."""
+def page(text: Column, color: Column, head_html: Column | None = None, family: str = "") -> Column:
+    """A whole page around a text; a head of its own is kept, unless a font family is to be embedded when it is written."""
+    rule, fonts = (f"        {sink.FONT_MARK}\n", f"'{family}', {FONTS}") if family else ("", FONTS)
     made = F.concat(
-        F.lit("<head>\n    <meta charset=\"UTF-8\">\n    <title>Translated</title>\n    <style>\n        body { background-color: "), color,
-        F.lit("; color: #000; padding: 20px; }\n        pre {\n            font-family: " + FONTS + ";\n            font-size: 16px;\n            line-height: 1.2;\n            white-space: pre;\n            word-wrap: normal;\n        }\n    </style>\n</head>"),
+        F.lit("<head>\n    <meta charset=\"UTF-8\">\n    <title>Translated</title>\n    <style>\n" + rule + "        body { background-color: "), color,
+        F.lit("; color: #000; padding: 20px; }\n        pre {\n            font-family: " + fonts + ";\n            font-size: 16px;\n            line-height: 1.2;\n            white-space: pre;\n            word-wrap: normal;\n        }\n    </style>\n</head>"),
     )
-    top = made if head_html is None else F.coalesce(head_html, made)
+    top = made if head_html is None or family else F.coalesce(head_html, made)
     return F.concat(F.lit("<!DOCTYPE html>\n<html lang=\"zh-TW\">\n"), top, F.lit("\n<body>\n<pre>"), escape_body(text), F.lit("</pre>\n</body>\n</html>"))
 
 
-def write_folder(pages: DataFrame, path: str) -> None:
-    """One file of its own name for each (file_name, value), in a folder that the executors share.
-
-    Names get the suffix .html where they lack it. A file appears whole under its name; of
-    rows that share one the greatest value stays, so tasks may run again.
-    """
-    named = pages.select(F.when(F.lower("file_name").endswith(".html"), F.col("file_name")).otherwise(F.concat("file_name", F.lit(".html"))).alias("file_name"), "value")
-    ordered = named.filter("value IS NOT NULL").repartition("file_name").sortWithinPartitions("file_name", "value")
+def _uri(spark: SparkSession, path: str) -> str:
+    """A path as a whole uri on Spark's default file system; local ones are refused on a cluster."""
+    store, place = shared.store(spark, path)
+    uri = store.makeQualified(place).toString()
+    if uri.startswith("file:"):
+        if not spark.sparkContext.getConf().get("spark.master", "").startswith("local"):
+            raise ValueError(f"executors do not share {uri}")
+        uri = "file://" + uri.removeprefix("file:").removeprefix("//")
+    return uri
 
-    def put(rows) -> None:
-        import os
-        import uuid
 
-        from pyarrow import fs
-
-        store, root = fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else os.path.abspath(path))
-        store.create_dir(root, recursive=True)
-        for row in rows:
-            fresh = f"{root}/.{uuid.uuid4().hex}"
-            with store.open_output_stream(fresh) as out:
-                out.write(row["value"].encode())
-            store.move(fresh, f"{root}/{row['file_name']}")
+def write_folder(pages: DataFrame, path: str, existing: str = "replace", font: str | None = None, family: str = "") -> None:
+    """One file of its own name for each (file_name, value), in a folder that the executors share.
 
-    ordered.foreachPartition(put)
+    Names get the suffix .html where they lack it; of rows that share one the greatest value
+    stays, and a null value is not written. All files appear when all tasks are done, none if
+    one fails. ``existing`` says what becomes of files already there: replace, keep or error.
+    A font file goes into pages that ``page`` made for its family.
+    """
+    spark = pages.sparkSession
+    spark.dataSource.register(sink.FolderSink)
+    name = F.when(F.lower("file_name").endswith(".html"), F.col("file_name")).otherwise(F.concat("file_name", F.lit(".html")))
+    rows = pages.filter("value IS NOT NULL AND file_name IS NOT NULL").select(name.alias("file_name"), "value")
+    ordered = rows.repartition("file_name").sortWithinPartitions("file_name", "value")
+    options = {"existing": existing, "family": family} | ({"font": _uri(spark, font)} if font else {})
+    ordered.write.format("linewright_folder").mode("append").options(**options).save(_uri(spark, path))
 
 
 def font_face(spark: SparkSession, path: str, family: str) -> DataFrame:
