@@ -330,7 +330,7 @@ def q_quick_replace(spark, sf_dir):
 
 def _translations(spark, sf_dir):
     """The fragments, and every fragment's upper case as its translation."""
-    found = extract.with_ids(extract.fragments(table(spark, sf_dir, "documents"), LATIN))
+    found = shared.written(extract.with_ids(extract.fragments(table(spark, sf_dir, "documents"), LATIN)), "fragments")  # read twice below
     return found, found.select("doc_id", "frag_id", F.col("seq").alias("pos"), F.upper("text").alias("text"))
 
 
@@ -379,6 +379,25 @@ def q_translate_apply(spark, sf_dir):
     return translate.apply(docs, found)
 
 
+@query(
+    _TRACE + """, w AS (SELECT doc_id, CASE WHEN seq > 0 THEN line_no END AS at, seq, text AS a, CASE WHEN seq % 2 = 1 THEN reverse(text) ELSE left(text, 2) END AS b FROM x),
+m AS (SELECT l.doc_id, l.line_no, l.line, list({'a': w.a, 'b': w.b} ORDER BY length(w.a) DESC, w.seq) FILTER (w.a IS NOT NULL) AS es
+  FROM l LEFT JOIN w ON w.doc_id = l.doc_id AND coalesce(w.at, l.line_no) = l.line_no GROUP BY ALL),
+n AS (SELECT doc_id, line_no, CASE WHEN es IS NULL THEN line ELSE list_reduce(es, lambda acc, x: {'a': array_to_string(list_transform(string_split(acc.a, x.a), lambda part, i:
+    CASE WHEN i = len(string_split(acc.a, x.a)) THEN part WHEN regexp_matches(list_reduce(string_split(acc.a, x.a)[i + 1:], lambda p, q: p || x.a || q), '[|│｜┃]')
+      THEN part || x.b || repeat('　', greatest(length(x.a) - length(x.b), 0)) ELSE part || x.b END), ''), 'b': ''}, {'a': line, 'b': ''}).a END AS line FROM m)
+SELECT d.doc_id, string_agg(n.line, chr(10) ORDER BY n.line_no) AS text FROM documents AS d LEFT JOIN n ON n.doc_id = d.doc_id GROUP BY d.doc_id"""
+)
+def q_translate_documents(spark, sf_dir):
+    """All fragments of all documents translated at once: turned round, or cut and padded; each document's first has an id without a line."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = extract.with_ids(extract.fragments(docs, LATIN))
+    found = found.withColumn("frag_id", F.when(F.col("seq") == 0, "000-1").otherwise(F.col("frag_id")))
+    found = shared.written(found, "fragments")  # read twice below
+    short = F.when(F.col("seq") % 2 == 1, F.reverse("text")).otherwise(F.left("text", F.lit(2)))
+    return translate.apply(docs, translate.pairs(found, found.select("doc_id", "frag_id", F.col("seq").alias("pos"), short.alias("text"))))
+
+
 @query("SELECT page_id, regexp_extract(html, '<title>([^<]+)</title>', 1) AS raw_title, md5(url) AS cache_key FROM pages")
 def q_page_title(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("html", "<title>([^<]+)</title>", 1).alias("raw_title"), F.md5("url").alias("cache_key"))
