@@ -11,8 +11,13 @@ later versions), and what follows ``with`` must be a known exception. Tags that
 prose may hold (package fields, ``@license``) count only where the expression is whole and
 all its names are known.
 
-Score: 1.0 for a tag with a well-formed expression; 0.9 for a base phrase; 0.7 for another
-phrase; 0.5 for an SPDX tag whose expression is broken (the names in it still count); else 0.
+A slash between names means or. ``LicenseRef-`` names, with or without their ``DocumentRef-``,
+are names of their own, known and not permissive. Of notice phrases that lie within a longer
+one only the longer counts (base phrases always do).
+
+Score: 1.0 for a tag with a well-formed expression of known names; 0.9 for a base phrase; 0.7
+for another phrase; 0.6 for an SPDX tag with a well-formed expression that has unknown names;
+0.5 for one whose expression is broken (the names in it still count); else 0.
 
 Cases: a null or empty text has no words and no labels. Repeated rows are reported alike.
 A null doc_id stays null. An empty table gives no rows. Columns other than doc_id and
@@ -41,20 +46,46 @@ PHRASES = (
     ("mit license", "mit"),
     ("permission is hereby granted free of charge", "mit"),
     ("apache license 2 0", "apache-2"),
-    ("gnu general public license version 2", "gpl-2"),
-    ("gnu general public license version 3", "gpl-3"),
+    *((f"gnu general public license {form}{v}", f"gpl-{v}") for form in ("version ", "v") for v in (2, 3)),
+    *((f"gnu general public license as published by the free software foundation {form}version {v}", f"gpl-{v}") for form in ("", "either ") for v in (2, 3)),
+    *((f"gnu gpl {form}{v}", f"gpl-{v}") for form in ("version ", "v") for v in (2, 3)),
+    ("gplv2", "gpl-2"),
+    ("gplv3", "gpl-3"),
     ("gnu lesser general public license", "lgpl"),
+    ("gnu lgpl", "lgpl"),
     ("gnu affero general public license", "agpl-3"),
+    ("gnu free documentation license", "gfdl"),
     ("mozilla public license version 2", "mpl-2"),
+    ("mozilla public license v 2 0", "mpl-2"),
+    ("eclipse public license version 1", "epl-1"),
+    ("eclipse public license version 2", "epl-2"),
+    ("eclipse public license v 1 0", "epl-1"),
+    ("eclipse public license v 2 0", "epl-2"),
+    ("european union public licence", "eupl"),
+    ("common development and distribution license", "cddl"),
+    ("open software license version", "osl"),
+    ("academic free license version", "afl"),
+    ("artistic license", "artistic"),
+    ("sil open font license", "ofl"),
+    ("boost software license version 1 0", "bsl-1.0"),
     ("redistribution and use in source and binary forms", "bsd"),
     ("bsd 3 clause", "bsd"),
     ("bsd 2 clause", "bsd"),
     ("isc license", "isc"),
+    ("permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "isc"),
+    ("this software is provided as is without any express or implied warranty", "zlib"),
+    ("this is free and unencumbered software released into the public domain", "unlicense"),
+    ("do what the fuck you want to public license", "wtfpl"),
     ("creative commons attribution", "cc-by"),
+    *((f"creative commons attribution {words}", f"cc-by-{kind}") for words, kind in (
+        ("sharealike", "sa"), ("share alike", "sa"), ("noderivatives", "nd"), ("noderivs", "nd"), ("noncommercial", "nc"), ("non commercial", "nc"),
+        ("noncommercial sharealike", "nc-sa"), ("non commercial share alike", "nc-sa"), ("noncommercial noderivatives", "nc-nd"), ("noncommercial noderivs", "nc-nd"),
+    )),
     ("cc by sa", "cc-by-sa"),
     ("cc0 1 0", "cc0"),
+    ("creative commons zero", "cc0"),
     ("all rights reserved", "proprietary"),
-)
+)
 #: Identifier tags as they stand before an expression; True where the tag is used for nothing else.
 TAGS = {
     "spdx-license-identifier:": True,
@@ -117,7 +148,9 @@ NAMES = SINGLE | {
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 #: Bytes of the text to bytes of the words: small letters, digits and non-ASCII stay, all else is a space.
 _WORDS = bytes(c if c >= 128 or 97 <= c <= 122 or 48 <= c <= 57 else 32 for c in _LOWER)
-_TOKEN = re.compile(r"[()]|[A-Za-z0-9.+-]+")
+#: A slash counts between names, not at the end of a comment or a tag.
+_TOKEN = re.compile(r"[()]|(?<![*/<])/(?=\s*[A-Za-z0-9(])|(?:(?i:documentref)-[A-Za-z0-9.-]+:)?[A-Za-z0-9.+-]+")
+_OWN = re.compile(r"(?:documentref-[a-z0-9.-]+:)?licenseref-[a-z0-9.-]+")
 _STOP = re.compile("[,;{}]")
 _SPACE = re.compile(" ")
 _RANK = {"or": 1, "and": 2, "with": 3}
@@ -143,6 +176,8 @@ def _automata():
 def known(name: str) -> tuple[str, bool] | None:
     """Label and permissive of a licence name, whatever its case; None if it is not in the table."""
     name = name.lower()
+    if _OWN.fullmatch(name):
+        return name, False
     return NAMES.get(name) or (NAMES.get(name[:-1]) if name.endswith("+") else None)
 
 
@@ -217,6 +252,7 @@ def expression(line: str) -> tuple[set[str], bool, bool, bool]:
     tokens: list[str] = []
     depth, operand = 0, False
     for token in _TOKEN.findall(_STOP.split(line, 1)[0]):
+        token = "or" if token == "/" else token
         kind = token.lower()
         if operand and (token == "(" or (kind not in _RANK and token != ")")):
             break
@@ -234,8 +270,8 @@ def expression(line: str) -> tuple[set[str], bool, bool, bool]:
     return (*found, True, whole)
 
 
-def tagged(text: str, lowered: str) -> list[tuple[set[str], bool, bool]]:
-    """Labels, permissive and well formed of the expressions behind tags, in the order of the text."""
+def tagged(text: str, lowered: str) -> list[tuple[set[str], bool, float]]:
+    """Labels, permissive and score of the expressions behind tags, in the order of the text."""
     out = []
     for last, (tag, only) in _automata()[1].iter(lowered):
         start = last - len(tag) + 1
@@ -244,7 +280,7 @@ def tagged(text: str, lowered: str) -> list[tuple[set[str], bool, bool]]:
         stop = text.find("\n", last + 1)
         labels, free, whole, all_known = expression(text[last + 1 : len(text) if stop < 0 else stop])
         if only or whole and all_known:
-            out.append((labels, free, whole))
+            out.append((labels, free, 0.5 if not whole else 1.0 if all_known else 0.6))
     return out
 
 
@@ -257,16 +293,22 @@ def scan_text(text: str | None) -> tuple:
     base: set[str] = set()
     labels: set[str] = set()
     score, permissive = 0.0, None
-    for end, (phrase, label, is_base) in _automata()[0].iter(joined):
+    # From left to right, the longer first: what ends no later than an earlier hit lies within one.
+    hits = sorted((end - len(phrase) - 1, -len(phrase), label, is_base) for end, (phrase, label, is_base) in _automata()[0].iter(joined))
+    reached = -1
+    for at, minus, label, is_base in hits:
+        if not is_base and at - minus <= reached:
+            continue
+        reached = max(reached, at - minus)
         labels.add(label)
         score = max(score, 0.9 if is_base else 0.7)
         if is_base:
             base.add(label)
-            places.append(end - len(phrase) - 1)
-    for named, free, whole in tagged(text or "", raw.translate(_LOWER).decode()):
+            places.append(at)
+    for named, free, weight in tagged(text or "", raw.translate(_LOWER).decode()):
         labels |= named
         permissive = free if permissive is None else permissive and free
-        score = max(score, 1.0 if whole else 0.5)
+        score = max(score, weight)
     first = last = None
     if places:  # the spaces before a place are the number of its first word
         first, last = (sum(1 for _ in _SPACE.finditer(joined, 0, at)) for at in (min(places), max(places)))

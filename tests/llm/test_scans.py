@@ -179,3 +179,21 @@ def test_redaction(spark, edge_docs, edge_rows):
     clean = secrets.redact(edge_docs)
     assert clean.columns == edge_docs.columns
     assert sorted(map(repr, clean.select("doc_id", "text").collect())) == sorted(map(repr, edge_docs.select("doc_id", "text").collect()))
+
+
+def test_licence_slashes_own_names_and_notices():
+    def seen(text):
+        found = licenses.scan_text(text)
+        return found[5], found[6]
+
+    assert seen("SPDX-License-Identifier: MIT/Apache-2.0") == ("apache-2,mit", 1.0)
+    assert seen("SPDX-License-Identifier: MIT / (ISC AND Zlib)") == ("isc,mit,zlib", 1.0)
+    assert seen("/* SPDX-License-Identifier: MIT */") == seen("<i>SPDX-License-Identifier: MIT</i>") == seen("# SPDX-License-Identifier: MIT // x") == ("mit", 1.0)
+    assert seen("SPDX-License-Identifier: MIT/") == ("mit", 1.0)
+    assert seen("SPDX-License-Identifier: DocumentRef-a:LicenseRef-b OR MIT") == ("documentref-a:licenseref-b,mit", 1.0)
+    assert seen("SPDX-License-Identifier: foo bar") == ("foo", 0.6) and seen("SPDX-License-Identifier: MIT AND") == ("mit", 0.5)
+    assert seen("terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License") == ("gpl-3", 0.7)
+    assert seen("GNU GPL v3") == ("gpl-3", 0.7) and seen("Boost Software License - Version 1.0 - August 17th, 2003") == ("bsl-1.0", 0.7)
+    assert seen("Creative Commons Attribution-ShareAlike 4.0")[0] == "cc-by-sa" and seen("Creative Commons Attribution 4.0")[0] == "cc-by"
+    assert seen("Creative Commons Attribution 4.0, not Creative Commons Attribution-NonCommercial")[0] == "cc-by,cc-by-nc"
+    assert licenses.scan_text("all under the MIT license")[1:6] == (1, 1, 1, "mit", "mit")
