@@ -56,8 +56,8 @@ def reverse_map(pairs: DataFrame) -> DataFrame:
     return pairs.filter("value <> ''").groupBy("value").agg(F.max_by("key", F.struct(F.length("key"), -F.col("pos"))).alias("key"))
 
 
-def merge(existing: DataFrame, current: DataFrame) -> DataFrame:
-    """Two glossaries of (pos, line) merged by key.
+def merge(existing: DataFrame, current: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Two glossaries of (pos, line) merged by key; those of each group on their own where ``by`` names columns.
 
     Existing order stays; a key of both takes its last current line; new keys, then new
     lines without an equals sign, follow in the order in which they first appear.
@@ -65,18 +65,18 @@ def merge(existing: DataFrame, current: DataFrame) -> DataFrame:
     at = F.instr("line", "=")
     key = F.when(at > 0, decode_term(F.substring(F.col("line"), F.lit(1), at - 1)))
     old, new = existing.withColumn("key", key), current.withColumn("key", key)
-    latest = new.filter("key IS NOT NULL").groupBy("key").agg(F.max_by("line", "pos").alias("_line"), F.min("pos").alias("_first"))
-    kept = old.join(latest, "key", "left").select(F.lit(0).alias("part"), "pos", F.coalesce("_line", "line").alias("line"))
-    added = latest.join(old, "key", "left_anti").select(F.lit(1).alias("part"), F.col("_first").alias("pos"), F.col("_line").alias("line"))
-    extra = new.filter("key IS NULL").groupBy("line").agg(F.min("pos").alias("pos"))
-    extra = extra.join(old.filter("key IS NULL"), "line", "left_anti").select(F.lit(2).alias("part"), "pos", "line")
+    latest = new.filter("key IS NOT NULL").groupBy(*by, "key").agg(F.max_by("line", "pos").alias("_line"), F.min("pos").alias("_first"))
+    kept = old.join(latest, [*by, "key"], "left").select(*by, F.lit(0).alias("part"), "pos", F.coalesce("_line", "line").alias("line"))
+    added = latest.join(old, [*by, "key"], "left_anti").select(*by, F.lit(1).alias("part"), F.col("_first").alias("pos"), F.col("_line").alias("line"))
+    extra = new.filter("key IS NULL").groupBy(*by, "line").agg(F.min("pos").alias("pos"))
+    extra = extra.join(old.filter("key IS NULL"), [*by, "line"], "left_anti").select(*by, F.lit(2).alias("part"), "pos", "line")
     return kept.unionByName(added).unionByName(extra)
 
 
-def merge_lines(existing: DataFrame, current: DataFrame) -> DataFrame:
+def merge_lines(existing: DataFrame, current: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Existing lines, then current ones that are new, each once."""
-    added = current.groupBy("line").agg(F.min("pos").alias("pos")).join(existing, "line", "left_anti")
-    return existing.select(F.lit(0).alias("part"), "pos", "line").unionByName(added.select(F.lit(1).alias("part"), "pos", "line"))
+    added = current.groupBy(*by, "line").agg(F.min("pos").alias("pos")).join(existing, [*by, "line"], "left_anti")
+    return existing.select(*by, F.lit(0).alias("part"), "pos", "line").unionByName(added.select(*by, F.lit(1).alias("part"), "pos", "line"))
 
 
 def _per_line(text: Column, change) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linewright.functions import arrow, rx, scalar
-from linewright.sources import shared, sink
+from linewright.sources import sink
 
 # The page template and the spans that it lets through.
 KEPT_SPAN = "<span style=\"(?:color:[^\"]*|display:\\s*none;?\\s*)\">|</span>"
@@ -62,17 +62,6 @@ def page(text: Column, color: Column, head_html: Column | None = None, family: s
     return F.concat(F.lit("<!DOCTYPE html>\n<html lang=\"zh-TW\">\n"), top, F.lit("\n<body>\n<pre>"), escape_body(text), F.lit("</pre>\n</body>\n</html>"))
 
 
-def _uri(spark: SparkSession, path: str) -> str:
-    """A path as a whole uri on Spark's default file system; local ones are refused on a cluster."""
-    store, place = shared.store(spark, path)
-    uri = store.makeQualified(place).toString()
-    if uri.startswith("file:"):
-        if not spark.sparkContext.getConf().get("spark.master", "").startswith("local"):
-            raise ValueError(f"executors do not share {uri}")
-        uri = "file://" + uri.removeprefix("file:").removeprefix("//")
-    return uri
-
-
 def write_folder(pages: DataFrame, path: str, existing: str = "replace", font: str | None = None, family: str = "") -> None:
     """One file of its own name for each (file_name, value), in a folder that the executors share.
 
@@ -82,12 +71,9 @@ def write_folder(pages: DataFrame, path: str, existing: str = "replace", font: s
     A font file goes into pages that ``page`` made for its family.
     """
     spark = pages.sparkSession
-    spark.dataSource.register(sink.FolderSink)
     name = F.when(F.lower("file_name").endswith(".html"), F.col("file_name")).otherwise(F.concat("file_name", F.lit(".html")))
     rows = pages.filter("value IS NOT NULL AND file_name IS NOT NULL").select(name.alias("file_name"), "value")
-    ordered = rows.repartition("file_name").sortWithinPartitions("file_name", "value")
-    options = {"existing": existing, "family": family} | ({"font": _uri(spark, font)} if font else {})
-    ordered.write.format("linewright_folder").mode("append").options(**options).save(_uri(spark, path))
+    sink.write(rows, path, existing=existing, family=family, **({"font": sink.uri(spark, font)} if font else {}))
 
 
 def font_face(spark: SparkSession, path: str, family: str) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from linewright.functions import rx
+from linewright.operators import glossary
 from linewright.operators.extract import BASE, INVALID, SYMBOL
 
 # The fields and their defaults.
@@ -82,3 +84,56 @@ def update_links(links: Column, url: Column, fresh: Column) -> Column:
     return F.map_concat(kept, F.map_from_arrays(F.array(url), F.array(fresh)))
 
 
+#: Where a session keeps what a settings file calls otherwise.
+SESSION_NAMES = {"filter_text": "filter_text", "glossary": "glossary_text", "glossary_temp": "glossary_text_temp"}
+
+
+def with_values(value: Column, fresh: Column) -> Column:
+    """A JSON object with a struct's fields put in; all else is kept as it is, unknown keys too. A broken one is empty."""
+    kind = "map<string,variant>"
+    put = F.from_json(F.to_json(fresh, {"ignoreNullFields": "false"}), kind)
+    kept = F.map_filter(F.coalesce(F.from_json(value, kind), F.from_json(F.lit("{}"), kind)), lambda k, v: ~F.array_contains(F.map_keys(put), k))
+    return F.to_json(F.map_concat(kept, put))
+
+
+def _lines(rows: DataFrame, text: str) -> DataFrame:
+    """(file_name, pos, line) of a text column; no line ends the text."""
+    whole = F.regexp_replace(text, "\\R\\z", "")
+    return rows.filter(F.col(text) != "").select("file_name", F.posexplode(F.split(whole, "\\R", -1)).alias("pos", "line"))
+
+
+def exported(files: DataFrame, session: DataFrame, merge: bool = True) -> DataFrame:
+    """(file_name, value): settings files with a session's state put in, keys of others kept.
+
+    ``files`` are (file_name, value) as they are, or none of that name; ``session`` has what
+    ``read_cache`` gives and the three patterns. With ``merge`` rules and glossaries of the
+    file stay, and those of the session are merged into them by line and by key.
+    """
+    state = session.select("file_name", *PATTERNS, *[rx.strip(F.col(mine)).alias(name) for name, mine in SESSION_NAMES.items()])
+    if merge:
+        old = files.select("file_name", F.from_json("value", "map<string,string>").alias("raw")).join(state.select("file_name"), "file_name", "left_semi")
+        for name in SESSION_NAMES:
+            known = old.select("file_name", F.coalesce(_value(name), F.lit("")).alias(name))
+            how = glossary.merge_lines if name == "filter_text" else glossary.merge
+            lines = how(_lines(known, name), _lines(state, name), ("file_name",))
+            text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "pos", "line"))), lambda x: x["line"]), "\n")
+            state = state.drop(name).join(lines.groupBy("file_name").agg(text.alias(name)), "file_name", "left")
+    joined = state.join(files, "file_name", "left")
+    fields = [F.coalesce(name, F.lit("")).alias(name) for name in SETTINGS]
+    return joined.select("file_name", with_values(F.col("value"), F.struct(*fields)).alias("value"))
+
+
+def imported(session: DataFrame, files: DataFrame) -> DataFrame:
+    """A session's rows with the texts and patterns of their settings files (``read_settings``); those without one stay."""
+    theirs = files.select("file_name", F.struct(*SETTINGS).alias("_s"))
+    joined = session.join(theirs, "file_name", "left")
+    known = {mine: F.coalesce(F.col(f"_s.{name}"), F.col(mine)) for name, mine in SESSION_NAMES.items()}
+    patterns = {p: F.coalesce(F.col(f"_s.{p}"), F.col(p) if p in session.columns else F.lit(SETTINGS[p])) for p in PATTERNS}
+    return joined.withColumns(known | patterns).drop("_s")
+
+
+def saved_cache(files: DataFrame, session: DataFrame) -> DataFrame:
+    """(file_name, value): session files of ``read_cache`` rows, migrated fields written back, unknown keys kept."""
+    fields = [*CACHE_TEXT, *CACHE_NUMBER, "original_cache_limit", *CACHE_FLAG, "url_related_links", "url_history", "work_history"]
+    joined = session.select("file_name", *fields).join(files, "file_name", "left")
+    return joined.select("file_name", with_values(F.col("value"), F.struct(*fields)).alias("value"))

@@ -16,8 +16,11 @@ import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 
+from linewright.sources import shared
+
 EXISTING = ("replace", "keep", "error")
 #: Stands in a page's style where the font goes; the quotes keep it out of any escaped text.
 FONT_MARK = '/*"font"*/'
@@ -116,3 +119,21 @@ class FolderSink(DataSource):
 
     def writer(self, schema, overwrite: bool) -> FolderWriter:
         return FolderWriter(self.options)
+
+
+def uri(spark: SparkSession, path: str) -> str:
+    """A path as a whole uri on Spark's default file system; local ones are refused on a cluster."""
+    store, place = shared.store(spark, path)
+    whole = store.makeQualified(place).toString()
+    if whole.startswith("file:"):
+        if not spark.sparkContext.getConf().get("spark.master", "").startswith("local"):
+            raise ValueError(f"executors do not share {whole}")
+        whole = "file://" + whole.removeprefix("file:").removeprefix("//")
+    return whole
+
+
+def write(rows: DataFrame, path: str, **options: str) -> None:
+    """Write (file_name, value); of rows that share a name the greatest value stays."""
+    rows.sparkSession.dataSource.register(FolderSink)
+    ordered = rows.repartition("file_name").sortWithinPartitions("file_name", "value")
+    ordered.write.format(FolderSink.name()).mode("append").options(**options).save(uri(rows.sparkSession, path))
