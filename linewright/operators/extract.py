@@ -68,6 +68,16 @@ def tidy(text: Column) -> Column:
     return rx.strip(F.rtrim(text, F.lit("|｜(（")))
 
 
+def symbols(text: Column, symbol: str = SYMBOL) -> Column:
+    """How many characters of drawings a text has."""
+    return F.regexp_count(text, F.lit(symbol))
+
+
+def is_dense(text: Column, symbol: str = SYMBOL) -> Column:
+    """Whether more than half of a text is drawing."""
+    return symbols(text, symbol) > F.length(text) * 0.5
+
+
 def trace(docs: DataFrame, config: Config = Config()) -> DataFrame:
     """(doc_id, line_no, chunk_no, match_no, text, reason) for every candidate; reason is null where it is kept."""
     c = config.checked()
@@ -81,7 +91,7 @@ def trace(docs: DataFrame, config: Config = Config()) -> DataFrame:
     chunks = F.split(F.regexp_replace("line", DICE, "$1：$2"), "[ 　]{2,}", -1)
     rows = rows.select("doc_id", "line_no", "line", "_line_reason", F.posexplode(F.when(F.col("_line_reason").isNull(), chunks).otherwise(F.array("line"))).alias("chunk_no", "chunk"))
     rows = rows.filter(F.col("_line_reason").isNotNull() | ~rx.is_blank(F.col("chunk")))
-    dense = F.regexp_count("chunk", F.lit(c.symbol)) > F.length("chunk") * 0.5
+    dense = is_dense(F.col("chunk"), c.symbol)
     rows = rows.withColumn("_reason", F.coalesce("_line_reason", F.when(dense, "symbols")))
 
     group = 1 if rx.groups(c.base) else 0

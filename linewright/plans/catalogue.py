@@ -107,8 +107,9 @@ def q_replace_undo(spark, sf_dir):
   (length(line) - length(regexp_replace(line, '[#*$%&|<>!?.,]', '', 'g'))) > length(line) * 0.5 AS is_dense FROM l"""
 )
 def q_symbol_density(spark, sf_dir):
-    n = F.regexp_count("line", F.lit(LATIN.symbol))
-    return lines.to_lines(table(spark, sf_dir, "documents")).select("doc_id", "line_no", n.alias("n_symbols"), (n > F.length("line") * 0.5).alias("is_dense"))
+    line = F.col("line")
+    counted = (extract.symbols(line, LATIN.symbol).alias("n_symbols"), extract.is_dense(line, LATIN.symbol).alias("is_dense"))
+    return lines.to_lines(table(spark, sf_dir, "documents")).select("doc_id", "line_no", *counted)
 
 
 _TRACE = f"""WITH {_LINES},
