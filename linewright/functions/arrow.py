@@ -3,19 +3,13 @@
 from __future__ import annotations
 
 import html
-import re
 from urllib.parse import urljoin as _join
 
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-# Pairs of brackets, opening and closing.
-PAIRS = (("【", "】"), ("「", "」"), ("“", "”"), ("‘", "’"), ("『", "』"), ("（", "）"), ("(", ")"))
-_CLOSER = dict(PAIRS)
-_OPENER = {b: a for a, b in PAIRS}
 _CHARSETS = ("utf-8", "cp932", "euc-jp", "shift_jis")
-_SPAN = re.compile(r"<span\s+style=\"color:[^\"]*\">|</span>")
 
 
 def _text_udf(function):
@@ -49,64 +43,3 @@ def decode_bytes(raw: pd.Series) -> pd.Series:
         return data.decode("utf-8", "replace")
 
     return raw.map(decode)
-
-
-def with_brackets(text: str, line: str) -> str:
-    """A fragment widened over brackets that stand next to it in its line.
-
-    Brackets open in the fragment take their closer from the right, closers without an
-    opener take it from the left; then a bracket that just precedes or follows is added.
-    """
-    at = line.find(text)
-    if at < 0:
-        return text
-    open_ones: list[str] = []
-    for char in text:
-        if char in _CLOSER:
-            open_ones.append(char)
-        elif char in _OPENER:
-            if open_ones and open_ones[-1] == _OPENER[char]:
-                open_ones.pop()
-            else:
-                open_ones.append(char)
-    start, end = at, at + len(text)
-    for char in open_ones:
-        if char in _OPENER:
-            if start > 0 and line[start - 1] == _OPENER[char]:
-                start -= 1
-        elif line[end : end + 1] == _CLOSER[char]:
-            end += 1
-    if start > 0 and line[start - 1] in _CLOSER and line[start] != line[start - 1]:
-        start -= 1
-    if line[end : end + 1] in _OPENER and line[end - 1] != line[end]:
-        end += 1
-    return line[start:end]
-
-
-@_text_udf
-def complete_brackets(text: pd.Series, line: pd.Series) -> pd.Series:
-    return pd.Series([None if t is None or s is None else with_brackets(t, s) for t, s in zip(text, line)])
-
-
-@_text_udf
-def drop_unmatched_spans(text: pd.Series) -> pd.Series:
-    """Colour spans without a partner go."""
-
-    def clean(value: str | None) -> str | None:
-        if value is None:
-            return None
-        waiting, lost = [], []
-        for tag in _SPAN.finditer(value):
-            if tag[0] != "</span>":
-                waiting.append(tag.span())
-            elif waiting:
-                waiting.pop()
-            else:
-                lost.append(tag.span())
-        kept, at = [], 0
-        for start, end in sorted(lost + waiting):
-            kept.append(value[at:start])
-            at = end
-        return "".join([*kept, value[at:]])
-
-    return text.map(clean)

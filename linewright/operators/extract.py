@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from linewright.functions import arrow, rx
+from linewright.functions import nesting, rx
 from linewright.operators import lines as L
 
 # The default patterns.
@@ -109,7 +109,7 @@ def trace(docs: DataFrame, config: Config = Config()) -> DataFrame:
         .when(named, "author")
     )
     rows = rows.withColumn("reason", reason)
-    whole = arrow.complete_brackets("_tidy", "line") if c.brackets else F.col("_tidy")
+    whole = nesting.complete_brackets(F.col("_tidy"), F.col("line")) if c.brackets else F.col("_tidy")
     rows = rows.withColumn("text", F.when(F.col("_reason").isNull(), whole).otherwise(F.col("_raw")))
     filtered = F.when(F.col("reason").isNull() & rx.any_match(F.col("text"), c.filters), "filter")
     # A filter on these columns would be pushed below as copies of all that they are made of; it stays above a generator.
@@ -118,8 +118,13 @@ def trace(docs: DataFrame, config: Config = Config()) -> DataFrame:
 
 
 def fragments(docs: DataFrame, config: Config = Config()) -> DataFrame:
-    """(doc_id, seq, line_no, text) of what is kept, in order, duplicates included."""
-    kept = trace(docs, config).filter("reason IS NULL AND text <> ''")
+    """(doc_id, seq, line_no, text) of what is kept, in order, duplicates included.
+
+    Numbering needs a document's fragments together, so whole texts are dealt by doc_id
+    before they are taken apart: the only shuffle, of fewer bytes than that of fragments,
+    and the patterns' work is spread even where few files hold the texts.
+    """
+    kept = trace(docs.select("doc_id", "text").repartition("doc_id"), config).filter("reason IS NULL AND text <> ''")
     order = Window.partitionBy("doc_id").orderBy("line_no", "chunk_no", "match_no")
     return kept.select("doc_id", (F.row_number().over(order) - 1).cast("long").alias("seq"), "line_no", "text")
 

@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from linewright.functions import arrow, rx, scalar
+from linewright.functions import arrow, nesting, rx, scalar
 
 LINK = "(?s)<a\\s[^>]*?href=\"([^\"]+)\"[^>]*>(.*?)</a>"
 BREAK = "<br\\s*/?>"
@@ -199,8 +199,10 @@ def posts(pages: DataFrame, body: Column, author: str = "", author_only: bool =
     rows = rows.withColumn("is_author", scalar.is_author_post(F.col("header"), named))
     if author_only:
         rows = rows.filter((named == "") | F.col("is_author"))
-    plain = rows.withColumn("_plain", scalar.strip_tags(F.col("dd"))).withColumn("_colored", arrow.drop_unmatched_spans(scalar.strip_tags_keep_color(F.col("dd"))))
-    body_text = arrow.unescape_html(F.when(F.col("is_author"), F.col("_colored")).otherwise(F.col("_plain")))
+    colored = rx.let(scalar.strip_tags_keep_color(F.col("dd")), nesting.drop_unmatched_spans)
+    # A generator keeps the body apart from the function that decodes it.
+    plain = rows.select("*", F.explode(F.array(F.when(F.col("is_author"), colored).otherwise(scalar.strip_tags(F.col("dd"))))).alias("_body"))
+    body_text = arrow.unescape_html("_body")
     trimmed = F.regexp_replace(body_text, "(?U)(?:(?:^|\\n)[\\s&&[^\\n]]*)+\\z", "")
     done = plain.withColumn("_text", trimmed).filter(~rx.is_blank(F.col("_text")))
     return done.select(*keys, "post_no", "header", "poster", "is_author", F.concat_ws("\n", "header", "_text").alias("text"))

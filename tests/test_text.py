@@ -6,7 +6,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from linewright.functions import arrow, rx, scalar
+from linewright.functions import nesting, rx, scalar
 from linewright.operators import extract, glossary, lines, search, translate
 from linewright.sources import html
 
@@ -134,10 +134,54 @@ def test_strip_is_unicode_aware(spark):
         assert one(spark, rx.strip, text) == text.strip()
 
 
-def test_brackets_by_hand():
-    assert arrow.with_brackets("何してんの？", "（何してんの？　何してんの？）") == "（何してんの？"
-    assert arrow.with_brackets("それは本当か？」と", "「それは本当か？」と") == "「それは本当か？」と"
-    assert arrow.with_brackets("zz", "abc") == "zz"
+def _completed(text, line):
+    at, pairs = line.find(text), dict(zip(nesting.OPENING, nesting.CLOSING))
+    if at < 0 or not text:
+        return text
+    left = "".join(c for c in text if c in nesting.OPENING + nesting.CLOSING)
+    while (shorter := re.sub("|".join(re.escape(a + b) for a, b in pairs.items()), "", left)) != left:
+        left = shorter
+    i, j = at, at + len(text)
+    for c in left:
+        if c in pairs:
+            j += line[j : j + 1] == pairs[c]
+        else:
+            i -= i > 0 and pairs.get(line[i - 1]) == c
+    i -= i > 0 and line[i - 1] in pairs and line[i] != line[i - 1]
+    j += j < len(line) and line[j] in pairs.values() and line[j - 1] != line[j]
+    return line[i:j]
+
+
+def test_brackets(spark):
+    random.seed(3)
+    lines_ = ["".join(random.choice("ab（）「」()😀") for _ in range(random.randint(1, 14))) for _ in range(400)]
+    cut = [(t[i : i + random.randint(1, 8)], t) for t in lines_ for i in [random.randrange(len(t))]]
+    cut += [("何してんの？", "（何してんの？　何してんの？）"), ("それは本当か？」と", "「それは本当か？」と"), ("zz", "abc"), ("", "（x"), ("（" * 300, "（" * 300 + "）" * 300)]
+    rows = spark.createDataFrame([(k, *c) for k, c in enumerate(cut)] + [(9999, None, "x")], "k int, t string, line string")
+    got = [r["r"] for r in rows.select("k", nesting.complete_brackets(F.col("t"), F.col("line")).alias("r")).orderBy("k").collect()]
+    assert got == [_completed(*c) for c in cut] + [None]
+    assert got[400:403] == ["（何してんの？", "「それは本当か？」と", "zz"]
+
+
+def test_spans_without_a_partner(spark):
+    random.seed(4)
+    opened, closed = "<span style=\"color:red\">", "</span>"
+    texts = [[random.choice((opened, closed, "x")) for _ in range(random.randint(0, 12))] for _ in range(300)] + [[closed, opened] * 400, [opened] * 700 + [closed] * 500]
+
+    def plain(parts):
+        waiting, out = [], list(parts)
+        for i, part in enumerate(parts):
+            if part == opened:
+                waiting.append(i)
+            elif part == closed and waiting:
+                waiting.pop()
+            elif part == closed:
+                out[i] = ""
+        return "".join("" if i in set(waiting) else p for i, p in enumerate(out))
+
+    rows = spark.createDataFrame([(i, "".join(t)) for i, t in enumerate(texts)] + [(9999, None)], "i int, t string")
+    got = [r["r"] for r in rows.select("i", rx.let(F.col("t"), nesting.drop_unmatched_spans).alias("r")).orderBy("i").collect()]
+    assert got == [plain(t) for t in texts] + [None]
 
 
 def test_lines(spark):
