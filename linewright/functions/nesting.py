@@ -65,11 +65,16 @@ def complete_brackets(text: Column, line: Column) -> Column:
         end = span["end"] + F.when(_closes(behind) & (behind != _at(line, span["end"] - 1)), 1).otherwise(0)
         return F.substring(line, start + 1, end - start)
 
-    at = F.instr(line, text) - 1
-    first = F.struct(at.alias("start"), (at + F.length(text)).alias("end")).cast(grown)
-    left = unpaired(text)
-    chars = F.when(left != "", F.split(left, "")).otherwise(F.array().cast("array<string>"))
-    return F.when((text != "") & (F.instr(line, text) > 0), F.aggregate(chars, first, grow, cut)).otherwise(text)
+    def widened(z: Column) -> Column:
+        chars = F.when(z["left"] != "", F.split(z["left"], "")).otherwise(F.array().cast("array<string>"))
+        first = F.struct((z["at"] - 1).alias("start"), (z["at"] - 1 + F.length(z["text"])).alias("end")).cast(grown)
+        return F.when((z["text"] != "") & (z["at"] > 0), F.aggregate(chars, first, grow, cut)).otherwise(z["text"])
+
+    def placed(text: Column) -> Column:
+        left = F.when(text.rlike(f"[{OPENING}{CLOSING}]"), unpaired(text)).otherwise("")
+        return rx.let(F.struct(text.alias("text"), F.instr(line, text).alias("at"), left.alias("left")), widened)
+
+    return rx.let(text, placed)
 
 
 def drop_unmatched_spans(text: Column) -> Column:

@@ -135,6 +135,52 @@ def q_extract_reasons(spark, sf_dir):
     return extract.trace(table(spark, sf_dir, "documents"), LATIN)
 
 
+_MARKED = """
+SELECT doc_id, CASE WHEN text IS NULL THEN NULL ELSE CASE WHEN doc_id % 2 = 0 THEN 'Report' || chr(10) || ' ' || 'Report' || chr(10) ELSE '' END || replace(replace(replace(replace(replace(text,
+  ' the ', ' （'), ' and ', '） '), ' der ', ' ('), ' que ', '2)  '), ' of ', ' 【1D10:7】') || chr(10) || 'alphaNine99 !alphaNine99' END AS text FROM documents"""
+
+_INVALID = extract.INVALID.replace("'", "''")
+_DEFAULT = f"""WITH docs AS ({_MARKED}),
+l AS (SELECT doc_id, i::INT AS line_no, s[i] AS line, s FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM docs), unnest(range(1, len(s) + 1)) AS r(i)),
+k AS (SELECT doc_id, line_no, line, CASE WHEN line_no = list_position(list_transform(s, lambda y: trim(y, ' ' || chr(9) || chr(13)) <> ''), TRUE) AND trim(line, ' ' || chr(9) || chr(13)) = 'Report' THEN 'title'
+  WHEN regexp_matches(line, 'ID:[A-Za-z0-9+/.]{{6,}}') THEN 'poster line' END AS r FROM l),
+c AS (SELECT doc_id, line_no, line, r, (i - 1)::INT AS chunk_no, s[i] AS chunk
+  FROM (SELECT *, CASE WHEN r IS NOT NULL THEN [line] ELSE string_split_regex(regexp_replace(line, '(【\\d+D\\d+):(\\d+】)', '\\1：\\2', 'g'), '[ 　]{{2,}}') END AS s FROM k),
+    unnest(range(1, len(s) + 1)) AS u(i)),
+d AS (SELECT *, coalesce(r, CASE WHEN length(chunk) - length(regexp_replace(chunk, '{extract.SYMBOL}', '', 'g')) > length(chunk) * 0.5 THEN 'symbols' END) AS reason0
+  FROM c WHERE r IS NOT NULL OR trim(chunk, ' ' || chr(9) || chr(13)) <> ''),
+e AS (SELECT doc_id, line_no, line, chunk_no, (j - 1)::INT AS match_no, a[j] AS raw, reason0
+  FROM (SELECT *, CASE WHEN reason0 IS NULL THEN regexp_extract_all(chunk, '{extract.BASE.replace("'", "''")}', 1) ELSE [chunk] END AS a FROM d), unnest(range(1, len(a) + 1)) AS v(j)),
+p AS (SELECT *, regexp_replace(raw, '(【\\d+D\\d+)：(\\d+】)', '\\1:\\2', 'g') AS plain FROM e),
+q AS (SELECT *, rtrim(regexp_replace(regexp_replace(plain, '^[^\\x{{3040}}-\\x{{309F}}\\x{{30A0}}-\\x{{30FF}}\\x{{4E00}}-\\x{{9FFF}}a-zA-ZＡ-Ｚａ-ｚ0-9０-９]+', ''), '^[0-9０-９]+[.．]', ''), '|｜(（') AS tidy FROM p),
+b AS (SELECT *, list_reduce(list_prepend('', regexp_extract_all(tidy, '[【】「」“”‘’『』（）()]')), lambda acc, ch:
+    CASE WHEN acc <> '' AND right(acc, 1) || ch IN ('【】', '「」', '“”', '‘’', '『』', '（）', '()') THEN left(acc, length(acc) - 1) ELSE acc || ch END) AS left_over,
+  instr(line, tidy) AS at0 FROM q),
+g1 AS (SELECT *, list_reduce(list_prepend([at0, at0 + length(tidy)]::BIGINT[], list_transform(string_split(left_over, ''), lambda ch: [unicode(ch)]::BIGINT[])), lambda acc, ch: [
+    acc[1] - CASE WHEN substring(line, acc[1] - 1, 1) || chr(ch[1]::INT) IN ('【】', '「」', '“”', '‘’', '『』', '（）', '()') AND acc[1] > 1 THEN 1 ELSE 0 END,
+    acc[2] + CASE WHEN chr(ch[1]::INT) || substring(line, acc[2], 1) IN ('【】', '「」', '“”', '‘’', '『』', '（）', '()') THEN 1 ELSE 0 END]) AS span
+  FROM b WHERE at0 > 0 AND tidy <> '' AND left_over <> ''
+  UNION ALL BY NAME SELECT *, [at0, at0 + length(tidy)]::BIGINT[] AS span FROM b WHERE at0 > 0 AND tidy <> '' AND left_over = ''),
+g2 AS (SELECT *, span[1] - CASE WHEN span[1] > 1 AND substring(line, span[1] - 1, 1) IN ('【', '「', '“', '‘', '『', '（', '(') AND substring(line, span[1] - 1, 1) <> substring(line, span[1], 1) THEN 1 ELSE 0 END AS s1,
+  span[2] + CASE WHEN substring(line, span[2], 1) IN ('】', '」', '”', '’', '』', '）', ')') AND substring(line, span[2], 1) <> substring(line, span[2] - 1, 1) THEN 1 ELSE 0 END AS s2 FROM g1),
+w AS (SELECT *, substring(line, s1, s2 - s1) AS whole FROM g2 UNION ALL BY NAME SELECT *, tidy AS whole FROM b WHERE at0 <= 0 OR tidy = '')
+SELECT doc_id, line_no, chunk_no, match_no, CASE WHEN reason0 IS NULL THEN whole ELSE raw END AS text,
+  CASE WHEN reason0 IS NOT NULL THEN reason0 WHEN length(raw) < 3 THEN 'short' WHEN regexp_matches(plain, '^(?:{_INVALID})') THEN 'invalid' WHEN length(tidy) <= 2 THEN 'short after tidying'
+    WHEN tidy IN ('!alphaNine99!', 'alphaNine99') THEN 'author' WHEN regexp_matches(whole, '^（[A-M]') THEN 'filter' END AS reason FROM w"""
+
+
+@query(_DEFAULT)
+def q_extract_default(spark, sf_dir):
+    """Candidates by the default patterns with title, author and brackets, on texts whose frequent words became marks."""
+    docs = table(spark, sf_dir, "documents")
+    head = F.when(F.col("doc_id") % 2 == 0, "Report\n Report\n").otherwise("")
+    text = F.col("text")
+    for word, mark in ((" the ", " （"), (" and ", "） "), (" der ", " ("), (" que ", "2)  "), (" of ", " 【1D10:7】")):
+        text = F.replace(text, F.lit(word), F.lit(mark))
+    docs = docs.select("doc_id", F.concat(head, text, F.lit("\nalphaNine99 !alphaNine99")).alias("text"))
+    return extract.trace(docs, extract.Config(filters=("^（[A-M]",), skip_title="Report", author="!alphaNine99!"))
+
+
 @query(_TRACE + " SELECT * FROM f")
 def q_extract_fragments(spark, sf_dir):
     return extract.fragments(table(spark, sf_dir, "documents"), LATIN)
