@@ -95,9 +95,11 @@ def drop_unmatched_spans(text: Column) -> Column:
 
     def build(z: Column) -> Column:
         steps = F.transform(z["tags"], lambda tag: F.when(tag == "</span>", -1).otherwise(1))
-        gone = F.zip_with(lost(steps), F.reverse(lost(F.transform(F.reverse(steps), lambda x: -x))), lambda a, b: a | b)
+        back = F.reverse(F.transform(steps, lambda x: -x))
+        gone = F.zip_with(lost(steps), F.reverse(lost(back)), lambda a, b: a | b)
         kept = F.zip_with(z["tags"], gone, lambda tag, out: F.when(out, "").otherwise(tag))
-        return F.array_join(F.transform(z["gaps"], lambda gap, i: F.concat(gap, F.coalesce(F.get(kept, i), F.lit("")))), "")
+        tail = F.zip_with(kept, F.slice(z["gaps"], F.lit(2), F.size(z["gaps"])), lambda tag, gap: F.concat(tag, gap))
+        return F.concat(F.get(z["gaps"], F.lit(0)), F.array_join(tail, ""))
 
     parts = F.struct(F.split(text, SPAN, -1).alias("gaps"), F.regexp_extract_all(text, F.lit(SPAN), F.lit(0)).alias("tags"))
     return F.when(text.rlike(SPAN), rx.let(parts, build)).otherwise(text)
