@@ -4,7 +4,7 @@ Shouts, slashed frames and box-drawing frames claim lines in this order; normal
 overlines and underlines with rounded corners, stand on what is left and may enclose them.
 
 Widths come from an additive measure; by default an ASCII character is one wide and any
-other two, and a map of exceptions can be given.
+other two; a map of exceptions can be given, or a column with the widths of a font.
 """
 
 from __future__ import annotations
@@ -37,8 +37,15 @@ LINE_ENDS = "\r\n 　"
 CORNER = 4
 
 
-def width(text: Column, special: dict[str, int] | None = None) -> Column:
-    """The sum of the characters' widths."""
+Widths = dict[str, int] | Column | None
+
+
+def width(text: Column, special: Widths = None) -> Column:
+    """The sum of the characters' widths: by exceptions, or by a column of a font's widths (``sources.fonts``)."""
+    if isinstance(special, Column):
+        found = lambda code: F.get(F.get(special["pages"], F.shiftright(code, 8)), code.bitwiseAND(255))
+        own = lambda char: F.when(char == "", 0).otherwise(F.coalesce(found(F.ascii(char)), special["missing"]))
+        return F.aggregate(F.split(text, ""), F.lit(0), lambda total, char: total + own(char))
     total = 2 * F.length(text) - F.length(F.regexp_replace(text, "[^\\x00-\\x7F]+", ""))
     for char, own in (special or {}).items():
         usual = 1 if ord(char) < 128 else 2
@@ -46,6 +53,11 @@ def width(text: Column, special: dict[str, int] | None = None) -> Column:
     return total
 
 
+def _unit(text: Column | str, special: Widths) -> Column:
+    """The width of what is repeated to fill a room, at least 1."""
+    return F.greatest(width(F.lit(text) if isinstance(text, str) else text, special), F.lit(1))
+
+
 KINDS = (("shout", SHOUT_TOP, SHOUT_BOTTOM), ("slash", SLASH_TOP, SLASH_BOTTOM), ("box", TOP, BOTTOM))
 _FOUND = "array<struct<top:int,bottom:int,kind:string>>"
 
@@ -117,9 +129,9 @@ def _claimed(lines: Column, found: Column, kind: str, top: str, bottom: str) ->
     return rx.let(F.struct(lines.alias("lines"), found.alias("found")), lambda z: _of_kind(z["lines"], z["found"], kind, top, bottom))
 
 
-def _padded(text: Column, target: Column, special: dict[str, int] | None) -> Column:
+def _padded(text: Column, target: Column, special: Widths) -> Column:
     """Full-width spaces as far as they fit, then half-width ones, and one more if that comes nearer."""
-    wide, narrow = (special or {}).get(WIDE_SPACE, 2), (special or {}).get(" ", 1)
+    wide, narrow = _unit(WIDE_SPACE, special), _unit(" ", special)
 
     def filled(room: Column) -> Column:
         n_wide = F.floor(F.greatest(room, F.lit(0)) / wide).cast("int")
@@ -132,7 +144,7 @@ def _padded(text: Column, target: Column, special: dict[str, int] | None) -> Col
     return rx.let(target - width(text, special), filled)
 
 
-def align_to_previous(lines: DataFrame, at: Column, special: dict[str, int] | None = None, key: str = "doc_id") -> DataFrame:
+def align_to_previous(lines: DataFrame, at: Column, special: Widths = None, key: str = "doc_id") -> DataFrame:
     """(key, line_no, line, cursor): what stands at or behind ``at`` (from 0) moved to the end of the line before.
 
     The first character there that is no space goes behind one space, next to the last
@@ -153,17 +165,17 @@ def align_to_previous(lines: DataFrame, at: Column, special: dict[str, int] | No
     return rows.select(key, "line_no", F.coalesce(moved, F.col("line")).alias("line"), (F.length("_prefix") + 1).alias("cursor"))
 
 
-def redraw(lines: Column, box: Column, special: dict[str, int] | None = None) -> Column:
+def redraw(lines: Column, box: Column, special: Widths = None) -> Column:
     """The lines of one frame drawn to the width of its widest content."""
     own = F.slice(lines, box["top"] + 1, box["bottom"] - box["top"] + 1)
     inner = lambda line: F.regexp_replace(F.regexp_replace(F.regexp_extract(line, CONTENT, 2), ",+$", ""), PADDING, "")
     needed = F.array_max(F.transform(own, lambda line: F.when(line.rlike(CONTENT), width(F.concat(F.lit("│"), inner(line), F.lit(WIDE_SPACE + "│")), special))))
     given = width(F.regexp_extract(F.get(own, F.lit(0)), "(┌─+┐)", 1), special)
-    dash = (special or {}).get("─", 2)
+    dash = _unit("─", special)
     sides = width(F.lit("┌┐"), special)
 
     def drawn(target: Column) -> Column:
-        room = F.greatest(target - sides, F.lit(dash))
+        room = F.greatest(target - sides, dash)
         whole = F.floor(room / dash).cast("int")
         n = F.when((whole + 1) * dash - room < room - whole * dash, whole + 1).otherwise(whole)
         border = lambda line, pattern, a, b: F.concat(F.regexp_extract(line, pattern, 1), F.lit(a), F.repeat(F.lit("─"), n), F.lit(b))
@@ -196,14 +208,14 @@ DRAWINGS = {
 }
 
 
-def _fill(target: Column, start: Column, part: str, end: str, special: dict[str, int] | None) -> Column:
+def _fill(target: Column, start: Column, part: str, end: str, special: Widths) -> Column:
     """A border with as many parts as the target has room for."""
     room = target - width(F.concat(start, F.lit(end)), special)
-    n = F.greatest(F.floor(room / width(F.lit(part), special)), F.lit(0)).cast("int")
+    n = F.greatest(F.floor(room / _unit(part, special)), F.lit(0)).cast("int")
     return F.concat(start, F.repeat(F.lit(part), n), F.lit(end))
 
 
-def redraw_as(lines: Column, box: Column, kind: str, special: dict[str, int] | None = None) -> Column:
+def redraw_as(lines: Column, box: Column, kind: str, special: Widths = None) -> Column:
     """The lines of a shout or a slashed frame drawn to the width of its widest content."""
     d = DRAWINGS[kind]
     own = F.slice(lines, box["top"] + 1, box["bottom"] - box["top"] + 1)
@@ -260,7 +272,7 @@ def _repeats(room: Column, part: Column) -> Column:
     return F.when((n + 1) * part - room < room - n * part, n + 1).otherwise(n)
 
 
-def redraw_normal(lines: Column, box: Column, special: dict[str, int] | None = None) -> Column:
+def redraw_normal(lines: Column, box: Column, special: Widths = None) -> Column:
     """The lines of a normal frame drawn to the widest text behind its last bar.
 
     The first border fixes how often overlines and underlines are repeated; all borders
@@ -298,7 +310,7 @@ def redraw_normal(lines: Column, box: Column, special: dict[str, int] | None = N
 
     def drawn(z: Column) -> Column:
         def made(x: Column) -> Column:
-            n = F.when(z["widest"] > 0, z["n"]).otherwise(_repeats(z["target"] - of(x, "left", "right"), width(x["char"], special)))
+            n = F.when(z["widest"] > 0, z["n"]).otherwise(_repeats(z["target"] - of(x, "left", "right"), _unit(x["char"], special)))
             side = F.concat(_padded(F.rtrim(x["left"], F.lit(PADS)), z["target"] - width(x["right"], special), special), x["right"])
             return F.when(x["part"] == "border", F.concat(x["left"], F.repeat(x["char"], n), x["right"])).when(x["part"] == "side", side).otherwise(x["left"])
 
@@ -307,7 +319,7 @@ def redraw_normal(lines: Column, box: Column, special: dict[str, int] | None = N
     def measured(z: Column) -> Column:
         """With the number of repeats and the width of the frame, 0 where nothing can be measured."""
         corners = F.coalesce(of(z["first"], "left", "right"), F.lit(0))
-        unit = width(z["first"]["char"], special)
+        unit = _unit(z["first"]["char"], special)
         target = F.when(z["widest"] > 0, corners + z["widest"]).otherwise(F.coalesce(corners + z["length"] * unit, F.lit(0)))
         known = F.struct(z["rows"].alias("rows"), z["widest"].alias("widest"), target.alias("target"), _repeats(z["widest"], unit).alias("n"))
         return rx.let(known, drawn)
@@ -334,7 +346,7 @@ def _replaced(lines: Column, frames: Column, made) -> Column:
     return F.aggregate(frames, zero, step, lambda acc: F.concat(acc["out"], F.slice(lines, acc["at"] + 1, F.size(lines))))
 
 
-def adjust(docs: DataFrame, special: dict[str, int] | None = None) -> DataFrame:
+def adjust(docs: DataFrame, special: Widths = None) -> DataFrame:
     """Documents with every frame of the four kinds redrawn; ``n_boxes`` counts them.
 
     Normal frames come last: they may enclose others, whose new lines they then measure.
@@ -353,7 +365,7 @@ def adjust(docs: DataFrame, special: dict[str, int] | None = None) -> DataFrame:
     return rows.withColumn("text", F.array_join("_lines", "\n")).withColumn("n_boxes", F.size("_boxes")).drop("_lines", "_boxes")
 
 
-def adjust_selection(text: Column, special: dict[str, int] | None = None) -> Column:
+def adjust_selection(text: Column, special: Widths = None) -> Column:
     """A selected frame redrawn as a whole, by the first kind whose borders it holds; null if it is no frame.
 
     A selection is taken for a normal frame if a line ends in a run of three overlines,

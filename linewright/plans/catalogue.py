@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from linewright.functions import scalar
 from linewright.operators import edits, extract, glossary, history, layout, lines, names, pages, positions, search, terms, translate
-from linewright.sources import html, shared
+from linewright.sources import fonts, html, shared
 from linewright.sources.cache import PageCache
 from linewright.streaming.history import HistorySink
 
@@ -789,3 +789,24 @@ def q_html_round_trip(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     made = docs.select("doc_id", html.page(F.col("text"), F.lit("#ffffff")).alias("value"))
     return made.select("doc_id", html.pre_text(F.col("value")).alias("text"))
+
+
+_WIDTHS = """w AS (SELECT lang AS font, unicode(c)::INT AS code, (4 + unicode(c) % 9)::INT AS width
+  FROM (SELECT DISTINCT lang, unnest(string_split(text, '')) AS c FROM documents WHERE lang IS NOT NULL AND text <> '') WHERE unicode(c) % 5 <> 0)"""
+
+
+@query(
+    f"""WITH {_LINES}, {_WIDTHS},
+c AS (SELECT doc_id, line_no, lang, unnest(CASE WHEN line = '' THEN [''] ELSE string_split(line, '') END) AS c FROM l JOIN (SELECT doc_id, lang FROM documents) USING (doc_id))
+SELECT doc_id, line_no, sum(CASE WHEN c = '' THEN 0 ELSE coalesce(width, 7) END)::INT AS width FROM c LEFT JOIN w ON w.font = c.lang AND w.code = unicode(c.c)
+WHERE lang IS NOT NULL GROUP BY doc_id, line_no"""
+)
+def q_line_widths(spark, sf_dir):
+    """Lines measured by a table of widths for each language's own characters; of those it lacks each is 7 wide."""
+    docs = table(spark, sf_dir, "documents").filter("lang IS NOT NULL").select("doc_id", F.col("lang").alias("font"), "text")
+    chars = docs.filter("text <> ''").select("font", F.explode(F.array_distinct(F.split("text", ""))).alias("c")).distinct()
+    known = chars.select("font", F.ascii("c").alias("code")).filter("code % 5 <> 0").select("font", "code", (F.col("code") % 9 + 4).alias("width"))
+    missing = chars.select("font", F.lit(fonts.MISSING).alias("code"), F.lit(7).alias("width")).distinct()
+    measured = fonts.attach(docs, fonts.lookup(known.unionByName(missing)))
+    rows = measured.select("doc_id", "widths", F.posexplode(F.split("text", "\n", -1)).alias("_at", "line"))
+    return rows.select("doc_id", (F.col("_at") + 1).alias("line_no"), layout.width(F.col("line"), F.col("widths")).alias("width"))
