@@ -79,7 +79,10 @@ def is_dense(text: Column, symbol: str = SYMBOL) -> Column:
 
 
 def trace(docs: DataFrame, config: Config = Config()) -> DataFrame:
-    """(doc_id, line_no, chunk_no, match_no, text, reason) for every candidate; reason is null where it is kept."""
+    """(doc_id, line_no, chunk_no, match_no, text, reason) for every candidate; reason is null where it is kept.
+
+    What is kept, or falls to a filter, is tidied and completed; what is rejected before stands as it was found.
+    """
     c = config.checked()
     title = rx.strip(F.lit(c.skip_title))
     at_title = F.when(title != "", L.first_line_with_text(F.col("text"))).otherwise(F.lit(0))
@@ -98,19 +101,15 @@ def trace(docs: DataFrame, config: Config = Config()) -> DataFrame:
     found = F.when(F.col("_reason").isNull(), F.regexp_extract_all("chunk", F.lit(c.base), F.lit(group))).otherwise(F.array("chunk"))
     rows = rows.select("doc_id", "line_no", "line", "chunk_no", "_reason", F.posexplode(found).alias("match_no", "_raw"))
     raw = rx.strip(F.col("_raw"))
-    rows = rows.withColumn("_plain", F.regexp_replace(raw, WIDE_DICE, "$1:$2")).withColumn("_tidy", tidy(F.col("_plain")))
+    rows = rows.withColumn("_plain", F.regexp_replace(raw, WIDE_DICE, "$1:$2"))
+    early = F.coalesce("_reason", F.when(F.length(raw) < 3, "short").when(F.col("_plain").rlike(f"^(?:{c.invalid})"), "invalid"))
+    # What is rejected by now, and that is most of it, is neither tidied nor completed.
+    rows = rows.withColumn("_early", early).withColumn("_tidy", F.when(F.col("_early").isNull(), tidy(F.col("_plain"))))
     author = c.author.strip()
     named = (F.col("_tidy") == author) | ((F.col("_tidy") == c.author_key) if c.author_key else F.lit(False)) if author else F.lit(False)
-    reason = (
-        F.when(F.col("_reason").isNotNull(), F.col("_reason"))
-        .when(F.length(raw) < 3, "short")
-        .when(F.col("_plain").rlike(f"^(?:{c.invalid})"), "invalid")
-        .when(F.length("_tidy") <= 2, "short after tidying")
-        .when(named, "author")
-    )
-    rows = rows.withColumn("reason", reason)
+    rows = rows.withColumn("reason", F.coalesce("_early", F.when(F.length("_tidy") <= 2, "short after tidying").when(named, "author")))
     whole = nesting.complete_brackets(F.col("_tidy"), F.col("line")) if c.brackets else F.col("_tidy")
-    rows = rows.withColumn("text", F.when(F.col("_reason").isNull(), whole).otherwise(F.col("_raw")))
+    rows = rows.withColumn("text", F.when(F.col("reason").isNull(), whole).when(F.col("_reason").isNull(), F.col("_plain")).otherwise(F.col("_raw")))
     filtered = F.when(F.col("reason").isNull() & rx.any_match(F.col("text"), c.filters), "filter")
     # A filter on these columns would be pushed below as copies of all that they are made of; it stays above a generator.
     made = F.inline(F.array(F.struct(F.col("text").alias("text"), F.coalesce("reason", filtered).alias("reason"))))

@@ -164,9 +164,9 @@ g1 AS (SELECT *, list_reduce(list_prepend([at0, at0 + length(tidy)]::BIGINT[], l
 g2 AS (SELECT *, span[1] - CASE WHEN span[1] > 1 AND substring(line, span[1] - 1, 1) IN ('【', '「', '“', '‘', '『', '（', '(') AND substring(line, span[1] - 1, 1) <> substring(line, span[1], 1) THEN 1 ELSE 0 END AS s1,
   span[2] + CASE WHEN substring(line, span[2], 1) IN ('】', '」', '”', '’', '』', '）', ')') AND substring(line, span[2], 1) <> substring(line, span[2] - 1, 1) THEN 1 ELSE 0 END AS s2 FROM g1),
 w AS (SELECT *, substring(line, s1, s2 - s1) AS whole FROM g2 UNION ALL BY NAME SELECT *, tidy AS whole FROM b WHERE at0 <= 0 OR tidy = '')
-SELECT doc_id, line_no, chunk_no, match_no, CASE WHEN reason0 IS NULL THEN whole ELSE raw END AS text,
+SELECT doc_id, line_no, chunk_no, match_no, CASE WHEN reason IS NULL OR reason = 'filter' THEN whole WHEN reason0 IS NULL THEN plain ELSE raw END AS text, reason FROM (SELECT *,
   CASE WHEN reason0 IS NOT NULL THEN reason0 WHEN length(raw) < 3 THEN 'short' WHEN regexp_matches(plain, '^(?:{_INVALID})') THEN 'invalid' WHEN length(tidy) <= 2 THEN 'short after tidying'
-    WHEN tidy IN ('!alphaNine99!', 'alphaNine99') THEN 'author' WHEN regexp_matches(whole, '^（[A-M]') THEN 'filter' END AS reason FROM w"""
+    WHEN tidy IN ('!alphaNine99!', 'alphaNine99') THEN 'author' WHEN regexp_matches(whole, '^（[A-M]') THEN 'filter' END AS reason FROM w)"""
 
 
 @query(_DEFAULT)
