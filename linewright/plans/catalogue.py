@@ -805,6 +805,7 @@ def q_line_widths(spark, sf_dir):
     """Lines measured by a table of widths for each language's own characters; of those it lacks each is 7 wide."""
     docs = table(spark, sf_dir, "documents").filter("lang IS NOT NULL").select("doc_id", F.col("lang").alias("font"), "text")
     chars = docs.filter("text <> ''").select("font", F.explode(F.array_distinct(F.split("text", ""))).alias("c")).distinct()
+    chars = shared.written(chars, "characters")  # read twice below
     known = chars.select("font", F.ascii("c").alias("code")).filter("code % 5 <> 0").select("font", "code", (F.col("code") % 9 + 4).alias("width"))
     missing = chars.select("font", F.lit(fonts.MISSING).alias("code"), F.lit(7).alias("width")).distinct()
     measured = fonts.attach(docs, fonts.lookup(known.unionByName(missing)))

@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linewright.functions import rx
+from linewright.sources import shared
 
 PAGE = 256
 #: A lookup has at most 4.5 MB (all 4,352 blocks); so many fonts are broadcast, more are joined by key.
@@ -143,7 +144,8 @@ def lookup(metrics: DataFrame) -> DataFrame:
 
 
 def attach(docs: DataFrame, found: DataFrame, font: str = "font") -> DataFrame:
-    """Documents with the ``widths`` of the font that a column names, null where it is unknown."""
+    """Documents with the ``widths`` of the font that a column names, null where it is unknown; the lookup is written first, once."""
+    found = shared.written(found, "fonts")
     named = found.select(F.col("font").alias(font), "widths")
     few = found.limit(BROADCAST_FONTS + 1).count() <= BROADCAST_FONTS
     return docs.join(F.broadcast(named) if few else named, font, "left")
