@@ -44,6 +44,10 @@ def unpaired(text: Column) -> Column:
     return F.aggregate(F.regexp_extract_all(text, F.lit(f"[{OPENING}{CLOSING}]"), F.lit(0)), F.lit(""), step)
 
 
+def has_brackets(text: Column) -> Column:
+    return text.rlike(f"[{OPENING}{CLOSING}]")
+
+
 def complete_brackets(text: Column, line: Column) -> Column:
     """A fragment widened over brackets that stand next to it in its line.
 
@@ -54,12 +58,12 @@ def complete_brackets(text: Column, line: Column) -> Column:
     """
     grown = "struct<start:int,end:int>"
 
-    def grow(span: Column, char: Column) -> Column:
+    def grow(line: Column, span: Column, char: Column) -> Column:
         left = _closes(char) & (_at(line, span["start"] - 1) == _partner(char))
         right = _opens(char) & (_at(line, span["end"]) == _partner(char))
         return F.struct((span["start"] - F.when(left, 1).otherwise(0)).alias("start"), (span["end"] + F.when(right, 1).otherwise(0)).alias("end"))
 
-    def cut(span: Column) -> Column:
+    def cut(line: Column, span: Column) -> Column:
         before, behind = _at(line, span["start"] - 1), _at(line, span["end"])
         start = span["start"] - F.when(_opens(before) & (before != _at(line, span["start"])), 1).otherwise(0)
         end = span["end"] + F.when(_closes(behind) & (behind != _at(line, span["end"] - 1)), 1).otherwise(0)
@@ -67,12 +71,20 @@ def complete_brackets(text: Column, line: Column) -> Column:
 
     def widened(z: Column) -> Column:
         chars = F.when(z["left"] != "", F.split(z["left"], "")).otherwise(F.array().cast("array<string>"))
-        first = F.struct((z["at"] - 1).alias("start"), (z["at"] - 1 + F.length(z["text"])).alias("end")).cast(grown)
-        return F.when((z["text"] != "") & (z["at"] > 0), F.aggregate(chars, first, grow, cut)).otherwise(z["text"])
+        first = F.struct(z["start"].alias("start"), (z["start"] + F.length(z["text"])).alias("end")).cast(grown)
+        return F.aggregate(chars, first, lambda span, char: grow(z["near"], span, char), lambda span: cut(z["near"], span))
+
+    def near(z: Column) -> Column:
+        # Only what the brackets can reach is looked at, since a place in a long line is found by counting from its beginning.
+        reach = F.length(z["left"]) + 1
+        low = F.greatest(z["at"] - 1 - reach, F.lit(0))
+        part = F.substring(line, low + 1, z["at"] - 1 - low + F.length(z["text"]) + reach)
+        held = F.struct(z["text"].alias("text"), z["left"].alias("left"), part.alias("near"), (z["at"] - 1 - low).alias("start"))
+        return F.when((z["text"] != "") & (z["at"] > 0), rx.let(held, widened)).otherwise(z["text"])
 
     def placed(text: Column) -> Column:
-        left = F.when(text.rlike(f"[{OPENING}{CLOSING}]"), unpaired(text)).otherwise("")
-        return rx.let(F.struct(text.alias("text"), F.instr(line, text).alias("at"), left.alias("left")), widened)
+        left = F.when(has_brackets(text), unpaired(text)).otherwise("")
+        return rx.let(F.struct(text.alias("text"), F.instr(line, text).alias("at"), left.alias("left")), near)
 
     return rx.let(text, placed)
 

@@ -19,8 +19,11 @@ FOLD = 256
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """Evaluate a value once and use it several times within an expression."""
-    return F.transform(F.array(value), body)[0]
+    """Evaluate a value once and use it several times within an expression.
+
+    A fold over nothing: an element of a transformed array would have its type worked out anew at each evaluation.
+    """
+    return F.aggregate(F.array().cast("array<int>"), value, lambda acc, _: acc, body)
 
 
 def strip(text: Column) -> Column:
@@ -29,7 +32,7 @@ def strip(text: Column) -> Column:
 
 
 def is_blank(text: Column) -> Column:
-    return strip(text) == ""
+    return ~text.rlike(f"[^{SPACES}]")
 
 
 def quote(literal: str) -> str:
