@@ -48,6 +48,8 @@ def originals(files: DataFrame, cache: DataFrame) -> DataFrame:
     named = cache.groupBy("file_name").agg(F.max_by("text", F.struct("ts", "text")).alias("by_name"))
     marked = cache.withColumn("author_key", scalar.author_fingerprint(F.col("text"))).filter("author_key IS NOT NULL")
     marked = marked.groupBy("author_key").agg(F.min_by("text", F.struct("ts", "text")).alias("by_key"))
-    rows = files.withColumn("author_key", scalar.author_fingerprint(F.col("text")))
+    # Files without a fingerprint, most of them, would all meet in the task of the null key; nothing has the key they get.
+    own = F.coalesce(scalar.author_fingerprint(F.col("text")), F.concat(F.lit("\0"), F.coalesce("file_name", F.md5("text"), F.lit(""))))
+    rows = files.withColumn("author_key", own)
     joined = rows.join(named, "file_name", "left").join(marked, "author_key", "left")
     return joined.select("file_name", "text", F.coalesce("by_name", "by_key").alias("original"))
