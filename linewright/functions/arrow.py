@@ -6,6 +6,7 @@ import html
 from urllib.parse import urljoin as _join
 
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -18,11 +19,17 @@ def _text_udf(function):
 
 
 @_text_udf
-def unescape_html(text: pd.Series) -> pd.Series:
-    """Character references decoded."""
+def _unescape(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else html.unescape(t))
 
 
+def unescape_html(text: Column | str) -> Column:
+    """Character references decoded; texts without an ampersand do not go through Python."""
+    text = F.col(text) if isinstance(text, str) else text
+    has = text.contains("&")
+    return F.coalesce(_unescape(F.when(has, text)), text)
+
+
 @_text_udf
 def url_join(base: pd.Series, link: pd.Series) -> pd.Series:
     return pd.Series([None if a is None or b is None else _join(a, b) for a, b in zip(base, link)])
