@@ -7,6 +7,7 @@ candidates of a document by line, chunk and match.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -124,10 +125,12 @@ def _judged(raw: Column, line: Column, marked: Column, early: Column, c: Config,
 
         return rx.let(F.regexp_replace(bare, WIDE_DICE, "$1:$2"), read)
 
-    # Nothing of a text of letters is trimmed, replaced or tidied.
+    # Nothing of a text of letters is trimmed, replaced or tidied; most of those that are kept pass by one pattern.
+    plainly = raw.rlike(f"^(?!(?:{c.invalid})){LETTERS[1:].replace('+', '{3,}')}") & ~_named(raw, c)
     easy = F.when(F.length(raw) < 3, "short").when(invalid(raw), "invalid").when(_named(raw, c), "author")
     easily = F.when(easy.isNotNull(), put(raw, easy)).otherwise(_ended(raw, line, marked, c, put))
-    return F.when(early.isNull() & raw.rlike(LETTERS), easily).otherwise(rx.let(rx.strip(raw), hard))
+    quick = F.when(early.isNull() & plainly, _ended(raw, line, marked, c, put)).when(early.isNull() & raw.rlike(LETTERS), easily)
+    return quick.otherwise(rx.let(rx.strip(raw), hard))
 
 
 def _candidates(line: Column, reason: Column, c: Config) -> Column:
@@ -186,6 +189,17 @@ def _frag_id(line_no: Column, sub: Column) -> Column:
     return F.concat_ws("-", F.lpad(number, F.greatest(F.lit(3), F.length(number)), F.lit("0")), sub.cast("string"))
 
 
+def _alone(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """Documents whose id is theirs alone, and the others, if there are any."""
+    several = shared.written(docs.groupBy("doc_id").agg(F.count("*").alias("_n")).filter("_n > 1").select("doc_id"), "repeated")
+    n = several.count()
+    if not n:
+        return docs, None
+    several = (F.broadcast(several) if n <= FEW else several).withColumnRenamed("doc_id", "_again")
+    again = F.col("doc_id").eqNullSafe(F.col("_again"))
+    return docs.join(several, again, "left_anti"), docs.join(several, again, "left_semi")
+
+
 def _parts(docs: DataFrame, config: Config) -> tuple[DataFrame, DataFrame | None]:
     """Documents whose id is theirs alone, as (doc_id, found) with an array of (line_no, sub, text); and the fragments of the others, if there are any.
 
@@ -193,19 +207,28 @@ def _parts(docs: DataFrame, config: Config) -> tuple[DataFrame, DataFrame | None
     sorted. Texts that share a doc_id, or have none, are numbered together by windows.
     """
     c = config.checked()
-    docs = docs.select("doc_id", "text")
-    several = shared.written(docs.groupBy("doc_id").agg(F.count("*").alias("_n")).filter("_n > 1").select("doc_id"), "repeated")
-    n = several.count()
+    alone, several = _alone(docs.select("doc_id", "text"))
     # A generator, since a filter on what is found would else be pushed below and take the texts apart once more.
-    array = lambda rows: rows.select("doc_id", F.explode(F.array(_kept(F.col("text"), c))).alias("found"))
-    if not n:
-        return array(docs), None
-    several = (F.broadcast(several) if n <= FEW else several).withColumnRenamed("doc_id", "_again")
-    again = F.col("doc_id").eqNullSafe(F.col("_again"))
-    kept = trace(docs.join(several, again, "left_semi").repartition("doc_id"), config).filter("reason IS NULL AND text <> ''")
+    own = alone.select("doc_id", F.explode(F.array(_kept(F.col("text"), c))).alias("found"))
+    if several is None:
+        return own, None
+    kept = trace(several.repartition("doc_id"), config).filter("reason IS NULL AND text <> ''")
     order = Window.partitionBy("doc_id").orderBy("line_no", "chunk_no", "match_no")
-    rest = kept.select("doc_id", (F.row_number().over(order) - 1).cast("long").alias("seq"), "line_no", "text")
-    return array(docs.join(several, again, "left_anti")), rest
+    return own, kept.select("doc_id", (F.row_number().over(order) - 1).cast("long").alias("seq"), "line_no", "text")
+
+
+def beside(docs: DataFrame, made: Callable[[dict[str, Column]], Column], name: str, config: Config = Config()) -> tuple[DataFrame, DataFrame | None]:
+    """Documents whose id is theirs alone with what ``made`` gives of their fragments in order, as an array ``name``; and the others, if there are any.
+
+    ``made`` gets a fragment's seq, line_no, text and sub. Texts are dealt first, since a table may have few row groups.
+    """
+
+    def one(x: Column, i: Column) -> Column:
+        return made({"seq": i.cast("long"), "line_no": x["line_no"], "text": x["text"], "sub": x["sub"]})
+
+    own, several = _alone(docs)
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return own.repartition(n, "doc_id").withColumn(name, F.transform(_kept(F.col("text"), config.checked()), one)), several
 
 
 def _both(own: DataFrame, rest: DataFrame | None) -> DataFrame:

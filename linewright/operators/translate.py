@@ -2,18 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from linewright.functions import rx, scalar
-from linewright.functions.scalar import BORDER, WIDE_SPACE
-from linewright.operators import glossary
+from linewright.functions import rewriting, rx, scalar
+from linewright.operators import extract, glossary
 from linewright.sources import html
 
 
-_EDITS = "array<struct<order:int,pos:bigint,a:string,b:string,padded:string,line_no:int>>"
-
-
 def parse_rows(rows: DataFrame) -> DataFrame:
     """(doc_id, pos, line) in wire format as (doc_id, frag_id, text), the last row of an id winning."""
     at = F.instr("line", "|")
@@ -39,19 +37,22 @@ def coverage(extracted: DataFrame, translated: DataFrame) -> DataFrame:
     return counted.select("doc_id", "n_ids", "n_translated", ratio.alias("coverage"), (ratio < 0.5).alias("is_low"))
 
 
-def replace_padded(line: Column, original: Column, plain: Column, padded: Column) -> Column:
-    """Each occurrence becomes ``padded`` if a border follows it on the line, else ``plain``."""
+def _edit(line_no: Column, pos: Column, original: Column, translation: Column) -> Column:
+    """(line_no, pos, a, b); line 0 where none is named, and what has no position comes first."""
+    pos = F.coalesce(pos.cast("bigint"), F.lit(-(1 << 63)))
+    return F.struct(F.coalesce(line_no, F.lit(0)).alias("line_no"), pos.alias("pos"), original.alias("a"), translation.alias("b"))
 
-    def build(parts: Column) -> Column:
-        last = F.size(parts) - 1
 
-        def piece(part: Column, i: Column) -> Column:
-            rest = F.exists(F.slice(parts, i + 2, F.size(parts)), lambda x: x.rlike(BORDER)) | ((i < last - 1) & original.rlike(BORDER))
-            return F.concat(part, F.when(i == last, "").when(rest, padded).otherwise(plain))
+def _in_terms(translation: Column, terms: dict[str, str]) -> Column:
+    for key in sorted(terms, key=len, reverse=True):
+        translation = F.replace(translation, F.lit(key), F.lit(terms[key]))
+    return translation
 
-        return F.array_join(F.transform(parts, piece), "")
 
-    return F.when((original != "") & line.contains(original), rx.let(F.split(line, rx.quoted(original), -1), build)).otherwise(line)
+def _edited(text: Column, edits: Column) -> Column:
+    """A text rewritten; texts without edits do not go through Python."""
+    edits = F.filter(edits, lambda e: (e["a"] != "") & e["b"].isNotNull())
+    return F.coalesce(rewriting.rewrite(F.when(F.size(edits) > 0, text), edits), text)
 
 
 def apply(docs: DataFrame, found: DataFrame, terms: dict[str, str] | None = None) -> DataFrame:
@@ -61,37 +62,39 @@ def apply(docs: DataFrame, found: DataFrame, terms: dict[str, str] | None = None
     longest first; of a line's fragments the longest original goes first. Where a border
     follows, a shorter translation is padded with full-width spaces. At the end the terms
     are applied to the whole text. A fragment whose id names no line of the document is
-    tried on all its lines; an empty original is left out.
+    tried on all its lines; an empty original, or a null translation, is left out.
     """
     terms = {k: v for k, v in (terms or {}).items() if k}
-    translation = F.col("translation")
-    for key in sorted(terms, key=len, reverse=True):
-        translation = F.replace(translation, F.lit(key), F.lit(terms[key]))
     line_no = F.split_part("frag_id", F.lit("-"), F.lit(1)).try_cast("int")
-    edit = F.struct(
-        (-F.length("original")).alias("order"), F.col("pos").cast("bigint").alias("pos"), F.col("original").alias("a"), translation.alias("b"),
-        F.concat(translation, F.repeat(F.lit(WIDE_SPACE), F.greatest(F.length("original") - F.length(translation), F.lit(0)))).alias("padded"),
-        line_no.alias("line_no"),
-    )
-    # A map from lines to their edits; ids that name no line at all stand under 0.
-    number = F.when(F.col("e.line_no") >= 1, F.col("e.line_no")).otherwise(0)
-    by_line = found.filter("original <> ''").select("doc_id", edit.alias("e")).groupBy("doc_id", number.alias("_line")).agg(F.collect_list("e").alias("es"))
-    edits = by_line.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("_line", F.array_sort("es").alias("es")))).alias("_edits"))
-    joined = docs.join(edits, "doc_id", "left")
-
-    def rewritten(z: Column) -> Column:
-        def changed(line: Column, i: Column) -> Column:
-            own = F.coalesce(F.try_element_at(z["edits"], i + 1), F.array().cast(_EDITS))
-            mine = F.when(F.size(z["lost"]) > 0, F.array_sort(F.concat(own, z["lost"]))).otherwise(own)
-            return F.aggregate(mine, line, lambda acc, e: replace_padded(acc, e["a"], e["b"], e["padded"]))
-
-        return F.array_join(F.transform(z["lines"], changed), "\n")
-
-    lines = F.split("text", "\n", -1)
-    lost = F.flatten(F.map_values(F.map_filter("_edits", lambda line, es: (line < 1) | (line > F.size(lines)))))
-    whole = rx.let(F.struct(lines.alias("lines"), F.col("_edits").alias("edits"), lost.alias("lost")), rewritten)
-    text = F.when(F.col("_edits").isNull(), F.col("text")).otherwise(whole)
-    return joined.withColumn("text", glossary.apply(text, terms)).drop("_edits")
+    edit = _edit(line_no, F.col("pos"), F.col("original"), _in_terms(F.col("translation"), terms))
+    edits = found.filter("original <> ''").groupBy("doc_id").agg(F.collect_list(edit).alias("_edits"))
+    joined = docs.join(edits, "doc_id", "left").withColumn("text", _edited(F.col("text"), F.col("_edits")))
+    return joined.withColumn("text", glossary.apply(F.col("text"), terms)).drop("_edits")
+
+
+def apply_all(docs: DataFrame, made: Callable[[dict[str, Column]], tuple[Column, Column]], config: extract.Config = extract.Config(), terms: dict[str, str] | None = None) -> DataFrame:
+    """As ``apply`` of all fragments of all documents, where a fragment's translation is an expression.
+
+    ``made`` gives the number of a line and the translation of a fragment's seq, line_no, text and sub; where the
+    text has no such line, all are tried. What is translated stands beside its text: texts are dealt by doc_id once,
+    and fragments are never shuffled, but those of documents that share a doc_id. Documents without a doc_id stay as
+    they are, since no fragment names them.
+    """
+    terms = {k: v for k, v in (terms or {}).items() if k}
+
+    def edit(x: dict[str, Column]) -> Column:
+        line_no, translation = made(x)
+        return _edit(line_no, x["seq"], x["text"], _in_terms(translation, terms))
+
+    own, shared = extract.beside(docs, edit, "_edits", config)
+    done = own.withColumn("text", _edited(F.col("text"), F.when(F.col("doc_id").isNotNull(), F.col("_edits"))))
+    done = done.withColumn("text", glossary.apply(F.col("text"), terms)).drop("_edits")
+    if shared is None:
+        return done
+    rows = extract.numbered(shared, config)
+    line_no, translation = made({name: F.col(name) for name in ("seq", "line_no", "text", "sub")})
+    found = rows.select("doc_id", F.concat_ws("-", line_no, "sub").alias("frag_id"), F.col("seq").alias("pos"), F.col("text").alias("original"), translation.alias("translation"))
+    return done.unionByName(apply(shared, found, terms).select(*done.columns))
 
 
 def prepared(docs: DataFrame, extracted: DataFrame, translated: DataFrame, terms: dict[str, str] | None = None) -> DataFrame:
