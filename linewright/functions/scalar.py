@@ -18,6 +18,7 @@ POSTER_NAME_DATED = "(?U)^\\s*\\d+\\s*[：:]\\s*(.+?)\\s*(?:[：:]|\\[[^\\]]*\\]
 POST_HEADER = "(?U)^\\s*\\d+\\s*(?:(?:名前|Name)\\s*[：:]|[：:]\\s*.+?\\s*(?:[：:]|\\[[^\\]]*\\])\\s*\\d{4}[/年])"
 COLOR_SPAN = "<span\\s+style=\"color:[^\"]*\">|</span>"
 NAME_TAIL = "(?U)[\\s.．。・,，、]+$"
+ESCAPES = (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ("\"", "&quot;"), ("'", "&#x27;"))
 
 
 def strip_tags(text: Column) -> Column:
@@ -76,11 +77,19 @@ def space_out(text: Column) -> Column:
 
 
 def escape_html(text: Column) -> Column:
-    for char, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ("\"", "&quot;"), ("'", "&#x27;")):
+    for char, name in ESCAPES:
         text = F.replace(text, F.lit(char), F.lit(name))
     return text
 
 
+def unescape_escapes(text: Column | str) -> Column:
+    """The references that ``escape_html`` writes decoded, an ampersand's without its semicolon too; all others stay."""
+    text = F.col(text) if isinstance(text, str) else text
+    for char, name in ESCAPES[1:]:
+        text = F.replace(text, F.lit(name), F.lit(char))
+    return F.regexp_replace(text, "&amp;?", "&")
+
+
 def kanji_to_int(text: Column) -> Column:
     """Kanji or Arabic numerals as a number; null where a character is unknown, or for a zero not written 〇 or 零."""
     values = F.create_map(*[F.lit(x) for pair in KANJI_VALUES.items() for x in pair])

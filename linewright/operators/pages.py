@@ -4,7 +4,7 @@ A site is an entry of ``SITES``: patterns for the container of posts, for the bl
 related links and its items, and how the title is found. ``parse`` tries the site whose
 domain fits, then the others in order, and takes the first with text; ``result`` adds the
 title and the links of that layout. All layouts are tried in one pass over the pages,
-which page_id must tell apart.
+which page_id must tell apart where posts or an author are looked for.
 """
 
 from __future__ import annotations
@@ -40,6 +40,7 @@ class Site:
     joined_breaks: bool = False  # a line feed behind a break says nothing
     flat_cut: str = ""  # markup to drop where posts are not marked up
     nested: str = ""  # the opening div of a block of links that may hold further divs
+    plain: bool = False  # flat text where, unless an author is asked for, all tags go before references are read and only ASCII white space is blank
 
 
 _LATER_LIST = "(?s)<ul\\s+[^>]*class=\"[^\"]*relatedPostsWrap\\s+relatedPostsNext[^\"]*\"[^>]*>(.*?)</ul>"
@@ -81,9 +82,9 @@ SITES = (
 )
 
 
-def text_of(fragment: Column) -> Column:
+def text_of(fragment: Column, decode: Callable[[Column], Column] = arrow.unescape_html) -> Column:
     """Markup without tags and references, trimmed."""
-    return rx.strip(arrow.unescape_html(scalar.strip_tags(fragment)))
+    return rx.strip(decode(scalar.strip_tags(fragment)))
 
 
 def _by_site(sites: tuple[Site, ...]) -> Callable[[Callable[[Site], Column]], Column]:
@@ -182,14 +183,16 @@ def adjacent(nav: DataFrame) -> DataFrame:
     return rows.filter("is_current").groupBy("page_id").agg(F.min_by(F.struct("previous", "next"), "pos").alias("at")).select("page_id", "at.previous", "at.next")
 
 
-def posts(pages: DataFrame, body: Column, author: str = "", author_only: bool = False, keys: tuple[str, ...] = ("page_id",)) -> DataFrame:
+def posts(
+    pages: DataFrame, body: Column, author: str = "", author_only: bool = False, keys: tuple[str, ...] = ("page_id",), decode: Callable[[Column], Column] = arrow.unescape_html
+) -> DataFrame:
     """(*keys, post_no, header, poster, is_author, text) of the dt / dd posts of a page.
 
     The author's posts keep their colours. With ``author_only`` and no name, the first
-    poster named on the page is the author.
+    poster named on the page is the author. ``decode`` reads character references.
     """
     found = F.posexplode(F.arrays_zip(F.regexp_extract_all(body, F.lit(POST), F.lit(1)).alias("dt"), F.regexp_extract_all(body, F.lit(POST), F.lit(2)).alias("dd")))
-    rows = pages.select(*keys, found.alias("post_no", "p")).select(*keys, "post_no", text_of(F.col("p.dt")).alias("header"), F.regexp_replace("p.dd", BREAK, "\n").alias("dd"))
+    rows = pages.select(*keys, found.alias("post_no", "p")).select(*keys, "post_no", text_of(F.col("p.dt"), decode).alias("header"), F.regexp_replace("p.dd", BREAK, "\n").alias("dd"))
     rows = rows.withColumn("poster", scalar.poster_name(F.col("header")))
     named = F.lit(author)
     if author_only and not author:
@@ -202,7 +205,7 @@ def posts(pages: DataFrame, body: Column, author: str = "", author_only: bool =
     colored = rx.let(scalar.strip_tags_keep_color(F.col("dd")), nesting.drop_unmatched_spans)
     # A generator keeps the body apart from the function that decodes it.
     plain = rows.select("*", F.explode(F.array(F.when(F.col("is_author"), colored).otherwise(scalar.strip_tags(F.col("dd"))))).alias("_body"))
-    body_text = arrow.unescape_html("_body")
+    body_text = decode(F.col("_body"))
     trimmed = F.regexp_replace(body_text, "(?U)(?:(?:^|\\n)[\\s&&[^\\n]]*)+\\z", "")
     done = plain.withColumn("_text", trimmed).filter(~rx.is_blank(F.col("_text")))
     return done.select(*keys, "post_no", "header", "poster", "is_author", F.concat_ws("\n", "header", "_text").alias("text"))
@@ -239,8 +242,8 @@ def author_blocks(lines: DataFrame, author: str, author_only: bool = False, keys
 _KEYS = ("page_id", "rank", "site")
 
 
-def _bodies(pages: DataFrame, sites: tuple[Site, ...]) -> DataFrame:
-    """(page_id, rank, site, body) for every layout that fits a page; the one of the page's domain comes first."""
+def _tries(sites: tuple[Site, ...]) -> list[Column]:
+    """(rank, site, body) by each layout, null bodies where it does not fit; the one of the page's domain comes first."""
     host = scalar.domain(F.col("url"))
 
     def tried(i: int, site: Site) -> Column:
@@ -250,43 +253,85 @@ def _bodies(pages: DataFrame, sites: tuple[Site, ...]) -> DataFrame:
         rank = F.when(host.contains(site.domain) if site.domain else F.lit(False), -1).otherwise(i)
         return F.struct(rank.alias("rank"), F.lit(site.name).alias("site"), body.alias("body"))
 
-    return pages.select("page_id", F.inline(F.array(*(tried(i, s) for i, s in enumerate(sites))))).filter("body IS NOT NULL")
+    return [tried(i, s) for i, s in enumerate(sites)]
+
+
+def _bodies(pages: DataFrame, sites: tuple[Site, ...]) -> DataFrame:
+    """(page_id, rank, site, body) for every layout that fits a page."""
+    return pages.select("page_id", F.inline(F.array(*_tries(sites)))).filter("body IS NOT NULL")
+
+
+def _flat_markup(body: Column, plain: bool) -> Column:
+    """Markup without links, its breaks as line feeds, and of its tags only colours; if plain, none."""
+    flat = F.regexp_replace(F.regexp_replace(body, "(?s)<a\\s[^>]*>.*?</a>", ""), BREAK, "\n")
+    return scalar.strip_tags(flat) if plain else scalar.strip_tags_keep_color(flat)
+
 
+def _uncolored(text: Column, plain: bool) -> Column:
+    return text if plain else F.regexp_replace(text, scalar.COLOR_SPAN, "")
 
-def _flat(bodies: DataFrame, author: str, author_only: bool) -> DataFrame:
-    """Text whose posts are told apart by their header lines alone."""
-    flat = F.regexp_replace(F.regexp_replace("body", "(?s)<a\\s[^>]*>.*?</a>", ""), BREAK, "\n")
-    rows = bodies.select(*_KEYS, arrow.unescape_html(scalar.strip_tags_keep_color(flat)).alias("text"))
+
+def _without_blank_ends(text: Column, plain: bool) -> Column:
+    space = "[ \\t\\f\\r]" if plain else "[\\s&&[^\\n]]"
+    return F.regexp_replace(text, f"(?U)^(?:{space}*\\n)+|(?:\\n{space}*)+\\z", "")
+
+
+def _has_text(text: Column, plain: bool) -> Column:
+    return text.rlike("[^ \\t\\n\\f\\r]") if plain else ~rx.is_blank(text)
+
+
+def _flat(bodies: DataFrame, author: str, author_only: bool, decode: Callable[[Column], Column], plain: bool = False) -> DataFrame:
+    """Text, if there is any, whose posts are told apart by their header lines alone."""
+    plain = plain and not (author or author_only)
+    rows = bodies.select(*_KEYS, decode(_flat_markup(F.col("body"), plain)).alias("text"))
     if author or author_only:
         lines = rows.select(*_KEYS, F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
         kept = author_blocks(lines, author, author_only, _KEYS)
         ordered = F.array_sort(F.collect_list(F.struct("line_no", "line")))
         rows = kept.groupBy(*_KEYS).agg(F.array_join(F.transform(ordered, lambda x: x["line"]), "\n").alias("text"))
     else:
-        rows = rows.withColumn("text", F.regexp_replace("text", scalar.COLOR_SPAN, ""))
-    return rows.withColumn("text", F.regexp_replace("text", "(?U)^(?:[\\s&&[^\\n]]*\\n)+|(?:\\n[\\s&&[^\\n]]*)+\\z", ""))
-
-
-def parse(pages: DataFrame, author: str = "", author_only: bool = False, sites: tuple[Site, ...] = SITES) -> DataFrame:
+        rows = rows.withColumn("text", _uncolored(F.col("text"), plain))
+    # A generator, so that a filter behind does not read the text anew.
+    return rows.select(*_KEYS, F.explode(F.array(_without_blank_ends(F.col("text"), plain))).alias("text")).filter(_has_text(F.col("text"), plain))
+
+
+def _page_by_page(pages: DataFrame, sites: tuple[Site, ...], decode: Callable[[Column], Column]) -> DataFrame:
+    """As ``parse`` without an author, for layouts that are all read flat: nothing is shuffled, and pages may share a page_id."""
+    rows = pages.select("page_id", *(t.alias(f"_{i}") for i, t in enumerate(_tries(sites))))
+    marked = rows.select("*", *(_flat_markup(F.col(f"_{i}.body"), s.plain).alias(f"_m{i}") for i, s in enumerate(sites)))
+    texts = (_without_blank_ends(_uncolored(decode(F.col(f"_m{i}")), s.plain), s.plain) for i, s in enumerate(sites))
+    read = marked.select("page_id", F.array(*(F.struct(f"_{i}.rank", f"_{i}.site", t.alias("text")) for i, t in enumerate(texts))).alias("_read"))
+    plain = [s.name for s in sites if s.plain]
+    held = lambda x: F.when(x["site"].isin(plain), _has_text(x["text"], True)).otherwise(_has_text(x["text"], False))
+    best = F.array_min(F.filter("_read", held))
+    return read.select("page_id", F.inline(F.array(best))).select("page_id", "site", "text")
+
+
+def parse(
+    pages: DataFrame, author: str = "", author_only: bool = False, sites: tuple[Site, ...] = SITES, decode: Callable[[Column], Column] = arrow.unescape_html
+) -> DataFrame:
     """(page_id, site, text): the text of each page by the first layout that finds some; null if none does.
 
     Pages without marked-up posts, where a layout says how they are read flat, are so read
-    if a post header stands in them.
+    if a post header stands in them. ``decode`` reads character references.
     """
+    if not (author or author_only or any(s.posts for s in sites)):
+        return _page_by_page(pages, sites, decode)
     bodies = _bodies(pages, sites)
     named = lambda held: F.col("site").isin(*[s.name for s in sites if held(s)])
-    rows = posts(bodies.filter(named(lambda s: s.posts)), F.col("body"), author, author_only, _KEYS)
+    rows = posts(bodies.filter(named(lambda s: s.posts)), F.col("body"), author, author_only, _KEYS, decode)
     ordered = F.array_sort(F.collect_list(F.struct("post_no", "text")))
     found = rows.groupBy(*_KEYS).agg(F.array_join(F.transform(ordered, lambda x: x["text"]), "\n\n").alias("text"))
-    plain = bodies.filter(named(lambda s: not s.posts))
-    texts = found.unionByName(_flat(plain, author, author_only)) if any(not s.posts for s in sites) else found
+    texts = found
+    for plain in sorted({s.plain for s in sites if not s.posts}):
+        texts = texts.unionByName(_flat(bodies.filter(named(lambda s: not s.posts and s.plain == plain)), author, author_only, decode, plain))
     if any(s.posts and s.flat_cut for s in sites):
         rest = bodies.filter(named(lambda s: s.posts and s.flat_cut)).join(found.select(*_KEYS), list(_KEYS), "left_anti")
         for site in sites:
             if site.flat_cut:
                 rest = rest.withColumn("body", F.when(F.col("site") == site.name, F.regexp_replace("body", site.flat_cut, "")).otherwise(F.col("body")))
-        texts = texts.unionByName(_flat(rest, author, author_only).filter(F.exists(F.split("text", "\n", -1), lambda line: scalar.is_post_header(line))))
-    best = texts.filter(~rx.is_blank(F.col("text"))).groupBy("page_id").agg(F.min_by(F.struct("site", "text"), "rank").alias("b"))
+        texts = texts.unionByName(_flat(rest, author, author_only, decode).filter(F.exists(F.split("text", "\n", -1), lambda line: scalar.is_post_header(line))))
+    best = texts.groupBy("page_id").agg(F.min_by(F.struct("site", "text"), "rank").alias("b"))
     return pages.select("page_id").join(best, "page_id", "left").select("page_id", "b.site", "b.text")
 
 
